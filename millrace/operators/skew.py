@@ -1,0 +1,32 @@
+"""Finding the few keys that hold a large share of the rows."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key below this many rows is left alone: one task sorts that many with ease.
+HOT_ROWS = 1_000_000
+# The sketch tracks this many keys, so any key above about 1/7500 of all rows is seen.
+TRACKED_KEYS = 10_000
+# Upper bound on the result, whatever the data: this is what makes it safe to broadcast.
+MOST_KEYS = 1_000
+
+
+def hot_keys(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Hashes of the keys with at least ``hot_rows`` rows, never more than ``MOST_KEYS`` rows.
+
+    One pass over the key columns with a mergeable sketch: no shuffle by key. The sketch only
+    chooses which keys are handled in parts, so its error never reaches a result.
+    """
+    top = (
+        df.select(F.xxhash64(*keys).alias("_hash"))
+        .agg(F.expr(f"approx_top_k(_hash, {MOST_KEYS}, {TRACKED_KEYS})").alias("_top"))
+        .select(F.inline("_top"))
+    )
+    return top.where(F.col("count") >= hot_rows).select(F.col("item").alias("_hash"))
+
+
+def mark_hot(df: DataFrame, keys, hot_rows: int = HOT_ROWS, column: str = "_hot") -> DataFrame:
+    """Add a column that is true on rows of hot keys and null on all others."""
+    hot = hot_keys(df, keys, hot_rows).withColumn(column, F.lit(True))
+    hashed = df.withColumn("_hash", F.xxhash64(*keys))
+    return hashed.join(F.broadcast(hot), "_hash", "left").drop("_hash")
