@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.skew import HOT_ROWS, mark_hot
 
@@ -10,7 +11,8 @@ PART = "_part"
 
 
 def deltas(df: DataFrame, key, order, amounts, coarse: Column | None = None, attributes: str = "current",
-           idle: tuple[str, str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+           idle: tuple[str, str] | None = None, known: str | None = None,
+           hot_rows: int = HOT_ROWS) -> DataFrame:
     """Replace each amount by its change against the revision before; a first revision stays whole.
 
     ``order`` must decide between any two revisions of a key. ``attributes="previous"`` emits a
@@ -20,6 +22,9 @@ def deltas(df: DataFrame, key, order, amounts, coarse: Column | None = None, att
     ``coarse`` is a column that never falls along ``order``, such as the day. Keys with
     ``hot_rows`` rows or more are then cut into its parts, and the last revision of a part is
     handed on to the next one, so no task sorts all revisions of such a key.
+
+    ``known`` names a column that is true on revisions which only serve as a past; they are not
+    emitted, and neither is the column.
     """
     if attributes not in ("current", "previous"):
         raise ValueError("attributes is 'current' or 'previous'")
@@ -35,11 +40,13 @@ def deltas(df: DataFrame, key, order, amounts, coarse: Column | None = None, att
     before = rows.withColumn("_before", F.lag(F.struct(*df.columns)).over(in_order))
     if coarse is not None:
         before = before.where(~F.col("_carried"))
+    if known is not None:
+        before = before.where(~F.col(known))
     if idle is not None:
         time, span = idle
         kept = F.col(time) <= F.col(f"_before.{time}") + F.expr(f"interval {span}")
         before = before.withColumn("_before", F.when(kept, F.col("_before")))
-    return before.select(*[_emitted(c, c in amounts, attributes) for c in df.columns])
+    return before.select(*[_emitted(f, f.name in amounts, attributes) for f in df.schema if f.name != known])
 
 
 def _handed_on(parts: DataFrame, columns, key, order) -> DataFrame:
@@ -57,10 +64,13 @@ def _handed_on(parts: DataFrame, columns, key, order) -> DataFrame:
     )
 
 
-def _emitted(column: str, is_amount: bool, attributes: str) -> Column:
+def _emitted(field: T.StructField, is_amount: bool, attributes: str) -> Column:
+    """The column as it leaves; a change of an amount keeps the type of the amount."""
+    column = field.name
     before = F.col(f"_before.{column}")
     if is_amount:
-        return F.when(F.col("_before").isNull(), F.col(column)).otherwise(F.col(column) - before).alias(column)
+        change = (F.col(column) - before).cast(field.dataType)
+        return F.when(F.col("_before").isNull(), F.col(column)).otherwise(change).alias(column)
     if attributes == "previous":
         return F.when(F.col("_before").isNull(), F.col(column)).otherwise(before).alias(column)
     return F.col(column)

@@ -19,7 +19,10 @@ fixed as (
 
 def raw_log(spark, sf_dir):
     """App log messages as text, one per event; the number of the event orders equal times."""
-    log = v.app_log(spark, sf_dir)
+    return log_text(v.app_log(spark, sf_dir))
+
+
+def log_text(log):
     body = F.struct(*[c for c in log.columns if c != "event_id"])
     return log.select("event_id", F.to_json(body).alias("value"))
 

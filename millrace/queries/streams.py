@@ -1 +1,236 @@
-"""Streaming queries."""
+"""Streaming queries, replayed over the given tables.
+
+A replay takes a table and a second source with far-future rows in one go, so that the watermark
+closes every real window and join; nothing of the far-future rows themselves comes out. Outputs,
+state and checkpoints go below the shared folder of the session.
+"""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from millrace.operators.enrich import lookup
+from millrace.operators.joins import interval_join, keyed_join
+from millrace.operators.flags import mark_returning
+from millrace.operators.windows import stamp, tumbling
+from millrace.plans import dwd
+from millrace.plans.dim import dimension
+from millrace.queries import views as v
+from millrace.queries.aggregates import DELTA_SQL, SKU_SUMS, STAMPS, WIDTH
+from millrace.queries.changes import routes
+from millrace.queries.logsplit import log_text
+from millrace.queries.registry import ORACLE, query, with_views
+from millrace.session import shared_folder
+from millrace.sources.logs import LATENESS, page_log
+from millrace.operators.logs import clean_log
+from millrace.sources.topics import stream_table
+from millrace.streaming import aggregates, maintenance, sinks
+from millrace.streaming.run import collected, drain, to_batches
+from millrace.streaming.stateful import stream_day_changes
+
+LAST = dt.datetime(2200, 1, 1)
+
+
+def replay(spark, sf_dir, name, *far_future):
+    """The table as a stream, with rows after all others from a source of their own."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    rows = stream_table(spark, path, schema)
+    if not far_future:
+        return rows
+    extra = shared_folder(spark, "far-future")
+    spark.createDataFrame([tuple(r.get(f) for f in schema.fieldNames()) for r in far_future], schema).coalesce(
+        1).write.parquet(extra)
+    return rows.unionByName(stream_table(spark, extra, schema))
+
+
+def event_stream(spark, sf_dir, *kinds):
+    """Events as a stream, closed by one far-future event of each kind."""
+    ends = [{"event_id": -1 - i, "ts": LAST, "user_id": -1 - i, "event_type": kind, "value": 0.0, "props": '{"k": 0}'}
+            for i, kind in enumerate(kinds)]
+    return v.events_of(replay(spark, sf_dir, "events", *ends)).withColumn("et", F.timestamp_millis("ts"))
+
+
+@query("stream_tumbling", with_views(v.EVENTS_SQL, select=f"""
+  select {STAMPS}, event_type, count(*) as n, cast(sum(k) as bigint) as k_sum from ev group by all"""))
+def stream_tumbling(spark, sf_dir):
+    ev = event_stream(spark, sf_dir, "end").withWatermark("et", LATENESS)
+    counts = stamp(ev.groupBy(tumbling(WIDTH), "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("k").alias("k_sum")))
+    return collected(spark, counts, "tumbling", shared_folder(spark, "stream"))
+
+
+@query("stream_interval_join", ORACLE["join_interval_events"])
+def stream_interval_join(spark, sf_dir):
+    ev = event_stream(spark, sf_dir, "purchase", "click")
+
+    def side(kind, name):
+        rows = ev.where(F.col("event_type") == kind).select(F.col("event_id").alias(name), "user_id", "et")
+        return rows.withWatermark("et", LATENESS)
+
+    joined = interval_join(side("purchase", "purchase_id"), side("click", "click_id"), {"user_id": "user_id"},
+                           dwd.PAY_WITHIN_S, dwd.PAY_AHEAD_S)
+    return collected(spark, joined, "interval_join", shared_folder(spark, "stream")).drop("et")
+
+
+@query("stream_left_join", with_views(v.EVENTS_SQL, select="""
+  select p.event_id as purchase_id, c.event_id as signup_id, p.user_id
+  from ev p left join ev c on p.user_id = c.user_id and c.event_type = 'signup'
+       and c.et between p.et - interval '1 hour' and p.et + interval '1 hour'
+  where p.event_type = 'purchase'"""))
+def stream_left_join(spark, sf_dir):
+    """Purchases with sign-ups of the same user within an hour; the others come out with null."""
+    ev = event_stream(spark, sf_dir, "purchase", "signup")
+
+    def side(kind, name):
+        rows = ev.where(F.col("event_type") == kind).select(F.col("event_id").alias(name), "user_id", "et")
+        return rows.withWatermark("et", LATENESS)
+
+    joined = keyed_join(side("purchase", "purchase_id"), side("signup", "signup_id"), {"user_id": "user_id"},
+                        "left", ttl="1 hour")
+    rows = collected(spark, joined, "left_join", shared_folder(spark, "stream"))
+    return rows.where(F.col("purchase_id") >= 0).drop("et")
+
+
+@query("stream_lookup_join", with_views(v.EVENTS_SQL, select="""
+  select event_id, k % 30 as code, n_name as name from ev left join nation on n_nationkey = k % 30"""))
+def stream_lookup_join(spark, sf_dir):
+    ev = event_stream(spark, sf_dir).select("event_id", (F.col("k") % 30).alias("code"))
+    named = lookup(ev, v.given(spark, sf_dir, "nation"), "code", "n_nationkey", {"n_name": "name"})
+    return collected(spark, named, "lookup_join", shared_folder(spark, "stream"))
+
+
+@query("stream_first_of_day", ORACLE["flag_first_of_day"])
+def stream_first_of_day(spark, sf_dir):
+    ev = event_stream(spark, sf_dir)
+    firsts = stream_day_changes(ev, ["user_id"], ["et", "event_id"], ["event_type"])
+    rows = collected(spark, firsts, "first_of_day", shared_folder(spark, "stream"))
+    return rows.select("user_id", "day", "event_id", "event_type")
+
+
+@query("stream_returning_user", ORACLE["flag_returning_user"])
+def stream_returning_user(spark, sf_dir):
+    firsts = stream_day_changes(event_stream(spark, sf_dir), ["user_id"], ["et", "event_id"])
+    rows = collected(spark, mark_returning(firsts, 2), "returning", shared_folder(spark, "stream"))
+    return rows.drop("et")
+
+
+@query("stream_page_view", ORACLE["win_page_view"])
+def stream_page_view(spark, sf_dir):
+    log = v.page_log_of(event_stream(spark, sf_dir, "end").drop("et"))
+    views = aggregates.page_views(log, WIDTH, ["et", "event_id"])
+    return collected(spark, views, "page_view", shared_folder(spark, "stream"))
+
+
+@query("stream_login", ORACLE["win_login"])
+def stream_login(spark, sf_dir):
+    """The closing event is a view, as only views and sign-ups count as logins."""
+    log = v.page_log_of(event_stream(spark, sf_dir, "view").drop("et"))
+    return collected(spark, aggregates.logins(log, WIDTH, back_days=2), "login", shared_folder(spark, "stream"))
+
+
+@query("stream_dedup", """
+  select distinct user_id, strftime(ts, '%Y-%m-%d') as day from events""")
+def stream_dedup(spark, sf_dir):
+    """Users of each day; the state of a day is dropped when the watermark has passed it."""
+    ev = event_stream(spark, sf_dir, "end").withWatermark("et", LATENESS)
+    days = ev.select("user_id", F.window("et", "1 day").alias("day")).dropDuplicates(["user_id", "day"])
+    named = days.select("user_id", F.date_format("day.start", "yyyy-MM-dd").alias("day"))
+    return collected(spark, named, "dedup", shared_folder(spark, "stream")).where(F.col("user_id") >= 0)
+
+
+def _line_stream(spark, sf_dir, *far_future):
+    return v.lines_of(replay(spark, sf_dir, "lineitem", *far_future))
+
+
+LINE_END = {"l_orderkey": -1, "l_partkey": -1, "l_suppkey": -1, "l_linenumber": 0, "l_quantity": 0.0,
+            "l_extendedprice": 0.0, "l_discount": 0.0, "l_tax": 0.0, "l_returnflag": "R", "l_linestatus": "F",
+            "l_shipdate": LAST}
+
+
+@query("stream_delta", ORACLE["delta_last_value"])
+def stream_delta(spark, sf_dir):
+    rows = _line_stream(spark, sf_dir).select(
+        "id", "sku_id", "ts", "seq", (F.col("price") - F.col("activity")).cast("decimal(16,2)").alias("order_amount"))
+    folder = shared_folder(spark, "stream")
+    write = maintenance.amount_changes(f"{folder}/changes", f"{folder}/state", ["id"], ["ts", "seq"],
+                                       ["order_amount"], F.col("ts"), "previous")
+    drain(to_batches(rows, "delta", write, folder))
+    changed = spark.read.schema(rows.schema).parquet(f"{folder}/changes")
+    return changed.select("id", "sku_id", "ts", F.col("order_amount").cast("decimal(18,2)").alias("order_amount"))
+
+
+@query("stream_sku_amounts", with_views(DELTA_SQL, select=f"""
+  select {STAMPS}, sku_id, {SKU_SUMS} from changed group by all"""))
+def stream_sku_amounts(spark, sf_dir):
+    """Line changes in one stream, their sums per window and product in a second one."""
+    from millrace.operators.windows import window_sums
+
+    rows = _line_stream(spark, sf_dir, LINE_END).select(
+        "id", "sku_id", "et", "seq", F.col("price").alias("original_amount"),
+        F.col("activity").alias("activity_amount"), F.col("coupon").alias("coupon_amount"),
+        (F.col("price") - F.col("activity")).cast("decimal(16,2)").alias("order_amount"))
+    folder = shared_folder(spark, "stream")
+    amounts = ["original_amount", "activity_amount", "coupon_amount", "order_amount"]
+    write = maintenance.amount_changes(f"{folder}/changes", f"{folder}/state", ["id"], ["et", "seq"], amounts,
+                                       F.col("et"))
+    drain(to_batches(rows, "changes", write, folder))
+    changed = spark.readStream.schema(rows.schema).parquet(f"{folder}/changes").withWatermark("et", LATENESS)
+    sums = window_sums(changed, {a: a for a in amounts}, ["sku_id"], WIDTH)
+    out = collected(spark, sums, "sku_amounts", folder)
+    return out.withColumns({a: F.col(a).cast("decimal(18,2)") for a in amounts})
+
+
+@query("stream_refund_brand_user", ORACLE["win_refund_brand_user"])
+def stream_refund_brand_user(spark, sf_dir):
+    refunds = _line_stream(spark, sf_dir, LINE_END).where(F.col("flag") == "R").select(
+        "et", "sku_id", "order_id", F.col("supplier_id").alias("user_id"), F.col("price").alias("refund_amount"))
+    sums = aggregates.brand_user_refunds(refunds, v.dimensions(spark, sf_dir), WIDTH)
+    rows = collected(spark, sums, "refunds", shared_folder(spark, "stream"))
+    return rows.withColumn("refund_amount", F.col("refund_amount").cast("decimal(18,2)"))
+
+
+@query("stream_log_split", with_views(v.EVENTS_SQL, select="""
+  select part, count(*) as n, cast(sum(event_id) as bigint) as event_ids from (
+    select event_id, unnest(case event_type when 'view' then ['page', 'display', 'display', 'action']
+      when 'click' then ['page', 'action'] when 'purchase' then ['page', 'err'] when 'signup' then ['start']
+      else ['err', 'display', 'display'] end) as part from ev) group by part"""))
+def stream_log_split(spark, sf_dir):
+    text = log_text(v.app_log_of(v.page_log_of(event_stream(spark, sf_dir).drop("et"))))
+    log = clean_log(page_log(text, keep=["event_id"]))
+    folder = shared_folder(spark, "stream")
+    write = maintenance.split_logs(f"{folder}/parts", f"{folder}/state", ["ts", "event_id"])
+    drain(to_batches(log, "log_split", write, folder))
+    parts = [spark.read.parquet(f"{folder}/parts/{p}").select(F.lit(p).alias("part"), "event_id")
+             for p in ("start", "display", "action", "err", "page")]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("event_ids"))
+
+
+@query("stream_upsert", ORACLE["cdc_apply_deletes"])
+def stream_upsert(spark, sf_dir):
+    op = F.when(F.col("flag") == "R", "delete").otherwise("update")
+    rows = _line_stream(spark, sf_dir).select("id", "sku_id", "ts", "seq", op.alias("op"))
+    folder = shared_folder(spark, "stream")
+    drain(to_batches(rows, "upsert", sinks.upserts(f"{folder}/rows", ["id"], ["ts", "seq"]), folder))
+    current = sinks.read_upserts(spark, f"{folder}/rows", ["id"], ["ts", "seq"], "op", rows.schema)
+    return current.select("id", "sku_id", "ts")
+
+
+@query("stream_dimensions", ORACLE["dim_maintenance"])
+def stream_dimensions(spark, sf_dir):
+    """Order changes routed and logged batch by batch, read back as a dimension."""
+    orders = v.order_changes_of(replay(spark, sf_dir, "orders"))
+    folder = shared_folder(spark, "stream")
+    write = maintenance.maintain_dimensions(f"{folder}/dims", routes, v.DATABASE)
+    drain(to_batches(orders, "dimensions", write, folder))
+    rows = sinks.read_dimensions(spark, f"{folder}/dims", live=routes(spark))
+    return dimension(rows, "dim_order", ["id", "user_id", "order_status", "operate_time"])
+
+
+@query("stream_cart_add", ORACLE["fact_cart_add_delta"])
+def stream_cart_add(spark, sf_dir):
+    changes = v.cart_changes_of(event_stream(spark, sf_dir).drop("et"))
+    return collected(spark, dwd.cart_adds(changes, v.DATABASE), "cart_add", shared_folder(spark, "stream")).drop("et")

@@ -96,8 +96,11 @@ def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def app_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return app_log_of(page_log(spark, sf_dir))
+
+
+def app_log_of(log: DataFrame) -> DataFrame:
     """Log records with some of page, start, err, displays and actions, by event type."""
-    log = page_log(spark, sf_dir)
     kind, k = F.col("event_type"), F.col("k")
 
     def element(**entries):
@@ -225,8 +228,12 @@ def _change(rows: DataFrame, table: str, change_type, data: Column, old: Column
 
 
 def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_changes_of(given(spark, sf_dir, "orders"))
+
+
+def order_changes_of(raw: DataFrame) -> DataFrame:
     """Every order is placed; status F is cancelled after 10 minutes, P refunded after 20 and 30."""
-    orders = given(spark, sf_dir, "orders").select(
+    orders = raw.select(
         "o_orderkey", "o_custkey", "o_orderstatus", seconds("o_orderdate").alias("placed"))
 
     def state(code, operated):
@@ -288,8 +295,12 @@ def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cart_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cart_changes_of(events(spark, sf_dir))
+
+
+def cart_changes_of(ev: DataFrame) -> DataFrame:
     """Clicks add entries, purchases change quantities, errors delete entries."""
-    rows = events(spark, sf_dir).where(F.col("event_type").isin("click", "purchase", "error")).withColumn(
+    rows = ev.where(F.col("event_type").isin("click", "purchase", "error")).withColumn(
         "ts", F.floor(F.col("ts") / 1000))
     kind = (F.when(F.col("event_type") == "click", "insert")
             .when(F.col("event_type") == "purchase", "update").otherwise("delete"))
