@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.columns import op_type, whole
 
@@ -55,7 +56,11 @@ def latest_by_key(rows: DataFrame, key, order, op: str | None = None, deleted: s
     the shuffle, so a key with very many revisions moves one row per task.
     """
     rest = [c for c in rows.columns if c not in key]
-    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
+    if any(isinstance(f.dataType, T.MapType) for f in rows.schema):
+        last = F.max_by(F.struct(*rest), F.struct(*order))
+    else:  # the maximum of one struct is cheaper, but maps have no order
+        last = F.max(F.struct(*order, *[c for c in rest if c not in order]))
+    last = rows.groupBy(*key).agg(last.alias("_last"))
     flat = last.select(*key, "_last.*").select(*rows.columns)
     return flat if op is None else flat.where(~F.col(op).eqNullSafe(deleted))
 

@@ -9,6 +9,8 @@ from millrace.operators.changelog import latest_by_key, with_op_type
 ROUTE_KEY = ["source_table", "source_type"]
 # Fixed value: the source type of a route that takes every kind of change.
 EVERY_CHANGE = "ALL"
+# Up to this many routed tables the routes count as small.
+FEW_TABLES = 1_000
 
 
 def live_routes(changes: DataFrame, order=("ts_ms",), preload: DataFrame | None = None) -> DataFrame:
@@ -28,7 +30,9 @@ def route(changes: DataFrame, routes: DataFrame, sink_type: str, by_type: bool =
     """Changes joined with their route: ``op_type``, pruned ``row`` and the sink of each.
 
     With ``by_type`` a route is found by table and operation, else by table with source type
-    ``ALL``. Routes are one small row per source table; Spark broadcasts them by their size.
+    ``ALL``. There are as many routes as source tables. While they are few, which is checked, they
+    are broadcast and the changes are first narrowed to their tables, which prunes a change log
+    that is partitioned by table.
     """
     wanted = routes.where(F.col("sink_type") == sink_type)
     if not by_type:
@@ -37,11 +41,13 @@ def route(changes: DataFrame, routes: DataFrame, sink_type: str, by_type: bool =
         F.col("source_table").alias("table"), F.col("source_type").alias("op_type"),
         "sink_table", "sink_family", "sink_columns", "sink_row_key",
     )
-    rows = with_op_type(changes)
-    if by_type:
-        joined = rows.join(sinks, ["table", "op_type"])
-    else:
-        joined = rows.join(sinks.drop("op_type"), "table")
+    on = ["table", "op_type"] if by_type else ["table"]
+    sinks = sinks if by_type else sinks.drop("op_type")
+    tables = sinks.select("table").distinct().limit(FEW_TABLES + 1).collect()
+    if len(tables) <= FEW_TABLES:
+        changes = changes.where(F.col("table").isin(*[t.table for t in tables]))
+        sinks = F.broadcast(sinks)
+    joined = with_op_type(changes).join(sinks, on)
     return joined.withColumns({
         "row_key": F.col("data")[F.col("sink_row_key")],
         "row": keep_columns(F.col("data"), F.col("sink_columns")),

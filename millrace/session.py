@@ -1,5 +1,6 @@
 """Session settings and the shared folder for streaming state and written intermediates."""
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,24 @@ SETTINGS = {
 }
 
 
+DEFAULT_SHUFFLES = "200"
+
+
+def is_local(spark: SparkSession) -> bool:
+    """All tasks run in this very process."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def prepare(spark: SparkSession, zone: str = "UTC") -> SparkSession:
-    """Apply the runtime settings the jobs rely on to an existing session."""
+    """Apply the runtime settings the jobs rely on to an existing session.
+
+    The number of shuffle partitions is the cluster's to choose. Only a single process left at
+    Spark's default gets fewer, as each partition of a streaming state costs it a store.
+    """
     for key, value in {**SETTINGS, "spark.sql.session.timeZone": zone}.items():
         spark.conf.set(key, value)
+    if is_local(spark) and spark.conf.get("spark.sql.shuffle.partitions") == DEFAULT_SHUFFLES:
+        spark.conf.set("spark.sql.shuffle.partitions", str(2 * spark.sparkContext.defaultParallelism))
     return spark
 
 
@@ -50,7 +65,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="millrace-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -45,14 +45,15 @@ def text_topic(spark: SparkSession, topic: str, streaming: bool = True, format:
 
 
 def parse_json(raw: DataFrame, schema: T.StructType, keep=()) -> DataFrame:
-    """Typed rows of a text topic; messages that are no JSON objects are dropped."""
+    """Typed rows of a text topic; messages that are no JSON objects are dropped.
+
+    The parsed record is unnested by a generator: later filters and projections then work on its
+    columns instead of each parsing the text again.
+    """
     marked = T.StructType(schema.fields + [T.StructField("_bad", T.StringType())])
     parsed = F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return (
-        raw.select(*keep, parsed.alias("_row"))
-        .where(F.col("_row").isNotNull() & F.col("_row._bad").isNull())
-        .select(*keep, *[F.col(f"_row.{f.name}").alias(f.name) for f in schema.fields])
-    )
+    rows = raw.where(F.col("value").isNotNull()).select(*keep, F.inline(F.array(parsed)))
+    return rows.where(F.col("_bad").isNull()).drop("_bad")
 
 
 def json_topic(spark: SparkSession, topic: str, schema: T.StructType, streaming: bool = True,
