@@ -22,6 +22,11 @@ def day(event_time) -> Column:
     return F.date_format(event_time, DAY)
 
 
+def hour(event_time="et") -> Column:
+    """Start of the hour of an event: a coarse order for ``operators.deltas``."""
+    return F.date_trunc("hour", event_time)
+
+
 def text_day(text) -> Column:
     """Calendar day of a timestamp held as text; text that is no timestamp gives null."""
     return F.date_format(F.try_to_timestamp(text), DAY)

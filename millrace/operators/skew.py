@@ -5,21 +5,25 @@ from pyspark.sql import functions as F
 
 # A key below this many rows is left alone: one task sorts that many with ease.
 HOT_ROWS = 1_000_000
-# The sketch tracks this many keys, so any key above about 1/7500 of all rows is seen.
-TRACKED_KEYS = 10_000
+# Keys are spread by hash over this many sketches, so that no one task merges them all.
+SKETCHES = 64
+# Each sketch tracks this many keys; a key above about 1/750 of its sketch's rows is always seen.
+TRACKED_KEYS = 1_024
+KEYS_PER_SKETCH = 16
 # Upper bound on the result, whatever the data: this is what makes it safe to broadcast.
-MOST_KEYS = 1_000
+MOST_KEYS = SKETCHES * KEYS_PER_SKETCH
 
 
 def hot_keys(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Hashes of the keys with at least ``hot_rows`` rows, never more than ``MOST_KEYS`` rows.
 
-    One pass over the key columns with a mergeable sketch: no shuffle by key. The sketch only
-    chooses which keys are handled in parts, so its error never reaches a result.
+    One pass over the key columns with mergeable sketches: only the sketches are shuffled. They
+    choose which keys are handled in parts, so their error never reaches a result.
     """
     top = (
         df.select(F.xxhash64(*keys).alias("_hash"))
-        .agg(F.expr(f"approx_top_k(_hash, {MOST_KEYS}, {TRACKED_KEYS})").alias("_top"))
+        .groupBy(F.pmod("_hash", F.lit(SKETCHES)).alias("_sketch"))
+        .agg(F.expr(f"approx_top_k(_hash, {KEYS_PER_SKETCH}, {TRACKED_KEYS})").alias("_top"))
         .select(F.inline("_top"))
     )
     return top.where(F.col("count") >= hot_rows).select(F.col("item").alias("_hash"))

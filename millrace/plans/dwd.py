@@ -4,7 +4,7 @@ Every function takes the change log (see ``sources.logs.change_log``) as a table
 dimensions as tables. Fact columns are text, as in the log; each fact carries ``ts`` in seconds
 and event time ``et``.
 
-``ttl`` limits regular joins to changes whose event times lie that close. Tables may leave it out;
+``ttl_s`` limits regular joins to changes whose event times lie that close. Tables may leave it out;
 streams need it. A column list under ``order`` decides between revisions of one key in a table.
 """
 
@@ -51,7 +51,7 @@ def cart_adds(changes: DataFrame, database: str) -> DataFrame:
     return rows.select(*fields("id", "user_id", "sku_id"), added.alias("sku_num"), "ts", "et")
 
 
-def order_details(changes: DataFrame, database: str, ttl: str | None = None, order=("ts",)) -> DataFrame:
+def order_details(changes: DataFrame, database: str, ttl_s: int | None = None, order=("ts",)) -> DataFrame:
     """Order lines with their order, activity and coupon; one row per line in a table.
 
     In a table the inputs are folded to the last row per key first. Lines, activities and coupons
@@ -81,24 +81,24 @@ def order_details(changes: DataFrame, database: str, ttl: str | None = None, ord
         "order_detail_id", "coupon_id")), "order_detail_id").drop("ts")
 
     def join_orders(rows):
-        return keyed_join(rows, orders, {"order_id": "id"}, ttl=ttl)
+        return keyed_join(rows, orders, {"order_id": "id"}, ttl_s=ttl_s)
 
     def join_offers(rows):
-        with_activity = keyed_join(rows, activities, {"id": "order_detail_id"}, "left", ttl)
-        return keyed_join(with_activity, coupons, {"id": "order_detail_id"}, "left", ttl)
+        with_activity = keyed_join(rows, activities, {"id": "order_detail_id"}, "left", ttl_s)
+        return keyed_join(with_activity, coupons, {"id": "order_detail_id"}, "left", ttl_s)
 
     # A stream joins the inner side first: outer rows wait for the watermark, inner rows do not.
     joined = join_offers(join_orders(lines)) if changes.isStreaming else join_orders(join_offers(lines))
     return joined.withColumn("date_id", text_day(F.col("create_time"))).select(*DETAIL_COLUMNS)
 
 
-def cancelled_details(changes: DataFrame, details: DataFrame, database: str, ttl: str | None = None) -> DataFrame:
+def cancelled_details(changes: DataFrame, details: DataFrame, database: str, ttl_s: int | None = None) -> DataFrame:
     """Lines of orders that went from ordered to cancelled, stamped with the cancellation."""
     cancels = of_table(changes, database, "order_info", "update").where(
         moved("order_status", ORDERED, CANCELLED)).select(
         *fields("id", cancel_time="operate_time"), "ts", "et")
     lines = details.drop("ts", "date_id", "create_time").withColumnRenamed("id", "line_id")
-    joined = keyed_join(cancels, lines, {"id": "order_id"}, ttl=ttl)
+    joined = keyed_join(cancels, lines, {"id": "order_id"}, ttl_s=ttl_s)
     return joined.withColumnsRenamed({"id": "order_id", "line_id": "id"}).withColumn(
         "date_id", text_day(F.col("cancel_time"))).select(
         "id", "order_id", "user_id", "sku_id", "sku_name", "province_id", "activity_id", "activity_rule_id",
@@ -121,7 +121,7 @@ def paid_details(changes: DataFrame, details: DataFrame, dic: DataFrame, databas
         "ts", "et")
 
 
-def refunds(changes: DataFrame, dic: DataFrame, database: str, ttl: str | None = None) -> DataFrame:
+def refunds(changes: DataFrame, dic: DataFrame, database: str, ttl_s: int | None = None) -> DataFrame:
     """Agreed refunds of orders in refund, with the names of type and reason."""
     agreed = of_table(changes, database, "order_refund_info", "update").where(
         reached("refund_status", REFUND_AGREED)).select(
@@ -129,7 +129,7 @@ def refunds(changes: DataFrame, dic: DataFrame, database: str, ttl: str | None =
                 "refund_reason_type", "refund_reason_txt", "operate_time"), "ts", "et")
     orders = of_table(changes, database, "order_info", "update").where(
         reached("order_status", REFUNDING)).select(*fields("id", "province_id"), "et")
-    joined = keyed_join(agreed, orders, {"order_id": "id"}, ttl=ttl)
+    joined = keyed_join(agreed, orders, {"order_id": "id"}, ttl_s=ttl_s)
     named = _dic(joined, dic, "refund_type", "refund_type_name", "inner")
     named = _dic(named, dic, "refund_reason_type", "refund_reason_type_name", "inner")
     return named.withColumn("date_id", text_day(F.col("operate_time"))).select(
@@ -138,7 +138,7 @@ def refunds(changes: DataFrame, dic: DataFrame, database: str, ttl: str | None =
         "refund_num", "refund_amount", "ts", "et")
 
 
-def refund_payments(changes: DataFrame, dic: DataFrame, database: str, ttl: str | None = None) -> DataFrame:
+def refund_payments(changes: DataFrame, dic: DataFrame, database: str, ttl_s: int | None = None) -> DataFrame:
     """Refunds paid out, matched to their refund by order and product and to their order."""
     paid = of_table(changes, database, "refund_payment", "update").where(
         reached("refund_status", REFUND_PAID)).select(
@@ -148,8 +148,8 @@ def refund_payments(changes: DataFrame, dic: DataFrame, database: str, ttl: str
         reached("refund_status", REFUND_DONE)).select(*fields("order_id", "sku_id", "refund_num"), "et")
     orders = of_table(changes, database, "order_info", "update").where(
         reached("order_status", REFUNDED)).select(*fields("id", "user_id", "province_id"), "et")
-    joined = keyed_join(paid, done, {"order_id": "order_id", "sku_id": "sku_id"}, ttl=ttl)
-    joined = keyed_join(joined, orders, {"order_id": "id"}, ttl=ttl)
+    joined = keyed_join(paid, done, {"order_id": "order_id", "sku_id": "sku_id"}, ttl_s=ttl_s)
+    joined = keyed_join(joined, orders, {"order_id": "id"}, ttl_s=ttl_s)
     named = _dic(joined, dic, "payment_type_code", "payment_type_name", "inner")
     return named.withColumn("date_id", text_day(F.col("callback_time"))).select(
         "id", "user_id", "order_id", "sku_id", "province_id", "payment_type_code", "payment_type_name",

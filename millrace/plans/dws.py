@@ -8,7 +8,7 @@ default window is 5 seconds wide.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import day, money
+from millrace.functions.columns import hour, money
 from millrace.functions.keywords import explode_words, words
 from millrace.operators.deltas import deltas
 from millrace.operators.enrich import category_steps, enrich, lookup, sku_steps
@@ -143,7 +143,7 @@ def sku_orders(details: DataFrame, dims: dict[str, DataFrame], width: str = WIDT
     Revisions of a line count with their change only. Aggregation comes before the lookups, so
     the joins see one row per window and product. ``grain="id"`` keeps one row per order line.
     """
-    changed = deltas(_amount_rows(details, order), ["id"], list(order), AMOUNTS, day("et"), hot_rows=hot_rows)
+    changed = deltas(_amount_rows(details, order), ["id"], list(order), AMOUNTS, hour(), hot_rows=hot_rows)
     keys = ["sku_id"] if grain == "sku_id" else ["id", "sku_id"]
     sums = window_sums(changed, {a: a for a in AMOUNTS}, keys, width)
     return enrich(sums, *sku_steps(dims))
@@ -158,7 +158,7 @@ def province_orders(details: DataFrame, provinces: DataFrame, width: str = WIDTH
     extra = [c for c in order if c != "et"]
     rows = details.select("id", "order_id", "province_id", "et", *extra,
                           money(F.col("split_total_amount")).alias("order_amount"))
-    amounts = deltas(rows, ["id"], list(order), ["order_amount"], day("et"), "previous", hot_rows=hot_rows)
+    amounts = deltas(rows, ["id"], list(order), ["order_amount"], hour(), "previous", hot_rows=hot_rows)
     opened = first_seen(rows, ["order_id"], order, ["province_id"])
     money_part = amounts.select("et", "province_id", "order_amount", F.lit(0).alias("opened"))
     order_part = opened.select("et", "province_id", F.lit(0).cast("decimal(16,2)").alias("order_amount"),

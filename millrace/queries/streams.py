@@ -9,10 +9,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import hour
 from millrace.operators.enrich import lookup
 from millrace.operators.joins import interval_join, keyed_join
 from millrace.operators.flags import mark_returning
-from millrace.operators.windows import stamp, tumbling
+from millrace.operators.windows import stamp, tumbling, window_sums
 from millrace.plans import dwd
 from millrace.plans.dim import dimension
 from millrace.queries import views as v
@@ -87,7 +88,7 @@ def stream_left_join(spark, sf_dir):
         return rows.withWatermark("et", LATENESS)
 
     joined = keyed_join(side("purchase", "purchase_id"), side("signup", "signup_id"), {"user_id": "user_id"},
-                        "left", ttl="1 hour")
+                        "left", ttl_s=3600)
     rows = collected(spark, joined, "left_join", shared_folder(spark, "stream"))
     return rows.where(F.col("purchase_id") >= 0).drop("et")
 
@@ -154,7 +155,7 @@ def stream_delta(spark, sf_dir):
         "id", "sku_id", "ts", "seq", (F.col("price") - F.col("activity")).cast("decimal(16,2)").alias("order_amount"))
     folder = shared_folder(spark, "stream")
     write = maintenance.amount_changes(f"{folder}/changes", f"{folder}/state", ["id"], ["ts", "seq"],
-                                       ["order_amount"], F.col("ts"), "previous")
+                                       ["order_amount"], F.floor(F.col("ts") / 3600), "previous")
     drain(to_batches(rows, "delta", write, folder))
     changed = spark.read.schema(rows.schema).parquet(f"{folder}/changes")
     return changed.select("id", "sku_id", "ts", F.col("order_amount").cast("decimal(18,2)").alias("order_amount"))
@@ -164,8 +165,6 @@ def stream_delta(spark, sf_dir):
   select {STAMPS}, sku_id, {SKU_SUMS} from changed group by all"""))
 def stream_sku_amounts(spark, sf_dir):
     """Line changes in one stream, their sums per window and product in a second one."""
-    from millrace.operators.windows import window_sums
-
     rows = _line_stream(spark, sf_dir, LINE_END).select(
         "id", "sku_id", "et", "seq", F.col("price").alias("original_amount"),
         F.col("activity").alias("activity_amount"), F.col("coupon").alias("coupon_amount"),
@@ -173,7 +172,7 @@ def stream_sku_amounts(spark, sf_dir):
     folder = shared_folder(spark, "stream")
     amounts = ["original_amount", "activity_amount", "coupon_amount", "order_amount"]
     write = maintenance.amount_changes(f"{folder}/changes", f"{folder}/state", ["id"], ["et", "seq"], amounts,
-                                       F.col("et"))
+                                       hour())
     drain(to_batches(rows, "changes", write, folder))
     changed = spark.readStream.schema(rows.schema).parquet(f"{folder}/changes").withWatermark("et", LATENESS)
     sums = window_sums(changed, {a: a for a in amounts}, ["sku_id"], WIDTH)

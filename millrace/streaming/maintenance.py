@@ -15,8 +15,12 @@ from millrace.operators.routing import route, tagged_row
 from millrace.streaming.sinks import append_batches, earlier_batches, put_cells
 
 
-def amount_changes(path: str, state: str, key, order, amounts, coarse=None, attributes: str = "current"):
-    """Write each revision's change of amounts; ``state`` logs the last revision per key and batch."""
+def amount_changes(path: str, state: str, key, order, amounts, coarse=None, attributes: str = "current",
+                   idle=None):
+    """Write each revision's change of amounts (see ``operators.deltas``).
+
+    ``state`` logs the last revision per key and batch.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("_known", F.lit(False))
@@ -25,7 +29,7 @@ def amount_changes(path: str, state: str, key, order, amounts, coarse=None, attr
             touched = known.join(batch.select(*key).distinct(), list(key), "left_semi")
             last = latest_by_key(touched, list(key), list(order)).withColumn("_known", F.lit(True))
             rows = rows.unionByName(last)
-        changed = deltas(rows, list(key), list(order), list(amounts), coarse, attributes, known="_known")
+        changed = deltas(rows, list(key), list(order), list(amounts), coarse, attributes, idle, known="_known")
         append_batches(path)(changed, batch_id)
         append_batches(state)(latest_by_key(batch, list(key), list(order)), batch_id)
 

@@ -25,12 +25,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 class DayChanges(StatefulProcessor):
     """Emits a key's first row of each day, with the day the key was seen before."""
 
-    def __init__(self, order, columns, ttl_ms: int | None = None):
-        self.order, self.columns, self.ttl_ms = list(order), list(columns), ttl_ms
+    def __init__(self, order, columns):
+        self.order, self.columns = list(order), list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         shape = T.StructType([T.StructField("day", T.StringType())])
-        self.last = handle.getValueState("last", shape, self.ttl_ms)
+        self.last = handle.getValueState("last", shape)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         firsts = None

@@ -120,7 +120,7 @@ def test_keyed_join_with_and_without_ttl(spark):
                                  "k int, et timestamp, l string")
     right = spark.createDataFrame([(1, at(5), "x"), (2, at(5.001), "y"), (None, at(0), "z")], "k int, et timestamp, r string")
     assert rows(keyed_join(left, right, {"k": "k"}), "l", "r") == [("a", "x"), ("b", "y")]
-    assert rows(keyed_join(left, right, {"k": "k"}, "left", "5 seconds"), "l", "r") == [
+    assert rows(keyed_join(left, right, {"k": "k"}, "left", 5), "l", "r") == [
         ("a", "x"), ("b", None), ("c", None), ("d", None)]
 
 

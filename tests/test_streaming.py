@@ -152,9 +152,9 @@ def test_order_lines_as_a_stream(spark, topic, tmp_path):
         change("order_detail_activity", "insert", START_S + 10_000, {"order_detail_id": "x"}),
         change("order_detail_coupon", "insert", START_S + 10_000, {"order_detail_id": "x"})]
     topic.put(*messages, *far)
-    lines = dwd.order_details(change_log(text_topic(spark, topic.path)), "shop", ttl="5 seconds")
+    lines = dwd.order_details(change_log(text_topic(spark, topic.path)), "shop", ttl_s=5)
     out, _ = run(spark, lines, tmp_path)
-    want = dwd.order_details(changes(spark, messages), "shop", ttl="5 seconds")
+    want = dwd.order_details(changes(spark, messages), "shop", ttl_s=5)
     columns = ["id", "order_id", "user_id", "province_id", "activity_id", "coupon_id", "split_original_amount"]
     assert rows(out.where("id != 'lz'"), *columns) == rows(want, *columns) == [
         ("l1", "o1", "u", "p1", "a1", None, "7.5000"), ("l2", "o2", "u", "p1", None, "c2", "7.5000")]
@@ -182,7 +182,7 @@ def test_payments_and_cancellations_as_streams(spark, topic, tmp_path):
     log = change_log(text_topic(spark, topic.path))
     out, _ = run(spark, dwd.paid_details(log, event_seconds(facts), codes, "shop"), tmp_path, "paid")
     assert rows(out, "order_detail_id", "payment_type_name") == [("l1", "card")]
-    out, _ = run(spark, dwd.cancelled_details(log, event_seconds(facts), "shop", "1805 seconds"), tmp_path, "cancelled")
+    out, _ = run(spark, dwd.cancelled_details(log, event_seconds(facts), "shop", 1805), tmp_path, "cancelled")
     assert rows(out, "id", "cancel_time", "date_id") == [("l2", "2024-01-01 00:30:05", "2024-01-01")]
 
 
