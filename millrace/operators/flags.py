@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import DAY, day
+from millrace.functions.columns import DAY
 
 
 def first_rows(df: DataFrame, keys, order, keep=()) -> DataFrame:
@@ -25,7 +25,8 @@ def first_rows(df: DataFrame, keys, order, keep=()) -> DataFrame:
 
 def first_of_day(df: DataFrame, key, order=("et",), keep=()) -> DataFrame:
     """The first event of each key on each day, with that ``day``. ``order`` starts with ``et``."""
-    return first_rows(df.withColumn("day", day("et")), [*key, "day"], list(order), list(keep))
+    firsts = first_rows(df.withColumn("day", F.to_date("et")), [*key, "day"], list(order), list(keep))
+    return firsts.withColumn("day", F.date_format("day", DAY))
 
 
 def first_seen(df: DataFrame, key, order=("et",), keep=()) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace import schemas
-from millrace.functions.columns import day, from_millis, merge_maps, struct_map
+from millrace.functions.columns import from_millis, merge_maps, struct_map
 
 # The parts of a record of which at least one must be present.
 PARTS = ("actions", "start", "err", "displays", "page")
@@ -33,7 +33,7 @@ def repair_visitors(log: DataFrame, order=("ts",), seen: DataFrame | None = None
     Only devices with a mark to correct are joined back, usually a small share; a hot device
     among them is split by the skew join.
     """
-    at = day(from_millis("ts"))
+    at = F.to_date(from_millis("ts"))
     marked_new = F.col("common.is_new") == "1"
     per_device = log.groupBy(F.col("common.mid").alias("mid")).agg(
         F.min(F.struct(*order, F.col("common.is_new").alias("is_new"))).alias("first"),
@@ -47,8 +47,8 @@ def repair_visitors(log: DataFrame, order=("ts",), seen: DataFrame | None = None
             .agg(F.min("first").alias("first"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
         )
     first_day = from_millis(F.col("first.ts"))
-    since = F.when(F.col("first.is_new") == "1", day(first_day)).otherwise(
-        day(first_day - F.expr("interval 1 day")))
+    since = F.when(F.col("first.is_new") == "1", F.to_date(first_day)).otherwise(
+        F.date_sub(F.to_date(first_day), 1))
     wrong = (
         per_device.withColumn("_since", since)
         .where((F.col("_low") != F.col("_since")) | (F.col("_high") != F.col("_since")))

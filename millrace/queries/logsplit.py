@@ -2,10 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from millrace.operators.logs import clean_log, repair_visitors, split_log
+from millrace.plans.traffic import repaired_records, traffic_topics
 from millrace.queries import views as v
 from millrace.queries.registry import query, with_views
-from millrace.sources.logs import page_log
 
 REPAIR_SQL = v.PAGE_SQL + """,
 since as (
@@ -27,24 +26,19 @@ def log_text(log):
     return log.select("event_id", F.to_json(body).alias("value"))
 
 
-def parsed_log(spark, sf_dir):
-    return clean_log(page_log(raw_log(spark, sf_dir), keep=["event_id"]))
-
-
-def repaired_log(spark, sf_dir):
-    return repair_visitors(parsed_log(spark, sf_dir), ["ts", "event_id"])
+ORDER, KEEP = ["ts", "event_id"], ["event_id"]
 
 
 @query("log_new_visitor_fix", with_views(REPAIR_SQL, select="select event_id, mid, is_new from fixed"))
 def log_new_visitor_fix(spark, sf_dir):
-    return repaired_log(spark, sf_dir).select("event_id", "common.mid", "common.is_new")
+    return repaired_records(raw_log(spark, sf_dir), ORDER, KEEP).select("event_id", "common.mid", "common.is_new")
 
 
 @query("log_split_pages", with_views(REPAIR_SQL, select="""
   select event_id, mid, uid, is_new, page_id, last_page_id, item_type, cast(k as varchar) as item, during_time, ts_ms as ts
   from fixed where event_type in ('view', 'click', 'purchase')"""))
 def log_split_pages(spark, sf_dir):
-    pages = split_log(repaired_log(spark, sf_dir))["page"]
+    pages = traffic_topics(raw_log(spark, sf_dir), ORDER, KEEP)["page"]
     return pages.select("event_id", "common.mid", "common.uid", "common.is_new", "page.page_id",
                         "page.last_page_id", "page.item_type", "page.item", "page.during_time", "ts")
 
@@ -57,7 +51,7 @@ def log_split_pages(spark, sf_dir):
   select event_id, 'action', mid, ch, is_new, cast(k as varchar), null, 'like', cast(ts_ms as varchar)
   from fixed where event_type in ('click', 'view')"""))
 def log_split_explode(spark, sf_dir):
-    parts = split_log(repaired_log(spark, sf_dir))
+    parts = traffic_topics(raw_log(spark, sf_dir), ORDER, KEEP)
 
     def flat(part):
         return parts[part].select("event_id", F.lit(part).alias("part"), *[
@@ -73,7 +67,7 @@ def log_split_explode(spark, sf_dir):
   select event_id, 'err', cast(k as varchar), 0, 0, event_type = 'purchase'
   from fixed where event_type in ('error', 'purchase')"""))
 def log_split_start_err(spark, sf_dir):
-    parts = split_log(repaired_log(spark, sf_dir))
+    parts = traffic_topics(raw_log(spark, sf_dir), ORDER, KEEP)
     start = parts["start"].select(
         "event_id", F.lit("start").alias("part"), F.col("start")["k"].alias("code"),
         F.coalesce(F.size("displays"), F.lit(0)).alias("displays"),

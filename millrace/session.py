@@ -4,7 +4,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Day boundaries and window stamps are strings, so the zone is part of every result.
 # Skewed shuffle partitions are split at run time even where that costs a second shuffle.
@@ -69,3 +69,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="millrace-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table below the shared folder and read it back.
+
+    For a result that several later steps read and that is dear to compute: they then scan only
+    their columns, and a lost executor costs a scan instead of the whole computation.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
