@@ -47,9 +47,8 @@ def op_type(change_type) -> Column:
 
 
 def keep_columns(row, names) -> Column:
-    """The entries of a string map whose key is in the comma list ``names``."""
-    wanted = F.split(names, ",")
-    return F.map_filter(row, lambda key, _: F.array_contains(wanted, key))
+    """The entries of a string map whose key is in the array ``names``."""
+    return F.map_filter(row, lambda key, _: F.array_contains(names, key))
 
 
 def merge_maps(row, winner) -> Column:

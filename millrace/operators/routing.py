@@ -3,12 +3,14 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import keep_columns, merge_maps
+from millrace.functions.columns import keep_columns
 from millrace.operators.changelog import latest_by_key, with_op_type
 
 ROUTE_KEY = ["source_table", "source_type"]
 # Fixed value: the source type of a route that takes every kind of change.
 EVERY_CHANGE = "ALL"
+# Fixed value: the name under which a routed row carries its operation.
+OPERATION = "op_type"
 # Up to this many routed tables the routes count as small.
 FEW_TABLES = 1_000
 
@@ -40,6 +42,7 @@ def route(changes: DataFrame, routes: DataFrame, sink_type: str, by_type: bool =
     sinks = wanted.select(
         F.col("source_table").alias("table"), F.col("source_type").alias("op_type"),
         "sink_table", "sink_family", "sink_columns", "sink_row_key",
+        F.array_remove(F.split("sink_columns", ","), OPERATION).alias("_kept"),
     )
     on = ["table", "op_type"] if by_type else ["table"]
     sinks = sinks if by_type else sinks.drop("op_type")
@@ -50,11 +53,10 @@ def route(changes: DataFrame, routes: DataFrame, sink_type: str, by_type: bool =
     joined = with_op_type(changes).join(sinks, on)
     return joined.withColumns({
         "row_key": F.col("data")[F.col("sink_row_key")],
-        "row": keep_columns(F.col("data"), F.col("sink_columns")),
-    }).drop("data", "old")
+        "row": keep_columns(F.col("data"), F.col("_kept")),
+    }).drop("data", "old", "_kept")
 
 
 def tagged_row(routed: DataFrame) -> DataFrame:
     """The pruned row with its operation as one more entry, ready to be written as JSON."""
-    tag = F.create_map(F.lit("op_type"), F.col("op_type"))
-    return routed.withColumn("row", merge_maps(F.col("row"), tag))
+    return routed.withColumn("row", F.map_concat("row", F.create_map(F.lit(OPERATION), F.col("op_type"))))

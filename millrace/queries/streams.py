@@ -8,6 +8,7 @@ state and checkpoints go below the shared folder of the session.
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.functions.columns import hour
 from millrace.operators.enrich import lookup
@@ -24,9 +25,9 @@ from millrace.queries.registry import ORACLE, query, with_views
 from millrace.session import shared_folder
 from millrace.sources.logs import LATENESS, page_log
 from millrace.operators.logs import clean_log
-from millrace.sources.topics import stream_table
+from millrace.sources.topics import csv_topic, stream_table
 from millrace.streaming import aggregates, maintenance, sinks
-from millrace.streaming.run import collected, drain, to_batches
+from millrace.streaming.run import collected, drain, to_batches, to_files
 from millrace.streaming.stateful import stream_day_changes
 
 LAST = dt.datetime(2200, 1, 1)
@@ -233,3 +234,75 @@ def stream_dimensions(spark, sf_dir):
 def stream_cart_add(spark, sf_dir):
     changes = v.cart_changes_of(event_stream(spark, sf_dir).drop("et"))
     return collected(spark, dwd.cart_adds(changes, v.DATABASE), "cart_add", shared_folder(spark, "stream")).drop("et")
+
+
+@query("stream_keyword_count", ORACLE["win_keyword_count"])
+def stream_keyword_count(spark, sf_dir):
+    """The closing search event is a click on product 0, as only searches advance this watermark."""
+    names = v.given(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("item"))
+    ev = event_stream(spark, sf_dir, "click").drop("et").join(names, "k", "left")
+    counts = aggregates.keyword_counts(v.page_log_of(ev), WIDTH)
+    return collected(spark, counts, "keywords", shared_folder(spark, "stream"))
+
+
+@query("stream_home_detail_uv", ORACLE["win_home_detail_uv"])
+def stream_home_detail_uv(spark, sf_dir):
+    log = v.page_log_of(event_stream(spark, sf_dir, "view").drop("et"))
+    return collected(spark, aggregates.home_detail_views(log, WIDTH), "home_detail", shared_folder(spark, "stream"))
+
+
+@query("stream_register", ORACLE["win_register"])
+def stream_register(spark, sf_dir):
+    users = event_stream(spark, sf_dir, "signup").where(F.col("event_type") == "signup").select(
+        F.date_format("et", "yyyy-MM-dd HH:mm:ss").alias("create_time"))
+    return collected(spark, aggregates.registrations(users, WIDTH), "register", shared_folder(spark, "stream"))
+
+
+@query("stream_cart_uu", ORACLE["win_cart_uu"])
+def stream_cart_uu(spark, sf_dir):
+    ev = event_stream(spark, sf_dir, "click").drop("et")
+    adds = dwd.cart_adds(v.cart_changes_of(ev, watermark=False), v.DATABASE)
+    return collected(spark, aggregates.cart_users(adds, WIDTH), "cart_uu", shared_folder(spark, "stream"))
+
+
+@query("stream_payment", ORACLE["win_payment"])
+def stream_payment(spark, sf_dir):
+    paid = event_stream(spark, sf_dir, "purchase").where(F.col("event_type") == "purchase").select("user_id", "et")
+    return collected(spark, aggregates.payment_users(paid, WIDTH), "payment", shared_folder(spark, "stream"))
+
+
+@query("stream_route_topics", with_views(v.EVENTS_SQL, select="""
+  select 'dwd_cart_insert' as sink_table,
+         '{"id":"' || cast(event_id as varchar) || '","user_id":"' || cast(user_id as varchar) || '","sku_num":"'
+         || cast(k as varchar) || '","op_type":"insert"}' as value
+  from ev where event_type = 'click'"""))
+def stream_route_topics(spark, sf_dir):
+    """Cart changes written to the topics their routes name, as JSON rows with their operation."""
+    changes = v.cart_changes_of(event_stream(spark, sf_dir).drop("et"))
+    folder = shared_folder(spark, "stream")
+    write = maintenance.route_facts(f"{folder}/topics", routes, v.DATABASE)
+    drain(to_batches(changes, "topics", write, folder))
+    return spark.read.schema("value string, batch_id int, sink_table string").json(f"{folder}/topics").select(
+        "sink_table", "value")
+
+
+@query("stream_load_json", with_views(v.EVENTS_SQL, select="""
+  select strftime(et, '%Y-%m-%d') as cur_date, event_type, count(*) as n from ev group by all"""))
+def stream_load_json(spark, sf_dir):
+    """Window results loaded as JSON lines by day and summed up from there."""
+    ev = event_stream(spark, sf_dir, "end").withWatermark("et", LATENESS)
+    counts = stamp(ev.groupBy(tumbling(WIDTH), "event_type").agg(F.count(F.lit(1)).alias("n")))
+    folder = shared_folder(spark, "stream")
+    drain(to_batches(counts, "load", sinks.load_json_lines(f"{folder}/load"), folder))
+    loaded = spark.read.schema("stt string, event_type string, n long, batch_id int, cur_date string").json(f"{folder}/load")
+    return loaded.groupBy("cur_date", "event_type").agg(F.sum("n").alias("n"))
+
+
+@query("topic_csv", "select c_custkey as id, c_name as name, c_mktsegment as segment from customer")
+def topic_csv(spark, sf_dir):
+    """Customers sent through a CSV topic and read back with a schema."""
+    shape = "id long, name string, segment string"
+    folder = shared_folder(spark, "stream")
+    rows = replay(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    drain(to_files(rows, "csv", f"{folder}/topic", folder, format="csv"))
+    return csv_topic(spark, f"{folder}/topic", StructType.fromDDL(shape), streaming=False)

@@ -217,14 +217,15 @@ detail as (
 # ---- database change log -----------------------------------------------------------------
 
 def _change(rows: DataFrame, table: str, change_type, data: Column, old: Column | None = None,
-            seq: Column | None = None) -> DataFrame:
+            seq: Column | None = None, watermark: bool = True) -> DataFrame:
     kind = F.lit(change_type) if isinstance(change_type, str) else change_type
     order = seq if seq is not None else F.struct(*[F.lit(None).cast(t).alias(c) for c, t in zip(
         REVISION, ("bigint", "bigint", "double", "double"))])
-    return event_seconds(rows.select(
+    log = rows.select(
         F.lit(DATABASE).alias("database"), F.lit(table).alias("table"), kind.alias("type"),
         data.alias("data"), (old if old is not None else F.lit(None).cast("map<string,string>")).alias("old"),
-        F.col("ts"), order.alias("seq")))
+        F.col("ts"), order.alias("seq"))
+    return event_seconds(log) if watermark else log.withColumn("et", F.timestamp_seconds("ts"))
 
 
 def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,7 +299,7 @@ def cart_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cart_changes_of(events(spark, sf_dir))
 
 
-def cart_changes_of(ev: DataFrame) -> DataFrame:
+def cart_changes_of(ev: DataFrame, watermark: bool = True) -> DataFrame:
     """Clicks add entries, purchases change quantities, errors delete entries."""
     rows = ev.where(F.col("event_type").isin("click", "purchase", "error")).withColumn(
         "ts", F.floor(F.col("ts") / 1000))
@@ -308,7 +309,7 @@ def cart_changes_of(ev: DataFrame) -> DataFrame:
     data = row_map(id=_text("event_id"), user_id=_text("user_id"), sku_id=_text("k"),
                    sku_num=_text(bought.cast("int")))
     old = F.when(F.col("event_type") == "purchase", row_map(sku_num=_text("k")))
-    return _change(rows, "cart_info", kind, data, old)
+    return _change(rows, "cart_info", kind, data, old, watermark=watermark)
 
 
 def comment_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

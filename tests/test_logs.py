@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 from helpers import START_S, at, rows, text
 from pyspark.sql import functions as F
 
@@ -71,6 +72,15 @@ def test_words(spark):
     assert rows(df.select(F.size(words(F.col("t"))))) == [(0,), (2,), (3,), (None,)]
 
 
+def test_a_pandas_splitter_takes_the_place_of_the_built_in_one(spark):
+    @F.pandas_udf("array<string>")
+    def pairs(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: sorted({t[i:i + 2] for i in range(len(t) - 1)}))
+
+    df = spark.createDataFrame([("红鞋子",)], "t string")
+    assert rows(explode_words(df, "t", splitter=pairs)) == [("红鞋",), ("鞋子",)]
+
+
 def test_keyword_counts_select_searches(spark):
     def search(last, kind, item, ts=MS):
         return record(ts=ts, page={"last_page_id": last, "item_type": kind, "item": item})
