@@ -136,17 +136,21 @@ def _amount_rows(details: DataFrame, order) -> DataFrame:
         money(F.col("split_total_amount")).alias("order_amount"))
 
 
-def sku_orders(details: DataFrame, dims: dict[str, DataFrame], width: str = WIDTH, order=("et",),
-               grain: str = "sku_id", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Ordered amounts per window and product, with the whole product chain.
+def sku_amounts(details: DataFrame, width: str = WIDTH, order=("et",), grain: str = "sku_id",
+                hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Ordered amounts per window and product; ``grain="id"`` keeps one row per order line.
 
-    Revisions of a line count with their change only. Aggregation comes before the lookups, so
-    the joins see one row per window and product. ``grain="id"`` keeps one row per order line.
+    Revisions of a line count with their change only.
     """
     changed = deltas(_amount_rows(details, order), ["id"], list(order), AMOUNTS, hour(), hot_rows=hot_rows)
     keys = ["sku_id"] if grain == "sku_id" else ["id", "sku_id"]
-    sums = window_sums(changed, {a: a for a in AMOUNTS}, keys, width)
-    return enrich(sums, *sku_steps(dims))
+    return window_sums(changed, {a: a for a in AMOUNTS}, keys, width)
+
+
+def sku_orders(details: DataFrame, dims: dict[str, DataFrame], width: str = WIDTH, order=("et",),
+               grain: str = "sku_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """:func:`sku_amounts` with the whole product chain, looked up after aggregating."""
+    return enrich(sku_amounts(details, width, order, grain, hot_rows), *sku_steps(dims))
 
 
 def province_orders(details: DataFrame, provinces: DataFrame, width: str = WIDTH, order=("et",),

@@ -7,8 +7,8 @@ The given events are sparse, so most queries use 6-hour windows to have several
 from pyspark.sql import functions as F
 
 from millrace.functions.keywords import explode_words
-from millrace.operators.windows import tumbling
-from millrace.plans import ads, dws
+from millrace.operators.windows import stamp, tumbling
+from millrace.plans import ads, dwd, dws
 from millrace.queries import views as v
 from millrace.queries.registry import query, with_views
 
@@ -110,9 +110,7 @@ def win_register(spark, sf_dir):
     from added)""", select=f"""
   select {STAMPS}, count(*) as cart_add_uu_ct from flagged where first group by all"""))
 def win_cart_uu(spark, sf_dir):
-    from millrace.plans.dwd import cart_adds
-
-    return dws.cart_users(cart_adds(v.change_log(spark, sf_dir), v.DATABASE), WIDTH)
+    return dws.cart_users(dwd.cart_adds(v.change_log(spark, sf_dir), v.DATABASE), WIDTH)
 
 
 def _users_sql(view, key, unique, new):
@@ -164,7 +162,8 @@ SKU_SUMS = ", ".join(f"cast(sum({a}) as decimal(18,2)) as {a}" for a in dws.AMOU
   select s.*, chain.* exclude (sku_id) from
     (select {STAMPS}, sku_id, {SKU_SUMS} from changed group by all) s left join chain using (sku_id)"""))
 def win_sku_order(spark, sf_dir):
-    return _money(_sku_orders(spark, sf_dir), *dws.AMOUNTS)
+    rows = dws.sku_orders(_line_facts(spark, sf_dir), v.dimensions(spark, sf_dir), WIDTH, ["et", "seq"])
+    return _money(rows, *dws.AMOUNTS)
 
 
 def _line_facts(spark, sf_dir):
@@ -175,15 +174,14 @@ def _line_facts(spark, sf_dir):
         (F.col("price") - F.col("activity")).cast("decimal(16,2)").alias("split_total_amount"), "seq", "ts", "et")
 
 
-def _sku_orders(spark, sf_dir, **options):
-    return dws.sku_orders(_line_facts(spark, sf_dir), v.dimensions(spark, sf_dir), WIDTH, ["et", "seq"], **options)
+def _sku_amounts(spark, sf_dir, **options):
+    return dws.sku_amounts(_line_facts(spark, sf_dir), WIDTH, ["et", "seq"], **options)
 
 
 @query("win_sku_order_by_line", with_views(DELTA_SQL, select=f"""
   select {STAMPS}, id, sku_id, {SKU_SUMS} from changed group by all"""))
 def win_sku_order_by_line(spark, sf_dir):
-    rows = _sku_orders(spark, sf_dir, grain="id")
-    return _money(rows.select("stt", "edt", "cur_date", "id", "sku_id", *dws.AMOUNTS), *dws.AMOUNTS)
+    return _money(_sku_amounts(spark, sf_dir, grain="id"), *dws.AMOUNTS)
 
 
 @query("win_province_order", with_views(v.DETAIL_SQL, f"""
@@ -221,8 +219,6 @@ def win_refund_brand_user(spark, sf_dir):
   from ev group by 1, 2, 3, event_type"""))
 def agg_first_row_attrs(spark, sf_dir):
     """Totals per window with the other columns taken from the first row."""
-    from millrace.operators.windows import stamp
-
     ev = v.events(spark, sf_dir).withColumn("et", F.timestamp_millis("ts"))
     first = F.min(F.struct("et", "event_id", "user_id", "k")).alias("first")
     rows = ev.groupBy(tumbling(WIDTH), "event_type").agg(first, F.count(F.lit(1)).alias("n"))
@@ -243,11 +239,11 @@ def agg_distinct_ids(spark, sf_dir):
   select strftime(et, '%Y-%m-%d') as cur_date, cast(sum(order_amount) as decimal(18,2)) as order_amount
   from changed group by all"""))
 def gmv_by_day(spark, sf_dir):
-    return _money(ads.gmv_by_day(_sku_orders(spark, sf_dir)), "order_amount")
+    return _money(ads.gmv_by_day(_sku_amounts(spark, sf_dir)), "order_amount")
 
 
 @query("gmv_response", with_views(DELTA_SQL, select="""
   select cur_date, '{"status":0,"msg":"","data":' || cast(cast(trunc(amount) as bigint) as varchar) || '}' as response
   from (select strftime(et, '%Y-%m-%d') as cur_date, sum(order_amount) as amount from changed group by all)"""))
 def gmv_response(spark, sf_dir):
-    return ads.gmv_response(ads.gmv_by_day(_sku_orders(spark, sf_dir)))
+    return ads.gmv_response(ads.gmv_by_day(_sku_amounts(spark, sf_dir)))

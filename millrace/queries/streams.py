@@ -28,7 +28,7 @@ from millrace.operators.logs import clean_log
 from millrace.sources.topics import csv_topic, stream_table
 from millrace.streaming import aggregates, maintenance, sinks
 from millrace.streaming.run import collected, drain, to_batches, to_files
-from millrace.streaming.stateful import stream_day_changes
+from millrace.streaming.stateful import stream_day_changes, stream_distinct
 
 LAST = dt.datetime(2200, 1, 1)
 
@@ -136,8 +136,8 @@ def stream_login(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     """Users of each day; the state of a day is dropped when the watermark has passed it."""
     ev = event_stream(spark, sf_dir, "end").withWatermark("et", LATENESS)
-    days = ev.select("user_id", F.window("et", "1 day").alias("day")).dropDuplicates(["user_id", "day"])
-    named = days.select("user_id", F.date_format("day.start", "yyyy-MM-dd").alias("day"))
+    days = ev.select("user_id", "event_id", F.window("et", "1 day").alias("day"))
+    named = stream_distinct(days, ["user_id", "day"], ["event_id"]).select("user_id", F.date_format("day.start", "yyyy-MM-dd").alias("day"))
     return collected(spark, named, "dedup", shared_folder(spark, "stream")).where(F.col("user_id") >= 0)
 
 

@@ -1,11 +1,11 @@
 """Change logs, routing changes and page logs parsed from text."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import schemas
 from millrace.functions.columns import from_millis, from_seconds
-from millrace.sources.topics import parse_json
+from millrace.sources.topics import json_topic, parse_json
 
 LATENESS = "3 seconds"
 
@@ -30,6 +30,11 @@ def _watermark(rows: DataFrame, lateness: str) -> DataFrame:
     return rows.withWatermark("et", lateness) if rows.isStreaming else rows
 
 
+def order_detail_topic(spark: SparkSession, topic: str, streaming: bool = True, **options: str) -> DataFrame:
+    """Order-line facts as written by their job, with event time."""
+    return event_seconds(json_topic(spark, topic, schemas.ORDER_DETAIL, streaming, **options))
+
+
 def route_changes(raw: DataFrame, sink_type: str | None = None, keep=()) -> DataFrame:
     """Routing changes: the deleted row for op d, else the new one.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.changelog import clean, latest_by_key
 from millrace.operators.deltas import deltas
+from millrace.operators.enrich import enrich
 from millrace.operators.logs import first_visits, repair_visitors, split_log
 from millrace.operators.routing import route, tagged_row
 from millrace.streaming.sinks import append_batches, earlier_batches, put_cells
@@ -74,3 +75,15 @@ def route_facts(path: str, routes, database: str):
         append_batches(path, ["sink_table"], "json")(lines, batch_id)
 
     return write
+
+
+def enrich_batches(write, load, steps):
+    """Look each batch up in the dimensions as they are at that time, then hand it to ``write``.
+
+    ``load`` reads the dimensions, anew for every batch, and ``steps`` makes the lookups from them
+    (see ``operators.enrich``). A plain join of a stream with a table keeps the files it started with.
+    """
+    def enriched(batch: DataFrame, batch_id: int) -> None:
+        write(enrich(batch, *steps(load(batch.sparkSession))), batch_id)
+
+    return enriched

@@ -75,3 +75,15 @@ def stream_day_changes(rows: DataFrame, key, order=("et",), keep=(), period=None
 def stream_first_seen(rows: DataFrame, key, order=("et",), keep=()) -> DataFrame:
     """The first event ever of each key."""
     return stream_day_changes(rows, key, order, keep, F.lit("ever")).drop("day", "last_day")
+
+
+def stream_distinct(rows: DataFrame, keys, spread_by, parts: int = 32) -> DataFrame:
+    """One row per key, kept in native state.
+
+    Repeats are first dropped in ``parts`` parts of each key, cut by the columns ``spread_by``, so the
+    rows of a hot key go to many tasks. With a window among the keys the state is freed by the
+    watermark.
+    """
+    part = F.pmod(F.xxhash64(*spread_by), F.lit(parts))
+    inside = rows.withColumn("_part", part).dropDuplicates([*keys, "_part"])
+    return inside.select(*keys).dropDuplicates(list(keys))

@@ -10,6 +10,6 @@ from millrace.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8")
+    session = local_session("8", 4)
     yield session
     session.stop()

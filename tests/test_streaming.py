@@ -17,11 +17,11 @@ from millrace.operators.joins import keyed_join
 from millrace.operators.windows import stamp, tumbling
 from millrace.plans import dws, dwd
 from millrace.operators.changelog import latest_by_key
-from millrace.sources.logs import change_log, page_log
-from millrace.sources.topics import csv_topic, json_topic, stream_path, stream_table, text_topic
+from millrace.sources.logs import change_log, order_detail_topic, page_log
+from millrace.sources.topics import csv_topic, json_topic, parse_json, stream_path, stream_table, text_topic
 from millrace.streaming import aggregates, maintenance, sinks
 from millrace.streaming.run import drain, late_rows, to_batches, to_files
-from millrace.streaming.stateful import stream_day_changes, stream_first_seen
+from millrace.streaming.stateful import stream_day_changes, stream_distinct, stream_first_seen
 
 
 class Topic:
@@ -127,8 +127,6 @@ def test_page_aggregates_equal_the_table(spark, topic, tmp_path):
 
 
 def page_log_stream(spark, topic):
-    from millrace.sources.topics import parse_json
-
     rows = parse_json(text_topic(spark, topic.path), schemas.APP_LOG)
     return rows.withColumn("et", F.timestamp_millis("ts"))
 
@@ -152,7 +150,7 @@ def test_order_lines_as_a_stream(spark, topic, tmp_path):
         change("order_detail_activity", "insert", START_S + 10_000, {"order_detail_id": "x"}),
         change("order_detail_coupon", "insert", START_S + 10_000, {"order_detail_id": "x"})]
     topic.put(*messages, *far)
-    lines = dwd.order_details(change_log(text_topic(spark, topic.path)), "shop", ttl_s=5)
+    lines = dwd.order_details(change_log(text_topic(spark, topic.path)), "shop")
     out, _ = run(spark, lines, tmp_path)
     want = dwd.order_details(changes(spark, messages), "shop", ttl_s=5)
     columns = ["id", "order_id", "user_id", "province_id", "activity_id", "coupon_id", "split_original_amount"]
@@ -176,13 +174,11 @@ def test_payments_and_cancellations_as_streams(spark, topic, tmp_path):
     ]
     topic.put(*messages)
     codes = dic(spark, {"1101": "card"})
-    facts = json_topic(spark, f"{tmp_path}/details", schemas.ORDER_DETAIL)
-    from millrace.sources.logs import event_seconds
-
+    facts = order_detail_topic(spark, f"{tmp_path}/details")
     log = change_log(text_topic(spark, topic.path))
-    out, _ = run(spark, dwd.paid_details(log, event_seconds(facts), codes, "shop"), tmp_path, "paid")
+    out, _ = run(spark, dwd.paid_details(log, facts, codes, "shop"), tmp_path, "paid")
     assert rows(out, "order_detail_id", "payment_type_name") == [("l1", "card")]
-    out, _ = run(spark, dwd.cancelled_details(log, event_seconds(facts), "shop", 1805), tmp_path, "cancelled")
+    out, _ = run(spark, dwd.cancelled_details(log, facts, "shop"), tmp_path, "cancelled")
     assert rows(out, "id", "cancel_time", "date_id") == [("l2", "2024-01-01 00:30:05", "2024-01-01")]
 
 
@@ -273,6 +269,28 @@ def test_dimensions_and_routed_topics(spark, topic, tmp_path):
         ("topic_new", '{"id":"1","op_type":"insert"}'), ("topic_new", '{"id":"2","op_type":"insert"}')]
 
 
+def test_lookups_of_a_batch_see_dimensions_as_they_are_then(spark, topic, tmp_path):
+    for i, name in enumerate(("old", "new")):
+        spark.createDataFrame([("1", name)], "id string, name string").write.parquet(f"{tmp_path}/dim{i}")
+    loads = iter((0, 1))
+    topic.put(event("1", 1, 1))
+    topic.put(event("1", 2, 2), event("2", 2, 3))
+    write = maintenance.enrich_batches(
+        sinks.append_batches(f"{tmp_path}/named"), lambda session: session.read.parquet(f"{tmp_path}/dim{next(loads)}"),
+        lambda dim: [(dim, "key", "id", {"name": "name"})])
+    drain(to_batches(event_stream(spark, topic).drop("et"), "named", write, str(tmp_path)))
+    assert rows(spark.read.parquet(f"{tmp_path}/named"), "id", "name") == [(1, "old"), (2, "new"), (3, None)]
+
+
+def test_distinct_rows_of_a_stream(spark, topic, tmp_path):
+    topic.put(*[event("a", t, t) for t in range(50)], event("b", 3, 3))
+    topic.put(*[event("a", t, t) for t in range(50)], event("c", 60, 60))
+    ev = event_stream(spark, topic).withWatermark("et", "3 seconds")
+    days = ev.select("key", "id", F.window("et", "1 day").alias("day"))
+    out, _ = run(spark, stream_distinct(days, ["key", "day"], ["id"]).select("key"), tmp_path)
+    assert rows(out) == [("a",), ("b",), ("c",)]
+
+
 def test_sink_tables_follow_routing_changes(spark):
     steps = spark.createDataFrame([("c", "dim_a", "id,name", 1), ("r", "dim_b", "id", 2), ("u", "dim_b", "id,more", 3),
                                    ("c", "dim_c", "id", 4), ("d", "dim_c", "id", 5)],
