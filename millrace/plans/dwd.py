@@ -4,8 +4,9 @@ Every function takes the change log (see ``sources.logs.change_log``) as a table
 dimensions as tables. Fact columns are text, as in the log; each fact carries ``ts`` in seconds
 and event time ``et``.
 
-``ttl_s`` limits regular joins to changes whose event times lie that close. Tables may leave it out,
-streams need it; order lines and cancellations have a default for streams. A column list under ``order`` decides between revisions of one key in a table.
+``ttl_s`` limits regular joins to changes whose event times lie that close. Tables may leave it
+out, streams need it; order lines and cancellations have a default for streams. A column list
+under ``order`` decides between revisions of one key in a table.
 """
 
 from pyspark.sql import DataFrame

@@ -153,7 +153,8 @@ LINE_END = {"l_orderkey": -1, "l_partkey": -1, "l_suppkey": -1, "l_linenumber":
 @query("stream_delta", ORACLE["delta_last_value"])
 def stream_delta(spark, sf_dir):
     rows = _line_stream(spark, sf_dir).select(
-        "id", "sku_id", "ts", "seq", (F.col("price") - F.col("activity")).cast("decimal(16,2)").alias("order_amount"))
+        "id", "sku_id", "ts", "seq",
+        (F.col("price") - F.col("activity")).cast("decimal(16,2)").alias("order_amount"))
     folder = shared_folder(spark, "stream")
     write = maintenance.amount_changes(f"{folder}/changes", f"{folder}/state", ["id"], ["ts", "seq"],
                                        ["order_amount"], F.floor(F.col("ts") / 3600), "previous")

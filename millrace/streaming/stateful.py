@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -32,17 +32,22 @@ class DayChanges(StatefulProcessor):
         shape = T.StructType([T.StructField("day", T.StringType())])
         self.last = handle.getValueState("last", shape)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        firsts = None
-        for chunk in rows:
-            both = chunk if firsts is None else pd.concat([firsts, chunk])
-            firsts = both.sort_values(self.order).drop_duplicates("day")
-        last = self.last.get()[0] if self.last.exists() else None
-        before = [last, *firsts["day"].iloc[:-1]]
-        changed = firsts.assign(last_day=before)[[d != b for d, b in zip(firsts["day"], before)]]
-        if len(changed):
-            self.last.update((changed["day"].iloc[-1],))
-            yield changed[self.columns]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        firsts = {}
+        for row in rows:
+            # A missing value comes first, as it does in the table form.
+            rank = tuple((row[c] is not None, row[c]) for c in self.order)
+            if row["day"] not in firsts or rank < firsts[row["day"]][0]:
+                firsts[row["day"]] = (rank, row)
+        state = self.last.get()
+        before = last = state[0] if state else None
+        named = Row(*self.columns, "last_day")
+        for _, row in sorted(firsts.values(), key=lambda first: first[0]):
+            if row["day"] != last:
+                yield named(*[row[c] for c in self.columns], last)
+                last = row["day"]
+        if last != before:
+            self.last.update((last,))
 
     def close(self) -> None:
         pass
@@ -68,8 +73,8 @@ def stream_day_changes(rows: DataFrame, key, order=("et",), keep=(), period=None
     timed = rows.withColumn("day", day("et") if period is None else period).select(*kept)
     firsts = timed.mapInPandas(_first_per_chunk([*key, "day"], order), timed.schema)
     shape = T.StructType(timed.schema.fields + [T.StructField("last_day", T.StringType())])
-    return firsts.withWatermark("et", lateness).groupBy(*key).transformWithStateInPandas(
-        DayChanges(order, shape.fieldNames()), shape, "append", "eventTime", eventTimeColumnName="et")
+    return firsts.withWatermark("et", lateness).groupBy(*key).transformWithState(
+        DayChanges(order, kept), shape, "append", "eventTime", eventTimeColumnName="et")
 
 
 def stream_first_seen(rows: DataFrame, key, order=("et",), keep=()) -> DataFrame:
