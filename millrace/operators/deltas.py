@@ -31,8 +31,10 @@ def deltas(df: DataFrame, key, order, amounts, coarse: Column | None = None, att
     rows = df
     if coarse is not None:
         marked = mark_hot(df, key, hot_rows)
-        parts = marked.withColumn(PART, F.when(F.col("_hot"), coarse)).drop("_hot")
-        rows = parts.withColumn("_carried", F.lit(False)).unionByName(_handed_on(parts, df.columns, key, order))
+        parts = marked.withColumn(PART, F.when(F.col("_hot"), coarse))
+        hot = parts.where(F.col("_hot"))
+        rows = parts.drop("_hot").withColumn("_carried", F.lit(False)).unionByName(
+            _handed_on(hot, df.columns, key, order))
 
     inside = [*key, PART] if coarse is not None else list(key)
     first = [F.col("_carried").desc()] if coarse is not None else []
@@ -49,11 +51,10 @@ def deltas(df: DataFrame, key, order, amounts, coarse: Column | None = None, att
     return before.select(*[_emitted(f, f.name in amounts, attributes) for f in df.schema if f.name != known])
 
 
-def _handed_on(parts: DataFrame, columns, key, order) -> DataFrame:
+def _handed_on(hot: DataFrame, columns, key, order) -> DataFrame:
     """The last revision of each part of a hot key, as a row of that key's next part."""
     last = (
-        parts.where(F.col(PART).isNotNull())
-        .groupBy(*key, PART)
+        hot.groupBy(*key, PART)
         .agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last"))
     )
     following = F.lead(PART).over(W.partitionBy(*key).orderBy(PART))

@@ -247,3 +247,10 @@ def gmv_by_day(spark, sf_dir):
   from (select strftime(et, '%Y-%m-%d') as cur_date, sum(order_amount) as amount from changed group by all)"""))
 def gmv_response(spark, sf_dir):
     return ads.gmv_response(ads.gmv_by_day(_sku_amounts(spark, sf_dir)))
+
+
+@query("gmv_of_day", with_views(DELTA_SQL, select="""
+  select cast(coalesce(sum(order_amount), 0) as decimal(18,2)) as order_amount
+  from changed where strftime(et, '%Y-%m-%d') = '1998-07-01'"""))
+def gmv_of_day(spark, sf_dir):
+    return _money(ads.gmv(_sku_amounts(spark, sf_dir), "1998-07-01"), "order_amount")
