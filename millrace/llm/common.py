@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -45,3 +50,26 @@ def labelled_sample(docs: DataFrame, rows: DataFrame, most: int) -> list:
     got = texts.join(F.broadcast(wanted), "doc_id").collect()  # at most `most` ids are broadcast
     got.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r for i, r in enumerate(got) if not i or r["doc_id"] != got[i - 1]["doc_id"]]
+
+
+def per_text(rows: DataFrame, make: Callable[[list], list], fields: str, batch: int = 256) -> DataFrame:
+    """rows (with a column text) without their texts, with the columns that make gives for a list of texts.
+
+    make gets at most `batch` texts (None for null) and returns one list or array per field.
+    Other columns pass unchanged. No shuffle; one Arrow batch is held at a time.
+    """
+    keep = [f for f in rows.schema.fields if f.name != "text"]
+    made = StructType.fromDDL(fields)
+    kinds = [to_arrow_type(f.dataType) for f in made.fields]
+    names = [f.name for f in keep] + made.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                columns = make(part.column("text").to_pylist())
+                arrays = [part.column(f.name) for f in keep]
+                arrays += [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return rows.mapInArrow(run, StructType(keep + made.fields))

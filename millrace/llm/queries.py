@@ -61,3 +61,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .htmltext import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"), folds=4, fold=2)
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, fold=0)
