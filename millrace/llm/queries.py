@@ -75,3 +75,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, fold=0)
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, fold=0, threshold=0.3)
