@@ -82,3 +82,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score
 
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, fold=0, threshold=0.3)
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(table(spark, sf_dir, "documents"))
