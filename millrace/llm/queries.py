@@ -89,3 +89,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find
 
     return find(table(spark, sf_dir, "documents"))
+
+
+@query("op4_minhash_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .setsketch import link
+
+    return link(table(spark, sf_dir, "documents"))
