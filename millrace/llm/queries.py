@@ -96,3 +96,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .setsketch import link
 
     return link(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
