@@ -103,3 +103,43 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+DECONTAMINATION_SQL = r"""
+with dw as (
+  select doc_id, xs, row_number() over () as r from (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as xs from documents)
+),
+iw as (
+  select item_id::varchar as item_id, xs, least(len(xs), 10) as n from (
+    select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as xs from benchmark) where len(xs) > 0
+),
+grams as (
+  select distinct item_id, n, array_to_string(xs[i : i + n - 1], ' ') as g
+  from iw, lateral (select unnest(generate_series(1, len(xs) - n + 1)) as i)
+),
+places as (
+  select r, n, i, array_to_string(xs[i : i + n - 1], ' ') as g
+  from dw, (select distinct n from grams) s, lateral (select unnest(generate_series(1, len(xs) - n + 1)) as i)
+),
+found as (select p.r, p.n, p.i, item_id from places p join grams using (n, g)),
+covered as (
+  select r, count(distinct j) as n_hit from (select distinct r, n, i from found), lateral (select unnest(generate_series(i, i + n - 1)) as j)
+  group by r
+),
+listed as (
+  select r, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from found group by r
+)
+select doc_id, len(xs)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join covered using (r) left join listed using (r)
+"""
+
+
+@query("op2_benchmark_decontamination", DECONTAMINATION_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import scan
+
+    return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("body")
