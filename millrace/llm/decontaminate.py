@@ -13,7 +13,7 @@ WINDOW = 10
 BROADCAST_WINDOWS = 200_000
 BROADCAST_CHARS = 60_000_000
 #: Words of one piece of a text. Windows are made piece by piece, so a long text needs no long array of them.
-PIECE = 2048
+PIECE = 128
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words: ASCII but for digits and letters.
@@ -36,42 +36,47 @@ def windows_of(items: DataFrame, window: int) -> DataFrame:
     return made.groupBy("window", "len").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
-def starts_of(length: int) -> Column:
-    """The places of a piece w at which windows of a length begin."""
-    count = F.least(F.lit(PIECE), F.size("w") - (length - 1))
-    return F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+def hash_of(gram: list[Column]) -> Column:
+    return F.xxhash64(*gram)
 
 
-def window_at(length: int):
-    return lambda i: F.struct(i.alias("low"), F.lit(length).alias("len"), F.array_join(F.slice("w", i, length), " ").alias("window"))
+def hashes_of(length: int) -> Column:
+    """(low, len, hash) of the windows of a length that begin in a piece w."""
+    count = F.least(F.lit(PIECE), F.size("w") - (length - 1))
+    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(
+        i.alias("low"), F.lit(length).alias("len"), hash_of([F.get("w", i + (k - 1)) for k in range(length)]).alias("hash")))
 
 
 def hits(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """documents (doc_id, text) reduced to one row per distinct (doc_id, text) and hit, and one for the text itself.
 
-    Columns: doc_id, body (a hash of the text), n_words, rows (how often the pair occurs; on the
-    text's own row only), low and high (the words hit, from 1; null on the own row), items.
+    Columns: doc_id, body (a hash of the text), n_words, low and len (the first word hit, from 1,
+    and their number; 0 on the text's own row), rows (how often the row occurs) and items.
     """
     grams = windows_of(items, window)
     known = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0)).alias("size"),
                       F.collect_set("len").alias("lengths")).first()  # at most `window` lengths
     small = known["n"] <= BROADCAST_WINDOWS and known["size"] <= BROADCAST_CHARS
+    lengths = sorted(known["lengths"])
+    parts = F.split("window", " ")
+    hashed = F.coalesce(*[F.when(F.col("len") == n, hash_of([F.get(parts, F.lit(k)) for k in range(n)])) for n in lengths], F.lit(0))
+    grams = grams.select("window", "items", F.col("len").alias("known_len"), hashed.cast("bigint").alias("known_hash"))
     docs = pick(documents, "doc_id", "text").select(
         "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), words(F.col("text")).alias("w"))
     docs = docs.select("doc_id", "body", "w", F.size("w").alias("n_words"))
-    reach = window - 1
+    last = F.greatest(F.lit(0), F.floor((F.col("n_words") - 1) / PIECE).cast("int"))
     pieces = docs.select("doc_id", "body", "n_words", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n_words") - 1) / PIECE).cast("int"))),
-        lambda c: F.slice("w", c * PIECE + 1, PIECE + reach))).alias("piece", "w"))
-    none = F.lit(None).cast("string")
-    own = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("len"), none.alias("window")))
-    made = [F.when(F.col("piece") == 0, own).otherwise(F.slice(own, 1, 0))]
-    made += [F.transform(starts_of(n), window_at(n)) for n in sorted(known["lengths"])]
-    seen = pieces.select("doc_id", "body", "n_words", "piece", F.inline(F.concat(*made)))
-    seen = seen.withColumn("low", F.col("piece") * PIECE + F.col("low")).drop("piece")
-    grams = grams.select("window", "items")
-    met = seen.join(F.broadcast(grams) if small else grams, "window", "left")
-    met = met.where("len = 0 or items is not null")
+        F.sequence(F.lit(0), last), lambda c: F.slice("w", c * PIECE + 1, PIECE + window - 1))).alias("piece", "w"))
+    own = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("len"), F.lit(None).cast("bigint").alias("hash")))
+    own = F.when(F.col("piece") == 0, own).otherwise(F.slice(own, 1, 0))
+    seen = pieces.select("doc_id", "body", "n_words", "piece", "w", F.inline(F.concat(own, *map(hashes_of, lengths))))
+    # The hash finds, the words decide; they are put together for windows whose hash is known only.
+    same = (F.col("hash") == F.col("known_hash")) & (F.col("len") == F.col("known_len")) & (
+        F.array_join(F.slice("w", F.greatest("low", F.lit(1)), F.col("len")), " ") == F.col("window"))
+    met = seen.join(F.broadcast(grams) if small else grams, same, "left")
+    met = met.where("len = 0 or items is not null").select(
+        "doc_id", "body", "n_words", (F.col("piece") * PIECE + F.col("low")).alias("low"), "len", "items")
     # Copies of a text give the same hits; one of each is enough.
     return met.groupBy("doc_id", "body", "n_words", "low", "len").agg(F.count("*").alias("rows"), F.first("items").alias("items"))
 
@@ -86,8 +91,8 @@ def scan(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFr
     tables give no rows, or no hits.
 
     The windows of the benchmark are broadcast if there are at most BROADCAST_WINDOWS of
-    BROADCAST_CHARS bytes in all, and joined by shuffle beyond that. Windows are compared as text,
-    so a hit is verified by the join itself. Only hits and one short row per text are shuffled.
+    BROADCAST_CHARS bytes in all, and joined by shuffle beyond that. Hashes find the
+    windows and their words verify them. Only hits and one short row per text are shuffled.
     """
     found = hits(documents, items, window)
     key = ["doc_id", "body", "n_words"]
