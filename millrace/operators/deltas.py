@@ -5,64 +5,53 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.skew import HOT_ROWS, mark_hot
+from millrace.functions.columns import hour
 
 PART = "_part"
 
 
 def deltas(df: DataFrame, key, order, amounts, coarse: Column | None = None, attributes: str = "current",
-           idle: tuple[str, str] | None = None, known: str | None = None,
-           hot_rows: int = HOT_ROWS) -> DataFrame:
+           idle: tuple[str, str] | None = None, known: str | None = None, first: str | None = None) -> DataFrame:
     """Replace each amount by its change against the revision before; a first revision stays whole.
 
     ``order`` must decide between any two revisions of a key. ``attributes="previous"`` emits a
-    change with all other columns of the revision before, ``"current"`` with its own.
+    change with all other columns of the revision before, ``"current"`` with its own. A missing
+    amount counts as nothing, so all changes of a record add up to its last amount.
     ``idle=("et", "5 seconds")`` forgets a revision once that much event time has passed.
 
-    ``coarse`` is a column that never falls along ``order``, such as the day. Keys with
-    ``hot_rows`` rows or more are then cut into its parts, and the last revision of a part is
-    handed on to the next one, so no task sorts all revisions of such a key.
+    ``coarse`` is a column that never falls along ``order``; by default it is the hour of the event
+    time ``et``. Every key is cut into its parts. Inside a part a revision finds the one before it
+    in the part's own window. Only the first and last revisions of the parts meet in a window of
+    the whole key, at most two for each part. So no task sorts all revisions of a key, and both
+    windows read the input through one shuffle.
 
     ``known`` names a column that is true on revisions which only serve as a past; they are not
-    emitted, and neither is the column.
+    emitted, and neither is the column. ``first`` names a boolean column to add, true on revisions
+    without one before them.
     """
     if attributes not in ("current", "previous"):
         raise ValueError("attributes is 'current' or 'previous'")
-    rows = df
-    if coarse is not None:
-        marked = mark_hot(df, key, hot_rows)
-        parts = marked.withColumn(PART, F.when(F.col("_hot"), coarse))
-        hot = parts.where(F.col("_hot"))
-        rows = parts.drop("_hot").withColumn("_carried", F.lit(False)).unionByName(
-            _handed_on(hot, df.columns, key, order))
+    whole = F.struct(*df.columns)
+    in_part = W.partitionBy(*key, PART).orderBy(*order)
+    rows = df.withColumn(PART, hour() if coarse is None else coarse).withColumns({
+        "_before": F.lag(whole).over(in_part),
+        "_ends": F.lead(F.lit(True)).over(in_part).isNull(),
+    })
+    inside = rows.where(F.col("_before").isNotNull())
+    edges = rows.where(F.col("_before").isNull() | F.col("_ends"))
+    handed_on = F.lag(whole).over(W.partitionBy(*key).orderBy(PART, *order))
+    opening = edges.withColumn("_handed", handed_on).where(F.col("_before").isNull())
+    before = inside.select(*df.columns, "_before").unionByName(
+        opening.select(*df.columns, F.col("_handed").alias("_before")))
 
-    inside = [*key, PART] if coarse is not None else list(key)
-    first = [F.col("_carried").desc()] if coarse is not None else []
-    in_order = W.partitionBy(*inside).orderBy(*order, *first)
-    before = rows.withColumn("_before", F.lag(F.struct(*df.columns)).over(in_order))
-    if coarse is not None:
-        before = before.where(~F.col("_carried"))
     if known is not None:
         before = before.where(~F.col(known))
     if idle is not None:
         time, span = idle
         kept = F.col(time) <= F.col(f"_before.{time}") + F.expr(f"interval {span}")
         before = before.withColumn("_before", F.when(kept, F.col("_before")))
-    return before.select(*[_emitted(f, f.name in amounts, attributes) for f in df.schema if f.name != known])
-
-
-def _handed_on(hot: DataFrame, columns, key, order) -> DataFrame:
-    """The last revision of each part of a hot key, as a row of that key's next part."""
-    last = (
-        hot.groupBy(*key, PART)
-        .agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last"))
-    )
-    following = F.lead(PART).over(W.partitionBy(*key).orderBy(PART))
-    return (
-        last.withColumn(PART, following)
-        .where(F.col(PART).isNotNull())
-        .select("_last.*", PART, F.lit(True).alias("_carried"))
-    )
+    out = [_emitted(f, f.name in amounts, attributes) for f in df.schema if f.name != known]
+    return before.select(*out, *([F.col("_before").isNull().alias(first)] if first else []))
 
 
 def _emitted(field: T.StructField, is_amount: bool, attributes: str) -> Column:
@@ -70,7 +59,7 @@ def _emitted(field: T.StructField, is_amount: bool, attributes: str) -> Column:
     column = field.name
     before = F.col(f"_before.{column}")
     if is_amount:
-        change = (F.col(column) - before).cast(field.dataType)
+        change = (F.coalesce(F.col(column), F.lit(0)) - F.coalesce(before, F.lit(0))).cast(field.dataType)
         return F.when(F.col("_before").isNull(), F.col(column)).otherwise(change).alias(column)
     if attributes == "previous":
         return F.when(F.col("_before").isNull(), F.col(column)).otherwise(before).alias(column)

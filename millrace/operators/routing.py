@@ -11,8 +11,6 @@ ROUTE_KEY = ["source_table", "source_type"]
 EVERY_CHANGE = "ALL"
 # Fixed value: the name under which a routed row carries its operation.
 OPERATION = "op_type"
-# Up to this many routed tables the routes count as small.
-FEW_TABLES = 1_000
 
 
 def live_routes(changes: DataFrame, order=("ts_ms",), preload: DataFrame | None = None) -> DataFrame:
@@ -32,9 +30,8 @@ def route(changes: DataFrame, routes: DataFrame, sink_type: str, by_type: bool =
     """Changes joined with their route: ``op_type``, pruned ``row`` and the sink of each.
 
     With ``by_type`` a route is found by table and operation, else by table with source type
-    ``ALL``. There are as many routes as source tables. While they are few, which is checked, they
-    are broadcast and the changes are first narrowed to their tables, which prunes a change log
-    that is partitioned by table.
+    ``ALL``. It is a plain join: Spark broadcasts routes below its size threshold, which then also
+    prune a change log that is partitioned by table, and splits the busy tables beyond it.
     """
     wanted = routes.where(F.col("sink_type") == sink_type)
     if not by_type:
@@ -46,10 +43,6 @@ def route(changes: DataFrame, routes: DataFrame, sink_type: str, by_type: bool =
     )
     on = ["table", "op_type"] if by_type else ["table"]
     sinks = sinks if by_type else sinks.drop("op_type")
-    tables = sinks.select("table").distinct().limit(FEW_TABLES + 1).collect()
-    if len(tables) <= FEW_TABLES:
-        changes = changes.where(F.col("table").isin(*[t.table for t in tables]))
-        sinks = F.broadcast(sinks)
     joined = with_op_type(changes).join(sinks, on)
     return joined.withColumns({
         "row_key": F.col("data")[F.col("sink_row_key")],

@@ -5,8 +5,9 @@ dimensions as tables. Fact columns are text, as in the log; each fact carries ``
 and event time ``et``.
 
 ``ttl_s`` limits regular joins to changes whose event times lie that close. Tables may leave it
-out, streams need it; order lines and cancellations have a default for streams. A column list
-under ``order`` decides between revisions of one key in a table.
+out, streams need it: they forget a row after that time, so a match further apart is lost on a
+stream and found in a table without ``ttl_s``. With the same ``ttl_s`` both give the same rows. A
+column list under ``order`` decides between revisions of one key in a table.
 """
 
 from pyspark.sql import DataFrame
@@ -24,9 +25,6 @@ REFUND_AGREED, REFUND_DONE, REFUND_PAID = "0702", "0705", "1602"
 # A payment belongs to details ordered up to 30 minutes before and 5 seconds after it.
 PAY_WITHIN_S, PAY_AHEAD_S = 30 * 60, 5
 
-# How long a stream keeps unmatched order lines, and lines that may be cancelled.
-LINE_TTL_S, CANCEL_TTL_S = 5, 30 * 60 + 5
-
 DETAIL_COLUMNS = [
     "id", "order_id", "user_id", "sku_id", "sku_name", "province_id", "activity_id",
     "activity_rule_id", "coupon_id", "date_id", "create_time", "sku_num", "split_original_amount",
@@ -62,9 +60,6 @@ def order_details(changes: DataFrame, database: str, ttl_s: int | None = None, o
     are then all partitioned by line id, so only the join with orders moves the lines again. A
     stream emits joined rows and leaves the folding to a keyed sink.
     """
-    if changes.isStreaming and ttl_s is None:
-        ttl_s = LINE_TTL_S
-
     def last(rows, *key):
         kept = rows if changes.isStreaming else latest_by_key(rows, list(key), list(order))
         return kept.drop(*[c for c in order if c != "ts"])
@@ -101,8 +96,6 @@ def order_details(changes: DataFrame, database: str, ttl_s: int | None = None, o
 
 def cancelled_details(changes: DataFrame, details: DataFrame, database: str, ttl_s: int | None = None) -> DataFrame:
     """Lines of orders that went from ordered to cancelled, stamped with the cancellation."""
-    if changes.isStreaming and ttl_s is None:
-        ttl_s = CANCEL_TTL_S
     cancels = of_table(changes, database, "order_info", "update").where(
         moved("order_status", ORDERED, CANCELLED)).select(
         *fields("id", cancel_time="operate_time"), "ts", "et")

@@ -8,12 +8,11 @@ default window is 5 seconds wide.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import hour, money
+from millrace.functions.columns import money
 from millrace.functions.keywords import explode_words, words
 from millrace.operators.deltas import deltas
-from millrace.operators.enrich import category_steps, enrich, lookup, sku_steps
+from millrace.operators.enrich import category_steps, enrich, flat_sku, lookup
 from millrace.operators.flags import daily_and_new, first_of_day, first_seen, returning
-from millrace.operators.skew import HOT_ROWS
 from millrace.operators.windows import WIDTH, stamp, tumbling, window_sums
 
 # Pages and item types the aggregates select on.
@@ -136,35 +135,35 @@ def _amount_rows(details: DataFrame, order) -> DataFrame:
         money(F.col("split_total_amount")).alias("order_amount"))
 
 
-def sku_amounts(details: DataFrame, width: str = WIDTH, order=("et",), grain: str = "sku_id",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+def sku_amounts(details: DataFrame, width: str = WIDTH, order=("et",), grain: str = "sku_id") -> DataFrame:
     """Ordered amounts per window and product; ``grain="id"`` keeps one row per order line.
 
     Revisions of a line count with their change only.
     """
-    changed = deltas(_amount_rows(details, order), ["id"], list(order), AMOUNTS, hour(), hot_rows=hot_rows)
+    changed = deltas(_amount_rows(details, order), ["id"], list(order), AMOUNTS)
     keys = ["sku_id"] if grain == "sku_id" else ["id", "sku_id"]
     return window_sums(changed, {a: a for a in AMOUNTS}, keys, width)
 
 
 def sku_orders(details: DataFrame, dims: dict[str, DataFrame], width: str = WIDTH, order=("et",),
-               grain: str = "sku_id", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """:func:`sku_amounts` with the whole product chain, looked up after aggregating."""
-    return enrich(sku_amounts(details, width, order, grain, hot_rows), *sku_steps(dims))
+               grain: str = "sku_id") -> DataFrame:
+    """:func:`sku_amounts` with the whole product chain, flattened to one row per product and joined once."""
+    amounts = sku_amounts(details, width, order, grain)
+    return amounts.join(flat_sku(dims), "sku_id", "left")
 
 
-def province_orders(details: DataFrame, provinces: DataFrame, width: str = WIDTH, order=("et",),
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+def province_orders(details: DataFrame, provinces: DataFrame, width: str = WIDTH, order=("et",)) -> DataFrame:
     """Ordered amount and new orders per window and province.
 
-    A change of a line counts where and when the revision before it did.
+    A change of a line counts where and when the revision before it did. The first row of an order
+    is the first revision of one of its lines, so both parts come from the same rows.
     """
     extra = [c for c in order if c != "et"]
     rows = details.select("id", "order_id", "province_id", "et", *extra,
                           money(F.col("split_total_amount")).alias("order_amount"))
-    amounts = deltas(rows, ["id"], list(order), ["order_amount"], hour(), "previous", hot_rows=hot_rows)
-    opened = first_seen(rows, ["order_id"], order, ["province_id"])
-    money_part = amounts.select("et", "province_id", "order_amount", F.lit(0).alias("opened"))
+    changed = deltas(rows, ["id"], list(order), ["order_amount"], attributes="previous", first="_first")
+    opened = first_seen(changed.where("_first"), ["order_id"], order, ["province_id"])
+    money_part = changed.select("et", "province_id", "order_amount", F.lit(0).alias("opened"))
     order_part = opened.select("et", "province_id", F.lit(0).cast("decimal(16,2)").alias("order_amount"),
                                F.lit(1).alias("opened"))
     sums = window_sums(money_part.unionByName(order_part),

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import hour
 from millrace.operators.deltas import deltas
 from millrace.operators.enrich import enrich, flat_sku, lookup
 from millrace.operators.flags import daily_and_new, first_of_day, first_seen, returning
@@ -68,7 +67,7 @@ def _money(*names):
   from line window w as (partition by id order by {v.REVISION_SQL})"""))
 def delta_last_value(spark, sf_dir):
     rows = _revisions(spark, sf_dir).select("id", "sku_id", "ts", "seq", "et", "order_amount")
-    changed = deltas(rows, ["id"], ["ts", "seq"], ["order_amount"], hour(), "previous")
+    changed = deltas(rows, ["id"], ["ts", "seq"], ["order_amount"], attributes="previous")
     return changed.select("id", "sku_id", "ts", *_money("order_amount"))
 
 
@@ -87,7 +86,7 @@ def delta_last_value(spark, sf_dir):
 def delta_four_amounts(spark, sf_dir):
     """Changes of four amounts at once; a revision more than 30 days after the last counts whole."""
     rows = _revisions(spark, sf_dir)
-    changed = deltas(rows, ["id"], ["ts", "seq"], AMOUNTS, hour(), idle=("et", "30 days"))
+    changed = deltas(rows, ["id"], ["ts", "seq"], AMOUNTS, idle=("et", "30 days"))
     return changed.select("id", "sku_id", "ts", *_money(*AMOUNTS))
 
 

@@ -1,7 +1,5 @@
 """Session settings and the shared folder for streaming state and written intermediates."""
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,24 +18,15 @@ SETTINGS = {
 }
 
 
-DEFAULT_SHUFFLES = "200"
-
-
-def is_local(spark: SparkSession) -> bool:
-    """All tasks run in this very process."""
-    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
-
-
 def prepare(spark: SparkSession, zone: str = "UTC") -> SparkSession:
     """Apply the runtime settings the jobs rely on to an existing session.
 
-    The number of shuffle partitions is the cluster's to choose. Only a single process left at
-    Spark's default gets fewer, as each partition of a streaming state costs it a store.
+    The zone is part of every result. The other settings only fill in what the session leaves open.
     """
-    for key, value in {**SETTINGS, "spark.sql.session.timeZone": zone}.items():
-        spark.conf.set(key, value)
-    if is_local(spark) and spark.conf.get("spark.sql.shuffle.partitions") == DEFAULT_SHUFFLES:
-        spark.conf.set("spark.sql.shuffle.partitions", str(2 * spark.sparkContext.defaultParallelism))
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -59,15 +48,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
-
-    Only a local master may fall back to a machine-local folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not is_local(spark):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="millrace-")
+    """A new folder below ``spark.checkpoint.dir``, or the context's checkpoint folder, which every executor can reach."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

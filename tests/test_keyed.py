@@ -12,7 +12,6 @@ from millrace.operators.deltas import deltas
 from millrace.operators.enrich import enrich
 from millrace.operators.flags import daily_and_new, first_of_day, first_seen, returning
 from millrace.operators.joins import interval_join, keyed_join
-from millrace.operators.skew import MOST_KEYS, hot_keys
 
 
 def test_first_of_day(spark):
@@ -75,23 +74,41 @@ def test_changes_of_amounts(spark):
 
 @pytest.mark.parametrize("attributes", ["current", "previous"])
 @pytest.mark.parametrize("idle", [None, ("et", "3 hours")])
-def test_hot_keys_are_cut_by_day_with_the_same_result(spark, attributes, idle):
+def test_keys_are_cut_in_parts_with_the_same_result(spark, attributes, idle):
     rng = random.Random(2)
     times = rng.sample(range(9 * 86400), 600)
     data = [(rng.choice(["hot", "hot", "hot", "warm", *"abcdefgh"]), at(t), str(i), str(rng.randrange(1000)))
             for i, t in enumerate(times)]
     df = _amounts(spark, data)
-    assert rows(hot_keys(df, ["id"], 100)) != []
-    plain = deltas(df, ["id"], ["et"], ["amount"], attributes=attributes, idle=idle)
-    cut = deltas(df, ["id"], ["et"], ["amount"], F.to_date("et"), attributes, idle, hot_rows=100)
-    assert rows(cut) == rows(plain) and len(rows(plain)) == 600
-
-
-def test_hot_keys_are_bounded_and_exact_on_few_keys(spark):
-    df = spark.range(5000).select((F.col("id") % 3000).alias("k"))
-    assert hot_keys(df, ["k"], 1).count() <= MOST_KEYS
-    few = spark.range(900).select(F.when(F.col("id") < 600, 0).otherwise(F.col("id")).alias("k"))
-    assert rows(hot_keys(few, ["k"], 500)) == rows(few.where("k = 0").select(F.xxhash64("k")).distinct())
+    whole = deltas(df, ["id"], ["et"], ["amount"], F.lit(0), attributes, idle)
+    for coarse in (None, F.to_date("et")):
+        cut = deltas(df, ["id"], ["et"], ["amount"], coarse, attributes, idle)
+        assert rows(cut) == rows(whole) and len(rows(whole)) == 600
+
+
+def test_any_number_of_busy_keys(spark):
+    """3,000 keys with many revisions each: changes add up to the last amounts."""
+    df = spark.range(60_000).select(
+        (F.col("id") % 3000).cast("string").alias("id"), F.timestamp_seconds(F.col("id") * 7).alias("et"),
+        (F.xxhash64("id") % 1000).cast("decimal(16,2)").alias("amount"))
+    sums = deltas(df, ["id"], ["et"], ["amount"]).groupBy("id").agg(F.sum("amount").alias("amount"))
+    last = df.groupBy("id").agg(F.max_by("amount", "et").alias("amount"))
+    assert sums.exceptAll(last).isEmpty() and sums.count() == 3000
+
+
+def test_missing_amounts_count_as_nothing(spark):
+    df = spark.createDataFrame([("a", at(0), None), ("a", at(1), 5), ("a", at(5000), 8), ("b", at(0), 4), ("b", at(9), None)],
+                               "id string, et timestamp, amount int")
+    sums = deltas(df, ["id"], ["et"], ["amount"]).groupBy("id").agg(F.sum("amount"))
+    assert rows(sums) == [("a", 8), ("b", 0)]
+
+
+def test_changes_read_their_input_once(spark, tmp_path):
+    spark.range(100).select(F.col("id"), F.timestamp_seconds("id").alias("et"), F.lit(1).alias("amount")).write.parquet(f"{tmp_path}/t")
+    changed = deltas(spark.read.parquet(f"{tmp_path}/t"), ["id"], ["et"], ["amount"])
+    changed.collect()
+    plan = changed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") - plan.count("ReusedExchange") <= 1
 
 
 def test_interval_join_edges(spark):
