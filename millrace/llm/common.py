@@ -52,13 +52,13 @@ def labelled_sample(docs: DataFrame, rows: DataFrame, most: int) -> list:
     return [r for i, r in enumerate(got) if not i or r["doc_id"] != got[i - 1]["doc_id"]]
 
 
-def per_text(rows: DataFrame, make: Callable[[list], list], fields: str, batch: int = 256) -> DataFrame:
-    """rows (with a column text) without their texts, with the columns that make gives for a list of texts.
+def per_text(rows: DataFrame, make: Callable[[list], list], fields: str, batch: int = 256, keep_text: bool = False) -> DataFrame:
+    """rows (with a column text), by default without their texts, with the columns that make gives for a list of texts.
 
     make gets at most `batch` texts (None for null) and returns one list or array per field.
     Other columns pass unchanged. No shuffle; one Arrow batch is held at a time.
     """
-    keep = [f for f in rows.schema.fields if f.name != "text"]
+    keep = [f for f in rows.schema.fields if keep_text or f.name != "text"]
     made = StructType.fromDDL(fields)
     kinds = [to_arrow_type(f.dataType) for f in made.fields]
     names = [f.name for f in keep] + made.names

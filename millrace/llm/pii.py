@@ -366,3 +366,20 @@ def masked(text: str, weights: dict[str, float]) -> str:
         out += [text[at:a], f"<{kind}>"]
         at = b
     return "".join(out) + text[at:]
+
+
+def mask(documents: DataFrame) -> DataFrame:
+    """The documents with all spans masked in text, and n_chars, where there is one, brought up to date.
+
+    Rows, other columns and null texts stay.
+    """
+    weights = trained(documents)
+
+    def run(texts: list) -> list:
+        return [[None if t is None else masked(t, weights) for t in texts]]
+
+    made = per_text(documents, run, "_masked string").withColumnRenamed("_masked", "text")
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        made = made.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(kind))
+    return made.select(*documents.columns)

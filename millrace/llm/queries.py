@@ -143,3 +143,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import scan
 
     return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("body")
+
+
+@query("op6_mixing_sources")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.session import staged
@@ -302,3 +302,15 @@ def link(documents: DataFrame) -> DataFrame:
         F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).cast(kind).alias("component_id"),
         F.coalesce(same, F.lit(True)).alias("kept"))
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents with one row of each group of near duplicates, that of the smallest doc_id; all columns stay.
+
+    Of rows that repeat an id the one with the smallest text stays. Rows without an id all stay.
+    """
+    kept = link(documents).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    named = documents.join(kept, documents["doc_id"] == kept["_id"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    named = named.withColumn("_place", place).where("_place = 1").select(*documents.columns)
+    return named.unionByName(documents.where(F.col("doc_id").isNull()))

@@ -243,6 +243,12 @@ def score(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0
     of texts.
     """
     lexicon, weights = trained(documents, labels, folds, fold, rows)
+    docs = pick(documents, "doc_id", "text")
+    return rated(docs.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "text"), lexicon, weights,
+                 "score double, predicted int, n_clauses bigint")
+
+
+def rated(rows: DataFrame, lexicon: dict[str, float], weights: np.ndarray, fields: str, keep_text: bool = False) -> DataFrame:
     scorers: list[Scorer] = []
 
     def run(texts: list) -> list:
@@ -252,7 +258,11 @@ def score(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0
         p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
         return [p, (p >= 0.5).astype(np.int32), np.rint(np.expm1(x[:, 3])).astype(np.int64)]
 
-    docs = pick(documents, "doc_id", "text")
-    rated = per_text(docs.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "text"), run,
-                     "score double, predicted int, n_clauses bigint")
-    return rated
+    return per_text(rows, run, fields, keep_text=keep_text)
+
+
+def harmless(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not predicted toxic; all columns stay, and rows with null or empty texts."""
+    lexicon, weights = trained(documents, labels)
+    marked = rated(documents, lexicon, weights, "_score double, _toxic int, _clauses bigint", keep_text=True)
+    return marked.where("_toxic = 0").select(*documents.columns)
