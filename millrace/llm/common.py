@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from millrace.session import prepare
+
+
+#: Rows of an Arrow batch. Texts are long, and a batch is held in the executor and in its Python worker.
+BATCH_ROWS = 1000
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with the library's settings, and Arrow batches fit for long texts unless it says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return prepare(spark)
+
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone. Names match exactly, so columns that differ in case only do no harm."""

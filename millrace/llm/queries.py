@@ -7,9 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import prepare
-
-from .common import table
+from .common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -20,7 +18,7 @@ def query(name: str, sql: str | None = None):
 
     def add(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(prepare(spark), sf_dir)
+            return build(ready(spark), sf_dir)
 
         QUERIES[name] = run
         if sql is not None:
