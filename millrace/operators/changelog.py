@@ -65,25 +65,28 @@ def latest_by_key(rows: DataFrame, key, order, op: str | None = None, deleted: s
     return flat if op is None else flat.where(~F.col(op).eqNullSafe(deleted))
 
 
-def merge_cells(rows: DataFrame, key, order, op: str, row: str, columns: str) -> DataFrame:
+def merge_cells(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
     """Row maps per key after all puts and deletes, cell by cell.
 
     An insert or update overwrites the cells it holds and leaves absent or null cells alone; a
-    delete clears every column named in the comma list ``columns``; other operations are ignored.
-    Each cell is folded on its own, so the shuffle carries the last value per cell and task.
+    delete removes the whole row, whatever columns it had; other operations are ignored. ``order``
+    must decide between any two changes of a key. Each cell is folded on its own, so the shuffle
+    carries the last value per cell and task.
     """
-    put = F.map_entries(F.map_filter(F.col(row), lambda _, value: value.isNotNull()))
-    clear = F.transform(F.split(columns, ","),
-                        lambda c: F.struct(c.alias("key"), F.lit(None).cast("string").alias("value")))
-    steps = F.when(F.col(op).isin("insert", "update"), put).when(F.col(op) == "delete", clear)
-    cells = rows.select(*key, *order, F.explode(steps).alias("_cell"))
+    entry = "array<struct<key: string, value: string>>"
+    put = F.map_entries(F.map_filter(F.col(row), lambda _, value: value.isNotNull())).cast(entry)
+    gone = F.lit(None).cast("string")  # the cell without a name stands for a deletion
+    remove = F.array(F.struct(gone.alias("key"), gone.alias("value"))).cast(entry)
+    steps = F.when(F.col(op).isin("insert", "update"), put).when(F.col(op) == "delete", remove)
+    cells = rows.select(*key, F.struct(*order).alias("_at"), F.explode(steps).alias("_cell"))
     last = cells.groupBy(*key, F.col("_cell.key").alias("_column")).agg(
-        F.max_by("_cell.value", F.struct(*order)).alias("_value"))
-    return (
-        last.where(F.col("_value").isNotNull())
-        .groupBy(*key)
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_column", "_value")))).alias(row))
-    )
+        F.max_by("_cell.value", "_at").alias("_value"), F.max("_at").alias("_at"))
+    folded = last.groupBy(*key).agg(
+        F.max(F.when(F.col("_column").isNull(), F.col("_at"))).alias("_gone"),
+        F.collect_list(F.when(F.col("_column").isNotNull(), F.struct("_column", "_value", "_at"))).alias("_cells"))
+    alive = F.filter("_cells", lambda c: F.col("_gone").isNull() | (c["_at"] > F.col("_gone")))
+    named = F.sort_array(F.transform(alive, lambda c: F.struct(c["_column"].alias("key"), c["_value"].alias("value"))))
+    return folded.select(*key, F.map_from_entries(named).alias(row)).where(F.size(row) > 0)
 
 
 def with_op_type(rows: DataFrame) -> DataFrame:

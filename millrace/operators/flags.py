@@ -15,8 +15,10 @@ from millrace.functions.columns import DAY
 def first_rows(df: DataFrame, keys, order, keep=()) -> DataFrame:
     """The first row per key by ``order``, with the columns in ``order`` and ``keep``.
 
-    With one order column and nothing else to keep this is a plain hash-aggregated minimum.
+    Rows without a value in the first order column, the event time, are no events. With one order
+    column and nothing else to keep this is a plain hash-aggregated minimum.
     """
+    df = df.where(F.col(order[0]).isNotNull())
     if len(order) == 1 and not keep:
         return df.groupBy(*keys).agg(F.min(order[0]).alias(order[0]))
     first = df.groupBy(*keys).agg(F.min(F.struct(*order, *keep)).alias("_first"))

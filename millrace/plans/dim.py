@@ -17,7 +17,7 @@ def dimension_changes(changes: DataFrame, routes: DataFrame, database: str) -> D
 def dimension_rows(changes: DataFrame, routes: DataFrame, database: str, order=("ts",)) -> DataFrame:
     """Current state of every dimension: (sink_table, row_key, row as a string map)."""
     routed = dimension_changes(changes, routes, database)
-    return merge_cells(routed, DIMENSION_KEY, list(order), "op_type", "row", "sink_columns")
+    return merge_cells(routed, DIMENSION_KEY, list(order), "op_type", "row")
 
 
 def dimension(rows: DataFrame, sink_table: str, columns) -> DataFrame:

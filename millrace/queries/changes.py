@@ -218,9 +218,8 @@ def dim_put_and_delete(spark, sf_dir):
     changes = ev.select(
         F.col("user_id").cast("string").alias("id"), "event_id",
         F.when(kind == "error", "delete").otherwise("update").alias("op"),
-        F.lit("seen,clicked").alias("columns"),
         v.row_map(seen=F.when(kind == "view", mark), clicked=F.when(kind == "click", mark)).alias("row"))
-    rows = merge_cells(changes, ["id"], ["event_id"], "op", "row", "columns")
+    rows = merge_cells(changes, ["id"], ["event_id"], "op", "row")
     return rows.select("id", F.col("row")["seen"].alias("seen"), F.col("row")["clicked"].alias("clicked"))
 
 

@@ -10,7 +10,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.functions.columns import hour
 from millrace.operators.enrich import lookup
 from millrace.operators.joins import interval_join, keyed_join
 from millrace.operators.flags import mark_returning
@@ -28,7 +27,7 @@ from millrace.operators.logs import clean_log
 from millrace.sources.topics import csv_topic, stream_table
 from millrace.streaming import aggregates, maintenance, sinks
 from millrace.streaming.run import collected, drain, to_batches, to_files
-from millrace.streaming.stateful import stream_day_changes, stream_distinct
+from millrace.streaming.stateful import stream_day_changes, stream_deltas, stream_distinct
 
 LAST = dt.datetime(2200, 1, 1)
 
@@ -148,18 +147,17 @@ def _line_stream(spark, sf_dir, *far_future):
 LINE_END = {"l_orderkey": -1, "l_partkey": -1, "l_suppkey": -1, "l_linenumber": 0, "l_quantity": 0.0,
             "l_extendedprice": 0.0, "l_discount": 0.0, "l_tax": 0.0, "l_returnflag": "R", "l_linestatus": "F",
             "l_shipdate": LAST}
+# Lets the change of LINE_END itself out, which then closes the windows of a second job.
+LINE_AFTER = {**LINE_END, "l_orderkey": -2, "l_shipdate": LAST + dt.timedelta(days=1)}
 
 
 @query("stream_delta", ORACLE["delta_last_value"])
 def stream_delta(spark, sf_dir):
-    rows = _line_stream(spark, sf_dir).select(
-        "id", "sku_id", "ts", "seq",
+    rows = _line_stream(spark, sf_dir, LINE_END).select(
+        "id", "sku_id", "ts", "seq.*", "et",
         (F.col("price") - F.col("activity")).cast("decimal(16,2)").alias("order_amount"))
-    folder = shared_folder(spark, "stream")
-    write = maintenance.amount_changes(f"{folder}/changes", f"{folder}/state", ["id"], ["ts", "seq"],
-                                       ["order_amount"], F.floor(F.col("ts") / 3600), "previous")
-    drain(to_batches(rows, "delta", write, folder))
-    changed = spark.read.schema(rows.schema).parquet(f"{folder}/changes")
+    changed = collected(spark, stream_deltas(rows, ["id"], ["ts", *v.REVISION], ["order_amount"], "previous"), "delta",
+                        shared_folder(spark, "stream"))
     return changed.select("id", "sku_id", "ts", F.col("order_amount").cast("decimal(18,2)").alias("order_amount"))
 
 
@@ -167,15 +165,13 @@ def stream_delta(spark, sf_dir):
   select {STAMPS}, sku_id, {SKU_SUMS} from changed group by all"""))
 def stream_sku_amounts(spark, sf_dir):
     """Line changes in one stream, their sums per window and product in a second one."""
-    rows = _line_stream(spark, sf_dir, LINE_END).select(
-        "id", "sku_id", "et", "seq", F.col("price").alias("original_amount"),
+    rows = _line_stream(spark, sf_dir, LINE_END, LINE_AFTER).select(
+        "id", "sku_id", "et", "seq.*", F.col("price").alias("original_amount"),
         F.col("activity").alias("activity_amount"), F.col("coupon").alias("coupon_amount"),
         (F.col("price") - F.col("activity")).cast("decimal(16,2)").alias("order_amount"))
-    folder = shared_folder(spark, "stream")
     amounts = ["original_amount", "activity_amount", "coupon_amount", "order_amount"]
-    write = maintenance.amount_changes(f"{folder}/changes", f"{folder}/state", ["id"], ["et", "seq"], amounts,
-                                       hour())
-    drain(to_batches(rows, "changes", write, folder))
+    folder = shared_folder(spark, "stream")
+    drain(to_files(stream_deltas(rows, ["id"], ["et", *v.REVISION], amounts), "changes", f"{folder}/changes", folder))
     changed = spark.readStream.schema(rows.schema).parquet(f"{folder}/changes").withWatermark("et", LATENESS)
     sums = window_sums(changed, {a: a for a in amounts}, ["sku_id"], WIDTH)
     out = collected(spark, sums, "sku_amounts", folder)

@@ -36,12 +36,20 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 def text_topic(spark: SparkSession, topic: str, streaming: bool = True, format: str = "text",
                **options: str) -> DataFrame:
-    """Raw messages as one ``value`` string; a broker is read from its latest offset."""
+    """Raw messages as one ``value`` string; a broker is read from its latest offset.
+
+    ``part`` and ``position`` tell the order of arrival: the partition and offset of a broker, the
+    file and the time it was written for files, whose lines share it. Keep them through parsing as last order columns
+    where two changes of a key may carry one time.
+    """
     if format == "kafka":
         settings = {"startingOffsets": "latest" if streaming else "earliest", **options}
         rows = _reader(spark, streaming).format("kafka").option("subscribe", topic).options(**settings).load()
-        return rows.select(F.col("value").cast("string").alias("value"))
-    return _reader(spark, streaming).format("text").options(**options).load(topic)
+        return rows.select(F.col("value").cast("string").alias("value"), F.col("partition").cast("string").alias("part"),
+                           F.col("offset").alias("position"))
+    rows = _reader(spark, streaming).format("text").options(**options).load(topic)
+    return rows.select("value", F.col("_metadata.file_path").alias("part"),
+                       F.unix_micros("_metadata.file_modification_time").alias("position"))
 
 
 def parse_json(raw: DataFrame, schema: T.StructType, keep=()) -> DataFrame:
@@ -69,9 +77,19 @@ def csv_topic(spark: SparkSession, topic: str, schema: T.StructType, streaming:
     return _reader(spark, streaming).schema(schema).option("mode", "DROPMALFORMED").csv(topic)
 
 
-def relational(spark: SparkSession, url: str, query: str, rename: bool = True, **options: str) -> DataFrame:
-    """A relational query with snake-case labels turned to camel case."""
-    rows = spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
+def relational(spark: SparkSession, url: str, query: str, rename: bool = True,
+               parts: tuple[str, str, str, int] | None = None, **options: str) -> DataFrame:
+    """A relational query with snake-case labels turned to camel case.
+
+    ``parts`` is (column, lowest, highest, number of parts): the query is then read over that many
+    connections, cut by ranges of the column, which must be one of its columns.
+    """
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"({query}) q").options(**options)
+    if parts is not None:
+        column, low, high, number = parts
+        reader = (reader.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high)
+                  .option("numPartitions", number))
+    rows = reader.load()
     return rename_columns(rows, camel) if rename else rows
 
 

@@ -7,7 +7,7 @@ first step with state. Windows come out when the watermark has passed them.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.enrich import category_steps, enrich, lookup
+from millrace.operators.enrich import category_steps, enrich, flat_sku, lookup
 from millrace.operators.flags import mark_new, mark_returning
 from millrace.operators.windows import WIDTH, stamp, tumbling, window_sums
 from millrace.functions.columns import money
@@ -76,9 +76,9 @@ def order_users(details: DataFrame, width: str = WIDTH, key: str = "user_id") ->
 
 def sku_orders(changed: DataFrame, dims: dict[str, DataFrame], width: str = WIDTH,
                lateness: str = LATENESS) -> DataFrame:
-    """Amounts per window and product from line changes (see ``maintenance.amount_changes``)."""
+    """Amounts per window and product from line changes (see ``stateful.stream_deltas``)."""
     sums = window_sums(changed.withWatermark("et", lateness), {a: a for a in dws.AMOUNTS}, ["sku_id"], width)
-    return enrich(sums, *dws.sku_steps(dims))
+    return sums.join(flat_sku(dims), "sku_id", "left")
 
 
 def province_orders(changed: DataFrame, details: DataFrame, provinces: DataFrame, width: str = WIDTH,

@@ -8,35 +8,13 @@ a retried batch gives the same result.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.changelog import clean, latest_by_key
-from millrace.operators.deltas import deltas
+from millrace.operators.changelog import clean
 from millrace.operators.enrich import enrich
 from millrace.operators.logs import first_visits, repair_visitors, split_log
 from millrace.operators.routing import route, tagged_row
 from millrace.streaming.sinks import append_batches, earlier_batches, put_cells
 
 
-def amount_changes(path: str, state: str, key, order, amounts, coarse=None, attributes: str = "current",
-                   idle=None):
-    """Write each revision's change of amounts (see ``operators.deltas``).
-
-    ``state`` logs the last revision per key and batch.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("_known", F.lit(False))
-        if batch_id > 0:
-            known = earlier_batches(spark, state, batch.schema, batch_id)
-            touched = known.join(batch.select(*key).distinct(), list(key), "left_semi")
-            last = latest_by_key(touched, list(key), list(order)).withColumn("_known", F.lit(True))
-            rows = rows.unionByName(last)
-        changed = deltas(rows, list(key), list(order), list(amounts), coarse, attributes, idle, known="_known")
-        append_batches(path)(changed, batch_id)
-        append_batches(state)(latest_by_key(batch, list(key), list(order)), batch_id)
-
-    return write
-
-
 def split_logs(path: str, state: str, order=("ts",)):
     """Repair new-visitor marks and write the five parts of the log, each below its own folder.
 
@@ -47,9 +25,11 @@ def split_logs(path: str, state: str, order=("ts",)):
         visits = first_visits(batch, list(order))
         seen = earlier_batches(spark, state, visits.schema, batch_id) if batch_id > 0 else None
         repaired = repair_visitors(batch, list(order), seen).persist()
-        for name, part in split_log(repaired).items():
-            append_batches(f"{path}/{name}")(part, batch_id)
-        repaired.unpersist()
+        try:
+            for name, part in split_log(repaired).items():
+                append_batches(f"{path}/{name}")(part, batch_id)
+        finally:
+            repaired.unpersist()
         append_batches(state)(visits, batch_id)
 
     return write

@@ -1,9 +1,10 @@
 """Starting streams. Each pipeline has its own checkpoint folder, named after it."""
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 # Fixed value: time between checkpoints of a continuously running job.
 INTERVAL = "3 seconds"
@@ -50,7 +51,28 @@ def collected(spark: SparkSession, rows: DataFrame, name: str, folder: str) -> D
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark and were left out, over the batches still on record."""
-    return sum(op.get("numRowsDroppedByWatermark", 0)
-               for progress in query.recentProgress for op in progress["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts, by name of the stream, the rows that came after the watermark and were left out, over its whole run."""
+
+    def __init__(self):
+        self.counts: Counter = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        self.counts[progress.name] += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def count_late_rows(spark: SparkSession) -> LateRows:
+    """Start counting late rows of all streams of a session."""
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    return listener

@@ -41,15 +41,18 @@ def upserts(path: str, key, order):
 
 
 def read_upserts(spark: SparkSession, path: str, key, order, op: str | None = None, schema=None) -> DataFrame:
-    """The last row per key over all batches, deleted keys left out."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return latest_by_key(reader.parquet(path).drop("batch_id"), list(key), list(order), op)
+    """The last row per key over all batches, deleted keys left out; of rows equal in ``order`` the later batch's."""
+    reader = spark.read if schema is None else spark.read.schema(_with_batch(schema))
+    return latest_by_key(reader.parquet(path), list(key), [*order, "batch_id"], op).drop("batch_id")
+
+
+def _with_batch(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("batch_id", T.IntegerType())])
 
 
 def earlier_batches(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame:
     """What batches before this one wrote; a retried batch does not see its own first try."""
-    full = T.StructType([*schema.fields, T.StructField("batch_id", T.IntegerType())])
-    return spark.read.schema(full).parquet(path).where(F.col("batch_id") < batch_id).drop("batch_id")
+    return spark.read.schema(_with_batch(schema)).parquet(path).where(F.col("batch_id") < batch_id).drop("batch_id")
 
 
 def put_cells(path: str):
@@ -58,14 +61,14 @@ def put_cells(path: str):
 
 
 def read_dimensions(spark: SparkSession, path: str, order=("ts",), live: DataFrame | None = None) -> DataFrame:
-    """All dimension rows out of the logged puts and deletes.
+    """All dimension rows out of the logged puts and deletes; of changes equal in ``order`` the later batch's counts.
 
     ``live`` holds the routes in force: rows of sinks without one are gone, as the sink is.
     """
-    changes = spark.read.parquet(path).drop("batch_id")
+    changes = spark.read.parquet(path)
     if live is not None:
         changes = changes.join(live.select("sink_table").distinct(), "sink_table", "left_semi")
-    return merge_cells(changes, DIMENSION_KEY, list(order), "op_type", "row", "sink_columns")
+    return merge_cells(changes, DIMENSION_KEY, [*order, "batch_id"], "op_type", "row")
 
 
 def fold_upserts(spark: SparkSession, path: str, folded: str, key, order, op: str | None = None) -> None:
@@ -79,11 +82,14 @@ def sync_sinks(spark: SparkSession, changes: DataFrame, database: str) -> None:
 
     Table statements run on the driver, one per routing change; there are as many as source tables.
     """
-    spark.sql(f"create database if not exists {database}")
+    def quoted(name: str) -> str:
+        return "`" + name.replace("`", "``") + "`"
+
+    spark.sql(f"create database if not exists {quoted(database)}")
     for change in changes.orderBy("ts_ms").select("op", "sink_table", "sink_columns").toLocalIterator():
-        name = f"{database}.{change.sink_table}"
+        name = f"{quoted(database)}.{quoted(change.sink_table)}"
         if change.op in ("d", "u"):
             spark.sql(f"drop table if exists {name}")
         if change.op in ("c", "r", "u"):
-            columns = ", ".join(f"`{c}` string" for c in change.sink_columns.split(","))
+            columns = ", ".join(f"{quoted(c)} string" for c in change.sink_columns.split(","))
             spark.sql(f"create table if not exists {name} ({columns}) using parquet")

@@ -1,4 +1,4 @@
-"""Keyed state over streams: day changes of a key.
+"""Keyed state over streams: day changes of a key, amount changes of a record.
 
 Rows arrive in event-time order across batches, up to the watermark delay; inside a batch they
 are ordered here. Each task first keeps only the first row per key and day of every Arrow batch,
@@ -8,7 +8,8 @@ so a key with very many rows sends few of them to its state.
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -23,14 +24,18 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class DayChanges(StatefulProcessor):
-    """Emits a key's first row of each day, with the day the key was seen before."""
+    """Emits a key's first row of each day, with the day the key was seen before.
 
-    def __init__(self, order, columns):
-        self.order, self.columns = list(order), list(columns)
+    The last two days are remembered: rows that come late around midnight still belong to the day
+    before, and the new day is not flagged again after them.
+    """
+
+    def __init__(self, order, columns, keep_ms=None):
+        self.order, self.columns, self.keep_ms = list(order), list(columns), keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        shape = T.StructType([T.StructField("day", T.StringType())])
-        self.last = handle.getValueState("last", shape)
+        shape = T.StructType([T.StructField("day", T.StringType()), T.StructField("before", T.StringType())])
+        self.days = handle.getValueState("days", shape, self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         firsts = {}
@@ -39,56 +44,142 @@ class DayChanges(StatefulProcessor):
             rank = tuple((row[c] is not None, row[c]) for c in self.order)
             if row["day"] not in firsts or rank < firsts[row["day"]][0]:
                 firsts[row["day"]] = (rank, row)
-        state = self.last.get()
-        before = last = state[0] if state else None
+        state = self.days.get()
+        last, before = state if state else (None, None)
+        known = (last, before)
         named = Row(*self.columns, "last_day")
         for _, row in sorted(firsts.values(), key=lambda first: first[0]):
-            if row["day"] != last:
+            day = row["day"]
+            if day in (last, before):
+                continue
+            if last is None or day > last:
                 yield named(*[row[c] for c in self.columns], last)
-                last = row["day"]
-        if last != before:
-            self.last.update((last,))
+                last, before = day, last
+            elif before is None:  # a late first row of the day before the first one known
+                yield named(*[row[c] for c in self.columns], None)
+                before = day
+        if (last, before) != known:
+            self.days.update((last, before))
 
     def close(self) -> None:
         pass
 
 
 def _first_per_chunk(keys, order):
-    def keep(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first row per key of each batch. Values stay Arrow's own, so large integers and nulls keep their worth."""
+    def keep(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks:
-            yield chunk.sort_values(order).drop_duplicates(keys)
+            rows = pa.Table.from_batches([chunk])
+            rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in order], null_placement="at_start"))
+            numbered = rows.select(keys).append_column("_at", pa.array(range(rows.num_rows), pa.int64()))
+            first = numbered.group_by(keys, use_threads=False).aggregate([("_at", "min")])["_at_min"]
+            yield from rows.take(first).to_batches()
 
     return keep
 
 
 def stream_day_changes(rows: DataFrame, key, order=("et",), keep=(), period=None,
-                       lateness: str = LATENESS) -> DataFrame:
+                       lateness: str = LATENESS, keep_ms: int | None = None) -> DataFrame:
     """The streaming twin of ``operators.flags.day_changes``.
 
     ``rows`` is a stream with event time ``et`` and no watermark yet. ``period`` replaces the
-    calendar day, for example by a constant for first-ever events.
+    calendar day, for example by a constant for first-ever events. ``keep_ms`` forgets a key that
+    long after its last change; its next event then counts as a first one. Without it every key
+    is remembered. A row that is late by more than the day before the last is left out.
     """
     order, key = list(order), list(key)
     kept = [*key, "day", *order, *[c for c in keep if c not in order]]
-    timed = rows.withColumn("day", day("et") if period is None else period).select(*kept)
-    firsts = timed.mapInPandas(_first_per_chunk([*key, "day"], order), timed.schema)
+    timed = rows.where(F.col("et").isNotNull()).withColumn("day", day("et") if period is None else period).select(*kept)
+    firsts = timed.mapInArrow(_first_per_chunk([*key, "day"], order), timed.schema)
     shape = T.StructType(timed.schema.fields + [T.StructField("last_day", T.StringType())])
     return firsts.withWatermark("et", lateness).groupBy(*key).transformWithState(
-        DayChanges(order, kept), shape, "append", "eventTime", eventTimeColumnName="et")
+        DayChanges(order, kept, keep_ms), shape, "append", "eventTime", eventTimeColumnName="et")
+
+
+def stream_first_seen(rows: DataFrame, key, order=("et",), keep=(), keep_ms: int | None = None) -> DataFrame:
+    """The first event ever of each key, or the first within ``keep_ms``, such as the life of a session."""
+    return stream_day_changes(rows, key, order, keep, F.lit("ever"), keep_ms=keep_ms).drop("day", "last_day")
+
 
+class AmountChanges(StatefulProcessor):
+    """Emits each revision's change of amounts once no earlier revision of its key can come any more.
+
+    Rows wait in the key's state until the watermark has passed them and then go out in order, so
+    a revision that comes late within the allowed time takes its place. The state holds the
+    waiting rows and the last one given out.
+    """
+
+    def __init__(self, order, amounts, shape: T.StructType, attributes: str, idle_us: int | None, first: str | None):
+        self.order, self.amounts, self.attributes = list(order), set(amounts), attributes
+        self.shape, self.idle_us, self.first = shape, idle_us, first
+        self.columns = [c for c in shape.names if c != "_us"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.shape)
+        self.last = handle.getValueState("last", self.shape)
 
-def stream_first_seen(rows: DataFrame, key, order=("et",), keep=()) -> DataFrame:
-    """The first event ever of each key."""
-    return stream_day_changes(rows, key, order, keep, F.lit("ever")).drop("day", "last_day")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for row in rows:
+            self.waiting.appendValue(tuple(row[c] for c in self.shape.names))
+            self.handle.registerTimer(row["_us"] // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [dict(zip(self.shape.names, r)) for r in self.waiting.get()]
+        ready = [r for r in rows if r["_us"] < passed]
+        if not ready:
+            return
+        later = [tuple(r[c] for c in self.shape.names) for r in rows if r["_us"] >= passed]
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        state = self.last.get()
+        before = dict(zip(self.shape.names, state)) if state else None
+        names = [*self.columns, *([self.first] if self.first else [])]
+        for row in sorted(ready, key=lambda r: tuple((r[c] is not None, r[c]) for c in self.order)):
+            if before is not None and self.idle_us is not None and row["_us"] > before["_us"] + self.idle_us:
+                before = None
+            source = before if before is not None and self.attributes == "previous" else row
+            out = [self._change(row, before, c) if c in self.amounts else source[c] for c in self.columns]
+            yield Row(*names)(*out, *([before is None] if self.first else []))
+            before = row
+        self.last.update(tuple(before[c] for c in self.shape.names))
+
+    @staticmethod
+    def _change(row, before, column):
+        if before is None:
+            return row[column]
+        return (row[column] or 0) - (before[column] or 0)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_deltas(rows: DataFrame, key, order, amounts, attributes: str = "current", idle_s: int | None = None,
+                  first: str | None = None, lateness: str = LATENESS) -> DataFrame:
+    """The streaming twin of ``operators.deltas.deltas``, with the keyed state of the engine.
+
+    ``rows`` is a stream of flat columns with event time ``et`` and no watermark yet. Changes come out when the
+    watermark has passed them; a revision that is late beyond it is left out. As they are older
+    than the watermark then, they go to a topic, and windows over them belong to the job that reads it.
+    """
+    timed = rows.withColumn("_us", F.unix_micros("et")).withWatermark("et", lateness)
+    out = T.StructType(rows.schema.fields + ([T.StructField(first, T.BooleanType())] if first else []))
+    processor = AmountChanges(order, amounts, timed.schema, attributes, idle_s * 1_000_000 if idle_s is not None else None, first)
+    return timed.where(F.col("et").isNotNull()).groupBy(*key).transformWithState(processor, out, "append", "eventTime")
 
 
-def stream_distinct(rows: DataFrame, keys, spread_by, parts: int = 32) -> DataFrame:
+def stream_distinct(rows: DataFrame, keys, spread_by, parts: int | None = None) -> DataFrame:
     """One row per key, kept in native state.
 
     Repeats are first dropped in ``parts`` parts of each key, cut by the columns ``spread_by``, so the
-    rows of a hot key go to many tasks. With a window among the keys the state is freed by the
+    rows of a hot key go to many tasks; by default there are as many as shuffle partitions. With a window among the keys the state is freed by the
     watermark.
     """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.xxhash64(*spread_by), F.lit(parts))
     inside = rows.withColumn("_part", part).dropDuplicates([*keys, "_part"])
     return inside.select(*keys).dropDuplicates(list(keys))

@@ -50,8 +50,9 @@ def test_cells_put_skips_nulls_and_delete_clears(spark):
         ("b", 1, "insert", {"x": "1", "y": "1"}), ("b", 2, "delete", {"x": "1"}), ("b", 3, "insert", {"y": "3"}),
         ("c", 1, "insert", {"x": "1"}), ("c", 2, "delete", {}),
         ("d", 1, "truncate", {"x": "1"}),
-    ], "key string, ts int, op string, row map<string,string>").withColumn("cols", F.lit("x,y"))
-    out = merge_cells(log, ["key"], ["ts"], "op", "row", "cols")
+        ("e", 1, "insert", {"old": "1", "x": "1"}), ("e", 2, "delete", {"x": "1"}),  # a column that is no longer named
+    ], "key string, ts int, op string, row map<string,string>")
+    out = merge_cells(log, ["key"], ["ts"], "op", "row")
     assert {r.key: r.row for r in out.collect()} == {"a": {"x": "2", "y": "1"}, "b": {"y": "3"}}
 
 

@@ -20,8 +20,8 @@ from millrace.operators.changelog import latest_by_key
 from millrace.sources.logs import change_log, order_detail_topic, page_log
 from millrace.sources.topics import csv_topic, json_topic, parse_json, stream_path, stream_table, text_topic
 from millrace.streaming import aggregates, maintenance, sinks
-from millrace.streaming.run import drain, late_rows, to_batches, to_files
-from millrace.streaming.stateful import stream_day_changes, stream_distinct, stream_first_seen
+from millrace.streaming.run import count_late_rows, drain, to_batches, to_files
+from millrace.streaming.stateful import stream_day_changes, stream_deltas, stream_distinct, stream_first_seen
 
 
 class Topic:
@@ -45,7 +45,7 @@ def topic(tmp_path):
 
 
 def event_stream(spark, topic, one_by_one=True):
-    reader = spark.readStream.schema("key string, t double, id int")
+    reader = spark.readStream.schema("key string, t double, id long")
     if one_by_one:
         reader = reader.option("maxFilesPerTrigger", 1)
     raw = reader.json(topic.path)
@@ -70,9 +70,37 @@ def test_rows_after_their_window_closed_are_dropped_and_counted(spark, topic, tm
     topic.put(event("z", 100, 6))
     ev = event_stream(spark, topic).withWatermark("et", "3 seconds")
     counts = stamp(ev.groupBy(tumbling(), "key").agg(F.count(F.lit(1)).alias("n")))
-    out, query = run(spark, counts, tmp_path)
+    late = count_late_rows(spark)
+    out, _ = run(spark, counts, tmp_path, "late")
     assert rows(out, "stt", "key", "n") == [("2024-01-01 00:00:00", "a", 2), ("2024-01-01 00:00:05", "a", 3)]
-    assert late_rows(query) == 1
+    end = time.time() + 20
+    while not late.counts["late"] and time.time() < end:  # listeners hear of a batch a little later
+        time.sleep(0.1)
+    spark.streams.removeListener(late)
+    assert late.counts["late"] == 1
+
+
+def test_large_ids_and_nulls_keep_their_worth(spark, topic, tmp_path):
+    big = 2**53 + 1
+    topic.put(event("a", 1, big), event("b", 2, None), event("a", 3, big + 2), event("c", 90_000, 1))
+    firsts = stream_day_changes(event_stream(spark, topic), ["key"], ["et", "id"])
+    out, _ = run(spark, firsts, tmp_path, "big")
+    assert rows(out, "key", "id") == [("a", big), ("b", None), ("c", 1)]
+
+
+def test_late_rows_around_midnight_flag_no_day_twice(spark, topic, tmp_path):
+    for i, t in enumerate((86_401, 86_399, 86_402, 172_801)):
+        topic.put(event("a", t, i))
+    firsts = stream_day_changes(event_stream(spark, topic), ["key"], ["et", "id"])
+    out, _ = run(spark, firsts, tmp_path, "midnight")
+    assert sorted(r["day"] for r in out.collect()) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+
+
+def test_a_later_batch_wins_within_a_second(spark, tmp_path):
+    shape = "sink_table string, row_key string, ts long, op_type string, row map<string,string>"
+    for i, (op, name) in enumerate((("insert", "old"), ("update", "new"))):
+        sinks.put_cells(f"{tmp_path}/dims")(spark.createDataFrame([("t", "1", 7, op, {"name": name})], shape), i)
+    assert [r["row"] for r in sinks.read_dimensions(spark, f"{tmp_path}/dims").collect()] == [{"name": "new"}]
 
 
 def test_day_changes_over_many_batches_equal_the_table(spark, topic, tmp_path):
@@ -150,7 +178,7 @@ def test_order_lines_as_a_stream(spark, topic, tmp_path):
         change("order_detail_activity", "insert", START_S + 10_000, {"order_detail_id": "x"}),
         change("order_detail_coupon", "insert", START_S + 10_000, {"order_detail_id": "x"})]
     topic.put(*messages, *far)
-    lines = dwd.order_details(change_log(text_topic(spark, topic.path)), "shop")
+    lines = dwd.order_details(change_log(text_topic(spark, topic.path)), "shop", ttl_s=5)
     out, _ = run(spark, lines, tmp_path)
     want = dwd.order_details(changes(spark, messages), "shop", ttl_s=5)
     columns = ["id", "order_id", "user_id", "province_id", "activity_id", "coupon_id", "split_original_amount"]
@@ -178,7 +206,7 @@ def test_payments_and_cancellations_as_streams(spark, topic, tmp_path):
     log = change_log(text_topic(spark, topic.path))
     out, _ = run(spark, dwd.paid_details(log, facts, codes, "shop"), tmp_path, "paid")
     assert rows(out, "order_detail_id", "payment_type_name") == [("l1", "card")]
-    out, _ = run(spark, dwd.cancelled_details(log, facts, "shop"), tmp_path, "cancelled")
+    out, _ = run(spark, dwd.cancelled_details(log, facts, "shop", ttl_s=1805), tmp_path, "cancelled")
     assert rows(out, "id", "cancel_time", "date_id") == [("l2", "2024-01-01 00:30:05", "2024-01-01")]
 
 
@@ -189,27 +217,28 @@ def test_two_streams_need_a_ttl(spark, topic):
         keyed_join(ev, ev, {"key": "key"})
 
 
-REVISION = "id string, sku_id string, ts long, amount decimal(16,2)"
-
-
-def _revisions(seed, n=200):
-    rng = random.Random(seed)
-    return [(rng.choice(["hot", "hot", *"abcde"]), str(i), START_S + i * 3600, Decimal(rng.randrange(100)))
-            for i in range(n)]
-
-
 @pytest.mark.parametrize("attributes", ["current", "previous"])
-def test_amount_changes_over_batches_and_a_retry(spark, tmp_path, attributes):
-    data = _revisions(6)
-    write = maintenance.amount_changes(f"{tmp_path}/out", f"{tmp_path}/state", ["id"], ["ts"], ["amount"],
-                                       F.floor(F.col("ts") / 86400), attributes)
-    for batch_id, part in enumerate((data[:80], data[80:90], data[90:])):
-        write(spark.createDataFrame(part, REVISION), batch_id)
-        if batch_id == 1:  # the same batch again, as after a failure
-            write(spark.createDataFrame(part, REVISION), batch_id)
-    want = deltas(spark.createDataFrame(data, REVISION), ["id"], ["ts"], ["amount"], attributes=attributes)
-    got = spark.read.parquet(f"{tmp_path}/out").drop("batch_id")
-    assert rows(got, *want.columns) == rows(want)
+def test_amount_changes_over_batches(spark, topic, tmp_path, attributes):
+    """Three batches with disorder inside the lateness, a missing amount and a late revision."""
+    rng = random.Random(6)
+    data = [{"id": rng.choice(["hot", "hot", *"abcde"]), "tag": str(i), "t": 2 * i + rng.randrange(3),
+             "amount": rng.choice([None, rng.randrange(100)])} for i in range(150)]
+    data += [{"id": "late", "tag": "x", "t": 10, "amount": 100}, {"id": "late", "tag": "y", "t": 9, "amount": 80}]
+    data.sort(key=lambda r: (r["t"], r["tag"]))
+    late = next(i for i, r in enumerate(data) if r["tag"] == "y")
+    data.insert(late + 2, data.pop(late))
+    for at_row in range(0, len(data), 40):
+        topic.put(*data[at_row : at_row + 40])
+    topic.put({"id": "end", "tag": "z", "t": 10_000, "amount": 1}, {"id": "end", "tag": "zz", "t": 20_000, "amount": 1})
+    shape = "id string, tag string, t long, amount decimal(16,2)"
+
+    def timed(df):
+        return df.withColumn("et", F.timestamp_seconds(F.col("t") + START_S))
+
+    stream = timed(spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).json(topic.path))
+    out, _ = run(spark, stream_deltas(stream, ["id"], ["et", "tag"], ["amount"], attributes), tmp_path, "changes")
+    want = deltas(timed(spark.read.schema(shape).json(topic.path)), ["id"], ["et", "tag"], ["amount"], attributes=attributes)
+    assert rows(out.where("id <> 'end'"), *want.columns) == rows(want.where("id <> 'end'"))
 
 
 def test_log_split_over_batches(spark, topic, tmp_path):
@@ -380,7 +409,7 @@ def test_fact_aggregates_equal_the_table(spark, topic, tmp_path):
     events = [event(rng.choice("aaabc"), rng.randrange(3 * 86400), i) for i in range(60)]
     topic.put(*sorted(events, key=lambda e: e["t"]), event("z", 30 * 86400, 99))
     stream = event_stream(spark, topic).withColumnRenamed("key", "user_id")
-    table = spark.read.schema("key string, t double, id int").json(topic.path).select(
+    table = spark.read.schema("key string, t double, id long").json(topic.path).select(
         F.col("key").alias("user_id"), F.timestamp_seconds(F.col("t") + START_S).alias("et"))
     real = F.col("stt") < "2024-01-10"
     for name in ("cart_users", "payment_users", "order_users"):
