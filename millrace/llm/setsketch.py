@@ -280,7 +280,8 @@ def link(documents: DataFrame) -> DataFrame:
     nodes = staged(
         some.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
     bands = banded(nodes)
-    buckets = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    # Stored, so that the join deals out both sides itself and Spark can split a large bucket.
+    buckets = staged(bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c"), "buckets")
     members = staged(bands.join(buckets, "key"), "members")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     sketches = staged(

@@ -461,12 +461,13 @@ def remove_repeats(documents: DataFrame, kept_text: bool = False) -> DataFrame:
     docs = docs.select("doc_id", F.xxhash64("raw").alias("tid"), "raw")
     buckets = max(tasks(spark), 2 * documents.rdd.getNumPartitions())
     found = staged(anchored(docs.select("tid", "raw")), "anchors")
-    grams = found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
-    wanted = found.join(grams.select("gram", (F.col("c") > HOT).alias("hot")), "gram").groupBy("tid").agg(
+    # Stored, so that the join deals out both sides itself and Spark can split the anchors of a frequent gram.
+    grams = staged(found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram", (F.col("c") > HOT).alias("hot")), "grams")
+    wanted = found.join(grams, "gram").groupBy("tid").agg(
         F.collect_set(F.struct("place", "hot")).alias("found"))
     base = staged(docs.select("doc_id", "tid", F.octet_length("raw").cast("bigint").alias("n_bytes"), F.sha2("raw", 256).alias("whole")), "base")
     # Of rows with one text, those with its smallest id bring it along.
-    copies = base.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    copies = staged(base.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "copies")
     wanted = wanted.join(copies, "tid").withColumn("id", F.coalesce("doc_id", F.lit(0))).drop("doc_id")
     texts = docs.withColumn("id", F.coalesce("doc_id", F.lit(0))).join(wanted, ["tid", "id"]).select(
         "tid", "raw", "rows", F.col("found.place").alias("places"), F.col("found.hot").alias("hots"))
