@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,7 +15,9 @@ from .common import fold_of, held_out, labelled_sample, per_text, pick
 TRAINING_ROWS = 16_000
 #: Buckets for pairs of neighbouring bytes.
 PAIR_BUCKETS = 256
-#: Hidden units, passes and rows of a step of the fit.
+#: Numbers that shape() gives.
+SHAPES = 24
+#: Hidden units, passes over the unlabelled rows and rows of a step of the fit. More passes overfit small samples.
 HIDDEN, PASSES, STEP_ROWS = 24, 30, 512
 
 WORD = re.compile(r"\w+")
@@ -25,7 +28,7 @@ def shape(text: str) -> list[float]:
     """Shares and lengths of a whole text that tell prose from menus, junk and repetition."""
     n = len(text)
     if not n:
-        return [0.0] * 22
+        return [0.0] * SHAPES
     words = text.split()
     lines = [x for x in text.split("\n") if x.strip()]
     bare = WORD.findall(text)
@@ -44,6 +47,7 @@ def shape(text: str) -> list[float]:
         sum(map(text.count, "#$%&*@<>{}[]_=+~^\\")) / n, sum(map(text.count, "\"'()-:;/")) / n,
         sum(len(x) == 1 for x in words) / word_count, len(text.encode("utf-8", "replace")) / n - 1,
         max(map(len, words), default=0) / n, float(ends == 0), float(len(words) < 20),
+        sum(map(eq, words[1:], words)) / word_count, len(set(zip(words, words[1:]))) / word_count,
     ]
 
 
@@ -59,7 +63,7 @@ def pairs(text: str) -> np.ndarray:
 def features(texts: list) -> np.ndarray:
     texts = ["" if t is None else t for t in texts]
     if not texts:
-        return np.zeros((0, 22 + PAIR_BUCKETS), np.float32)
+        return np.zeros((0, SHAPES + PAIR_BUCKETS), np.float32)
     return np.array([np.concatenate([shape(t), pairs(t)]) for t in texts], np.float32)
 
 

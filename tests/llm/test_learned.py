@@ -2,12 +2,13 @@
 
 import numpy as np
 import pytest
-from plain import SF, contaminated, documents, near, personal
+from plain import SF, contaminated, near, personal
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import langid, mixing, quality, toxicity
 from millrace.llm.queries import QUERIES
+from millrace.session import staged
 
 LARGER = "/root/testdata/sf0.1"
 
@@ -27,7 +28,8 @@ def test_toxicity_held_out(spark):
 
 def test_quality_held_out(spark):
     rows = held(spark, "op9_quality_classifier", "quality")
-    assert sum(r["predicted"] == r["y"] for r in rows) >= 0.95 * len(rows)
+    assert sum(r["predicted"] == r["y"] for r in rows) >= 0.94 * len(rows)
+    assert sum(r["predicted"] for r in rows if r["y"]) >= 0.98 * sum(r["y"] for r in rows)
 
 
 def test_language_held_out(spark):
@@ -93,8 +95,8 @@ def stages(spark):
     """The rows after each stage on the small documents."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = [docs.collect()]
-    for _, stage in corpus_pipeline.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), None if False else docs.schema) if stage is not corpus_pipeline.mixing_stage else stage(spark, docs, SF)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = staged(stage(spark, docs, SF), name)
         out.append(docs.collect())
     return out
 
@@ -112,9 +114,8 @@ def test_pipeline_stages(spark, stages):
     assert {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in masked} and mixed
 
 
-def test_pipeline_columns(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SF).columns == docs.columns
+def test_pipeline_run(spark, stages):
     out = corpus_pipeline.run(spark, SF)
-    assert set(docs.columns) <= set(out.columns)
+    assert out.columns == [*stages[0][0].__fields__, "mix_weight"]
+    assert all(rows[0].__fields__ == stages[0][0].__fields__ for rows in stages[1:-1])
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, stages[-1]))
