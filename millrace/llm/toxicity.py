@@ -76,12 +76,16 @@ class Transducer:
             arcs.append(row)
         return Transducer(arcs)
 
-    def score(self, clause: list[tuple[int, float]]) -> float:
-        state, total = 0, 0.0
-        for symbol, weight in clause:
+    def factors(self, clause: list[tuple[int, float]]) -> list[float]:
+        """What the transducer makes of each symbol."""
+        state, out = 0, []
+        for symbol, _ in clause:
             state, factor = self.arcs[state][symbol]
-            total += weight * factor
-        return total
+            out.append(factor)
+        return out
+
+    def score(self, clause: list[tuple[int, float]]) -> float:
+        return sum(f * w for f, (_, w) in zip(self.factors(clause), clause, strict=True))
 
 
 def after(cue: int, reach: int, factors: dict[int, float], plain: dict[int, float] | None = None) -> Transducer:
@@ -105,14 +109,19 @@ def again(symbol: int, factor: float) -> Transducer:
 
 
 FAR = 40
-#: Insults weigh more near a target and when they pile up; threats need a target; negation and reported speech discount both.
-GRAMMAR = (
+#: Insults weigh more when they pile up; negation and reported speech discount what follows them.
+TOLD = (
     again(INSULT, 1.25)
-    .composed(after(TARGET, 6, {INSULT: 1.3}))
-    .composed(after(TARGET, 6, {}, {THREAT: 0.0}))
     .composed(after(NEGATION, 3, {INSULT: 0.5, THREAT: 0.3}))
     .composed(after(REPORT, FAR, {INSULT: 0.6, THREAT: 0.5}))
 )
+#: Insults weigh more near a target, threats need one. A target may stand on either side.
+AIMED = after(TARGET, 6, {INSULT: 1.3}).composed(after(TARGET, 6, {}, {THREAT: 0.0}))
+
+
+def clause_score(clause: list[tuple[int, float]]) -> float:
+    aimed = map(max, AIMED.factors(clause), AIMED.factors(clause[::-1])[::-1])
+    return sum(t * a * w for t, a, (_, w) in zip(TOLD.factors(clause), aimed, clause, strict=True))
 
 
 def symbol_of(word: str, lexicon: dict[str, float]) -> tuple[int, float]:
@@ -162,8 +171,7 @@ class Scorer:
                 clause.append(self.symbol(piece))
                 continue
             if any(s in (INSULT, THREAT) for s, _ in clause):
-                # A target or a report may stand on either side of what it acts on.
-                worth = max(GRAMMAR.score(clause), GRAMMAR.score(clause[::-1]))
+                worth = clause_score(clause)
                 total += worth
                 best = max(best, worth)
                 matched += worth > 0
