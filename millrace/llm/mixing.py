@@ -192,7 +192,8 @@ def plan(rows: DataFrame, rate: float, flatten: dict[str, float], targets: dict
     named = with_topic(profiled, centres).withColumn("topic", cell(F.col("topic")))
     cells = staged(named.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     done = staged(calibrated(raked(cells, flatten, targets or {}), rate).select(
-        *[F.col(m).alias(f"_{m}") for m in MARGINS], "factor", "probability"), "cells")
+        # Sums of doubles differ in their last places from run to run; the results don't.
+        *[F.col(m).alias(f"_{m}") for m in MARGINS], F.round("factor", 9).alias("factor"), F.round("probability", 9).alias("probability")), "cells")
     return centres, done, done.count() <= BROADCAST_CELLS
 
 
