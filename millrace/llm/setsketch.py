@@ -26,8 +26,8 @@ REGISTERS = BANDS * BAND_REGISTERS
 BASE, RATE, TOP = 1.02, 64.0, 32767
 #: A pair is checked on its full sets unless its registers speak against the least similarity by this log likelihood.
 AGAINST = 10.0
-#: Members and outsiders of one tile of a band's bucket.
-TILE_MEMBERS, TILE_OUTSIDERS = 1024, 256
+#: Shingles that the members and the outsiders of one tile of a band's bucket have, about.
+TILE_MEMBERS, TILE_OUTSIDERS = 400_000, 100_000
 #: Shingles hashed at once for a long text.
 AT_ONCE = 1024
 
@@ -112,19 +112,18 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= SIMILAR * (len(a) + len(b) - both)
 
 
-def sketched(docs: DataFrame, sets: bool) -> DataFrame:
-    """docs (doc_id, text) with n, set_key and regs of each text; with its full set of hashes on demand."""
+def sketched(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """docs (doc_id, text) with n, set_key and regs of each text."""
 
     def run(texts: list) -> list:
         found = [shingles(t) for t in texts]
-        out = [[len(s) for s in found], [xxhash.xxh3_128_digest(s.tobytes()) for s in found], [registers(s).tobytes() for s in found]]
-        return [*out, [s.tobytes() for s in found]] if sets else out
+        return [[len(s) for s in found], [xxhash.xxh3_128_digest(s.tobytes()) for s in found], [registers(s).tobytes() for s in found]]
 
-    return per_text(docs, run, "n bigint, set_key binary, regs binary" + ", hashes binary" * sets)
+    return per_text(docs, run, "n bigint, set_key binary, regs binary", keep_text=keep_text)
 
 
 def banded(nodes: DataFrame) -> DataFrame:
-    """nodes (node, regs) as rows of node, band and key."""
+    """nodes (node, n, regs) as rows of node, n, band and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,10 +133,10 @@ def banded(nodes: DataFrame) -> DataFrame:
             keys = band_keys(sketch).ravel()
             offsets = pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column("node"), pa.ListArray.from_arrays(offsets, pa.array(keys, pa.int64()))], ["node", "keys"])
+                [b.column("node"), b.column("n"), pa.ListArray.from_arrays(offsets, pa.array(keys, pa.int64()))], ["node", "n", "keys"])
 
-    made = nodes.select("node", "regs").mapInArrow(run, "node bigint, keys array<bigint>")
-    return made.select("node", F.posexplode("keys").alias("band", "key"))
+    made = nodes.select("node", "n", "regs").mapInArrow(run, "node bigint, n bigint, keys array<bigint>")
+    return made.select("node", "n", F.posexplode("keys").alias("band", "key"))
 
 
 def two_sides(pairs: DataFrame, sketches: DataFrame, *columns: str) -> DataFrame:
@@ -164,15 +163,19 @@ def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs that are similar by their full sets."""
+    """The pairs that are similar by their full sets, made anew from their texts, which take less room."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, of_last = None, None
         for b in batches:
-            keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64))
-                    for x, y in zip(b.column("hashes_a"), b.column("hashes_b"), strict=True)]
+            keep = []
+            for x, y in zip(b.column("text_a"), b.column("text_b"), strict=True):
+                if (text := y.as_py()) != last:  # the pairs of one hub come together
+                    last, of_last = text, shingles(text)
+                keep.append(similar(shingles(x.as_py()), of_last))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    return two_sides(pairs, sketches, "hashes").mapInArrow(run, "a bigint, b bigint")
+    return two_sides(pairs, sketches, "text").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -200,10 +203,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def tile_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of an outsider and a member of another component in each tile that the registers allow.
+    """Similar pairs of an outsider and a member of another component in each tile.
 
-    A pair is given out in the first band it shares only, and not where one of both is the hub,
-    which was checked with all members before.
+    Pairs that the registers allow are checked on their full sets, each in the first band it shares
+    only, and not where one of both is the hub, which was checked with all members before.
     """
     for frame in frames:
         for band, hub, rows in zip(frame["band"], frame["hub"], frame["rows"], strict=True):
@@ -214,7 +217,13 @@ def tile_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             first = np.array([r["first"] for r in rows], bool)  # here as an outsider of the tile
             regs = np.frombuffer(b"".join(bytes(r["regs"]) for r in rows), np.int16).reshape(-1, REGISTERS)
             members = np.flatnonzero(~first & (node != hub))
-            found = []
+            found, sets = [], {}
+
+            def full(i: int, rows=rows, sets=sets) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = shingles(rows[i]["text"])
+                return sets[i]
+
             for i in np.flatnonzero(first & (node != hub)):
                 at = members[comp[members] != comp[i]]
                 at = at[~out[at] | (node[at] > node[i])]  # two outsiders meet twice
@@ -225,37 +234,38 @@ def tile_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at = at[likely(up, down, n[at], np.full(len(at), n[i]))]
                 shared = (regs[at] == regs[i]).reshape(len(at), BANDS, BAND_REGISTERS).all(2)
                 at = at[shared.argmax(1) == band] if len(at) else at
-                found += [(node[i], node[j]) for j in at]
+                found += [(node[i], node[j]) for j in at if similar(full(i), full(j))]
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
 
 def left_over(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of buckets that still hold several components.
+    """The links (a, b) still missing in buckets that hold several components.
 
     In such a bucket the nodes outside its largest component are its outsiders; only they can be
     part of a missing link. Every outsider meets every member in a tile of bounded size.
     """
     known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = staged(known, "members")
-    sizes = known.groupBy("key", "component").agg(F.count("*").alias("c"))
-    buckets = sizes.groupBy("key").agg(
+    sizes = known.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    buckets = staged(sizes.groupBy("key").agg(
         F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"),
-    ).where("most < all and all > 2")
+        F.sum("s").alias("shingles"), F.max_by("s", F.struct("c", "component")).alias("inside"),
+    ).where("most < all and all > 2"), "buckets")
     known = known.join(buckets, "key").withColumn("outside", F.col("component") != F.col("main"))
-    known = known.join(sketches.select("node", "n", "regs"), "node")
+    known = known.drop("n").join(sketches.select("node", "n", "regs", "text"), "node")
     mine = F.xxhash64("node")
-    wide = F.ceil(F.col("all") / TILE_MEMBERS).cast("bigint")
-    deep = F.ceil((F.col("all") - F.col("most")) / TILE_OUTSIDERS).cast("bigint")
+    wide = F.ceil(F.col("shingles") / TILE_MEMBERS).cast("bigint")
+    deep = F.ceil((F.col("shingles") - F.col("inside")) / TILE_OUTSIDERS).cast("bigint")
     zero = F.lit(0).cast("bigint")
-    row = ["band", "key", "hub", "node", "component", "n", "regs", "outside"]
+    row = ["band", "key", "hub", "node", "component", "n", "regs", "text", "outside"]
     as_member = known.select(*row, F.lit(False).alias("first"), F.pmod(mine, wide).alias("x"),
                              F.explode(F.sequence(zero, deep - 1)).alias("y"))
     as_outsider = known.where("outside").select(*row, F.lit(True).alias("first"), F.explode(F.sequence(zero, wide - 1)).alias("x"),
                                                 F.pmod(mine, deep).alias("y"))
     tiles = as_member.unionByName(as_outsider).groupBy("key", "x", "y").agg(
         F.first("band").alias("band"), F.first("hub").alias("hub"),
-        F.collect_list(F.struct("node", "component", "n", "regs", "outside", "first")).alias("rows"))
+        F.collect_list(F.struct("node", "component", "n", "regs", "text", "outside", "first")).alias("rows"))
     return tiles.select("band", "hub", "rows").mapInPandas(tile_pairs, "a bigint, b bigint")
 
 
@@ -275,7 +285,7 @@ def link(documents: DataFrame) -> DataFrame:
     docs = pick(documents, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    rows = staged(sketched(docs, sets=False), "sketches")
+    rows = staged(sketched(docs), "sketches")
     some = rows.where("n > 0 and doc_id is not null")
     nodes = staged(
         some.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
@@ -285,11 +295,11 @@ def link(documents: DataFrame) -> DataFrame:
     members = staged(bands.join(buckets, "key"), "members")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     sketches = staged(
-        sketched(docs.join(wanted, "doc_id", "left_semi"), sets=True).select(F.col("doc_id").alias("node"), "n", "regs", "hashes")
+        sketched(docs.join(wanted, "doc_id", "left_semi"), keep_text=True).select(F.col("doc_id").alias("node"), "n", "regs", "text")
         .where("n > 0"), "sets")
     pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     first = staged(confirmed(estimated(pairs, sketches), sketches), "links")
-    second = staged(confirmed(left_over(members, components(first), sketches).distinct(), sketches), "links")
+    second = staged(left_over(members, components(first), sketches), "links")
     node_of = nodes.select("set_key", "node")
     placed = rows.select("doc_id", "n", "set_key").join(node_of, "set_key", "left")
     repeated = placed.where("node is not null and doc_id is not null").groupBy("doc_id").agg(
