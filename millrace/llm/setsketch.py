@@ -230,10 +230,10 @@ def tile_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at = at[100 * np.minimum(n[at], n[i]) >= SIMILAR * np.maximum(n[at], n[i])]
                 if not len(at):
                     continue
-                up, down = (regs[at] > regs[i]).sum(1), (regs[at] < regs[i]).sum(1)
-                at = at[likely(up, down, n[at], np.full(len(at), n[i]))]
                 shared = (regs[at] == regs[i]).reshape(len(at), BANDS, BAND_REGISTERS).all(2)
-                at = at[shared.argmax(1) == band] if len(at) else at
+                at = at[shared.argmax(1) == band]
+                up, down = (regs[at] > regs[i]).sum(1), (regs[at] < regs[i]).sum(1)
+                at = at[likely(up, down, n[at], np.full(len(at), n[i]))] if len(at) else at
                 found += [(node[i], node[j]) for j in at if similar(full(i), full(j))]
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
