@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -14,10 +15,10 @@ from .common import pick
 
 #: Elements that never hold article text.
 DROPPED = frozenset(
-    "head title script style noscript template nav header footer aside form button select option textarea input "
+    "head title script style noscript template nav header footer aside button select option textarea input "
     "iframe object embed svg canvas audio video map dialog menu label".split()
 )
-#: Words in a class, an id or a role that mark a part beside the article.
+#: Words in a class, an id or a role that mark a part beside the article, unless it holds most of the page's text.
 BESIDE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside widget nav "
     "navbar navigation menu breadcrumb breadcrumbs header masthead footer comment comments reply replies disqus "
@@ -38,15 +39,17 @@ CLOSES = {
 #: Elements that an end tag of an inner element never reaches beyond.
 HOLDERS = frozenset("html body main article section div td th li blockquote nav aside header footer form table".split())
 MARKS = re.compile(r"[a-z]+")
+#: A part named by such a word alone (class="comments") is the article if its text is over so many times all other kept text.
+NAMED = 9
 
 
 class Node:
-    __slots__ = ("tag", "parent", "content", "beside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "content", "beside", "mark", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, beside: bool):
-        self.tag, self.parent, self.beside = tag, parent, beside
+    def __init__(self, tag: str, parent: Node | None, beside: bool, mark: int = 0):
+        self.tag, self.parent, self.beside, self.mark = tag, parent, beside, mark
         self.content: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.plain = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
@@ -82,10 +85,15 @@ class Tree(HTMLParser):
             self.shut({"p"}, HOLDERS)
         if tag in CLOSES:
             self.shut(*CLOSES[tag])
-        marks = {w for k, v in attrs if k in ("class", "id", "role") and v for w in MARKS.findall(v.lower())}
+        names = [w for k, v in attrs if k in ("class", "id", "role") and v for w in v.lower().split()]
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-        beside = tag in DROPPED or hidden or bool(marks & BESIDE) and tag not in ("body", "article", "main")
-        node = Node(tag, self.now, beside)
+        mark = 0
+        if tag not in ("body", "article", "main"):
+            if not BESIDE.isdisjoint(names):
+                mark = NAMED
+            elif tag == "form" or any(not BESIDE.isdisjoint(MARKS.findall(w)) for w in names):
+                mark = 1
+        node = Node(tag, self.now, tag in DROPPED or hidden, mark)
         self.now.content.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -102,18 +110,89 @@ class Tree(HTMLParser):
         self.now.content.append(data)
 
 
+def letters(node: Node) -> int:
+    """Characters of the node's own texts, without white space."""
+    return sum(len(t) - sum(map(t.count, " \n\t\r")) for t in node.content if isinstance(t, str))
+
+
+def judge(nodes: list[Node]) -> None:
+    """Decide which marked nodes are beside the article; the others are wrappers or hold it, and stay.
+
+    At first all text below marks counts as cut. As long as one of the outermost marked nodes holds
+    more text outside links than all that is kept, the largest such node is kept, and the marked
+    nodes inside it are judged in turn. A node that is named as a part beside the article needs NAMED
+    times as much. Once an article or main element has kept text, a named node outside of it is cut, and
+    any other marked node there needs NAMED times as much.
+    """
+    for n in nodes[1:]:
+        n.beside = n.beside or n.parent.beside
+    for n in reversed(nodes):
+        if not n.beside and n.tag != "a":
+            n.plain += letters(n)
+            if n.parent is not None:
+                n.parent.plain += n.plain
+    kept, in_article = 0, 0
+    loose: list[tuple[int, int, Node]] = []  # outermost marked nodes, the largest first
+    named: list[tuple[int, int, Node]] = []  # those that need NAMED times the kept text
+
+    def keep(top: Node, inside: bool) -> None:
+        """Count top's text outside marked nodes, and line those up."""
+        nonlocal kept, in_article
+        stack = [(top, inside)]
+        while stack:
+            node, inside = stack.pop()
+            inside = inside or node.tag in ("article", "main")
+            if node.beside or node.tag == "a":
+                continue
+            own = letters(node)
+            kept += own
+            in_article += own if inside else 0
+            for x in node.content:
+                if isinstance(x, str):
+                    continue
+                if not x.mark:
+                    stack.append((x, inside))
+                elif x.plain and not x.beside:
+                    waiting.append((x, inside))
+
+    waiting: list[tuple[Node, bool]] = []
+    at = 0
+    keep(nodes[0], False)
+    while True:
+        for x, inside in waiting[at:]:
+            at += 1
+            heapq.heappush(named if x.mark == NAMED or in_article and not inside else loose, (-x.plain, at, x))
+        top = [h for h in (loose, named) if h]
+        if not top:
+            break
+        heap = max(top, key=lambda h: -h[0][0] * (1 if h is loose else 1 / NAMED))
+        share = NAMED if heap is named else 1
+        size, number, node = heap[0]
+        if -size <= share * kept:
+            break
+        heapq.heappop(heap)
+        if in_article and not waiting[number - 1][1]:  # the page says where its article is
+            if heap is loose:
+                heapq.heappush(named, (size, number, node))
+                continue
+            if node.mark == NAMED:
+                continue
+        node.mark = 0
+        keep(node, waiting[number - 1][1])
+    for n in nodes[1:]:
+        n.beside = n.beside or n.mark > 0 or n.parent.beside
+
+
 def measure(nodes: list[Node]) -> None:
     """Characters, tags and densities of every node; parts beside the article count nothing.
 
     Density is characters per tag, times the logarithm of how far characters and tags outweigh
     those of links. Nodes come after their parents in the list.
     """
-    for n in nodes[1:]:
-        n.beside = n.beside or n.parent.beside
     for n in reversed(nodes):
         if n.beside:
             continue
-        n.chars += sum(len(t) - sum(map(t.count, " \n\t\r")) for t in n.content if isinstance(t, str))
+        n.chars += letters(n)
         if n.tag == "a":
             n.link_chars, n.link_tags = n.chars, n.link_tags + 1
         if n.parent is not None:
@@ -185,6 +264,7 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    judge(tree.nodes)
     measure(tree.nodes)
     return "\n\n".join(blocks(main_node(tree.nodes)))
 
@@ -193,7 +273,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with the main text of each page and its length in code points.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are
-    cut from the tree first; of what is left, the densest subtree is the article. A null or empty
+    cut from the tree first; of what is left, the densest subtree is the article. A form, or a part
+    that only its class, id or role marks, stays where it holds most of the page's text outside links. A null or empty
     page has an empty text and length 0. One row per input row, repeated rows included; null ids
     stay. An empty table gives no rows. No shuffle.
     """

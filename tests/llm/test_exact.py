@@ -197,6 +197,23 @@ def test_main_text():
     assert htmltext.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+ARTICLE = "<h1>The title</h1>" + "".join(f"<p>{n} paragraph {'with many plain words ' * 12}to read.</p>" for n in ("First", "Second", "Third"))
+PARTS = ('<div class="sidebar">Side bar text that goes on</div><div class="cookie-notice">We use cookies</div><form>Search here</form>'
+         f'<div class="comments"><p>{"A reader writes a long comment. " * 40}</p></div>')
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="content no-sidebar">%s</div>', '<div class="page has-header">%s</div>', '<div id="main-with-comments">%s</div>',
+    '<div class="layout sidebar-right">%s</div>', "<form action=x>%s</form>",
+    '<div class="has-header"><div class="layout sidebar-right"><form class="no-ads">%s</form></div></div>'])
+def test_marks_of_the_layout_keep_the_article(wrapper):
+    want = htmltext.main_text(f"<body>{ARTICLE}</body>")
+    assert want.startswith("The title\n\nFirst paragraph") and want.count("\n\n") == 3
+    for body in (ARTICLE, f"<article>{ARTICLE}</article>"):
+        for page in (wrapper % body, PARTS + wrapper % body, wrapper % body + PARTS, wrapper % (body + PARTS), wrapper % (PARTS + body)):
+            assert htmltext.main_text(f"<body><nav><a href=x>Menu</a></nav>{page}<footer>end</footer></body>") == want
+
+
 def test_top_k_beyond_64_bits_and_odd_vectors(spark):
     rows = [(0, [1e18, 1.0]), (50, [2.0, 1.0]), (1, [1e18, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [1.0]),
             (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (7, [2.0, 1.0]), (7, [2.0, 1.0]), (8, [2.0, 1.0]), (100, [1.0, 1.0, 1.0])]
