@@ -211,11 +211,41 @@ def measure(nodes: list[Node]) -> None:
         n.parent.total += n.density
 
 
+def has_block(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if x.tag in BLOCKS:
+            return True
+        stack += [c for c in x.content if not isinstance(c, str)]
+    return False
+
+
+def without_link_lists(node: Node, child: Node) -> list[Node | str]:
+    """The node's content: child, and of its siblings the blocks and lines whose text is not mostly links."""
+    runs: list[list[Node | str]] = [[]]  # a block, or texts and inline elements between blocks
+    for x in node.content:
+        if not isinstance(x, str) and (x is child or has_block(x)):
+            runs += [[x], []]
+        else:
+            runs[-1].append(x)
+    kept = []
+    for run in runs:
+        parts = [x for x in run if not isinstance(x, str) and not x.beside]
+        own = sum(sum(map(str.isalnum, x)) for x in run if isinstance(x, str))
+        plain = own + sum(x.chars - x.link_chars for x in parts)
+        if child in parts or plain > sum(x.link_chars for x in parts):
+            kept += run
+    return kept
+
+
 def main_node(nodes: list[Node]) -> Node:
-    """The node with the largest sum of child densities, raised while its parent is as dense as the body.
+    """The page's root, its content narrowed to the article.
 
-    The threshold is the density of the body: on the path from the body to the best node, the
-    highest element that reaches it holds the article with all its sections.
+    The node with the largest sum of child densities is raised while its parent is as dense as the
+    body: on the path from the body to it, the highest element that reaches the body's density
+    holds the article or its largest part whole. Around it all other text belongs to the article
+    too, in whatever containers, but for blocks and lines that are mostly links.
     """
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
     best = at = max(nodes, key=lambda n: (n.total, n.density))
@@ -223,6 +253,9 @@ def main_node(nodes: list[Node]) -> Node:
         if at.density >= body.density:
             best = at
         at = at.parent
+    while best.parent is not None:
+        best.parent.content = without_link_lists(best.parent, best)
+        best = best.parent
     return best
 
 
@@ -273,7 +306,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with the main text of each page and its length in code points.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are
-    cut from the tree first; of what is left, the densest subtree is the article. A form, or a part
+    cut from the tree first; of what is left, the densest subtree is the article, with
+    all text around it but blocks and lines that are mostly links. A form, or a part
     that only its class, id or role marks, stays where it holds most of the page's text outside links. A null or empty
     page has an empty text and length 0. One row per input row, repeated rows included; null ids
     stay. An empty table gives no rows. No shuffle.

@@ -214,6 +214,20 @@ def test_marks_of_the_layout_keep_the_article(wrapper):
             assert htmltext.main_text(f"<body><nav><a href=x>Menu</a></nav>{page}<footer>end</footer></body>") == want
 
 
+def test_articles_split_over_siblings():
+    part = "<p>" + ("plain words to read " * 15)[:300] + "</p>"
+    text = htmltext.main_text(part)
+    links = "<ul>" + "<li><a href=x>some link text</a></li>" * 6 + "</ul>"
+    for page, want in [
+        (f"<section>{part * 3}</section><section>{part}</section>", [text] * 4),
+        (f"<div><h1>Heading</h1></div><div>{part * 3}</div>", ["Heading", *[text] * 3]),
+        (f"{links}<div><h1>Heading</h1></div><div>{part * 3}</div><div>{links}</div><a href=x>one</a> | <a href=y>two</a>", ["Heading", *[text] * 3]),
+        (f"Loose <b>words</b> and <a href=x>a link</a><div>{part * 3}</div><p>A short end", ["Loose words and a link", *[text] * 3, "A short end"]),
+        (f"<div>{part * 3}</div></body><p>After the body", [*[text] * 3, "After the body"]),
+    ]:
+        assert htmltext.main_text(f"<html><head><title>no</title></head><body>{page}") == "\n\n".join(want)
+
+
 def test_top_k_beyond_64_bits_and_odd_vectors(spark):
     rows = [(0, [1e18, 1.0]), (50, [2.0, 1.0]), (1, [1e18, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [1.0]),
             (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (7, [2.0, 1.0]), (7, [2.0, 1.0]), (8, [2.0, 1.0]), (100, [1.0, 1.0, 1.0])]
