@@ -27,7 +27,8 @@ class DayChanges(StatefulProcessor):
     """Emits a key's first row of each day, with the day the key was seen before.
 
     The last two days are remembered: rows that come late around midnight still belong to the day
-    before, and the new day is not flagged again after them.
+    before, and the new day is not flagged again after them. The new day's row, once out, is not
+    revised: its day before is the one known when it came.
     """
 
     def __init__(self, order, columns, keep_ms=None):
@@ -55,8 +56,8 @@ class DayChanges(StatefulProcessor):
             if last is None or day > last:
                 yield named(*[row[c] for c in self.columns], last)
                 last, before = day, last
-            elif before is None:  # a late first row of the day before the first one known
-                yield named(*[row[c] for c in self.columns], None)
+            elif before is None or day > before:  # a late first row of a day before the last one
+                yield named(*[row[c] for c in self.columns], before)
                 before = day
         if (last, before) != known:
             self.days.update((last, before))

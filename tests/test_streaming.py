@@ -96,6 +96,18 @@ def test_late_rows_around_midnight_flag_no_day_twice(spark, topic, tmp_path):
     assert sorted(r["day"] for r in out.collect()) == ["2024-01-01", "2024-01-02", "2024-01-03"]
 
 
+def test_a_late_day_of_a_key_seen_days_before_is_flagged(spark, topic, tmp_path):
+    """The last row comes a batch later than the next day's first row, within the lateness."""
+    events = [event("a", 5, 1), event("a", 9 * 86_400 + 1, 2), event("a", 9 * 86_400 - 1, 3), event("a", 9 * 86_400 - 0.5, 4)]
+    for e in events:
+        topic.put(e)
+    firsts = stream_day_changes(event_stream(spark, topic), ["key"], ["et", "id"])
+    out, _ = run(spark, firsts, tmp_path, "late_day")
+    table = spark.createDataFrame([(e["key"], e["id"], at(e["t"])) for e in events], "key string, id int, et timestamp")
+    assert rows(out, "key", "day", "id") == rows(day_changes(table, ["key"], ["et", "id"]), "key", "day", "id")
+    assert {r["id"]: r["last_day"] for r in out.collect()} == {1: None, 2: "2024-01-01", 3: "2024-01-01"}
+
+
 def test_a_later_batch_wins_within_a_second(spark, tmp_path):
     shape = "sink_table string, row_key string, ts long, op_type string, row map<string,string>"
     for i, (op, name) in enumerate((("insert", "old"), ("update", "new"))):
