@@ -355,14 +355,21 @@ def find(documents: DataFrame, weights: dict[str, float] | None = None) -> DataF
 
 
 def masked(text: str, weights: dict[str, float]) -> str:
-    """The text with each span replaced by its kind in angle brackets; of overlapping spans the longer one counts."""
+    """The text with each span replaced by its kind in angle brackets; overlapping spans are masked as one, of the longest one's kind."""
     _, spans = all_spans(text, weights)
     if not spans:
         return text
-    out, at = [], 0
+    parts: list[list] = []  # start, end, length of the longest span, its kind
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
-        if a < at:
+        if not parts or a >= parts[-1][1]:
+            parts.append([a, b, b - a, kind])
             continue
+        last = parts[-1]
+        last[1] = max(last[1], b)
+        if b - a > last[2]:
+            last[2:] = b - a, kind
+    out, at = [], 0
+    for a, b, _, kind in parts:
         out += [text[at:a], f"<{kind}>"]
         at = b
     return "".join(out) + text[at:]

@@ -151,6 +151,19 @@ def test_personal_data(spark):
         assert set(base.split(",")) - {""} <= set(r["spans"].split(","))
 
 
+def test_overlapping_spans_are_masked_whole():
+    for text, want in (
+        ("call +1 555 123 4567 007bond@x.com now", "call <phone> now"),
+        ("at 10.0.0.4 111 1111 1111 1111 on", "at <card> on"),
+        ("+1 555 123 4567 and a@b.co, a@b.co", "<phone> and <email>, <email>"),
+        ("a@b.co/c@d.org", "<email>/<email>"),
+    ):
+        spans = pii.base_spans(text)
+        assert pii.masked(text, {}) == want, spans
+    pieces = pii.base_spans("at 10.0.0.4 111 1111 1111 1111 on")
+    assert [k for k, *_ in pieces] == ["ip", "card"] and pieces[1][1] < pieces[0][2]
+
+
 def test_the_field_finds_disguised_spans(spark):
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("text").rlike("[0-9@]")).collect()]
     weights = pii.fit([t for t in texts if pii.base_spans(t)])
