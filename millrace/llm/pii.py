@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import staged
+
 from .common import per_text, pick
 
 KINDS = ("email", "ip", "card", "phone")
@@ -27,6 +29,8 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+#: For Spark: what every text with a base span holds.
+MAY_HOLD = r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){12}|\+[0-9][ ().0-9-]+[0-9]"
 
 
 def luhn(digits: str) -> bool:
@@ -315,14 +319,37 @@ def all_spans(text: str, weights: dict[str, float]) -> tuple[list, list]:
     return base, sorted(base + extra, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
+def kinds_of(documents: DataFrame) -> DataFrame:
+    """doc_id and the kinds (a bit each) of its base spans, for the documents that hold any; null ids are left out."""
+
+    def run(texts: list) -> list:
+        found = [{s[0] for s in base_spans(text)} for text in texts]
+        return [[sum(1 << i for i, kind in enumerate(KINDS) if kind in f) for f in found]]
+
+    docs = pick(documents, "doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").rlike(MAY_HOLD))
+    held = per_text(docs, run, "kinds int").where("kinds > 0")
+    return held.groupBy("doc_id").agg(F.bit_or("kinds").alias("kinds"))
+
+
 def trained(documents: DataFrame, rows: int = TRAINING_ROWS) -> dict[str, float]:
-    """Weights fitted on at most `rows` documents that may hold base spans, the same in every run."""
-    docs = pick(documents, "doc_id", "text").where(F.col("doc_id").isNotNull())
-    likely = docs.where(F.col("text").rlike(r"[0-9][ .()-]*(?:[0-9][ .()-]*){6}|@[A-Za-z0-9-]+\."))
-    ids = likely.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.join(F.broadcast(ids.distinct()), "doc_id").collect()  # at most `rows` ids are broadcast
+    """Weights fitted on at most `rows` documents with base spans, the same in every run.
+
+    Documents are drawn by the hash of their id: for each kind as many as its even share of `rows`
+    that hold a span of it, then any with base spans until there are `rows`.
+    """
+    held = staged(kinds_of(documents), "pii_kinds")
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    shares = [(held.where(F.col("kinds").bitwiseAND(1 << i) > 0), rows // len(KINDS)) for i in range(len(KINDS))]
+    drawn: dict = {}
+    for some, most in [*shares, (held, rows)]:
+        for r in some.select("doc_id").orderBy(*by_hash).limit(most).collect():
+            if len(drawn) < rows:
+                drawn.setdefault(r["doc_id"], r)
+    ids = documents.sparkSession.createDataFrame(list(drawn.values()), held.select("doc_id").schema)
+    docs = pick(documents, "doc_id", "text")
+    got = docs.join(F.broadcast(ids), "doc_id").collect()  # at most `rows` ids are broadcast
     texts = sorted({r["text"] for r in got if r["text"]})
-    return fit([t for t in texts if len(t) <= 200_000])
+    return fit([t for t in texts if len(t) <= 200_000 and base_spans(t)])
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

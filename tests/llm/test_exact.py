@@ -164,6 +164,17 @@ def test_overlapping_spans_are_masked_whole():
     assert [k for k, *_ in pieces] == ["ip", "card"] and pieces[1][1] < pieces[0][2]
 
 
+def test_the_sample_holds_base_spans_of_every_kind(spark, monkeypatch):
+    """Half the rows hold long numbers but nothing personal, most others hold phone numbers."""
+    rare = ["mail a@b.co", "host 1.2.3.4", "card 4111 1111 1111 1111"]
+    texts = [f"order {10**8 + i} came" for i in range(1000)] + [f"call +1 555 123 {1000 + i}" for i in range(900)] + rare + [None, ""]
+    monkeypatch.setattr(pii, "fit", lambda drawn: drawn)
+    drawn = pii.trained(documents(spark, texts), 40)
+    assert len(drawn) == 40 and set(rare) <= set(drawn) and all(map(pii.base_spans, drawn))
+    assert drawn == pii.trained(documents(spark, texts).repartition(5), 40)
+    assert set(pii.trained(documents(spark, texts[:1000] + rare), 40)) == set(rare)
+
+
 def test_the_field_finds_disguised_spans(spark):
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("text").rlike("[0-9@]")).collect()]
     weights = pii.fit([t for t in texts if pii.base_spans(t)])
