@@ -17,6 +17,11 @@ from .common import per_text, pick
 KINDS = ("email", "ip", "card", "phone")
 #: Documents with base spans that the weights are fitted on, at most.
 TRAINING_ROWS = 400
+#: Of each training text: regions that are fitted on at most, chosen by hash, and pieces of such a region at most.
+TRAINING_REGIONS = 4
+TRAINING_PIECES = 120
+#: Characters of a training text, at most.
+TRAINING_CHARS = 200_000
 #: Pieces of a span, at most.
 MOST_PIECES = 19
 #: A span is added if it raises the score of its region by at least this much.
@@ -270,18 +275,32 @@ def disguised(text: str, spans: list[tuple[str, int, int]], way: int) -> tuple[s
     return "".join(out) + text[at:], moved
 
 
-def fit(texts: list[str], rounds: int = 12) -> dict[str, float]:
-    """Weights of the field by stochastic gradient of its likelihood; the base spans, also disguised, are the truth."""
+def drawn_regions(text: str, most: int, most_pieces: int) -> list[list[tuple[int, int]]]:
+    """At most `most` regions of at most `most_pieces` pieces, those with the smallest hashes, in text order."""
+    short = [r for r in regions(text) if len(r) <= most_pieces]
+    if len(short) <= most:
+        return short
+    by_hash = sorted(short, key=lambda r: hashlib.sha256(text[r[0][0] : r[-1][1]].encode("utf-8", "replace")).digest())
+    return sorted(by_hash[:most])
+
+
+def fit(texts: list[str], rounds: int = 12, most_regions: int = TRAINING_REGIONS,
+        most_pieces: int = TRAINING_PIECES) -> dict[str, float]:
+    """Weights of the field by stochastic gradient of its likelihood; the base spans, also disguised, are the truth.
+
+    Of each text, in each of its three ways of writing, at most `most_regions` regions of at most
+    `most_pieces` pieces count, chosen by the hash of their characters.
+    """
     cases = []
     for text in texts:
         spans = base_spans(text)
         for way in range(3):
             changed, truth = disguised(text, spans, way)
             wanted = {(a, b): kind for kind, a, b in truth}
-            for pieces in regions(changed)[:4]:
+            for pieces in drawn_regions(changed, most_regions, most_pieces):
                 segments = candidates(changed, pieces)
                 gold = [wanted.get((pieces[i][0], pieces[j - 1][1])) == kind for i, j, kind, _ in segments]
-                if segments and len(pieces) <= 120:
+                if segments:
                     cases.append((len(pieces), segments, gold))
     weights: dict[str, float] = {f"{k}:any": -2.0 for k in KINDS}
     squares: dict[str, float] = {}
@@ -331,13 +350,15 @@ def kinds_of(documents: DataFrame) -> DataFrame:
     return held.groupBy("doc_id").agg(F.bit_or("kinds").alias("kinds"))
 
 
-def trained(documents: DataFrame, rows: int = TRAINING_ROWS) -> dict[str, float]:
+def trained(documents: DataFrame, rows: int = TRAINING_ROWS, most_chars: int = TRAINING_CHARS) -> dict[str, float]:
     """Weights fitted on at most `rows` documents with base spans, the same in every run.
 
+    Texts of over `most_chars` characters are not drawn.
     Documents are drawn by the hash of their id: for each kind as many as its even share of `rows`
     that hold a span of it, then any with base spans until there are `rows`.
     """
-    held = staged(kinds_of(documents), "pii_kinds")
+    docs = pick(documents, "doc_id", "text").where(F.char_length("text") <= most_chars)
+    held = staged(kinds_of(docs), "pii_kinds")
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     shares = [(held.where(F.col("kinds").bitwiseAND(1 << i) > 0), rows // len(KINDS)) for i in range(len(KINDS))]
     drawn: dict = {}
@@ -346,10 +367,9 @@ def trained(documents: DataFrame, rows: int = TRAINING_ROWS) -> dict[str, float]
             if len(drawn) < rows:
                 drawn.setdefault(r["doc_id"], r)
     ids = documents.sparkSession.createDataFrame(list(drawn.values()), held.select("doc_id").schema)
-    docs = pick(documents, "doc_id", "text")
     got = docs.join(F.broadcast(ids), "doc_id").collect()  # at most `rows` ids are broadcast
     texts = sorted({r["text"] for r in got if r["text"]})
-    return fit([t for t in texts if len(t) <= 200_000 and base_spans(t)])
+    return fit([t for t in texts if base_spans(t)])
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

@@ -175,6 +175,17 @@ def test_the_sample_holds_base_spans_of_every_kind(spark, monkeypatch):
     assert set(pii.trained(documents(spark, texts[:1000] + rare), 40)) == set(rare)
 
 
+def test_training_reads_regions_beyond_the_first(spark, monkeypatch):
+    junk = "".join(f"number {10**6 + i} in the list {'of plain words ' * 12}. " for i in range(8))
+    texts = [f"{junk[i:]} mail user{i}@mail.example.com now" for i in range(12)]
+    assert pii.fit(texts).get("email:address", 0) > 0
+    assert pii.fit(texts, most_regions=0) == pii.fit(texts, most_pieces=0) == {f"{k}:any": -2.0 for k in pii.KINDS}
+    monkeypatch.setattr(pii, "fit", lambda drawn: drawn)
+    long = "mail a@b.co " + "x" * 1000
+    assert pii.trained(documents(spark, [long, "mail c@d.co"]), most_chars=500) == ["mail c@d.co"]
+    assert len(pii.trained(documents(spark, [long, "mail c@d.co"]))) == 2
+
+
 def test_the_field_finds_disguised_spans(spark):
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("text").rlike("[0-9@]")).collect()]
     weights = pii.fit([t for t in texts if pii.base_spans(t)])
