@@ -81,9 +81,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # --- the random field -------------------------------------------------------------------------
 
-PIECE = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
+#: A bracketed at or dot is one piece with its spaces.
+PIECE = re.compile(r"\s?[(\[{]\s?(?:at|dot)\s?[)\]}]\s?|[^\W\d_]+|[0-9]+|\s+|.", re.S | re.I)
 #: Where a region may hold a span that the base patterns miss.
-TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?at\s?[)\]}]", re.I)
+TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?(?:at|dot)\s?[)\]}]", re.I)
 REACH = 48
 #: Pieces of a region; longer ones are cut into regions that overlap by a longest span.
 REGION_PIECES = 400
@@ -177,7 +178,7 @@ def candidates(text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int,
     out = []
     n = len(pieces)
     digits = np.cumsum([0] + [len(DIGIT.findall(text[a:b])) for a, b in pieces])
-    signs = np.cumsum([0] + [text[a:b] in "@([{" for a, b in pieces])
+    signs = np.cumsum([0] + [text[a:b].lstrip()[:1] in ("@", "(", "[", "{") for a, b in pieces])
     words: list[str] = []
     for i, (a, _) in enumerate(pieces):
         if i:

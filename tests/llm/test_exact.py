@@ -196,6 +196,16 @@ def test_the_field_finds_disguised_spans(spark):
         assert not pii.added_spans(text, pii.base_spans(text), weights)
 
 
+def test_long_disguised_addresses_are_one_span(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("text").rlike("[0-9@]")).collect()]
+    weights = pii.fit([t for t in texts if pii.base_spans(t)])
+    for address in ("anna.lee@mail.example.com", "anna.b.lee@dept.mail.university.example.com"):
+        for text, truth in (pii.disguised(f"write to {address} now", [("email", 9, 9 + len(address))], way) for way in (1, 2)):
+            (_, a, b), = truth
+            assert ("email", a, b) in [(k, r[i][0], r[j - 1][1]) for r in pii.regions(text) for i, j, k, _ in pii.candidates(text, r)]
+            assert pii.masked(text, weights) == "write to <email> now", text
+
+
 def test_dynamic_programming_is_best():
     rng = random.Random(8)
     for _ in range(200):
