@@ -148,3 +148,52 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
+
+
+DIVERGENCE_SQL = r"""
+with d as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as xs from documents
+),
+t as (select lang, source, r, unnest(xs) as term from d),
+k as (select lang, term from t group by lang, term having count(distinct r) >= 30),
+c as (select lang, source, term, count(*) as n from t join k using (lang, term) group by lang, source, term),
+v as (select lang, count(*) as v from k group by lang),
+g as (
+  select g.lang, g.source, coalesce(s.n, 0)::hugeint as n, coalesce(v.v, 0)::hugeint as v
+  from (select distinct lang, source from d) g
+  left join (select lang, source, sum(n) as n from c group by lang, source) s using (lang, source) left join v using (lang)
+),
+p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+         1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.n + 5 * g.v) as p
+  from g join k using (lang) left join c using (lang, source, term)
+),
+q as (
+  select lang, term, 1 + (1000000000::hugeint * (sum(c.n) + 5)) // (any_value(s.n) + 5 * any_value(s.v)) as q
+  from c join (select lang, sum(n) as n, any_value(v) as v from g group by lang) s using (lang) group by lang, term
+),
+apart as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source
+),
+listed as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join apart on apart.lang = a.lang and apart.source = a.source and apart.item = b.source
+  union all
+  select p.lang, p.source, 'term', p.term, (p.p - q.q)::bigint from p join q using (lang, term) where p.n > 0 and p.p > q.q
+),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, encode(item))::int as rank from listed
+)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50
+"""
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
