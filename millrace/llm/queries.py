@@ -197,3 +197,98 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import audit
 
     return audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+@query("op13_token_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokens import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+REPAIR_SQL = r"""
+with recursive
+given as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                 coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+hashed as (
+  select *, xor(list_reduce([4294967295::bigint] || list_transform(string_split(k, ''), lambda x: ascii(x)::bigint),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda d, z: case when d & 1 = 1 then xor(d >> 1, 3988292384) else d >> 1 end)), 4294967295) % 20 as kind from given
+),
+hurt as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+         case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(case when kind = 3 then [1, 2] else [1] end) as copy
+  from hashed where kind <> 0
+),
+ids as (select conv_id, row_number() over () as c from (select distinct conv_id from conversations)),
+msg as (
+  select c, turn, role, text, row_number() over (partition by c order by turn nulls first, encode(role), encode(text)) as pos,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare
+  from hurt join ids on ids.conv_id is not distinct from hurt.conv_id
+),
+faults as (
+  select *, case when bare = '' then 'b' when row_number() over (partition by c, role, text order by pos) > 1 then 'd'
+                 when right(bare, 1) not in ('.', '!', '?') then 't' else '' end as fault,
+         substr(role, 1, 1) as initial, lag(substr(role, 1, 1)) over (partition by c order by pos) as previous
+  from msg
+),
+facts as (
+  select c, max(pos) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+         count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+         count(*) filter (previous is not null and previous || initial not in ('su', 'ua', 'au')) as illegal
+  from faults group by c
+),
+-- cheapest costs from (messages consumed, state) on; states: nothing, s, u, a
+costs as (
+  select c, n as i, 0::bigint as v0, 6::bigint as v1, 3::bigint as v2, 0::bigint as v3 from facts
+  union all
+  select c, pos - 1, least(d0, 3 + d2, 6 + d3), least(d1, 3 + d2, 6 + d3), least(d2, 3 + d3), least(d3, 3 + d2) from (
+    select costs.c, pos,
+           least(4 + v0, case when live and initial = 's' then x + v1 when live and initial = 'u' then x + v2 end, case when live then 3 + x + v2 end) as d0,
+           least(4 + v1, case when live and initial = 'u' then x + v2 end, case when live then 3 + x + v2 end) as d1,
+           least(4 + v2, case when live and initial = 'a' then x + v3 end, case when live then 3 + x + v3 end) as d2,
+           least(4 + v3, case when live and initial = 'u' then x + v2 end, case when live then 3 + x + v2 end) as d3
+    from costs join (select *, fault not in ('b', 'd') as live, case when fault = 't' then 3 else 0 end as x from faults) f
+      on f.c = costs.c and f.pos = costs.i)
+),
+plan as (
+  select costs.c, costs.i, [costs.v0, costs.v1, costs.v2, costs.v3] as v, [b.v0, b.v1, b.v2, b.v3] as w, initial, role, text,
+         fault not in ('b', 'd') as live, case when fault = 't' then 3 else 0 end as x
+  from costs left join costs b on b.c = costs.c and b.i = costs.i + 1 left join faults on faults.c = costs.c and pos = costs.i + 1
+),
+steps as (
+  select c, 0 as i, 1 as q, '' as audit, []::varchar[] as done from facts
+  union all
+  select c, case when e = 'I' then i else i + 1 end,
+         case e when 'D' then q when 'K' then k else nq end, audit || e,
+         case e when 'D' then done when 'K' then done || [role || ':' || text]
+                else done || [case when nq = 3 then 'user:' else 'assistant:' end || case when e = 'R' then text else '' end] end
+  from (
+    select s.c, s.i, s.q, s.audit, s.done, p.role, p.text, nq, k,
+           case when w[1] is not null and v[s.q] = 4 + w[s.q] then 'D' when v[s.q] = 3 + v[nq] then 'I'
+                when live and k is not null and v[s.q] = x + w[k] then 'K' when live and v[s.q] = 3 + x + w[nq] then 'R' end as e
+    from steps s join (select *, unnest([1, 2, 3, 4]) as q, unnest([3, 3, 4, 3]) as nq from plan) p0 on p0.c = s.c and p0.i = s.i and p0.q = s.q
+    join (select c, i, role, text, unnest([1, 2, 3, 4]) as q,
+                 unnest([case initial when 's' then 2 when 'u' then 3 end, case initial when 'u' then 3 end,
+                         case initial when 'a' then 4 end, case initial when 'u' then 3 end]) as k from plan) p
+      on p.c = s.c and p.i = s.i and p.q = s.q
+    where not (w[1] is null and s.q in (1, 4)))
+),
+ended as (
+  select c, audit, done from steps join facts using (c) where i = n and q in (1, 4)
+)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+       coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(v0, 0)::bigint as cost,
+       coalesce(audit, '') as audit, sha256(coalesce(array_to_string(done, chr(10)), '')) as repaired_sha256
+from ids left join facts using (c) left join ended using (c) left join costs on costs.c = ids.c and costs.i = 0
+"""
+
+
+@query("op11_conversation_repair", REPAIR_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import audit
+
+    return audit(table(spark, sf_dir, "conversations"))
