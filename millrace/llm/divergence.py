@@ -17,20 +17,24 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.session import staged
 
 from .common import pick, tasks
 from .rows import by_row, shape, streaming
 
-#: Postings that a task holds before it spills a run, and postings in one row of a run.
-BLOCK, ROW = 250_000, 2048
+#: Postings that a task holds before it spills a run, postings in one row of a run, and those a merge takes on at a time.
+BLOCK, ROW, STRETCH = 250_000, 2048, 200_000
+#: Terms whose part of the distances a task sums up.
+TERMS = 5000
 #: Sources whose distances to all others are summed at a time.
 TILE = 1024
 #: Texts above so many bytes hand over their terms in lists of WORDS.
@@ -76,87 +80,115 @@ class Block:
         docs.update(seen)
         self.size += len(docs) - before
 
-    def run(self, shards: int) -> Iterator[tuple]:
+    def run(self, shards: int) -> pa.RecordBatch:
         """The sorted run, in rows that hold terms of one shard and language."""
-        postings = sorted(
-            (zlib.crc32(term) % shards, lang, term, source, counts.get(term, 0), n)
-            for (lang, source), (counts, docs) in self.groups.items() for term, n in docs.items())
-        at = 0
-        while at < len(postings):
-            shard, lang = postings[at][:2]
-            end = at + 1
-            while end < len(postings) and end - at < ROW and postings[end][0] == shard and postings[end][1] == lang:
-                end += 1
-            terms, sources, counts, docs = zip(*(p[2:] for p in postings[at:end]), strict=True)
-            yield shard, lang, terms[0], terms, sources, counts, docs
-            at = end
+        groups = list(self.groups)
+        terms, counts, docs, sizes = [], [], [], []
+        for group in groups:
+            occurrences, found = self.groups[group]
+            terms += found
+            counts += map(occurrences.__getitem__, found)
+            docs += found.values()
+            sizes.append(len(found))
+        of = np.repeat(np.arange(len(groups)), sizes)
+        langs, sources = (pa.array([g[i] for g in groups], pa.string()) for i in (0, 1))
+        postings = pa.table({
+            "shard": pa.array(np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) % shards, pa.int32()),
+            "lang": langs.take(pa.array(of)), "terms": pa.array(terms, pa.binary()), "sources": sources.take(pa.array(of)),
+            "counts": pa.array(counts, pa.int64()), "docs": pa.array(docs, pa.int64())})
+        postings = postings.take(pc.sort_indices(postings, [(c, "ascending") for c in ("shard", "lang", "terms", "sources")])).combine_chunks()
+        flat = {c: postings[c].chunk(0) if len(terms) else postings[c].combine_chunks() for c in postings.column_names}
+        place = flat["lang"].dictionary_encode().indices.to_numpy() + len(groups) * flat["shard"].to_numpy().astype(np.int64)
+        begins = np.flatnonzero(np.diff(place, prepend=-1)) if len(terms) else np.zeros(0, np.int64)
+        ends = np.append(begins[1:], len(terms))
+        starts = np.concatenate([np.arange(b, e, ROW) for b, e in zip(begins, ends, strict=False)] or [np.zeros(0, np.int64)])
+        offsets = pa.array(np.append(starts, len(terms)), pa.int32())
+        at = pa.array(starts)
+        kinds = to_arrow_schema(RUNS)
+        columns = [flat["shard"].take(at), flat["lang"].take(at), flat["terms"].take(at)]
+        columns += [pa.ListArray.from_arrays(offsets, flat[c]).cast(kinds.field(c).type) for c in ("terms", "sources", "counts", "docs")]
+        return pa.RecordBatch.from_arrays(columns, schema=kinds)
 
 
 def index(shards: int, block: int = BLOCK):
     """Documents (lang, source, text) to sorted runs."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Block()
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
                 held.add(lang, source, text.encode())
                 if held.size >= block:
-                    yield from held.run(shards)
+                    yield held.run(shards)
                     held = Block()
-        yield from held.run(shards)
+        if held.size:
+            yield held.run(shards)
 
-    return streaming(rows, RUNS, 64)
+    return runs
 
 
-def merged(rows: Iterator[tuple]) -> Iterator[tuple[str, bytes, dict[str, list[int]]]]:
-    """(language, term, source -> [occurrences, documents]) out of rows of runs.
+class Merge:
+    """Rows of runs of one shard and language, merged a stretch of terms at a time.
 
-    The rows come sorted by shard, language and first term. A row enters the heap when the merge
-    reaches its first term, so the heap holds about one row of each run.
+    Rows come by their first terms, so all terms before the latest first one are complete. A heap by last
+    term tells which rows lie wholly before it; the others are cut there.
     """
-    heap: list = []
-    place, at = None, 0
-    term, postings = None, {}
-
-    def drained(before: bytes | None):
-        nonlocal term, postings
-        while heap and (before is None or heap[0][0] < before):
-            head, _, i, row = heap[0]
-            if head != term:
-                if term is not None:
-                    yield place[1], term, postings
-                term, postings = head, {}
-            _, sources, counts, docs = row
-            both = postings.setdefault(sources[i], [0, 0])
-            both[0] += counts[i]
-            both[1] += docs[i]
-            if i + 1 < len(row[0]):
-                heapq.heapreplace(heap, (row[0][i + 1], heap[0][1], i + 1, row))
-            else:
-                heapq.heappop(heap)
-        if before is None and term is not None:
-            yield place[1], term, postings
-            term, postings = None, {}
-
-    for shard, lang, first, *row in rows:
-        if (shard, lang) != place:
-            yield from drained(None)
-            place = shard, lang
-        else:
-            yield from drained(first)
-        at += 1
-        heapq.heappush(heap, (first, at, 0, tuple(row)))
-    yield from drained(None)
+
+    def __init__(self):
+        self.heap: list[tuple[bytes, int, pa.Table]] = []
+        self.at = self.size = 0
+
+    def add(self, row: pa.Table) -> None:
+        self.at += 1
+        self.size += len(row)
+        heapq.heappush(self.heap, (row["term"][-1].as_py(), self.at, row))
+
+    def before(self, term: bytes | None) -> pa.Table | None:
+        """The postings of all terms before this one (None: of all), which leave the merge."""
+        whole, cut = [], []
+        while self.heap and (term is None or self.heap[0][0] < term):
+            whole.append(heapq.heappop(self.heap)[2])
+        for last, at, row in self.heap:
+            n = pc.sum(pc.less(row["term"], term)).as_py()
+            whole.append(row.slice(0, n))
+            cut.append((last, at, row.slice(n)))
+        if cut:
+            self.heap = cut
+            heapq.heapify(self.heap)
+        self.size = sum(len(row) for _, _, row in self.heap)
+        return pa.concat_tables(whole) if whole else None
 
 
 def posting_lists(least_docs: int):
     """Merge the runs of a shard; terms in too few documents of their language end here."""
 
+    def lists(lang: str, postings: pa.Table | None) -> Iterator[tuple]:
+        if postings is None:
+            return
+        sums = postings.group_by(["term", "source"], use_threads=False).aggregate([("count", "sum"), ("docs", "sum")])
+        docs = sums.group_by("term", use_threads=False).aggregate([("docs_sum", "sum")])
+        enough = pc.or_(pc.greater_equal(docs["docs_sum_sum"], least_docs), pc.equal(docs["term"], pa.scalar(GROUP, pa.binary())))
+        kept = sums.filter(pc.is_in(sums["term"], value_set=docs["term"].filter(enough).combine_chunks()))
+        kept = kept.sort_by([("term", "ascending"), ("source", "ascending")])
+        rows = zip(*(kept[c].to_pylist() for c in ("term", "source", "count_sum")), strict=True)
+        for term, found in groupby(rows, key=lambda r: r[0]):
+            _, sources, counts = zip(*found, strict=True)
+            yield lang, term.decode(), sources, counts
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for lang, term, postings in merged(by_row(batches)):
-            if term == GROUP or sum(docs for _, docs in postings.values()) >= least_docs:
-                listed = sorted(postings)
-                yield lang, term.decode(), listed, [postings[s][0] for s in listed]
+        place, merge = None, Merge()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, lang, first = (batch.column(c)[i].as_py() for c in range(3))
+                if (shard, lang) != place:
+                    if place:
+                        yield from lists(place[1], merge.before(None))
+                    place, merge = (shard, lang), Merge()
+                elif merge.size >= STRETCH:
+                    yield from lists(lang, merge.before(first))
+                merge.add(pa.table([batch.column(c)[i].values for c in range(3, 7)], ["term", "source", "count", "docs"]))
+        if place:
+            yield from lists(place[1], merge.before(None))
 
     return streaming(rows, POSTINGS, 256)
 
@@ -271,7 +303,7 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFrame:
     texts = pick(docs, "lang", "source", "text").na.fill("")
     runs = texts.mapInArrow(index(shards), RUNS)
     lists = staged(
-        runs.repartition(shards, "shard").sortWithinPartitions("shard", "lang", "first")
+        runs.repartitionById(shards, "shard").sortWithinPartitions("shard", "lang", "first")
         .mapInArrow(posting_lists(least_docs), POSTINGS), "postings")
     terms = lists.where(F.col("term") != "")
     kept = terms.groupBy("lang").agg(F.count("*").alias("kept"))
@@ -280,23 +312,23 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFrame:
     groups = (
         lists.where(F.col("term") == "").select("lang", F.explode("sources").alias("source"))
         .join(totals, ["lang", "source"], "left").join(kept, "lang", "left").na.fill(0))
-    most = lists.where(F.col("term") == "").agg(F.max(F.size("sources"))).first()[0] or 1
-    tiles = -(-most // TILE)
+    n_terms, most = lists.agg(F.count("*"), F.max(F.when(F.col("term") == "", F.size("sources")))).first()
+    tiles, parts = -(-(most or 1) // TILE), max(1, min(shards, n_terms // TERMS))
     tile_of = lambda source: F.pmod(F.xxhash64(source), F.lit(tiles)).cast("int")
     none = F.lit(None)
     told = groups.select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "lang", "source", "total", "kept",
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("shard"), "lang", "source", "total", "kept",
     ).select(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), "lang", F.lit(0).alias("kind"), F.col("source").alias("name"),
         "total", "kept", tile_of("source").alias("own"), none.cast("array<string>").alias("sources"), none.cast("array<bigint>").alias("counts"),
     ).withColumn("own", F.col("own") == F.col("tile"))
     used = terms.select(
-        F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int").alias("shard"),
+        F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("shard"),
         F.explode(F.array_distinct(F.transform("sources", tile_of))).alias("tile"),
         "lang", F.lit(1).alias("kind"), F.col("term").alias("name"), none.cast("bigint").alias("total"),
         none.cast("bigint").alias("kept"), none.cast("boolean").alias("own"), "sources", "counts")
     found = (
-        told.unionByName(used).repartition(shards * tiles, "shard", "tile")
+        told.unionByName(used).repartitionById(parts * tiles, F.col("shard") * tiles + F.col("tile"))
         .sortWithinPartitions("shard", "tile", "lang", "kind").mapInArrow(distances(top), SUMS))
     ranked = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     return (
