@@ -30,6 +30,9 @@ BLOCKS = frozenset(
     "address article blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks that only group others: around the densest part they have to be dense themselves.
+CONTAINERS = frozenset("div section article center fieldset details".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag ends if still open, and where the look for it stops.
 CLOSES = {
@@ -44,13 +47,13 @@ NAMED = 9
 
 
 class Node:
-    __slots__ = ("tag", "parent", "content", "beside", "mark", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "content", "beside", "mark", "plain", "chars", "tags", "link_chars", "link_tags", "rate", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, beside: bool, mark: int = 0):
         self.tag, self.parent, self.beside, self.mark = tag, parent, beside, mark
         self.content: list[Node | str] = []
         self.plain = self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.total = 0.0
+        self.rate = self.density = self.total = 0.0
 
 
 class Tree(HTMLParser):
@@ -186,7 +189,7 @@ def judge(nodes: list[Node]) -> None:
 def measure(nodes: list[Node]) -> None:
     """Characters, tags and densities of every node; parts beside the article count nothing.
 
-    Density is characters per tag, times the logarithm of how far characters and tags outweigh
+    The rate is characters outside links per tag. Density is characters per tag, times the logarithm of how far characters and tags outweigh
     those of links. Nodes come after their parents in the list.
     """
     for n in reversed(nodes):
@@ -204,6 +207,7 @@ def measure(nodes: list[Node]) -> None:
     for n in nodes:
         if n.chars:
             plain = max(1, n.chars - n.link_chars)
+            n.rate = (n.chars - n.link_chars) / max(1, n.tags)
             base = math.log(n.chars / plain * n.link_chars + share * n.chars + math.e)
             against = n.chars / max(1, n.link_chars) * max(1, n.tags) / max(1, n.link_tags)
             n.density = n.chars / max(1, n.tags) * math.log(max(against, 1) + 1) / max(1.0, base)
@@ -221,8 +225,18 @@ def has_block(node: Node) -> bool:
     return False
 
 
-def without_link_lists(node: Node, child: Node) -> list[Node | str]:
-    """The node's content: child, and of its siblings the blocks and lines whose text is not mostly links."""
+def title_only(node: Node) -> bool:
+    """All of the node's text stands in headings."""
+    return all(x.tag in HEADINGS or isinstance(x, Node) and title_only(x) if not isinstance(x, str) else not x.strip()
+               for x in node.content if isinstance(x, str) or not x.beside and x.chars)
+
+
+def article_parts(node: Node, child: Node, threshold: float) -> list[Node | str]:
+    """The node's content: child, and of its siblings what belongs to the article.
+
+    Blocks and lines whose text is mostly links do not. A container belongs to it if its rate reaches the
+    threshold or it holds the title alone; paragraphs, lists, tables and loose lines belong to it as they are.
+    """
     runs: list[list[Node | str]] = [[]]  # a block, or texts and inline elements between blocks
     for x in node.content:
         if not isinstance(x, str) and (x is child or has_block(x)):
@@ -234,27 +248,30 @@ def without_link_lists(node: Node, child: Node) -> list[Node | str]:
         parts = [x for x in run if not isinstance(x, str) and not x.beside]
         own = sum(sum(map(str.isalnum, x)) for x in run if isinstance(x, str))
         plain = own + sum(x.chars - x.link_chars for x in parts)
-        if child in parts or plain > sum(x.link_chars for x in parts):
+        if child in parts:
             kept += run
+        elif plain > sum(x.link_chars for x in parts):
+            first = run[0]
+            if isinstance(first, str) or first.tag not in CONTAINERS or first.rate >= threshold or title_only(first):
+                kept += run
     return kept
 
 
 def main_node(nodes: list[Node]) -> Node:
     """The page's root, its content narrowed to the article.
 
-    The node with the largest sum of child densities is raised while its parent is as dense as the
-    body: on the path from the body to it, the highest element that reaches the body's density
-    holds the article or its largest part whole. Around it all other text belongs to the article
-    too, in whatever containers, but for blocks and lines that are mostly links.
+    The node with the largest sum of child densities holds the article or its largest part. The fewest characters
+    outside links per tag on the path from it to the body are the threshold that containers around it have to reach to be
+    parts of the article too, at every level; the logarithm in the density would favour large ones.
     """
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
-    best = at = max(nodes, key=lambda n: (n.total, n.density))
-    while at.parent is not None and at is not body:
-        if at.density >= body.density:
-            best = at
-        at = at.parent
+    best = max(nodes, key=lambda n: (n.total, n.density))
+    path = [best]
+    while path[-1].parent is not None and path[-1] is not body:
+        path.append(path[-1].parent)
+    threshold = min(n.rate for n in path)
     while best.parent is not None:
-        best.parent.content = without_link_lists(best.parent, best)
+        best.parent.content = article_parts(best.parent, best, threshold)
         best = best.parent
     return best
 

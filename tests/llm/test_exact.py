@@ -280,3 +280,78 @@ def test_top_k_beyond_64_bits_and_odd_vectors(spark):
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, k=2).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, 1, 1), (0, 2, 7), (50, 1, 0), (50, 2, 1)]
     assert got[2]["score"] == 512 * (256 * 10**18) + 256 * 256 if 512 * 256 * 10**18 < 2**63 else got[2]["score"] == 2**63 - 1
+
+
+def unnamed(*parts):
+    return "<html><head><title>no</title></head><body>" + "".join(parts) + "</body></html>"
+
+
+PROSE = "<h1>The title</h1>" + "".join(f"<p>{n} paragraph {'with many plain words ' * 14}to read.</p>" for n in ("First", "Second", "Third", "Fourth", "Fifth"))
+NOTICE = "<div><div>This site stores small files.</div><div><b>Fine</b></div></div>"
+READERS = "<div>" + "".join(f"<div><b>{n}</b><div>I read this twice and liked it a lot.</div><div><i>2 days</i></div></div>" for n in "ABC") + "</div>"
+TEASERS = "<div>" + "<div><div><a href=x>More to see here</a></div><div>A short line</div></div>" * 4 + "</div>"
+END = "<div><div>Copyright of the owners</div></div>"
+
+
+@pytest.mark.parametrize("page", [
+    unnamed(NOTICE, f"<div>{PROSE}</div>", READERS, END),
+    unnamed(f"<div>{NOTICE}<div>{PROSE}</div>{READERS}</div>", END),
+    unnamed(f"<div><div>{PROSE}</div></div>", TEASERS, READERS),
+    unnamed(TEASERS, f"<section>{PROSE}</section>", END),
+    unnamed(NOTICE, "<div><h1>The title</h1></div>", f"<div>{PROSE.removeprefix('<h1>The title</h1>')}</div>", READERS, END),
+])
+def test_density_alone_finds_the_article(page):
+    """No class, id or telling element: what is beside the article is only less dense."""
+    assert htmltext.main_text(page) == htmltext.main_text(f"<body>{PROSE}</body>")
+
+
+def test_negated_densities_change_the_text(monkeypatch):
+    page = unnamed(NOTICE, f"<div>{PROSE}</div>", READERS, END)
+    right = htmltext.main_text(page)
+    plain = htmltext.measure
+
+    def negated(nodes):
+        plain(nodes)
+        for n in nodes:
+            n.density, n.total = -n.density, -n.total
+
+    monkeypatch.setattr(htmltext, "measure", negated)
+    assert htmltext.main_text(page) != right
+
+
+def test_pages_of_any_length(spark):
+    rows = [(1, "u", unnamed(f"<div>{PROSE * 400}</div>", READERS)), (2, "u", "<b>" * 20_000 + "deep"), (3, "u", "x " * 300_000)]
+    got = {r["page_id"]: r for r in htmltext.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[1]["text"].count("\n\n") == 6 * 400 - 1 and got[2]["text"] == "deep" and got[3]["n_chars"] == 599_999
+
+
+def plain_density(html):
+    """Character and tag counts of every element outside scripts and styles, by a plain walk: tag path -> characters per tag."""
+    tree = htmltext.Tree()
+    tree.feed(html)
+    tree.close()
+
+    def count(node):
+        chars = sum(len("".join(x.split())) for x in node.content if isinstance(x, str))
+        tags = 0
+        for x in node.content:
+            if not isinstance(x, str) and not x.beside:
+                c, t = count(x)
+                chars, tags = chars + c, tags + t + 1
+        return chars, tags
+
+    htmltext.judge(tree.nodes)
+    htmltext.measure(tree.nodes)
+    for node in tree.nodes:
+        if not node.beside:
+            assert (node.chars, node.tags) == count(node)
+    return tree.nodes
+
+
+def test_densities_of_the_given_pages(spark):
+    """Counts against a plain walk; the sums are those of the children; the article's element is the densest sum."""
+    for row in spark.read.parquet(f"{SF}/pages.parquet").limit(60).collect():
+        nodes = plain_density(row["html"])
+        for n in nodes:
+            if not n.beside:
+                assert abs(n.total - sum(x.density for x in n.content if not isinstance(x, str) and not x.beside)) < 1e-9
