@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,73 +21,93 @@ from .common import pick, tasks
 from .rows import by_row, shape, streaming
 from .wavelet import Wavelet, pack
 
-#: Ids after which a shard ends, and pieces of texts whose ids a task remembers.
-SHARD, REMEMBERED = 1 << 20, 400_000
+#: Ids after which a shard ends, parts of texts whose ids a worker remembers, and texts that it encodes at a time.
+SHARD, REMEMBERED, TEXTS = 1 << 20, 1_000_000, 100
 #: Fixed value: the id that ends a document.
 END = 0
-#: Pieces that one call of the tokenizer gets, and the sign between them. No other sign shares its byte.
-JOINED, GAP = 500, " \x00"
-
 SUFFIX = ".wavelet"
 WRITTEN = shape("part int, piece int, n_docs bigint, n_ids bigint")
 READ = shape("part int, piece int, at int, doc_id bigint, begin bigint, n_tokens bigint, ids_crc32 bigint")
 FOUND = shape("token int, doc_id bigint, part int, piece int, at int, place bigint")
 
 
+#: Letters in every version of Unicode that a tokenizer may use; ASCII signs but letters, white space and the apostrophe;
+#: and all ASCII but letters and the apostrophe.
+LETTERS, SIGNS, OTHERS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-@\[-`{-~", r"\x00-&(-@\[-`{-\x7f"
+PARTS = re.compile("|".join([
+    f" ?[{LETTERS}]+(?=[{OTHERS}])",  # a word
+    f"[{SIGNS}]+(?= ?[{LETTERS}])",  # signs and digits between words
+    f"[{SIGNS}]+\n(?=[{LETTERS}])",  # the end of a line
+    f"(?s:.)+?(?:(?<=[{LETTERS}])(?=[{OTHERS}])|\\Z)",  # whatever else, up to the end of a word
+]))
+WORD = re.compile(f" ?[{LETTERS}]+")
+
+
+def byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: the byte's own if it can be seen, else the next from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Ids of whole texts by a public byte-level vocabulary.
 
-    Such a tokenizer cuts a text before every space between two letters, whatever surrounds them, and
-    the ids of a part between two such cuts depend on that part alone. Parts repeat, so their ids are
-    remembered, and new ones go to the tokenizer many at a time.
+    Such a tokenizer never joins a letter with a sign, digit or space after it, nor a sign with a space and
+    letter after it, whatever surrounds them: there a text is cut into PARTS, and the ids of a part
+    depend on that part alone. Parts repeat, so their ids are remembered. New words, which the tokenizer would not
+    cut further, go to its model at once; other parts go through all of it. Words with an apostrophe, other scripts and
+    runs of white space are never cut inside.
     """
 
-    #: Letters in every version of Unicode that a tokenizer may use.
-    CUT = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ]) (?=[A-Za-zÀ-ÖØ-öø-ÿ])")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are text
-        self.gap = self.plain(["a" + GAP + " a"])[0][1:-1]
+        self.pairs = self.model.model
         self.known: dict[str, bytes] = {}
+        self.signs = byte_signs()
 
-    def plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def word(self, word: str) -> bytes:
+        signs = word.encode().decode("latin-1").translate(self.signs)
+        ids = [t.id for t in self.pairs.tokenize(signs)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, parts: list[str]) -> None:
-        """Remember the ids of parts that begin and end with a letter and had a space before them."""
-        odd = [p for p in parts if "\x00" in p]
-        for p, ids in zip(odd, self.plain([" " + p for p in odd]), strict=True):
-            self.known[p] = ids.tobytes()
-        usual = [p for p in parts if "\x00" not in p]
-        groups = [usual[i : i + JOINED] for i in range(0, len(usual), JOINED)]
-        for group, ids in zip(groups, self.plain([" " + (GAP + " ").join(g) for g in groups]), strict=True):
-            ends = np.append(np.flatnonzero(ids == self.gap[-1]) + 1, len(ids) + len(self.gap))
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(group, (4 * ends).tolist(), strict=True):
-                self.known[p] = raw[at : end - 4 * len(self.gap)]
-                at = end
+        """Remember the ids of parts."""
+        others = []
+        for p in parts:
+            if WORD.fullmatch(p):
+                self.known[p] = self.word(p)
+            else:
+                others.append(p)
+        for p, e in zip(others, self.model.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        cut = [self.CUT.split(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.learn(list({p for parts in cut for p in parts[1:-1]} - self.known.keys()))
-        edges = self.plain([p for parts in cut for p in ([parts[0]] if len(parts) == 1 else [parts[0], " " + parts[-1]])])
-        out, at = [], 0
-        for parts in cut:
-            ids = [edges[at].tobytes(), *map(self.known.__getitem__, parts[1:-1])]
-            at += 1
-            if len(parts) > 1:
-                ids.append(edges[at].tobytes())
-                at += 1
-            out.append(b"".join(ids))
+        out, known = [], self.known
+        for i in range(0, len(texts), TEXTS):
+            cut = [PARTS.findall(t) for t in texts[i : i + TEXTS]]
+            if len(known) > REMEMBERED:
+                known.clear()
+            self.learn(list({p for parts in cut for p in parts if p not in known}))
+            out += [b"".join(map(known.__getitem__, parts)) for parts in cut]
         return out
 
 
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker, which later tasks find with what it remembers."""
+    if path not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
+
+
 def store(folder: str) -> tuple[stores.FileSystem, str]:
     """The store of a folder and the folder's path in it."""
     return stores.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
@@ -105,7 +126,7 @@ def shards(folder: str, vocabulary: str, size: int):
     """Sorted documents (doc_id, text) to files; yields what each holds."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         part, piece = TaskContext.get().partitionId(), 0
         held, documents, total = [], [], 0
 

@@ -163,15 +163,15 @@ class Wavelet:
         return int(self.climbed(token, np.array([first + k]))[0])
 
     def tokens(self) -> np.ndarray:
-        """All ids, plane by plane."""
-        at = np.arange(self.n)
+        """All ids: from below the last plane up, each plane says which of its ids come from the front part."""
         made = np.zeros(self.n, np.uint32)
-        for level in range(self.levels):
+        for level in reversed(range(self.levels)):
             bits = np.concatenate([self.bits(level, b) for b in range(self.per_level)]) if self.n else np.zeros(0, np.uint8)
-            ones = np.cumsum(bits, dtype=np.int64) - bits
-            here = bits[at]
-            made = made << np.uint32(1) | here
-            at = np.where(here == 1, self.zeros[level] + ones[at], at - ones[at])
+            ones = bits.view(bool)
+            above = np.empty_like(made)
+            above[~ones] = made[: self.zeros[level]]
+            above[ones] = made[self.zeros[level] :] | np.uint32(1 << (self.levels - 1 - level))
+            made = above
         return made
 
     def place(self, i: int) -> tuple[int, int]:
