@@ -125,7 +125,8 @@ def order_users(details: DataFrame, width: str = WIDTH, key: str = "user_id") ->
         "order_unique_user_count": "is_unique", "order_new_user_count": "is_new"}, width=width)
 
 
-def _amount_rows(details: DataFrame, order) -> DataFrame:
+def amount_rows(details: DataFrame, order) -> DataFrame:
+    """Order lines with the four amounts as decimals, for :func:`sku_amounts` and its stream form."""
     extra = [c for c in order if c != "et"]
     return details.select(
         "id", "sku_id", "et", *extra,
@@ -140,7 +141,7 @@ def sku_amounts(details: DataFrame, width: str = WIDTH, order=("et",), grain: st
 
     Revisions of a line count with their change only.
     """
-    changed = deltas(_amount_rows(details, order), ["id"], list(order), AMOUNTS)
+    changed = deltas(amount_rows(details, order), ["id"], list(order), AMOUNTS)
     keys = ["sku_id"] if grain == "sku_id" else ["id", "sku_id"]
     return window_sums(changed, {a: a for a in AMOUNTS}, keys, width)
 

@@ -1,7 +1,8 @@
 """Windowed aggregates over streams; the same rules as ``plans.dws`` on tables.
 
 Inputs are streams with event time ``et`` and no watermark: it is set once per branch, before the
-first step with state. Windows come out when the watermark has passed them.
+first step with state. Windows come out when the watermark has passed them. First events of a day are
+final by then, so the rows equal those of the table however rows come within the lateness.
 """
 
 from pyspark.sql import DataFrame
@@ -31,14 +32,14 @@ def page_views(log: DataFrame, width: str = WIDTH, order=("et",), lateness: str
 
     views = part(rows.withWatermark("et", lateness), pv=F.lit(1), dur=F.col("during_time"))
     visitors = part(stream_day_changes(rows, ["mid"], order, dws.VISITOR, lateness=lateness), uv=F.lit(1))
-    sessions = part(stream_first_seen(rows, ["sid"], order, dws.VISITOR), sv=F.lit(1))
+    sessions = part(stream_first_seen(rows, ["sid"], order, dws.VISITOR, lateness), sv=F.lit(1))
     return window_sums(views.unionByName(visitors).unionByName(sessions), dws.PAGE_VIEW_SUMS, dws.VISITOR, width)
 
 
-def home_detail_views(log: DataFrame, width: str = WIDTH) -> DataFrame:
+def home_detail_views(log: DataFrame, width: str = WIDTH, lateness: str = LATENESS) -> DataFrame:
     rows = log.where(F.col("page.page_id").isin(dws.HOME, dws.DETAIL)).select(
         "et", F.col("common.mid").alias("mid"), F.col("page.page_id").alias("page_id"))
-    firsts = stream_day_changes(rows, ["mid", "page_id"])
+    firsts = stream_day_changes(rows, ["mid", "page_id"], lateness=lateness)
     return window_sums(firsts, {
         "home_uv_ct": F.when(F.col("page_id") == dws.HOME, 1).otherwise(0),
         "good_detail_uv_ct": F.when(F.col("page_id") == dws.DETAIL, 1).otherwise(0),
@@ -60,24 +61,24 @@ def registrations(users: DataFrame, width: str = WIDTH, lateness: str = LATENESS
         F.count(F.lit(1)).alias("register_ct")))
 
 
-def cart_users(adds: DataFrame, width: str = WIDTH) -> DataFrame:
-    return window_sums(stream_day_changes(adds, ["user_id"]), {"cart_add_uu_ct": F.lit(1)}, width=width)
+def cart_users(adds: DataFrame, width: str = WIDTH, lateness: str = LATENESS) -> DataFrame:
+    return window_sums(stream_day_changes(adds, ["user_id"], lateness=lateness), {"cart_add_uu_ct": F.lit(1)}, width=width)
 
 
-def payment_users(payments: DataFrame, width: str = WIDTH) -> DataFrame:
-    return window_sums(mark_new(stream_day_changes(payments, ["user_id"])), {
+def payment_users(payments: DataFrame, width: str = WIDTH, lateness: str = LATENESS) -> DataFrame:
+    return window_sums(mark_new(stream_day_changes(payments, ["user_id"], lateness=lateness)), {
         "payment_suc_unique_user_count": "is_unique", "payment_suc_new_user_count": "is_new"}, width=width)
 
 
-def order_users(details: DataFrame, width: str = WIDTH, key: str = "user_id") -> DataFrame:
-    return window_sums(mark_new(stream_day_changes(details, [key])), {
+def order_users(details: DataFrame, width: str = WIDTH, key: str = "user_id", lateness: str = LATENESS) -> DataFrame:
+    return window_sums(mark_new(stream_day_changes(details, [key], lateness=lateness)), {
         "order_unique_user_count": "is_unique", "order_new_user_count": "is_new"}, width=width)
 
 
-def sku_orders(changed: DataFrame, dims: dict[str, DataFrame], width: str = WIDTH,
-               lateness: str = LATENESS) -> DataFrame:
-    """Amounts per window and product from line changes (see ``stateful.stream_deltas``)."""
-    sums = window_sums(changed.withWatermark("et", lateness), {a: a for a in dws.AMOUNTS}, ["sku_id"], width)
+def sku_orders(changed: DataFrame, dims: dict[str, DataFrame], width: str = WIDTH) -> DataFrame:
+    """Amounts per window and product from line changes, of the same stream (see ``stateful.stream_deltas``) or of
+    a topic with a watermark on ``et``."""
+    sums = window_sums(changed, {a: a for a in dws.AMOUNTS}, ["sku_id"], width)
     return sums.join(flat_sku(dims), "sku_id", "left")
 
 
@@ -86,7 +87,7 @@ def province_orders(changed: DataFrame, details: DataFrame, provinces: DataFrame
     """Amount changes of lines and first lines of orders, per window and province."""
     amounts = changed.withWatermark("et", lateness).select(
         "et", "province_id", "order_amount", F.lit(0).alias("opened"))
-    opened = stream_first_seen(details, ["order_id"], order, ["province_id"]).select(
+    opened = stream_first_seen(details, ["order_id"], order, ["province_id"], lateness).select(
         "et", "province_id", F.lit(0).cast("decimal(16,2)").alias("order_amount"), F.lit(1).alias("opened"))
     sums = window_sums(amounts.unionByName(opened), {"order_count": "opened", "order_amount": "order_amount"},
                        ["province_id"], width)

@@ -1,10 +1,12 @@
 """Keyed state over streams: day changes of a key, amount changes of a record.
 
-Rows arrive in event-time order across batches, up to the watermark delay; inside a batch they
-are ordered here. Each task first keeps only the first row per key and day of every Arrow batch,
-so a key with very many rows sends few of them to its state.
+A row goes out when the watermark has passed it, so none that comes later can stand before it: the
+results depend on event time alone, not on the order of arrival or on how rows fall into batches. A row
+leaves in the batch that moves the watermark over it, which is when windows downstream
+still take it.
 """
 
+import pickle
 import sys
 from collections.abc import Iterator
 
@@ -22,48 +24,102 @@ from millrace.sources.logs import LATENESS
 # The processor travels to the workers with its code, so they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+def _rank(row, order):
+    """The row's place in the order; a missing value comes first, as it does in the table form."""
+    return tuple((row[c] is not None, row[c]) for c in order)
 
-class DayChanges(StatefulProcessor):
-    """Emits a key's first row of each day, with the day the key was seen before.
 
-    The last two days are remembered: rows that come late around midnight still belong to the day
-    before, and the new day is not flagged again after them. The new day's row, once out, is not
-    revised: its day before is the one known when it came.
-    """
+def _with_ranks(df: DataFrame, order) -> tuple[DataFrame, list[str]]:
+    """The rows, and columns that rank them like ``order``: numbers for its times, which reach Python in different
+    forms from rows and from state."""
+    times = {c: f"_rank_{c}" for c in order if isinstance(df.schema[c].dataType, T.TimestampType)}
+    return df.withColumns({name: F.unix_micros(c) for c, name in times.items()}), [times.get(c, c) for c in order]
+
+
+def _timer(us: int) -> int:
+    """The timer, in milliseconds, at which the watermark has passed a time."""
+    return us // 1000 + 1
+
+
+BLOB = T.StructType([T.StructField("blob", T.BinaryType())])
 
-    def __init__(self, order, columns, keep_ms=None):
-        self.order, self.columns, self.keep_ms = list(order), list(columns), keep_ms
+
+class _Held(StatefulProcessor):
+    """A processor that keeps what it holds for a key in one value: a call of the engine's state costs more than a small value."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        shape = T.StructType([T.StructField("day", T.StringType()), T.StructField("before", T.StringType())])
-        self.days = handle.getValueState("days", shape, self.keep_ms)
+        self.handle = handle
+        self.state = handle.getValueState("held", BLOB)
+
+    def _load(self):
+        value = self.state.get()
+        return pickle.loads(bytes(value[0])) if value else None
+
+    def _store(self, held) -> None:
+        self.state.update((pickle.dumps(held),))
+
+    def close(self) -> None:
+        pass
+
+
+class DayChanges(_Held):
+    """Emits a key's first row of each day by event time, with the day the key was seen before.
+
+    The first row known of each day waits in a state of its own until the watermark has passed it. Then
+    no earlier row can come, of this day or of the days before, so both the row and the
+    day before it are final. Days leave in order, and a row of the last day out or before it is none.
+    """
+
+    def __init__(self, shape: T.StructType, order, columns, keep_ms=None):
+        self.names, self.order, self.columns = shape.names, list(order), list(columns)
+        self.keep_us = None if keep_ms is None else keep_ms * 1000
+
+    def _forgotten(self, last, us: int) -> bool:
+        """The key was forgotten before this time."""
+        return self.keep_us is not None and us > last[1] + self.keep_us
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         firsts = {}
         for row in rows:
-            # A missing value comes first, as it does in the table form.
-            rank = tuple((row[c] is not None, row[c]) for c in self.order)
-            if row["day"] not in firsts or rank < firsts[row["day"]][0]:
-                firsts[row["day"]] = (rank, row)
-        state = self.days.get()
-        last, before = state if state else (None, None)
-        known = (last, before)
-        named = Row(*self.columns, "last_day")
-        for _, row in sorted(firsts.values(), key=lambda first: first[0]):
-            day = row["day"]
-            if day in (last, before):
+            if row["day"] not in firsts or _rank(row, self.order) < _rank(firsts[row["day"]], self.order):
+                firsts[row["day"]] = row
+        last, waiting = self._load() or (None, {})
+        changed = False
+        for day, row in firsts.items():
+            if last is not None and day <= last[0] and not self._forgotten(last, row["_us"]):
                 continue
-            if last is None or day > last:
-                yield named(*[row[c] for c in self.columns], last)
-                last, before = day, last
-            elif before is None or day > before:  # a late first row of a day before the last one
-                yield named(*[row[c] for c in self.columns], before)
-                before = day
-        if (last, before) != known:
-            self.days.update((last, before))
+            if day in waiting:
+                if _rank(waiting[day], self.order) <= _rank(row, self.order):
+                    continue
+                self.handle.deleteTimer(_timer(waiting[day]["_us"]))
+            waiting[day] = {c: row[c] for c in self.names}
+            self.handle.registerTimer(_timer(row["_us"]))
+            changed = True
+        if changed:
+            self._store((last, waiting))
+        return iter(())
 
-    def close(self) -> None:
-        pass
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self._load()
+        if held is None:
+            return
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        last, waiting = held
+        named = Row(*self.columns, "last_day")
+        ready = sorted((r for r in waiting.values() if r["_us"] < passed), key=lambda r: _rank(r, self.order))
+        for row in ready:
+            del waiting[row["day"]]
+            if last is not None and self._forgotten(last, row["_us"]):
+                last = None
+            if last is None or row["day"] > last[0]:
+                yield named(*[row[c] for c in self.columns], last[0] if last is not None else None)
+                last = (row["day"], row["_us"])
+        if ready:
+            self._store((last, waiting))
+            if self.keep_us is not None:
+                self.handle.registerTimer(_timer(last[1] + self.keep_us))
+        elif not waiting and last is not None and self._forgotten(last, passed):
+            self.state.clear()
 
 
 def _first_per_chunk(keys, order):
@@ -81,96 +137,217 @@ def _first_per_chunk(keys, order):
 
 def stream_day_changes(rows: DataFrame, key, order=("et",), keep=(), period=None,
                        lateness: str = LATENESS, keep_ms: int | None = None) -> DataFrame:
-    """The streaming twin of ``operators.flags.day_changes``.
-
-    ``rows`` is a stream with event time ``et`` and no watermark yet. ``period`` replaces the
-    calendar day, for example by a constant for first-ever events. ``keep_ms`` forgets a key that
-    long after its last change; its next event then counts as a first one. Without it every key
-    is remembered. A row that is late by more than the day before the last is left out.
+    """The streaming twin of ``operators.flags.day_changes``; windows over its rows may follow in the same stream.
+
+    ``rows`` is a stream with event time ``et`` and no watermark yet, ``order`` starts with ``et``.
+    ``period`` replaces the calendar day, for example by a constant for first-ever events; it must
+    not fall as time goes on. ``keep_ms`` forgets a key that long, in event time, after its last
+    first row; its next event then counts as a first one. Without it every key is remembered. Each
+    task first keeps only the first row per key and day of every Arrow batch, so a key with very many rows
+    sends few of them to its state. Rows later than ``lateness`` are left out.
     """
     order, key = list(order), list(key)
     kept = [*key, "day", *order, *[c for c in keep if c not in order]]
     timed = rows.where(F.col("et").isNotNull()).withColumn("day", day("et") if period is None else period).select(*kept)
     firsts = timed.mapInArrow(_first_per_chunk([*key, "day"], order), timed.schema)
+    marked, ranks = _with_ranks(firsts.withWatermark("et", lateness).withColumn("_us", F.unix_micros("et")), order)
     shape = T.StructType(timed.schema.fields + [T.StructField("last_day", T.StringType())])
-    return firsts.withWatermark("et", lateness).groupBy(*key).transformWithState(
-        DayChanges(order, kept, keep_ms), shape, "append", "eventTime", eventTimeColumnName="et")
+    return marked.groupBy(*key).transformWithState(
+        DayChanges(marked.schema, ranks, kept, keep_ms), shape, "append", "eventTime", eventTimeColumnName="et")
 
 
-def stream_first_seen(rows: DataFrame, key, order=("et",), keep=(), keep_ms: int | None = None) -> DataFrame:
+def stream_first_seen(rows: DataFrame, key, order=("et",), keep=(), lateness: str = LATENESS,
+                      keep_ms: int | None = None) -> DataFrame:
     """The first event ever of each key, or the first within ``keep_ms``, such as the life of a session."""
-    return stream_day_changes(rows, key, order, keep, F.lit("ever"), keep_ms=keep_ms).drop("day", "last_day")
+    firsts = stream_day_changes(rows, key, order, keep, F.lit("ever"), lateness, keep_ms)
+    return firsts.drop("day", "last_day")
 
 
-class AmountChanges(StatefulProcessor):
-    """Emits each revision's change of amounts once no earlier revision of its key can come any more.
+# What a row of a part is to the rows of other parts.
+INSIDE, OPENING, CLOSING = "inside", "opening", "closing"
+# Before the columns of a first or last revision as it was.
+RAW = "_raw_"
 
-    Rows wait in the key's state until the watermark has passed them and then go out in order, so
-    a revision that comes late within the allowed time takes its place. The state holds the
-    waiting rows and the last one given out.
-    """
 
-    def __init__(self, order, amounts, shape: T.StructType, attributes: str, idle_us: int | None, first: str | None):
-        self.order, self.amounts, self.attributes = list(order), set(amounts), attributes
-        self.shape, self.idle_us, self.first = shape, idle_us, first
-        self.columns = [c for c in shape.names if c != "_us"]
+def _changed(row, before, amounts, columns, attributes, first):
+    """The values that go out for a revision, given the one before it."""
+    source = before if before is not None and attributes == "previous" else row
+    out = [source[c] if c not in amounts else row[c] if before is None else (row[c] or 0) - (before[c] or 0) for c in columns]
+    return [*out, before is None] if first else out
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.shape)
-        self.last = handle.getValueState("last", self.shape)
+
+class PartChanges(_Held):
+    """Amount changes inside one part of a key's time.
+
+    Revisions wait until the watermark has passed them and go out in order, each with its change
+    against the one before. The first of the part goes out as it is, marked as opening. When the
+    watermark has passed the part's end, its last revision follows as closing, and the state is freed.
+    One timer stands for all that waits, so a batch reads what waits once.
+    """
+
+    def __init__(self, shape, order, amounts, columns, attributes, idle_us, first):
+        self.names, self.order, self.amounts, self.columns = shape.names, list(order), set(amounts), list(columns)
+        self.attributes, self.idle_us, self.first = attributes, idle_us, first
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for row in rows:
-            self.waiting.appendValue(tuple(row[c] for c in self.shape.names))
-            self.handle.registerTimer(row["_us"] // 1000 + 1)
+        due, last, waiting = self._load() or (None, None, [])
+        waiting += [{c: row[c] for c in self.names} for row in rows]
+        least = min(r["_us"] for r in waiting)
+        if due is None or least < due:
+            if due is not None:
+                self.handle.deleteTimer(_timer(due))
+            self.handle.registerTimer(_timer(least))
+            due = least
+        self._store((due, last, waiting))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = [dict(zip(self.shape.names, r)) for r in self.waiting.get()]
-        ready = [r for r in rows if r["_us"] < passed]
-        if not ready:
+        held = self._load()
+        if held is None:  # closed by another timer of this batch
             return
-        later = [tuple(r[c] for c in self.shape.names) for r in rows if r["_us"] >= passed]
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
-        state = self.last.get()
-        before = dict(zip(self.shape.names, state)) if state else None
-        names = [*self.columns, *([self.first] if self.first else [])]
-        for row in sorted(ready, key=lambda r: tuple((r[c] is not None, r[c]) for c in self.order)):
-            if before is not None and self.idle_us is not None and row["_us"] > before["_us"] + self.idle_us:
-                before = None
-            source = before if before is not None and self.attributes == "previous" else row
-            out = [self._change(row, before, c) if c in self.amounts else source[c] for c in self.columns]
-            yield Row(*names)(*out, *([before is None] if self.first else []))
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        _, before, waiting = held
+        ready = sorted((r for r in waiting if r["_us"] < passed), key=lambda r: _rank(r, self.order))
+        out = Row(*self.columns, *([self.first] if self.first else []), "_kind", "_due", *[f"{RAW}{c}" for c in self.names])
+
+        def changed(row, known):
+            return _changed(row, known, self.amounts, self.columns, self.attributes, self.first)
+
+        for row in ready:
+            if before is None:
+                yield out(*changed(row, None), OPENING, row["et"], *row.values())
+            else:
+                known = before if self.idle_us is None or row["_us"] <= before["_us"] + self.idle_us else None
+                yield out(*changed(row, known), INSIDE, row["et"], *[None] * len(self.names))
             before = row
-        self.last.update(tuple(before[c] for c in self.shape.names))
+        later = [r for r in waiting if r["_us"] >= passed]
+        end = (before or later[0])["_end"]
+        if not later and end < passed:
+            yield out(*changed(before, None), CLOSING, before["_end_at"], *before.values())
+            self.state.clear()
+            return
+        due = min((r["_us"] for r in later), default=end)
+        self.handle.registerTimer(_timer(due))
+        self._store((due, before, later))
 
-    @staticmethod
-    def _change(row, before, column):
-        if before is None:
-            return row[column]
-        return (row[column] or 0) - (before[column] or 0)
 
-    def close(self) -> None:
-        pass
+class PartsOfKey(_Held):
+    """Joins the parts of a key: an opening revision gets its change against the closing one of the part before.
+
+    Rows inside parts pass; they come under keys of their own, spread by part.
+    """
+
+    def __init__(self, shape, order, amounts, columns, attributes, idle_us, first):
+        self.names, self.order, self.amounts, self.columns = shape.names, list(order), set(amounts), list(columns)
+        self.attributes, self.idle_us, self.first = attributes, idle_us, first
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        names = [*self.columns, *([self.first] if self.first else [])]
+        out, edges = Row(*names), []
+        for row in rows:
+            if row["_kind"] == INSIDE:
+                yield out(*[row[c] for c in names])
+            else:
+                edges.append((row["_kind"], {c: row[f"{RAW}{c}"] for c in self.names}))
+        if not edges:
+            return
+        before = self._load()
+        # Of a part with a single revision the opening comes before the closing, which is the same row.
+        for kind, row in sorted(edges, key=lambda e: (_rank(e[1], self.order), e[0] == CLOSING)):
+            if kind == OPENING:
+                known = before if before is None or self.idle_us is None or row["_us"] <= before["_us"] + self.idle_us else None
+                yield out(*_changed(row, known, self.amounts, self.columns, self.attributes, self.first))
+            else:
+                before = row
+        if before is not None:
+            self._store(before)
+            if self.idle_us is not None:
+                self.handle.registerTimer(_timer(before["_us"] + self.idle_us))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        before = self._load()
+        if before is not None and before["_us"] + self.idle_us < timerValues.getCurrentWatermarkInMs() * 1000:
+            self.state.clear()
+        return iter(())
 
 
 def stream_deltas(rows: DataFrame, key, order, amounts, attributes: str = "current", idle_s: int | None = None,
-                  first: str | None = None, lateness: str = LATENESS) -> DataFrame:
+                  first: str | None = None, lateness: str = LATENESS, part_s: int = 3600) -> DataFrame:
     """The streaming twin of ``operators.deltas.deltas``, with the keyed state of the engine.
 
-    ``rows`` is a stream of flat columns with event time ``et`` and no watermark yet. Changes come out when the
-    watermark has passed them; a revision that is late beyond it is left out. As they are older
-    than the watermark then, they go to a topic, and windows over them belong to the job that reads it.
+    ``rows`` is a stream of flat columns with event time ``et`` and no watermark yet; ``order`` starts with a
+    column that never falls as ``et`` rises. Changes come out when the watermark has passed them; a revision
+    that is late beyond it is left out. With the attributes of the current revision windows may follow in the
+    same stream. A change with those of the revision before carries that one's time, which the
+    watermark has long passed: it goes to a topic, for a job with a longer lateness.
+
+    A key's time is cut into parts of ``part_s`` seconds, each with a state of its own. Only the first and
+    last revision of a part meet those of other parts, in a state by key; so neither a hot key nor a
+    backlog of it lies in one task. With ``idle_s`` a key is forgotten after that much event time.
     """
-    timed = rows.withColumn("_us", F.unix_micros("et")).withWatermark("et", lateness)
+    width = part_s * 1_000_000
+    part = F.floor(F.unix_micros("et") / width)
+    timed = rows.where(F.col("et").isNotNull()).withColumns({
+        "_us": F.unix_micros("et"), "_part": part, "_end": (part + 1) * width - 1,
+        "_end_at": F.timestamp_micros((part + 1) * width - 1)}).withWatermark("et", lateness)
+    timed, ranks = _with_ranks(timed, list(order))
+    idle_us = idle_s * 1_000_000 if idle_s is not None else None
     out = T.StructType(rows.schema.fields + ([T.StructField(first, T.BooleanType())] if first else []))
-    processor = AmountChanges(order, amounts, timed.schema, attributes, idle_s * 1_000_000 if idle_s is not None else None, first)
-    return timed.where(F.col("et").isNotNull()).groupBy(*key).transformWithState(processor, out, "append", "eventTime")
+    raw = [T.StructField(f"{RAW}{f.name}", f.dataType) for f in timed.schema.fields]
+    handed = T.StructType([*out.fields, T.StructField("_kind", T.StringType()), T.StructField("_due", T.TimestampType()), *raw])
+    settings = (timed.schema, ranks, amounts, rows.columns, attributes, idle_us, first)
+    parts = timed.groupBy(*key, "_part").transformWithState(
+        PartChanges(*settings), handed, "append", "eventTime", eventTimeColumnName="_due")
+    lane = F.when(F.col("_kind") == INSIDE, F.floor(F.unix_micros("_due") / width))
+    chained = {"eventTimeColumnName": "et"} if attributes == "current" else {}
+    return parts.withColumn("_lane", lane).groupBy(*key, "_lane").transformWithState(
+        PartsOfKey(*settings), out, "append", "eventTime", **chained)
+
+
+class FirstVisits(StatefulProcessor):
+    """Keeps the first record of each device and tells, for every batch a device is in, what it is by then."""
+
+    def __init__(self, order, shape: T.StructType):
+        self.order, self.shape = list(order), shape
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", self.shape)
+
+    def _with(self, rows) -> tuple:
+        held = self.first.get()
+        least = held and dict(zip(self.shape.names, held))
+        for row in rows:
+            if least is None or _rank(row, self.order) < _rank(least, self.order):
+                least = row
+        now = tuple(least[c] for c in self.shape.names)
+        if now != held:
+            self.first.update(now)
+        return now
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self._with([initialState])
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        yield Row("mid", *self.shape.names)(key[0], *self._with(rows))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_first_visits(log: DataFrame, order=("ts",), seen: DataFrame | None = None) -> DataFrame:
+    """The first record of each device of a batch among all so far: ``mid``, the ``order`` columns and ``is_new``.
+
+    ``log`` is a stream of records, ``seen`` a table of first visits (see ``operators.logs.first_visits``) that the
+    engine's state begins with. Of each Arrow batch only the first record per device reaches the
+    state, so a device with very many records sends few.
+    """
+    order = [*order, "is_new"]
+    rows = log.where(F.col("common.mid").isNotNull()).select(
+        F.col("common.mid").alias("mid"), *order[:-1], F.col("common.is_new").alias("is_new"))
+    firsts, ranks = _with_ranks(rows.mapInArrow(_first_per_chunk(["mid"], order), rows.schema), order)
+    shape = T.StructType([f for f in firsts.schema.fields if f.name != "mid"])
+    begun = None if seen is None else _with_ranks(seen.select("mid", "first.*"), order)[0].select(*firsts.columns).groupBy("mid")
+    return firsts.groupBy("mid").transformWithState(FirstVisits(ranks, shape), firsts.schema, "append", "none", begun).select(*rows.columns)
 
 
 def stream_distinct(rows: DataFrame, keys, spread_by, parts: int | None = None) -> DataFrame:
