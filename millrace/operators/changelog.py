@@ -5,20 +5,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.columns import op_type, whole
+from millrace.sources.topics import counted
 
 # The change kinds that are let through.
 CHANGE_TYPES = ("insert", "update", "delete", "bootstrap-insert")
 
 
-def clean(rows: DataFrame, database: str) -> DataFrame:
-    """Complete changes of one database, of a known kind and with a non-empty row."""
-    return rows.where(
+def clean(rows: DataFrame, database: str, count=None) -> DataFrame:
+    """Complete changes of one database, of a known kind and with a non-empty row; ``count`` as in ``topics.counted``."""
+    return counted(rows, (
         (F.col("database") == database)
         & F.col("table").isNotNull()
         & F.col("ts").isNotNull()
         & F.col("type").isin(*CHANGE_TYPES)
         & (F.size("data") > 0)
-    )
+    ), count)
 
 
 def of_table(rows: DataFrame, database: str, table: str, change_type: str | None = None) -> DataFrame:
@@ -65,6 +66,33 @@ def latest_by_key(rows: DataFrame, key, order, op: str | None = None, deleted: s
     return flat if op is None else flat.where(~F.col(op).eqNullSafe(deleted))
 
 
+def _last_cells(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
+    """The last value of each cell and, as the cell without a name, the last deletion: ``_column``, ``_value``, ``_at``."""
+    entry = "array<struct<key: string, value: string>>"
+    put = F.map_entries(F.map_filter(F.col(row), lambda _, value: value.isNotNull())).cast(entry)
+    gone = F.lit(None).cast("string")  # the cell without a name stands for a deletion
+    remove = F.array(F.struct(gone.alias("key"), gone.alias("value"))).cast(entry)
+    steps = F.when(F.col(op).isin("insert", "update"), put).when(F.col(op) == "delete", remove)
+    cells = rows.select(*key, F.struct(*order).alias("_at"), F.explode(steps).alias("_cell"))
+    return cells.groupBy(*key, F.col("_cell.key").alias("_column")).agg(
+        F.max_by("_cell.value", "_at").alias("_value"), F.max("_at").alias("_at"))
+
+
+def last_cells(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
+    """The changes that :func:`merge_cells` still needs: one row per cell, and one per deletion.
+
+    Merging these together with any later changes gives what merging all changes would. Columns other than
+    the key, ``order``, ``op`` and ``row`` become null.
+    """
+    cells = _last_cells(rows, list(key), list(order), op, row)
+    whole = F.col("_column").isNull()
+    made = {op: F.when(whole, "delete").otherwise("update"),
+            row: F.when(whole, F.create_map().cast("map<string,string>")).otherwise(F.create_map("_column", "_value"))}
+    values = [F.col(c) if c in key else F.col(f"_at.{c}").alias(c) if c in order
+              else made[c].alias(c) if c in made else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
+    return cells.select(*values)
+
+
 def merge_cells(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
     """Row maps per key after all puts and deletes, cell by cell.
 
@@ -73,14 +101,7 @@ def merge_cells(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
     must decide between any two changes of a key. Each cell is folded on its own, so the shuffle
     carries the last value per cell and task.
     """
-    entry = "array<struct<key: string, value: string>>"
-    put = F.map_entries(F.map_filter(F.col(row), lambda _, value: value.isNotNull())).cast(entry)
-    gone = F.lit(None).cast("string")  # the cell without a name stands for a deletion
-    remove = F.array(F.struct(gone.alias("key"), gone.alias("value"))).cast(entry)
-    steps = F.when(F.col(op).isin("insert", "update"), put).when(F.col(op) == "delete", remove)
-    cells = rows.select(*key, F.struct(*order).alias("_at"), F.explode(steps).alias("_cell"))
-    last = cells.groupBy(*key, F.col("_cell.key").alias("_column")).agg(
-        F.max_by("_cell.value", "_at").alias("_value"), F.max("_at").alias("_at"))
+    last = _last_cells(rows, list(key), list(order), op, row)
     folded = last.groupBy(*key).agg(
         F.max(F.when(F.col("_column").isNull(), F.col("_at"))).alias("_gone"),
         F.collect_list(F.when(F.col("_column").isNotNull(), F.struct("_column", "_value", "_at"))).alias("_cells"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import keep_columns
 from millrace.operators.changelog import latest_by_key, with_op_type
+from millrace.session import staged
 
 ROUTE_KEY = ["source_table", "source_type"]
 # Fixed value: the source type of a route that takes every kind of change.
@@ -26,14 +27,16 @@ def live_routes(changes: DataFrame, order=("ts_ms",), preload: DataFrame | None
     return live.drop("_round", "op", *order)
 
 
-def route(changes: DataFrame, routes: DataFrame, sink_type: str, by_type: bool = False) -> DataFrame:
+def route(changes: DataFrame, routes: DataFrame, sink_type: str, by_type: bool = False, stored: bool = False) -> DataFrame:
     """Changes joined with their route: ``op_type``, pruned ``row`` and the sink of each.
 
     With ``by_type`` a route is found by table and operation, else by table with source type
-    ``ALL``. It is a plain join: Spark broadcasts routes below its size threshold, which then also
-    prune a change log that is partitioned by table, and splits the busy tables beyond it.
+    ``ALL``. The routes are written out first, so Spark knows how small they are: by its own size
+    check it sends them to the log, which is not moved, and of a log stored by ``table`` reads only
+    the tables they name. Routes beyond its threshold meet the log in a shuffle whose busy tables are split.
+    ``stored`` tells that the routes are read from files already.
     """
-    wanted = routes.where(F.col("sink_type") == sink_type)
+    wanted = (routes if stored else staged(routes, "routes")).where(F.col("sink_type") == sink_type)
     if not by_type:
         wanted = wanted.where(F.col("source_type") == EVERY_CHANGE)
     sinks = wanted.select(

@@ -64,3 +64,30 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def made(spark: SparkSession, path: str) -> str:
+    """The path, which is a folder now if it was none: a stream may start from it before anything is in it."""
+    store, place = _place(spark, path)
+    store.mkdirs(place)
+    return path
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    store, place = _place(spark, f"{path}/_SUCCESS")
+    return store.exists(place)
+
+
+def folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers of the folders ``prefix<number>`` right below a path."""
+    store, place = _place(spark, path)
+    if not store.exists(place):
+        return []
+    names = [entry.getPath().getName() for entry in store.listStatus(place)]
+    return [int(name.removeprefix(prefix)) for name in names if name.startswith(prefix)]

@@ -10,14 +10,14 @@ from millrace.sources.topics import json_topic, parse_json
 LATENESS = "3 seconds"
 
 
-def change_log(raw: DataFrame, keep=(), lateness: str = LATENESS) -> DataFrame:
-    """Row changes with event time ``et``; a stream also gets its watermark here."""
-    return event_seconds(parse_json(raw, schemas.CHANGE_ENVELOPE, keep), lateness)
+def change_log(raw: DataFrame, keep=(), lateness: str = LATENESS, count=None) -> DataFrame:
+    """Row changes with event time ``et``; a stream also gets its watermark here. ``count`` as in ``topics.counted``."""
+    return event_seconds(parse_json(raw, schemas.CHANGE_ENVELOPE, keep, count), lateness)
 
 
-def page_log(raw: DataFrame, keep=(), lateness: str = LATENESS) -> DataFrame:
-    """App log records with event time ``et`` from milliseconds."""
-    rows = parse_json(raw, schemas.APP_LOG, keep).withColumn("et", from_millis("ts"))
+def page_log(raw: DataFrame, keep=(), lateness: str = LATENESS, count=None) -> DataFrame:
+    """App log records with event time ``et`` from milliseconds. ``count`` as in ``topics.counted``."""
+    rows = parse_json(raw, schemas.APP_LOG, keep, count).withColumn("et", from_millis("ts"))
     return _watermark(rows, lateness)
 
 

@@ -4,7 +4,7 @@ A topic is a folder of files by default. ``format="kafka"`` reads the same topic
 where the connector is on the class path.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,34 +34,58 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.parquet(stream_path(path))
 
 
+# The end of a line of a text file.
+LINE_END = r"\r\n|\r|\n"
+
+
 def text_topic(spark: SparkSession, topic: str, streaming: bool = True, format: str = "text",
-               **options: str) -> DataFrame:
+               numbered: bool = False, **options: str) -> DataFrame:
     """Raw messages as one ``value`` string; a broker is read from its latest offset.
 
     ``part`` and ``position`` tell the order of arrival: the partition and offset of a broker, the
-    file and the time it was written for files, whose lines share it. Keep them through parsing as last order columns
-    where two changes of a key may carry one time.
+    file and the time it was written for files, whose lines share it. ``numbered`` adds ``line``, the place of
+    a message in its file, counted from 0 (null for a broker); each file is then read whole by one task, so
+    files have to be of moderate size. Keep these columns through parsing as last order columns
+    where two changes of a key may carry one time: ``position``, ``part``, ``line``.
     """
     if format == "kafka":
         settings = {"startingOffsets": "latest" if streaming else "earliest", **options}
         rows = _reader(spark, streaming).format("kafka").option("subscribe", topic).options(**settings).load()
+        line = [F.lit(None).cast("int").alias("line")] if numbered else []
         return rows.select(F.col("value").cast("string").alias("value"), F.col("partition").cast("string").alias("part"),
-                           F.col("offset").alias("position"))
-    rows = _reader(spark, streaming).format("text").options(**options).load(topic)
-    return rows.select("value", F.col("_metadata.file_path").alias("part"),
-                       F.unix_micros("_metadata.file_modification_time").alias("position"))
+                           F.col("offset").alias("position"), *line)
+    rows = _reader(spark, streaming).format("text").options(**options).option("wholetext", numbered).load(topic).select(
+        "value", F.col("_metadata.file_path").alias("part"), F.unix_micros("_metadata.file_modification_time").alias("position"))
+    if not numbered:
+        return rows
+    lines = F.split(F.regexp_replace("value", f"({LINE_END})\\z", ""), LINE_END)
+    return rows.where(F.col("value") != "").select("part", "position", F.posexplode(lines).alias("line", "value")).select(
+        "value", "part", "position", "line")
+
+
+def counted(rows: DataFrame, good: Column, count: str | Observation | None) -> DataFrame:
+    """The rows that are good; ``count`` gets how many were ``seen`` and how many ``dropped``.
+
+    A stream takes a name, whose numbers arrive with the progress of every batch (see ``streaming.run.Losses``),
+    a table an ``Observation``. Without it nothing is counted.
+    """
+    sound = F.coalesce(good, F.lit(False))
+    if count is not None:
+        rows = rows.observe(count, F.count(F.lit(1)).alias("seen"), F.count_if(~sound).alias("dropped"))
+    return rows.where(sound)
 
 
-def parse_json(raw: DataFrame, schema: T.StructType, keep=()) -> DataFrame:
-    """Typed rows of a text topic; messages that are no JSON objects are dropped.
+def parse_json(raw: DataFrame, schema: T.StructType, keep=(), count: str | Observation | None = None) -> DataFrame:
+    """Typed rows of a text topic; messages that are no JSON objects are dropped, and counted if wanted.
 
     The parsed record is unnested by a generator: later filters and projections then work on its
     columns instead of each parsing the text again.
     """
     marked = T.StructType(schema.fields + [T.StructField("_bad", T.StringType())])
-    parsed = F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    message = F.when(F.trim("value") == "", "{").otherwise(F.col("value"))  # a blank one is broken, not an empty record
+    parsed = F.from_json(message, marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     rows = raw.where(F.col("value").isNotNull()).select(*keep, F.inline(F.array(parsed)))
-    return rows.where(F.col("_bad").isNull()).drop("_bad")
+    return counted(rows, F.col("_bad").isNull(), count).drop("_bad")
 
 
 def json_topic(spark: SparkSession, topic: str, schema: T.StructType, streaming: bool = True,
