@@ -1,5 +1,6 @@
 """Starting streams. Each pipeline has its own checkpoint folder, named after it."""
 
+import time
 from collections import Counter
 from collections.abc import Callable
 
@@ -51,11 +52,18 @@ def collected(spark: SparkSession, rows: DataFrame, name: str, folder: str) -> D
     return spark.read.schema(rows.schema).parquet(path)
 
 
-class LateRows(StreamingQueryListener):
-    """Counts, by name of the stream, the rows that came after the watermark and were left out, over its whole run."""
+class Losses(StreamingQueryListener):
+    """Counts, by name of the stream, what its whole run left out.
+
+    ``late`` is what stateful steps dropped as older than the watermark: rows, or for a windowed aggregation the partial sums
+    of a task. ``dropped[name, count]`` and ``seen[name, count]`` come from the steps that ``topics.counted`` counts.
+    """
 
     def __init__(self):
         self.counts: Counter = Counter()
+        self.dropped: Counter = Counter()
+        self.seen: Counter = Counter()
+        self.batches: dict[str, int] = {}
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -63,6 +71,10 @@ class LateRows(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         progress = event.progress
         self.counts[progress.name] += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        for count, row in progress.observedMetrics.items():
+            self.seen[progress.name, count] += row["seen"]
+            self.dropped[progress.name, count] += row["dropped"]
+        self.batches[str(progress.runId)] = progress.batchId
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -70,9 +82,22 @@ class LateRows(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         pass
 
+    def settle(self, query: StreamingQuery, seconds: float = 30) -> None:
+        """Wait until the numbers of a stream's last batch are in; listeners hear of a batch a little later."""
+        end = time.monotonic() + seconds
+        last = query.lastProgress
+        while last is not None and self.batches.get(str(query.runId), -1) < last["batchId"] and time.monotonic() < end:
+            time.sleep(0.05)
+
+
+LateRows = Losses
 
-def count_late_rows(spark: SparkSession) -> LateRows:
-    """Start counting late rows of all streams of a session."""
-    listener = LateRows()
+
+def count_losses(spark: SparkSession) -> Losses:
+    """Start counting late and bad rows of all streams of a session."""
+    listener = Losses()
     spark.streams.addListener(listener)
     return listener
+
+
+count_late_rows = count_losses
