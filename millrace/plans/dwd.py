@@ -123,14 +123,25 @@ def paid_details(changes: DataFrame, details: DataFrame, dic: DataFrame, databas
         "ts", "et")
 
 
-def refunds(changes: DataFrame, dic: DataFrame, database: str, ttl_s: int | None = None) -> DataFrame:
-    """Agreed refunds of orders in refund, with the names of type and reason."""
-    agreed = of_table(changes, database, "order_refund_info", "update").where(
+def _last_status(changes: DataFrame, rows: DataFrame, key, order) -> DataFrame:
+    """In a table the last change per key that reached a status, so a status set twice counts once."""
+    kept = rows if changes.isStreaming else latest_by_key(rows, list(key), list(order))
+    return kept.drop(*[c for c in order if c != "ts"])
+
+
+def refunds(changes: DataFrame, dic: DataFrame, database: str, ttl_s: int | None = None, order=("ts",)) -> DataFrame:
+    """Agreed refunds of orders in refund, with the names of type and reason; one row per refund in a table.
+
+    In a table both sides are folded to the last row per key by ``order`` first. A stream emits a row for each pair and
+    leaves the folding to a keyed sink.
+    """
+    extra = [c for c in order if c != "ts"]
+    agreed = _last_status(changes, of_table(changes, database, "order_refund_info", "update").where(
         reached("refund_status", REFUND_AGREED)).select(
         *fields("id", "user_id", "order_id", "sku_id", "refund_type", "refund_num", "refund_amount",
-                "refund_reason_type", "refund_reason_txt", "operate_time"), "ts", "et")
-    orders = of_table(changes, database, "order_info", "update").where(
-        reached("order_status", REFUNDING)).select(*fields("id", "province_id"), "et")
+                "refund_reason_type", "refund_reason_txt", "operate_time"), "ts", "et", *extra), ["id"], order)
+    orders = _last_status(changes, of_table(changes, database, "order_info", "update").where(
+        reached("order_status", REFUNDING)).select(*fields("id", "province_id"), "ts", "et", *extra), ["id"], order).drop("ts")
     joined = keyed_join(agreed, orders, {"order_id": "id"}, ttl_s=ttl_s)
     named = _dic(joined, dic, "refund_type", "refund_type_name", "inner")
     named = _dic(named, dic, "refund_reason_type", "refund_reason_type_name", "inner")
@@ -140,16 +151,18 @@ def refunds(changes: DataFrame, dic: DataFrame, database: str, ttl_s: int | None
         "refund_num", "refund_amount", "ts", "et")
 
 
-def refund_payments(changes: DataFrame, dic: DataFrame, database: str, ttl_s: int | None = None) -> DataFrame:
-    """Refunds paid out, matched to their refund by order and product and to their order."""
-    paid = of_table(changes, database, "refund_payment", "update").where(
+def refund_payments(changes: DataFrame, dic: DataFrame, database: str, ttl_s: int | None = None, order=("ts",)) -> DataFrame:
+    """Refunds paid out, matched to their refund by order and product and to their order; folded as :func:`refunds`."""
+    extra = [c for c in order if c != "ts"]
+    paid = _last_status(changes, of_table(changes, database, "refund_payment", "update").where(
         reached("refund_status", REFUND_PAID)).select(
         *fields("id", "order_id", "sku_id", "callback_time", payment_type_code="payment_type",
-                refund_amount="total_amount"), "ts", "et")
-    done = of_table(changes, database, "order_refund_info", "update").where(
-        reached("refund_status", REFUND_DONE)).select(*fields("order_id", "sku_id", "refund_num"), "et")
-    orders = of_table(changes, database, "order_info", "update").where(
-        reached("order_status", REFUNDED)).select(*fields("id", "user_id", "province_id"), "et")
+                refund_amount="total_amount"), "ts", "et", *extra), ["id"], order)
+    done = _last_status(changes, of_table(changes, database, "order_refund_info", "update").where(
+        reached("refund_status", REFUND_DONE)).select(*fields("order_id", "sku_id", "refund_num"), "ts", "et", *extra),
+        ["order_id", "sku_id"], order).drop("ts")
+    orders = _last_status(changes, of_table(changes, database, "order_info", "update").where(
+        reached("order_status", REFUNDED)).select(*fields("id", "user_id", "province_id"), "ts", "et", *extra), ["id"], order).drop("ts")
     joined = keyed_join(paid, done, {"order_id": "order_id", "sku_id": "sku_id"}, ttl_s=ttl_s)
     joined = keyed_join(joined, orders, {"order_id": "id"}, ttl_s=ttl_s)
     named = _dic(joined, dic, "payment_type_code", "payment_type_name", "inner")
