@@ -50,23 +50,23 @@ def keyword_split_texts(spark, sf_dir):
         F.sum("turns").alias("turns"), F.count("conv_id").alias("conversations"))
 
 
-def _page_view_sql(width):
-    return with_views(v.PAGE_SQL, """
+def page_view_sql(width, views=v.PAGE_SQL, pages="page"):
+    return with_views(views, f"""
   flagged as (
     select *, case when lag(day) over (partition by mid order by et, event_id) is distinct from day then 1 else 0 end as uv,
            case when row_number() over (partition by sid order by et, event_id) = 1 then 1 else 0 end as sv
-    from page)""", select=f"""
+    from {pages})""", select=f"""
   select {v.window_sql(width)}, vc, ch, ar, is_new, cast(sum(uv) as bigint) as uv_ct, cast(sum(sv) as bigint) as sv_ct,
          count(*) as pv_ct, cast(sum(during_time) as bigint) as dur_sum
   from flagged group by all""")
 
 
-@query("win_page_view", _page_view_sql(WIDTH))
+@query("win_page_view", page_view_sql(WIDTH))
 def win_page_view(spark, sf_dir):
     return dws.page_views(v.page_log(spark, sf_dir), WIDTH, ["et", "event_id"])
 
 
-@query("win_page_view_5s", _page_view_sql("5 seconds"))
+@query("win_page_view_5s", page_view_sql("5 seconds"))
 def win_page_view_5s(spark, sf_dir):
     return dws.page_views(v.page_log(spark, sf_dir), order=["et", "event_id"])
 

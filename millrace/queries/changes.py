@@ -136,12 +136,14 @@ def relational_labels(spark, sf_dir):
 
 # ---- routing -----------------------------------------------------------------------------
 
+def route_row(table, kind, sink, sink_type, columns, key="id"):
+    return {"source_table": table, "source_type": kind, "sink_table": sink, "sink_type": sink_type,
+            "sink_family": "info", "sink_columns": columns, "sink_row_key": key}
+
+
 def routes(spark):
     """Routes in force after a snapshot and a few live changes on top of preloaded ones."""
-    def row(table, kind, sink, sink_type, columns, key="id"):
-        return {"source_table": table, "source_type": kind, "sink_table": sink, "sink_type": sink_type,
-                "sink_family": "info", "sink_columns": columns, "sink_row_key": key}
-
+    row = route_row
     orders = row("order_info", "ALL", "dim_order", "dim", "id,user_id,order_status,operate_time")
     cart = row("cart_info", "insert", "dwd_cart_insert", "dwd", "id,user_id,sku_num")
     steps = [

@@ -84,33 +84,44 @@ def fact_pay_interval(spark, sf_dir):
     return dwd.paid_details(log, details, v.base_dic(spark, sf_dir), v.DATABASE).drop("et")
 
 
-@query("fact_refund_two_lookups", with_views(v.LINES_SQL, DIC_SQL, select="""
+def refund_sql(lines):
+    return with_views(v.LINES_SQL, DIC_SQL, select=f"""
   select id, cast(supplier_id as varchar) as user_id, cast(order_id as varchar) as order_id,
          cast(sku_id as varchar) as sku_id, cast(o_custkey % 25 as varchar) as province_id,
          strftime(et, '%Y-%m-%d') as date_id, strftime(et, '%Y-%m-%d %H:%M:%S') as operate_time,
          d1.dic_code as refund_type, d1.dic_name as refund_type_name, d2.dic_code as refund_reason_type,
          d2.dic_name as refund_reason_type_name, 'worn' as refund_reason_txt, cast(sku_num as varchar) as refund_num,
          cast(price as varchar) as refund_amount, ts
-  from line join orders on o_orderkey = order_id and o_orderstatus = 'P'
+  from ({lines}) join orders on o_orderkey = order_id and o_orderstatus = 'P'
   join dic d1 on d1.dic_code = cast(supplier_id % 25 as varchar)
-  join dic d2 on d2.dic_code = cast(sku_id % 30 as varchar)
-  where flag = 'R'"""))
+  join dic d2 on d2.dic_code = cast(sku_id % 30 as varchar)""")
+
+
+RETURNED = "select * from line where flag = 'R'"
+CLOSED = RETURNED + " and status = 'F'"
+
+
+@query("fact_refund_two_lookups", refund_sql(f"{RETURNED} qualify {v.LATEST_SQL}"))
 def fact_refund_two_lookups(spark, sf_dir):
-    return dwd.refunds(v.change_log(spark, sf_dir), v.base_dic(spark, sf_dir), v.DATABASE).drop("et")
+    return dwd.refunds(v.change_log(spark, sf_dir), v.base_dic(spark, sf_dir), v.DATABASE, order=("ts", "seq")).drop("et")
 
 
-@query("fact_refund_pay_composite", with_views(v.LINES_SQL, DIC_SQL, """
-  closed as (select * from line where flag = 'R' and status = 'F')""", select="""
+def refund_payment_sql(paid, done):
+    return with_views(v.LINES_SQL, DIC_SQL, select=f"""
   select p.id, cast(o_custkey as varchar) as user_id, cast(p.order_id as varchar) as order_id,
          cast(p.sku_id as varchar) as sku_id, cast(o_custkey % 25 as varchar) as province_id,
          dic_code as payment_type_code, dic_name as payment_type_name, strftime(p.et, '%Y-%m-%d') as date_id,
          strftime(p.et, '%Y-%m-%d %H:%M:%S') as callback_time, cast(r.sku_num as varchar) as refund_num,
          cast(p.price as varchar) as refund_amount, p.ts
-  from closed p join closed r on p.order_id = r.order_id and p.sku_id = r.sku_id
+  from ({paid}) p join ({done}) r on p.order_id = r.order_id and p.sku_id = r.sku_id
   join orders on o_orderkey = p.order_id and o_orderstatus = 'P'
-  join dic on dic_code = cast(p.supplier_id % 30 as varchar)"""))
+  join dic on dic_code = cast(p.supplier_id % 30 as varchar)""")
+
+
+@query("fact_refund_pay_composite", refund_payment_sql(
+    f"{CLOSED} qualify {v.LATEST_SQL}", f"{CLOSED} qualify {v.LATEST_SQL.replace('partition by id', 'partition by order_id, sku_id')}"))
 def fact_refund_pay_composite(spark, sf_dir):
-    return dwd.refund_payments(v.change_log(spark, sf_dir), v.base_dic(spark, sf_dir), v.DATABASE).drop("et")
+    return dwd.refund_payments(v.change_log(spark, sf_dir), v.base_dic(spark, sf_dir), v.DATABASE, order=("ts", "seq")).drop("et")
 
 
 @query("join_interval_events", with_views(v.EVENTS_SQL, select="""

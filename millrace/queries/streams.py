@@ -1,7 +1,8 @@
 """Streaming queries, replayed over the given tables.
 
 A replay takes a table and a second source with far-future rows in one go, so that the watermark
-closes every real window and join; nothing of the far-future rows themselves comes out. Outputs,
+closes every real window and join; nothing of the far-future rows themselves comes out. A replay in
+files lets the rows of a table arrive late and out of order, a file per batch. Outputs,
 state and checkpoints go below the shared folder of the session.
 """
 
@@ -14,7 +15,7 @@ from millrace.operators.enrich import lookup
 from millrace.operators.joins import interval_join, keyed_join
 from millrace.operators.flags import mark_returning
 from millrace.operators.windows import stamp, tumbling, window_sums
-from millrace.plans import dwd
+from millrace.plans import dwd, dws
 from millrace.plans.dim import dimension
 from millrace.queries import views as v
 from millrace.queries.aggregates import DELTA_SQL, SKU_SUMS, STAMPS, WIDTH
@@ -45,11 +46,46 @@ def replay(spark, sf_dir, name, *far_future):
     return rows.unionByName(stream_table(spark, extra, schema))
 
 
+# Rows of a replay in files arrive up to this much after their time, less than the lateness.
+DELAY_US = 2_900_000
+FILES = 4
+
+
+def replay_in_files(spark, sf_dir, name, time, far_future, files=FILES, delay_us=DELAY_US):
+    """The table as a stream of files, one per batch, in order of arrival: a row's time plus a delay by its hash.
+
+    So rows overtake each other inside files and across them. Rows far in the future end it.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    arrival = F.unix_micros(F.col(time).cast("timestamp")) + F.pmod(F.xxhash64(*rows.columns), F.lit(delay_us))
+    late = rows.withColumn("_arrival", arrival)
+    cuts = late.agg(F.percentile_approx("_arrival", [i / files for i in range(1, files)])).first()[0] or []
+    folder = shared_folder(spark, "files")
+    # Files are taken up by the time they were written.
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = late if low is None else late.where(F.col("_arrival") > low)
+        part = part if high is None else part.where(F.col("_arrival") <= high)
+        part.drop("_arrival").coalesce(1).write.mode("append").parquet(folder)
+    ends = [tuple(r.get(f) for f in rows.columns) for r in far_future]
+    spark.createDataFrame(ends, rows.schema).coalesce(1).write.mode("append").parquet(folder)
+    return stream_table(spark, folder, rows.schema, files_per_batch=1)
+
+
+def _event_ends(kinds):
+    return [{"event_id": -1 - i, "ts": LAST, "user_id": -1 - i, "event_type": kind, "value": 0.0, "props": '{"k": 0}'}
+            for i, kind in enumerate(kinds)]
+
+
 def event_stream(spark, sf_dir, *kinds):
     """Events as a stream, closed by one far-future event of each kind."""
-    ends = [{"event_id": -1 - i, "ts": LAST, "user_id": -1 - i, "event_type": kind, "value": 0.0, "props": '{"k": 0}'}
-            for i, kind in enumerate(kinds)]
-    return v.events_of(replay(spark, sf_dir, "events", *ends)).withColumn("et", F.timestamp_millis("ts"))
+    rows = replay(spark, sf_dir, "events", *_event_ends(kinds))
+    return v.events_of(rows).withColumn("et", F.timestamp_millis("ts"))
+
+
+def late_events(spark, sf_dir, *kinds, delay_us=DELAY_US):
+    """Events as a stream of several files, out of order within the lateness."""
+    rows = replay_in_files(spark, sf_dir, "events", "ts", _event_ends(kinds), delay_us=delay_us)
+    return v.events_of(rows).withColumn("et", F.timestamp_millis("ts"))
 
 
 @query("stream_tumbling", with_views(v.EVENTS_SQL, select=f"""
@@ -103,7 +139,7 @@ def stream_lookup_join(spark, sf_dir):
 
 @query("stream_first_of_day", ORACLE["flag_first_of_day"])
 def stream_first_of_day(spark, sf_dir):
-    ev = event_stream(spark, sf_dir)
+    ev = late_events(spark, sf_dir, "end")
     firsts = stream_day_changes(ev, ["user_id"], ["et", "event_id"], ["event_type"])
     rows = collected(spark, firsts, "first_of_day", shared_folder(spark, "stream"))
     return rows.select("user_id", "day", "event_id", "event_type")
@@ -111,14 +147,14 @@ def stream_first_of_day(spark, sf_dir):
 
 @query("stream_returning_user", ORACLE["flag_returning_user"])
 def stream_returning_user(spark, sf_dir):
-    firsts = stream_day_changes(event_stream(spark, sf_dir), ["user_id"], ["et", "event_id"])
+    firsts = stream_day_changes(late_events(spark, sf_dir, "end"), ["user_id"], ["et", "event_id"])
     rows = collected(spark, mark_returning(firsts, 2), "returning", shared_folder(spark, "stream"))
     return rows.drop("et")
 
 
 @query("stream_page_view", ORACLE["win_page_view"])
 def stream_page_view(spark, sf_dir):
-    log = v.page_log_of(event_stream(spark, sf_dir, "end").drop("et"))
+    log = v.page_log_of(late_events(spark, sf_dir, "end").drop("et"))
     views = aggregates.page_views(log, WIDTH, ["et", "event_id"])
     return collected(spark, views, "page_view", shared_folder(spark, "stream"))
 
@@ -126,7 +162,7 @@ def stream_page_view(spark, sf_dir):
 @query("stream_login", ORACLE["win_login"])
 def stream_login(spark, sf_dir):
     """The closing event is a view, as only views and sign-ups count as logins."""
-    log = v.page_log_of(event_stream(spark, sf_dir, "view").drop("et"))
+    log = v.page_log_of(late_events(spark, sf_dir, "view").drop("et"))
     return collected(spark, aggregates.logins(log, WIDTH, back_days=2), "login", shared_folder(spark, "stream"))
 
 
@@ -178,6 +214,61 @@ def stream_sku_amounts(spark, sf_dir):
     return out.withColumns({a: F.col(a).cast("decimal(18,2)") for a in amounts})
 
 
+def _line_files(spark, sf_dir, *ends):
+    """Order lines in files, out of order within the lateness, with the buyer and province of their order."""
+    orders = v.given(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), "o_custkey")
+    rows = v.lines_of(replay_in_files(spark, sf_dir, "lineitem", "l_shipdate", ends))
+    return rows.join(orders, "order_id", "left").select(
+        "id", "order_id", "sku_id", F.col("o_custkey").alias("user_id"),
+        (F.col("o_custkey") % 25).cast("int").alias("province_id"),
+        F.col("price").alias("split_original_amount"), F.col("activity").alias("split_activity_amount"),
+        F.col("coupon").alias("split_coupon_amount"),
+        (F.col("price") - F.col("activity")).cast("decimal(16,2)").alias("split_total_amount"), "seq.*", "et")
+
+
+@query("stream_order", ORACLE["win_order"])
+def stream_order(spark, sf_dir):
+    users = aggregates.order_users(_line_files(spark, sf_dir, LINE_END), WIDTH)
+    return collected(spark, users, "order", shared_folder(spark, "stream"))
+
+
+@query("stream_sku_order", ORACLE["win_sku_order"])
+def stream_sku_order(spark, sf_dir):
+    """Line changes and their sums in one stream, with the whole product chain."""
+    rows = dws.amount_rows(_line_files(spark, sf_dir, LINE_END), ["et", *v.REVISION])
+    changed = stream_deltas(rows, ["id"], ["et", *v.REVISION], dws.AMOUNTS)
+    sums = aggregates.sku_orders(changed, v.dimensions(spark, sf_dir), WIDTH)
+    out = collected(spark, sums, "sku_order", shared_folder(spark, "stream"))
+    return out.withColumns({a: F.col(a).cast("decimal(18,2)") for a in dws.AMOUNTS})
+
+
+@query("stream_province_order", ORACLE["win_province_order"])
+def stream_province_order(spark, sf_dir):
+    """Changes at the time of the revision before go to a topic, which a second stream reads whole."""
+    order, folder = ["et", *v.REVISION], shared_folder(spark, "stream")
+    lines = _line_files(spark, sf_dir, LINE_END, LINE_AFTER)
+    rows = lines.select("id", "province_id", *order, F.col("split_total_amount").alias("order_amount"))
+    changed = stream_deltas(rows, ["id"], order, ["order_amount"], "previous")
+    drain(to_files(changed, "changes", f"{folder}/changes", folder))
+    topic = stream_table(spark, f"{folder}/changes", rows.schema)
+    details = v.lines_of(replay(spark, sf_dir, "lineitem", LINE_END, LINE_AFTER))
+    orders = v.given(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), "o_custkey")
+    details = details.join(orders, "order_id", "left").select(
+        "order_id", (F.col("o_custkey") % 25).cast("int").alias("province_id"), "seq.*", "et")
+    sums = aggregates.province_orders(topic, details, v.dimensions(spark, sf_dir)["base_province"], WIDTH, order)
+    rows = collected(spark, sums, "province_order", folder)
+    return rows.withColumn("order_amount", F.col("order_amount").cast("decimal(18,2)"))
+
+
+@query("stream_delta_idle", ORACLE["delta_four_amounts"])
+def stream_delta_idle(spark, sf_dir):
+    """Changes of four amounts; a line is forgotten 30 days after its last revision."""
+    rows = dws.amount_rows(_line_files(spark, sf_dir, LINE_END), ["et", *v.REVISION])
+    changed = stream_deltas(rows, ["id"], ["et", *v.REVISION], dws.AMOUNTS, idle_s=30 * 86400)
+    out = collected(spark, changed, "idle", shared_folder(spark, "stream"))
+    return out.select("id", "sku_id", F.unix_seconds("et").alias("ts"), *[F.col(a).cast("decimal(18,2)").alias(a) for a in dws.AMOUNTS])
+
+
 @query("stream_refund_brand_user", ORACLE["win_refund_brand_user"])
 def stream_refund_brand_user(spark, sf_dir):
     refunds = _line_stream(spark, sf_dir, LINE_END).where(F.col("flag") == "R").select(
@@ -196,8 +287,8 @@ def stream_log_split(spark, sf_dir):
     text = log_text(v.app_log_of(v.page_log_of(event_stream(spark, sf_dir).drop("et"))))
     log = clean_log(page_log(text, keep=["event_id"]))
     folder = shared_folder(spark, "stream")
-    write = maintenance.split_logs(f"{folder}/parts", f"{folder}/state", ["ts", "event_id"])
-    drain(to_batches(log, "log_split", write, folder))
+    order = ["ts", "event_id"]
+    drain(to_batches(maintenance.with_visits(log, order), "log_split", maintenance.split_logs(f"{folder}/parts", order), folder))
     parts = [spark.read.parquet(f"{folder}/parts/{p}").select(F.lit(p).alias("part"), "event_id")
              for p in ("start", "display", "action", "err", "page")]
     rows = parts[0]
@@ -244,7 +335,7 @@ def stream_keyword_count(spark, sf_dir):
 
 @query("stream_home_detail_uv", ORACLE["win_home_detail_uv"])
 def stream_home_detail_uv(spark, sf_dir):
-    log = v.page_log_of(event_stream(spark, sf_dir, "view").drop("et"))
+    log = v.page_log_of(late_events(spark, sf_dir, "view").drop("et"))
     return collected(spark, aggregates.home_detail_views(log, WIDTH), "home_detail", shared_folder(spark, "stream"))
 
 
@@ -264,7 +355,7 @@ def stream_cart_uu(spark, sf_dir):
 
 @query("stream_payment", ORACLE["win_payment"])
 def stream_payment(spark, sf_dir):
-    paid = event_stream(spark, sf_dir, "purchase").where(F.col("event_type") == "purchase").select("user_id", "et")
+    paid = late_events(spark, sf_dir, "purchase").where(F.col("event_type") == "purchase").select("user_id", "et")
     return collected(spark, aggregates.payment_users(paid, WIDTH), "payment", shared_folder(spark, "stream"))
 
 

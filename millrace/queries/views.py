@@ -232,7 +232,7 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_changes_of(given(spark, sf_dir, "orders"))
 
 
-def order_changes_of(raw: DataFrame) -> DataFrame:
+def order_changes_of(raw: DataFrame, watermark: bool = True) -> DataFrame:
     """Every order is placed; status F is cancelled after 10 minutes, P refunded after 20 and 30."""
     orders = raw.select(
         "o_orderkey", "o_custkey", "o_orderstatus", seconds("o_orderdate").alias("placed"))
@@ -244,34 +244,37 @@ def order_changes_of(raw: DataFrame) -> DataFrame:
     def step(status, before, after, delay):
         rows = orders.where(F.col("o_orderstatus") == status).withColumn("ts", F.col("placed") + delay)
         return _change(rows, "order_info", "update", state(after, stamp_text(F.col("ts"))),
-                       row_map(order_status=before))
+                       row_map(order_status=before), watermark=watermark)
 
     placed = _change(orders.withColumn("ts", F.col("placed")), "order_info", "insert",
-                     state("1001", F.lit(None).cast("string")))
+                     state("1001", F.lit(None).cast("string")), watermark=watermark)
     return (placed.unionByName(step("F", "1001", "1003", 600))
             .unionByName(step("P", "1002", "1005", 1200))
             .unionByName(step("P", "1005", "1006", 1800)))
 
 
 def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_changes_of(lines(spark, sf_dir))
+
+
+def line_changes_of(rows: DataFrame, watermark: bool = True) -> DataFrame:
     """Order lines, their activities and coupons, payments and refunds, all from the order lines."""
-    rows = lines(spark, sf_dir)
     seq = F.col("seq")
     detail = _change(rows, "order_detail", "insert", row_map(
         id=F.col("id"), order_id=_text("order_id"), sku_id=_text("sku_id"),
         sku_name=F.concat(F.lit("sku-"), _text("sku_id")), create_time=stamp_text(F.col("ts")),
         sku_num=_text("sku_num"), order_price=_text("price"),
         split_total_amount=_text((F.col("price") - F.col("activity")).cast("decimal(16,2)")),
-        split_activity_amount=_text("activity"), split_coupon_amount=_text("coupon")), seq=seq)
+        split_activity_amount=_text("activity"), split_coupon_amount=_text("coupon")), seq=seq, watermark=watermark)
     activity = _change(rows.where(F.col("discount") >= 0.05), "order_detail_activity", "insert", row_map(
         order_detail_id=F.col("id"), activity_id=_text(F.round(F.col("discount") * 100).cast("int")),
-        activity_rule_id=_text("supplier_id")), seq=seq)
+        activity_rule_id=_text("supplier_id")), seq=seq, watermark=watermark)
     coupon = _change(rows.where(F.col("tax") >= 0.04), "order_detail_coupon", "insert", row_map(
-        order_detail_id=F.col("id"), coupon_id=_text(F.round(F.col("tax") * 100).cast("int"))), seq=seq)
+        order_detail_id=F.col("id"), coupon_id=_text(F.round(F.col("tax") * 100).cast("int"))), seq=seq, watermark=watermark)
     paid = rows.where(F.col("status") == "F").withColumn("ts", F.col("ts") + F.col("sku_id") % 3600)
     payment = _change(paid, "payment_info", "update", row_map(
         order_id=_text("order_id"), payment_type=_text(F.col("supplier_id") % 30),
-        callback_time=stamp_text(F.col("ts")), payment_status="1602"), row_map(payment_status="1601"))
+        callback_time=stamp_text(F.col("ts")), payment_status="1602"), row_map(payment_status="1601"), watermark=watermark)
 
     returned = rows.where(F.col("flag") == "R")
 
@@ -282,13 +285,13 @@ def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
             refund_reason_type=_text(F.col("sku_id") % 30), refund_reason_txt=F.lit("worn"),
             user_id=_text("supplier_id"), operate_time=stamp_text(F.col("ts")))
 
-    agreed = _change(returned, "order_refund_info", "update", refund_state("0702"), row_map(refund_status="0701"))
+    agreed = _change(returned, "order_refund_info", "update", refund_state("0702"), row_map(refund_status="0701"), watermark=watermark)
     closed = returned.where(F.col("status") == "F")
-    done = _change(closed, "order_refund_info", "update", refund_state("0705"), row_map(refund_status="0702"))
+    done = _change(closed, "order_refund_info", "update", refund_state("0705"), row_map(refund_status="0702"), watermark=watermark)
     repaid = _change(closed, "refund_payment", "update", row_map(
         id=F.col("id"), order_id=_text("order_id"), sku_id=_text("sku_id"),
         payment_type=_text(F.col("supplier_id") % 30), callback_time=stamp_text(F.col("ts")),
-        total_amount=_text("price"), refund_status="1602"), row_map(refund_status="1601"))
+        total_amount=_text("price"), refund_status="1602"), row_map(refund_status="1601"), watermark=watermark)
     log = detail
     for part in (activity, coupon, payment, agreed, done, repaid):
         log = log.unionByName(part)
@@ -313,7 +316,11 @@ def cart_changes_of(ev: DataFrame, watermark: bool = True) -> DataFrame:
 
 
 def comment_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = given(spark, sf_dir, "documents").withColumn("ts", F.col("doc_id"))
+    return comment_changes_of(given(spark, sf_dir, "documents"))
+
+
+def comment_changes_of(raw: DataFrame) -> DataFrame:
+    rows = raw.withColumn("ts", F.col("doc_id"))
     return _change(rows, "comment_info", "insert", row_map(
         id=_text("doc_id"), user_id=F.col("source"), sku_id=F.col("lang"),
         appraise=_text(F.col("n_chars") % 30), comment_txt=F.col("text")))

@@ -56,6 +56,10 @@ def event(key, t, i):
     return {"key": key, "t": t, "id": i}
 
 
+# Lets the watermark pass all rows before it; never out itself.
+END = {"key": "end", "t": 10_000_000, "id": -1}
+
+
 def run(spark, df, folder, name="out"):
     query = to_files(df, name, f"{folder}/{name}", str(folder))
     drain(query)
@@ -82,7 +86,7 @@ def test_rows_after_their_window_closed_are_dropped_and_counted(spark, topic, tm
 
 def test_large_ids_and_nulls_keep_their_worth(spark, topic, tmp_path):
     big = 2**53 + 1
-    topic.put(event("a", 1, big), event("b", 2, None), event("a", 3, big + 2), event("c", 90_000, 1))
+    topic.put(event("a", 1, big), event("b", 2, None), event("a", 3, big + 2), event("c", 90_000, 1), END)
     firsts = stream_day_changes(event_stream(spark, topic), ["key"], ["et", "id"])
     out, _ = run(spark, firsts, tmp_path, "big")
     assert rows(out, "key", "id") == [("a", big), ("b", None), ("c", 1)]
@@ -91,6 +95,7 @@ def test_large_ids_and_nulls_keep_their_worth(spark, topic, tmp_path):
 def test_late_rows_around_midnight_flag_no_day_twice(spark, topic, tmp_path):
     for i, t in enumerate((86_401, 86_399, 86_402, 172_801)):
         topic.put(event("a", t, i))
+    topic.put(END)
     firsts = stream_day_changes(event_stream(spark, topic), ["key"], ["et", "id"])
     out, _ = run(spark, firsts, tmp_path, "midnight")
     assert sorted(r["day"] for r in out.collect()) == ["2024-01-01", "2024-01-02", "2024-01-03"]
@@ -99,13 +104,14 @@ def test_late_rows_around_midnight_flag_no_day_twice(spark, topic, tmp_path):
 def test_a_late_day_of_a_key_seen_days_before_is_flagged(spark, topic, tmp_path):
     """The last row comes a batch later than the next day's first row, within the lateness."""
     events = [event("a", 5, 1), event("a", 9 * 86_400 + 1, 2), event("a", 9 * 86_400 - 1, 3), event("a", 9 * 86_400 - 0.5, 4)]
-    for e in events:
+    for e in [*events, END]:
         topic.put(e)
     firsts = stream_day_changes(event_stream(spark, topic), ["key"], ["et", "id"])
     out, _ = run(spark, firsts, tmp_path, "late_day")
     table = spark.createDataFrame([(e["key"], e["id"], at(e["t"])) for e in events], "key string, id int, et timestamp")
-    assert rows(out, "key", "day", "id") == rows(day_changes(table, ["key"], ["et", "id"]), "key", "day", "id")
-    assert {r["id"]: r["last_day"] for r in out.collect()} == {1: None, 2: "2024-01-01", 3: "2024-01-01"}
+    columns = ["key", "day", "id", "last_day"]
+    assert rows(out, *columns) == rows(day_changes(table, ["key"], ["et", "id"]), *columns)
+    assert {r["id"]: r["last_day"] for r in out.collect()} == {1: None, 2: "2024-01-09", 3: "2024-01-01"}
 
 
 def test_a_later_batch_wins_within_a_second(spark, tmp_path):
@@ -121,6 +127,7 @@ def test_day_changes_over_many_batches_equal_the_table(spark, topic, tmp_path):
                     key=lambda e: (e["t"], e["id"]))
     for i in range(0, 120, 30):
         topic.put(*events[i:i + 30])
+    topic.put(END)
     ev = event_stream(spark, topic)
     out, _ = run(spark, stream_day_changes(ev, ["key"], ["et", "id"]), tmp_path)
     table = spark.createDataFrame([(e["key"], e["id"], at(e["t"])) for e in events], "key string, id int, et timestamp")
@@ -138,6 +145,7 @@ def test_restart_neither_repeats_nor_loses(spark, topic, tmp_path):
     days = stream_day_changes(event_stream(spark, topic), ["key"], ["et", "id"])
     run(spark, days, tmp_path)
     topic.put(event("a", 3, 3), event("c", 4, 4), event("a", 86400, 5))
+    topic.put(END)
     days = stream_day_changes(event_stream(spark, topic), ["key"], ["et", "id"])
     out, _ = run(spark, days, tmp_path)
     assert rows(out, "key", "id") == [("a", 1), ("a", 5), ("b", 2), ("c", 4)]
@@ -260,8 +268,8 @@ def test_log_split_over_batches(spark, topic, tmp_path):
     topic.put(record("a", 0, page={"page_id": "home"}, displays=[{"item": "1"}, {"item": "2"}]), "broken")
     topic.put(record("a", 1, page={"page_id": "home"}), record("b", 1, start={"entry": "icon"}))
     raw = spark.readStream.option("maxFilesPerTrigger", 1).text(topic.path)
-    write = maintenance.split_logs(f"{tmp_path}/parts", f"{tmp_path}/state")
-    drain(to_batches(page_log(raw), "split", write, str(tmp_path)))
+    write = maintenance.split_logs(f"{tmp_path}/parts")
+    drain(to_batches(maintenance.with_visits(page_log(raw)), "split", write, str(tmp_path)))
     pages = spark.read.parquet(f"{tmp_path}/parts/page")
     assert rows(pages, "common.mid", "common.is_new") == [("a", "0"), ("a", "1")]
     assert spark.read.parquet(f"{tmp_path}/parts/display").count() == 2
@@ -456,9 +464,9 @@ def test_sku_and_province_amounts_equal_the_table(spark, tmp_path):
     end = [("z", "z", "z", "z", "0", "0", "0", "0", at(9999))]
     spark.createDataFrame(lines + end, shape).write.parquet(f"{tmp_path}/lines")
     stream = stream_table(spark, f"{tmp_path}/lines")
-    changed = dws._amount_rows(table.unionByName(spark.createDataFrame(end, shape)), ["et"])
+    changed = dws.amount_rows(table.unionByName(spark.createDataFrame(end, shape)), ["et"])
     deltas(changed, ["id"], ["et"], dws.AMOUNTS).write.parquet(f"{tmp_path}/changed")
-    out, _ = run(spark, aggregates.sku_orders(stream_table(spark, f"{tmp_path}/changed"), dims), tmp_path, "sku")
+    out, _ = run(spark, aggregates.sku_orders(stream_table(spark, f"{tmp_path}/changed").withWatermark("et", "3 seconds"), dims), tmp_path, "sku")
     assert rows(out, *sums.columns) == rows(sums)
 
     moved = deltas(table.unionByName(spark.createDataFrame(end, shape)).select(
