@@ -37,8 +37,12 @@ def _with_ranks(df: DataFrame, order) -> tuple[DataFrame, list[str]]:
 
 
 def _timer(us: int) -> int:
-    """The timer, in milliseconds, at which the watermark has passed a time."""
-    return us // 1000 + 1
+    """The timer, in milliseconds, that goes off in the first batch whose watermark has reached a time.
+
+    From then on rows of that time count as late, so what is known of it is final; one batch later
+    they would be late for windows downstream too.
+    """
+    return -(-us // 1000) - 1
 
 
 BLOB = T.StructType([T.StructField("blob", T.BinaryType())])
@@ -106,7 +110,7 @@ class DayChanges(_Held):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         last, waiting = held
         named = Row(*self.columns, "last_day")
-        ready = sorted((r for r in waiting.values() if r["_us"] < passed), key=lambda r: _rank(r, self.order))
+        ready = sorted((r for r in waiting.values() if r["_us"] <= passed), key=lambda r: _rank(r, self.order))
         for row in ready:
             del waiting[row["day"]]
             if last is not None and self._forgotten(last, row["_us"]):
@@ -117,7 +121,9 @@ class DayChanges(_Held):
         if ready:
             self._store((last, waiting))
             if self.keep_us is not None:
-                self.handle.registerTimer(_timer(last[1] + self.keep_us))
+                self.handle.registerTimer(_timer(last[1] + self.keep_us) + 2)
+        elif any(_timer(r["_us"]) == expiredTimerInfo.getExpiryTimeInMs() for r in waiting.values()):
+            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + 1)
         elif not waiting and last is not None and self._forgotten(last, passed):
             self.state.clear()
 
@@ -207,7 +213,7 @@ class PartChanges(_Held):
             return
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         _, before, waiting = held
-        ready = sorted((r for r in waiting if r["_us"] < passed), key=lambda r: _rank(r, self.order))
+        ready = sorted((r for r in waiting if r["_us"] <= passed), key=lambda r: _rank(r, self.order))
         out = Row(*self.columns, *([self.first] if self.first else []), "_kind", "_due", *[f"{RAW}{c}" for c in self.names])
 
         def changed(row, known):
@@ -220,9 +226,9 @@ class PartChanges(_Held):
                 known = before if self.idle_us is None or row["_us"] <= before["_us"] + self.idle_us else None
                 yield out(*changed(row, known), INSIDE, row["et"], *[None] * len(self.names))
             before = row
-        later = [r for r in waiting if r["_us"] >= passed]
+        later = [r for r in waiting if r["_us"] > passed]
         end = (before or later[0])["_end"]
-        if not later and end < passed:
+        if not later and end <= passed:
             yield out(*changed(before, None), CLOSING, before["_end_at"], *before.values())
             self.state.clear()
             return
@@ -262,7 +268,7 @@ class PartsOfKey(_Held):
         if before is not None:
             self._store(before)
             if self.idle_us is not None:
-                self.handle.registerTimer(_timer(before["_us"] + self.idle_us))
+                self.handle.registerTimer(_timer(before["_us"] + self.idle_us) + 2)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         before = self._load()
