@@ -21,8 +21,8 @@ from .common import pick, tasks
 from .rows import by_row, shape, streaming
 from .wavelet import Wavelet, pack
 
-#: Ids after which a shard ends, parts of texts whose ids a worker remembers, and texts that it encodes at a time.
-SHARD, REMEMBERED, TEXTS = 1 << 20, 1_000_000, 100
+#: Ids after which a shard ends, and parts of texts whose ids a worker remembers.
+SHARD, REMEMBERED = 1 << 20, 1_000_000
 #: Fixed value: the id that ends a document.
 END = 0
 SUFFIX = ".wavelet"
@@ -36,8 +36,8 @@ FOUND = shape("token int, doc_id bigint, part int, piece int, at int, place bigi
 LETTERS, SIGNS, OTHERS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-@\[-`{-~", r"\x00-&(-@\[-`{-\x7f"
 PARTS = re.compile("|".join([
     f" ?[{LETTERS}]+(?=[{OTHERS}])",  # a word
-    f"[{SIGNS}]+(?= ?[{LETTERS}])",  # signs and digits between words
-    f"[{SIGNS}]+\n(?=[{LETTERS}])",  # the end of a line
+    f" ?[{SIGNS}]+(?= ?[{LETTERS}])",  # signs and digits between words
+    f" ?[{SIGNS}]+\n(?=[{LETTERS}])",  # the end of a line
     f"(?s:.)+?(?:(?<=[{LETTERS}])(?=[{OTHERS}])|\\Z)",  # whatever else, up to the end of a word
 ]))
 WORD = re.compile(f" ?[{LETTERS}]+")
@@ -50,14 +50,14 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of whole texts by a public byte-level vocabulary.
 
     Such a tokenizer never joins a letter with a sign, digit or space after it, nor a sign with a space and
     letter after it, whatever surrounds them: there a text is cut into PARTS, and the ids of a part
-    depend on that part alone. Parts repeat, so their ids are remembered. New words, which the tokenizer would not
-    cut further, go to its model at once; other parts go through all of it. Words with an apostrophe, other scripts and
-    runs of white space are never cut inside.
+    depend on that part alone. Parts repeat, so their ids are remembered, up to REMEMBERED of them. New words, which
+    the tokenizer would not cut further, go to its model at once; other parts go through all of it. Words with an
+    apostrophe, other scripts and runs of white space are never cut inside.
     """
 
     def __init__(self, path: str):
@@ -66,35 +66,21 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are text
         self.pairs = self.model.model
-        self.known: dict[str, bytes] = {}
         self.signs = byte_signs()
 
-    def word(self, word: str) -> bytes:
-        signs = word.encode().decode("latin-1").translate(self.signs)
-        ids = [t.id for t in self.pairs.tokenize(signs)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def learn(self, parts: list[str]) -> None:
-        """Remember the ids of parts."""
-        others = []
-        for p in parts:
-            if WORD.fullmatch(p):
-                self.known[p] = self.word(p)
-            else:
-                others.append(p)
-        for p, e in zip(others, self.model.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        out, known = [], self.known
-        for i in range(0, len(texts), TEXTS):
-            cut = [PARTS.findall(t) for t in texts[i : i + TEXTS]]
-            if len(known) > REMEMBERED:
-                known.clear()
-            self.learn(list({p for parts in cut for p in parts if p not in known}))
-            out += [b"".join(map(known.__getitem__, parts)) for parts in cut]
-        return out
+    def __missing__(self, part: str) -> bytes:
+        if WORD.fullmatch(part):
+            ids = [t.id for t in self.pairs.tokenize(part.encode().decode("latin-1").translate(self.signs))]
+        else:
+            ids = self.model.encode_batch_fast([part], add_special_tokens=False)[0].ids
+        self[part] = made = struct.pack(f"<{len(ids)}I", *ids)
+        return made
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian 32-bit integers."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        return b"".join(map(self.__getitem__, PARTS.findall(text)))
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -137,8 +123,8 @@ def shards(folder: str, vocabulary: str, size: int):
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for doc_id, raw in zip(ids, encoder.encode(batch.column("text").to_pylist()), strict=True):
-                tokens = np.frombuffer(raw + end, "<u4")
+            for doc_id, text in zip(ids, batch.column("text"), strict=True):
+                tokens = np.frombuffer(encoder.encode(text.as_py()) + end, "<u4")
                 if held and total + len(tokens) > size:
                     yield full()
                     held, documents, total, piece = [], [], 0, piece + 1

@@ -28,13 +28,13 @@ KEPT = 64
 
 def pack(ids: np.ndarray, documents: list[tuple[int | None, int]], **more: int) -> bytes:
     """The file of a sequence of ids; documents are (id, number of token ids) in order."""
-    squeeze = zstandard.ZstdCompressor(level=3).compress
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     order = ids.astype(np.uint32)
     blocks, zeros, places = [], [], []
     at = 0
     for level in range(levels):
-        bits = (order >> np.uint32(levels - 1 - level)) & np.uint32(1) != 0
+        bits = (order & np.uint32(1 << (levels - 1 - level))) != 0
         zeros.append(int(len(bits) - np.count_nonzero(bits)))
         ones = 0
         for start in range(0, len(bits), BLOCK):

@@ -240,7 +240,7 @@ def test_ids_of_odd_texts():
     texts = [t or "" for t in ODD] + ["".join(rng.choices(list("ab é's 1\n.\x00-") + ["the ", " word"], k=80)) for _ in range(200)]
     encoder = tokens.Encoder(VOCABULARY)
     for _ in range(2):  # the second time from what is remembered
-        assert [[*np.frombuffer(x, "<u4").tolist(), 0] for x in encoder.encode(texts)] == plain_ids(texts)
+        assert [[*np.frombuffer(encoder.encode(t), "<u4").tolist(), 0] for t in texts] == plain_ids(texts)
 
 
 def test_token_files_of_the_given_documents(spark):
