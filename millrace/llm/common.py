@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from millrace.session import prepare
+from millrace.session import prepare, staged
 
 
 #: Rows of an Arrow batch. Texts are long, and a batch is held in the executor and in its Python worker.
@@ -47,22 +47,30 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def labelled_sample(docs: DataFrame, rows: DataFrame, most: int) -> list:
-    """At most `most` of rows (doc_id and labels) with their texts, as a list on the driver, the same in every run.
+def wrapped(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others as one struct _row: no column added beside them clashes with the caller's."""
+    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    rest = [F.col(f"_{i}") for i, c in enumerate(df.columns) if c not in names] or [F.lit(None).cast("int").alias("_")]
+    return plain.select(F.struct(*rest).alias("_row"), *[F.col(f"_{df.columns.index(n)}").alias(n) for n in names])
+
+
+def unwrapped(rows: DataFrame, like: DataFrame, *names: str, more: tuple = ()) -> DataFrame:
+    """The columns of `like` again, in their order, after :func:`wrapped` with the same names; then those of `more`."""
+    return rows.select(*[F.col(c) if c in names else F.col(f"_row._{i}").alias(c) for i, c in enumerate(like.columns)], *more)
+
+
+def drawn_texts(docs: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """At most `most` of rows (doc_id and labels) with their texts, one row per id, the same in every run.
 
     rows are chosen by the hash of their id. A null text counts as empty; of several documents or
-    label rows with one id, the smallest counts.
+    label rows with one id, the smallest counts. The texts stay with the executors.
     """
     names = [c for c in rows.columns if c != "doc_id"]
-    wanted = (
-        rows.where(F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(*[F.min(n).alias(n) for n in names])
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    )
+    each = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows"), *[F.min(n).alias(n) for n in names])
+    wanted = each.drop("rows").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(wanted), "doc_id").collect()  # at most `most` ids are broadcast
-    got.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [r for i, r in enumerate(got) if not i or r["doc_id"] != got[i - 1]["doc_id"]]
+    found = texts.join(F.broadcast(wanted), "doc_id")  # at most `most` ids are broadcast
+    return staged(found.groupBy("doc_id", *names).agg(F.min("text").alias("text")), "drawn")
 
 
 def per_text(rows: DataFrame, make: Callable[[list], list], fields: str, batch: int = 256, keep_text: bool = False) -> DataFrame:

@@ -9,9 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, held_out, labelled_sample, per_text, pick
+from .common import drawn_texts, fold_of, held_out, per_text, pick
 
-#: Labelled rows used for training, at most: trusted positives and the unlabelled pool come from them.
+#: Rows used for training, at most: half trusted positives, half unlabelled web text.
 TRAINING_ROWS = 16_000
 #: Buckets for pairs of neighbouring bytes.
 PAIR_BUCKETS = 256
@@ -127,12 +127,14 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed:
     return net
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, lower: bool = False) -> float:
     """The share of positives among the unlabelled, by the best bin.
 
     A classifier of positives against unlabelled ranks rows. Above any threshold, the share of the
     unlabelled over the share of positives bounds the prior from above; the least bound counts,
-    each widened by its sampling error. Both sides are rows that the classifier was not fitted on.
+    each widened by its sampling error. As it bounds from above, and a prior that is too large calls
+    negatives positive, its `lower` side is less the sampling error. Both sides are rows that the classifier was not
+    fitted on.
     """
     cut_p, cut_u = len(positive) // 2, len(unlabelled) // 2
     net = fit(positive[:cut_p], unlabelled[:cut_u], None)
@@ -142,40 +144,46 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
         share_p, share_u = (p >= at).mean(), (u >= at).mean()
         error = np.sqrt(np.log(40) / (2 * len(p))) + np.sqrt(np.log(40) / (2 * len(u)))
         if (share_u + error) / share_p < best:
-            best, found = (share_u + error) / share_p, share_u / share_p
+            best, found = (share_u + error) / share_p, (share_u - error * lower) / share_p
     return float(np.clip(found, 0.02, 0.98))
 
 
-def learn(texts: list[str], trusted: list[int]) -> tuple[Network | None, float]:
-    """The fitted network and the estimated prior; no network without trusted rows.
-
-    Half of the trusted positives serve as positives, drawn by their place in the sample; all other
-    rows, with their labels put aside, are the unlabelled pool.
-    """
-    x = features(texts)
-    is_p = np.zeros(len(texts), bool)
-    is_p[np.flatnonzero(np.array(trusted, bool))[::2]] = True
-    if is_p.sum() < 4 or (~is_p).sum() < 4:
+def learn(trusted: np.ndarray, pool: np.ndarray) -> tuple[Network | None, float]:
+    """The fitted network and the estimated prior, from features of trusted positives and of unlabelled rows; no network
+    without enough of either."""
+    if len(trusted) < 4 or len(pool) < 4:
         return None, 0.5
     rng = np.random.default_rng(3)
-    p, u = (y[rng.permutation(len(y))] for y in (x[is_p], x[~is_p]))
-    prior = class_prior(p, u)
+    p, u = (y[rng.permutation(len(y))] for y in (trusted, pool))
+    prior = class_prior(p, u, lower=True)
     return fit(p, u, prior), prior
 
 
+def featured(sample: DataFrame) -> np.ndarray:
+    """The features of a sample's texts, computed where the texts are; only these numbers reach the driver."""
+
+    def run(texts: list) -> list:
+        return [[x.tobytes() for x in features(texts)]]
+
+    rows = per_text(sample.select("doc_id", "text"), run, "x binary").collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    return np.array([np.frombuffer(bytes(r["x"]), np.float32) for r in rows]).reshape(len(rows), SHAPES + PAIR_BUCKETS)
+
+
 def trained(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, rows: int = TRAINING_ROWS):
+    """Half of the rows are trusted positives, half are drawn from all documents without a look at labels."""
     docs = pick(documents, "doc_id", "text")
-    usable = pick(labels, "doc_id", "quality").where(
-        F.col("quality").isNotNull() & (fold_of(F.col("doc_id"), folds) != fold))
-    sample = labelled_sample(docs, usable, rows)
-    return learn([r["text"] for r in sample], [int(r["quality"] == 1) for r in sample])
+    outside = fold_of(F.col("doc_id"), folds) != fold
+    good = pick(labels, "doc_id", "quality").where((F.col("quality") == 1) & outside).select("doc_id")
+    return learn(featured(drawn_texts(docs, good, rows // 2)), featured(drawn_texts(docs, docs.select("doc_id").where(outside), rows // 2)))
 
 
 def score(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, rows: int = TRAINING_ROWS,
           threshold: float = 0.3) -> DataFrame:
     """documents (doc_id, text) with held_out, score and predicted (score >= threshold).
 
-    Learns from at most `rows` labelled rows outside the held-out fold; labels is (doc_id, quality).
+    Learns from at most `rows` documents outside the held-out fold, half of them trusted positives, the other
+    half drawn by hash from all documents, labelled or not; labels is (doc_id, quality).
     Only quality 1 is used as a label; negatives are never looked at. With too few positives every
     score is 0.5. Null texts score as empty ones. Null ids are never held out nor learned from;
     of several labels of one id the smallest counts; repeated rows each get their row; an empty
