@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, held_out, labelled_sample, per_text, pick
+from .common import drawn_texts, fold_of, held_out, per_text, pick, unwrapped, wrapped
 
 #: Labelled rows that the lexicon and the final weights are learned from, at most.
 TRAINING_ROWS = 20_000
@@ -19,8 +18,6 @@ LEAST_TOXIC_TEXTS = 6
 LEAST_TOXIC_SHARE = 0.6
 #: Lengths of word beginnings in the lexicon, for inflected and compounded forms.
 STEMS = (6, 5, 4)
-#: Entries of the lexicon, at most; the strongest stay.
-LEXICON_ENTRIES = 50_000
 #: Words whose class a task remembers before it starts anew.
 REMEMBERED_WORDS = 300_000
 
@@ -48,6 +45,8 @@ THREATS = frozenset(
 #: Input symbols of the transducers.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 SYMBOLS = range(6)
+#: Numbers that a text is scored by.
+FEATURES = 6
 #: Weight of a threat before the transducers act on it.
 THREAT_WEIGHT = 3.0
 
@@ -109,19 +108,25 @@ def again(symbol: int, factor: float) -> Transducer:
 
 
 FAR = 40
-#: Insults weigh more when they pile up; negation and reported speech discount what follows them.
-TOLD = (
-    again(INSULT, 1.25)
-    .composed(after(NEGATION, 3, {INSULT: 0.5, THREAT: 0.3}))
-    .composed(after(REPORT, FAR, {INSULT: 0.6, THREAT: 0.5}))
+#: What a transducer that lets nothing through does to what is weighed.
+SILENT = {INSULT: 0.0, THREAT: 0.0}
+#: Insults weigh more when they pile up.
+PILED = again(INSULT, 1.25)
+NEAR_NEGATION, ELSEWHERE = after(NEGATION, 3, {}, SILENT), after(NEGATION, 3, SILENT)
+#: Three grammars, composed from the same parts: what is said openly, denied, or reported of others. What each is worth is learned.
+GRAMMARS = (
+    PILED.composed(ELSEWHERE).composed(after(REPORT, FAR, SILENT)),
+    PILED.composed(NEAR_NEGATION),
+    PILED.composed(ELSEWHERE).composed(after(REPORT, FAR, {}, SILENT)),
 )
 #: Insults weigh more near a target, threats need one. A target may stand on either side.
 AIMED = after(TARGET, 6, {INSULT: 1.3}).composed(after(TARGET, 6, {}, {THREAT: 0.0}))
 
 
-def clause_score(clause: list[tuple[int, float]]) -> float:
-    aimed = map(max, AIMED.factors(clause), AIMED.factors(clause[::-1])[::-1])
-    return sum(t * a * w for t, a, (_, w) in zip(TOLD.factors(clause), aimed, clause, strict=True))
+def clause_scores(clause: list[tuple[int, float]]) -> list[float]:
+    """What the clause holds openly, denied and reported."""
+    aimed = [*map(max, AIMED.factors(clause), AIMED.factors(clause[::-1])[::-1])]
+    return [sum(f * a * w for f, a, (_, w) in zip(grammar.factors(clause), aimed, clause, strict=True)) for grammar in GRAMMARS]
 
 
 def symbol_of(word: str, lexicon: dict[str, float]) -> tuple[int, float]:
@@ -157,13 +162,14 @@ class Scorer:
             found = self.symbols[word] = symbol_of(word, self.lexicon)
         return found
 
-    def features(self, text: str | None) -> tuple[float, float, float, float]:
-        """Sum over clauses, best clause, sum per 100 words, matched clauses (logarithms but for the best)."""
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """Of what is said openly: sum over clauses, best clause, sum per 100 words, matched clauses; then the sums of
+        what is denied and of what is reported (logarithms but for the best)."""
         text = (text or "").lower()
         words = WORD.findall(text)
         if not any(self.symbol(w)[0] in (INSULT, THREAT) for w in set(words)):
-            return 0.0, 0.0, 0.0, 0.0
-        total = best = 0.0
+            return (0.0,) * FEATURES
+        total = best = denied = reported = 0.0
         matched = 0
         clause: list[tuple[int, float]] = []
         for piece in [*PIECES.findall(text), "."]:
@@ -171,12 +177,15 @@ class Scorer:
                 clause.append(self.symbol(piece))
                 continue
             if any(s in (INSULT, THREAT) for s, _ in clause):
-                worth = clause_score(clause)
+                worth, not_so, told = clause_scores(clause)
                 total += worth
+                denied += not_so
+                reported += told
                 best = max(best, worth)
                 matched += worth > 0
             clause = []
-        return float(np.log1p(total)), best, float(np.log1p(100 * total / max(1, len(words)))), float(np.log1p(matched))
+        logs = np.log1p([total, 100 * total / max(1, len(words)), matched, denied, reported]).tolist()
+        return logs[0], best, *logs[1:]
 
 
 def entries(text: str) -> set[str]:
@@ -184,26 +193,17 @@ def entries(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
-def learn_lexicon(texts: list[str], toxic: list[int]) -> dict[str, float]:
-    """Words and beginnings that toxic texts hold far more often than others, with their log odds."""
-    bad: Counter = Counter()
-    good: Counter = Counter()
-    seen = set()
-    distinct = [(t, x) for t, x in zip(texts, toxic, strict=True) if not (t in seen or seen.add(t))]
-    for t, x in distinct:
-        if x:
-            bad.update(entries(t))
-    bad = Counter({e: n for e, n in bad.items() if n >= LEAST_TOXIC_TEXTS})
-    for t, x in distinct:
-        if not x:
-            good.update(e for e in entries(t) if e in bad)
-    n_bad, n_good = sum(x for _, x in distinct), sum(not x for _, x in distinct)
-    known = {
-        e: float(np.log((n + 0.5) / (n_bad + 1)) - np.log((good[e] + 0.5) / (n_good + 1)))
-        for e, n in bad.items() if n >= LEAST_TOXIC_SHARE * (n + good[e])
-    }
-    strongest = sorted(known, key=lambda e: (-known[e], e))[:LEXICON_ENTRIES]
-    return {e: max(0.0, min(6.0, known[e])) for e in strongest}
+def lexicon_of(counts: list[tuple[str, int, int]], n_bad: int, n_good: int) -> dict[str, float]:
+    """Words and beginnings that toxic texts hold far more often than others, with their log odds.
+
+    counts has each entry with the number of toxic and of other texts that hold it.
+    """
+    known = {}
+    for entry, bad, good in counts:
+        if bad >= LEAST_TOXIC_TEXTS and bad >= LEAST_TOXIC_SHARE * (bad + good):
+            odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
+            known[entry] = float(max(0.0, min(6.0, odds)))
+    return known
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -219,25 +219,61 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def learn(texts: list[str], toxic: list[int]) -> tuple[dict[str, float], np.ndarray]:
-    """The lexicon of all texts, and final weights fitted on texts that did not shape the lexicon used for them."""
-    if not texts or not 0 < sum(toxic) < len(toxic):
-        return {}, np.array([-4.0, 1.0, 0.5, 0.0, 0.0])
-    half = np.arange(len(texts)) % 2
-    rows = [None] * len(texts)
+def entry_counts(sample: DataFrame) -> list:
+    """For each entry that may be in a lexicon, the texts with it by half (0, 1) and label: bad0, good0, bad1, good1.
+
+    Counted where the texts are; what comes back is held by LEAST_TOXIC_TEXTS of the toxic texts at least.
+    """
+    def run(texts: list) -> list:
+        return [[sorted(entries(t)) for t in texts]]
+
+    held = per_text(sample.select("half", "toxic", "text"), run, "entries array<string>")
+    each = held.select("half", "toxic", F.explode("entries").alias("entry"))
+    counted = each.groupBy("entry").agg(*[
+        F.count_if((F.col("half") == h) & (F.col("toxic") == y)).alias(f"{name}{h}") for h in (0, 1) for name, y in (("bad", 1), ("good", 0))])
+    bad, all_ = F.col("bad0") + F.col("bad1"), F.col("bad0") + F.col("bad1") + F.col("good0") + F.col("good1")
+    halves = [(F.col(f"bad{h}"), F.col(f"bad{h}") + F.col(f"good{h}")) for h in (0, 1)]
+    some = F.lit(False)
+    for toxic, texts in [(bad, all_), *halves]:
+        some = some | ((toxic >= LEAST_TOXIC_TEXTS) & (toxic >= LEAST_TOXIC_SHARE * texts))
+    return counted.where(some).orderBy("entry").collect()
+
+
+def learn(sample: DataFrame) -> tuple[dict[str, float], np.ndarray]:
+    """The lexicon of all texts of a sample (text, toxic 0 or 1), and final weights fitted on texts that did not shape
+    the lexicon used for them. Equal texts count once. Only counts and features leave the executors."""
+    once = sample.groupBy("text").agg(F.min_by("toxic", F.struct("doc_id")).alias("toxic"))
+    once = once.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    sizes = {(r["half"], r["toxic"]): r["n"] for r in once.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
+    n = {y: [sizes.get((h, y), 0) for h in (0, 1)] for y in (0, 1)}
+    if not sum(n[0]) or not sum(n[1]):
+        return {}, np.array([-4.0, 1.0, 0.5, 0.0, 0.0, 0.0, 0.0])
+    counts = entry_counts(once)
+    whole = lexicon_of([(r["entry"], r["bad0"] + r["bad1"], r["good0"] + r["good1"]) for r in counts], sum(n[1]), sum(n[0]))
+    others = [lexicon_of([(r["entry"], r[f"bad{1 - h}"], r[f"good{1 - h}"]) for r in counts], n[1][1 - h], n[0][1 - h]) for h in (0, 1)]
+    rows = []
     for h in (0, 1):
-        there = [i for i in range(len(texts)) if half[i] != h]
-        scorer = Scorer(learn_lexicon([texts[i] for i in there], [toxic[i] for i in there]))
-        for i in np.flatnonzero(half == h):
-            rows[i] = scorer.features(texts[i])
-    return learn_lexicon(texts, toxic), logistic(np.array(rows), np.array(toxic, float))
+        x = per_text(once.where(F.col("half") == h).select("toxic", "text"), features_by(others[h]), "x array<double>")
+        rows += [(*r["x"], r["toxic"]) for r in x.collect()]
+    rows = np.array(sorted(rows))
+    return whole, logistic(rows[:, :-1], rows[:, -1])
+
+
+def features_by(lexicon: dict[str, float]):
+    scorers: list[Scorer] = []
+
+    def run(texts: list) -> list:
+        if not scorers:
+            scorers.append(Scorer(lexicon))
+        return [[list(scorers[0].features(t)) for t in texts]]
+
+    return run
 
 
 def trained(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, rows: int = TRAINING_ROWS):
     docs = pick(documents, "doc_id", "text")
     usable = pick(labels, "doc_id", "toxic").where(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id"), folds) != fold))
-    sample = labelled_sample(docs, usable, rows)
-    return learn([r["text"] for r in sample], [int(r["toxic"] == 1) for r in sample])
+    return learn(drawn_texts(docs, usable.withColumn("toxic", (F.col("toxic") == 1).cast("int")), rows))
 
 
 def score(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, rows: int = TRAINING_ROWS) -> DataFrame:
@@ -247,8 +283,8 @@ def score(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0
     Without labels of both kinds only the fixed threat words count. Null and empty texts score
     like any text without a match. Null ids are never held out nor learned from; of several labels
     of one id the smallest counts; repeated rows each get their row; an empty table gives no rows.
-    Whole texts are read; the lexicon sent to the tasks holds at most LEXICON_ENTRIES. No shuffle
-    of texts.
+    Whole texts are read. The lexicon sent to the tasks holds entries of at least LEAST_TOXIC_TEXTS of the
+    sample's toxic texts, so the sample bounds it. No shuffle of texts but the sample's.
     """
     lexicon, weights = trained(documents, labels, folds, fold, rows)
     docs = pick(documents, "doc_id", "text")
@@ -262,7 +298,7 @@ def rated(rows: DataFrame, lexicon: dict[str, float], weights: np.ndarray, field
     def run(texts: list) -> list:
         if not scorers:
             scorers.append(Scorer(lexicon))
-        x = np.array([scorers[0].features(t) for t in texts]).reshape(-1, 4)
+        x = np.array([scorers[0].features(t) for t in texts]).reshape(-1, FEATURES)
         p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
         return [p, (p >= 0.5).astype(np.int32), np.rint(np.expm1(x[:, 3])).astype(np.int64)]
 
@@ -270,7 +306,10 @@ def rated(rows: DataFrame, lexicon: dict[str, float], weights: np.ndarray, field
 
 
 def harmless(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic; all columns stay, and rows with null or empty texts."""
+    """The documents that are not predicted toxic; all columns stay, whatever their names.
+
+    Rows with null or empty texts stay, repeated rows share their fate; an empty table gives no rows.
+    """
     lexicon, weights = trained(documents, labels)
-    marked = rated(documents, lexicon, weights, "_score double, _toxic int, _clauses bigint", keep_text=True)
-    return marked.where("_toxic = 0").select(*documents.columns)
+    marked = rated(wrapped(documents, "text"), lexicon, weights, "score double, toxic int, clauses bigint", keep_text=True)
+    return unwrapped(marked.where("toxic = 0"), documents, "text")
