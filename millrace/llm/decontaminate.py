@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, unwrapped, wrapped
 
 #: Words of a window.
 WINDOW = 10
@@ -111,8 +111,13 @@ def scan(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFr
 
 
 def clean(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any benchmark window; all columns stay."""
+    """The documents without any benchmark window; all columns stay, whatever their names.
+
+    Null and empty texts have no window and stay, as do rows with a null id and a clean text; repeated rows share their
+    fate. An empty benchmark keeps all rows, an empty table gives none.
+    """
     dirty = scan(documents, items, window).where("contaminated").select(
-        F.col("doc_id").alias("_doc_id"), F.col("body").alias("_body")).distinct()
-    same = documents["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == F.col("_body"))
-    return documents.join(dirty, same, "left_anti")
+        F.col("doc_id").alias("dirty_id"), F.col("body").alias("dirty_body")).distinct()
+    rows = wrapped(documents, "doc_id", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("dirty_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("dirty_body"))
+    return unwrapped(rows.join(dirty, same, "left_anti"), documents, "doc_id", "text")

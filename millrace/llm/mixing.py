@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import staged
 
-from .common import per_text, pick
+from .common import per_text, pick, unwrapped, wrapped
 
 #: Margins that the weights are raked to.
 MARGINS = ("source", "lang", "topic")
@@ -197,23 +197,24 @@ def plan(rows: DataFrame, rate: float, flatten: dict[str, float], targets: dict
     return centres, done, done.count() <= BROADCAST_CELLS
 
 
+NAMES = ("doc_id", "text", "lang", "source")
+
+
 def placed(documents: DataFrame, rate: float, flatten: dict | None, targets: dict | None) -> DataFrame:
-    """documents with _n_tokens, _topic, _weight, _probability and _kept beside their own columns."""
-    docs = pick(documents, "doc_id", "text", "lang", "source")
-    centres, cells, small = plan(docs, rate, flatten or FLATTEN, targets)
+    """documents, wrapped, with n_tokens, topic, weight, probability and kept beside their own columns."""
+    centres, cells, small = plan(pick(documents, *NAMES), rate, flatten or FLATTEN, targets)
 
     def run(texts: list) -> list:
         made = [profile(t) for t in texts]
         topic = nearest(np.array([v for _, v in made]).reshape(-1, DIMENSIONS), centres)
         return [[n for n, _ in made], [f"topic{k}" if k >= 0 else "none" for k in topic]]
 
-    marked = per_text(documents, run, "_n_tokens bigint, _topic_name string", keep_text=True)
-    cells = cells.select(*[F.col(f"_{m}").alias(f"_cell_{m}") for m in MARGINS], F.col("factor").alias("_weight"),
-                         F.col("probability").alias("_probability"))
-    same = ((cell(F.col("source")) == F.col("_cell_source")) & (cell(F.col("lang")) == F.col("_cell_lang"))
-            & (cell(F.col("_topic_name")) == F.col("_cell_topic")))
+    marked = per_text(wrapped(documents, *NAMES), run, "n_tokens bigint, topic string", keep_text=True)
+    cells = cells.select(*[F.col(f"_{m}").alias(f"cell_{m}") for m in MARGINS], F.col("factor").alias("weight"), "probability")
+    same = ((cell(F.col("source")) == F.col("cell_source")) & (cell(F.col("lang")) == F.col("cell_lang"))
+            & (cell(F.col("topic")) == F.col("cell_topic")))
     joined = marked.join(F.broadcast(cells) if small else cells, same)
-    return joined.withColumn("_kept", drawn(F.col("_probability"), "doc_id", "text"))
+    return joined.withColumn("kept", drawn(F.col("probability"), "doc_id", "text"))
 
 
 def mix(documents: DataFrame, rate: float = RATE, flatten: dict | None = None, targets: dict | None = None) -> DataFrame:
@@ -226,13 +227,20 @@ def mix(documents: DataFrame, rate: float = RATE, flatten: dict | None = None, t
     without tokens probability 0. An empty table gives no rows. The cells are broadcast if there
     are at most BROADCAST_CELLS, and joined by shuffle beyond that.
     """
-    docs = pick(documents, "doc_id", "text", "lang", "source")
-    found = placed(docs, rate, flatten, targets)
-    return found.select("doc_id", "source", "lang", F.col("_topic_name").alias("topic"), F.col("_n_tokens").alias("n_tokens"),
-                        F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
+    found = placed(pick(documents, *NAMES), rate, flatten, targets)
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
 
 
 def sample(documents: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents drawn, with all their columns and their weight per token as mix_weight."""
-    found = placed(documents, rate, None, None).where("_kept")
-    return found.select(*[c for c in documents.columns if c != "mix_weight"], F.col("_weight").alias("mix_weight"))
+    """The documents drawn, with all their columns, whatever their names, and their weight per token as mix_weight.
+
+    A column mix_weight of their own is replaced. Null and empty texts have no tokens, so their cell decides: one without any
+    tokens gives probability 0. Repeated rows share their fate; an empty table gives no rows.
+    """
+    found = placed(documents, rate, None, None).where("kept")
+    whole = unwrapped(found, documents, *NAMES, more=(F.col("weight").alias("mix_weight"),))
+    if "mix_weight" not in documents.columns:
+        return whole
+    old = documents.columns.index("mix_weight")
+    parts = whole.toDF(*[f"_{i}" for i in range(len(whole.columns))])
+    return parts.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(whole.columns) if i != old])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import staged
 
-from .common import per_text, pick
+from .common import per_text, pick, unwrapped, wrapped
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents with base spans that the weights are fitted on, at most.
@@ -426,15 +426,20 @@ def masked(text: str, weights: dict[str, float]) -> str:
 def mask(documents: DataFrame) -> DataFrame:
     """The documents with all spans masked in text, and n_chars, where there is one, brought up to date.
 
-    Rows, other columns and null texts stay.
+    Rows and other columns stay, whatever their names; so do null texts and the n_chars beside them. Repeated rows are
+    masked alike, an empty table gives no rows.
     """
     weights = trained(documents)
 
     def run(texts: list) -> list:
         return [[None if t is None else masked(t, weights) for t in texts]]
 
-    made = per_text(documents, run, "_masked string").withColumnRenamed("_masked", "text")
-    if "n_chars" in documents.columns:
-        kind = documents.schema["n_chars"].dataType
-        made = made.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(kind))
-    return made.select(*documents.columns)
+    made = per_text(wrapped(documents, "text"), run, "masked string").withColumnRenamed("masked", "text")
+    whole = unwrapped(made, documents, "text")
+    if "n_chars" not in documents.columns:
+        return whole
+    at, n_chars = documents.columns.index("n_chars"), documents.schema["n_chars"]
+    parts = whole.toDF(*[f"_{i}" for i in range(len(whole.columns))])
+    text = F.col(f"_{documents.columns.index('text')}")
+    counted = F.when(text.isNull(), F.col(f"_{at}")).otherwise(F.char_length(text)).cast(n_chars.dataType)
+    return parts.select(*[(counted if i == at else F.col(f"_{i}")).alias(c) for i, c in enumerate(documents.columns)])

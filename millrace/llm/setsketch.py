@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import staged
 
-from .common import per_text, pick
+from .common import per_text, pick, unwrapped, wrapped
 
 #: Words of a shingle; least similarity of a link in hundredths.
 WORDS, SIMILAR = 5, 75
@@ -316,12 +316,17 @@ def link(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents with one row of each group of near duplicates, that of the smallest doc_id; all columns stay.
+    """The documents with one row of each group of near duplicates, that of the smallest doc_id; all columns stay, whatever
+    their names.
 
-    Of rows that repeat an id the one with the smallest text stays. Rows without an id all stay.
+    Of rows that repeat an id one with the smallest text stays. Rows without an id all stay, and so do null and empty
+    texts, which are linked with nothing. An empty table gives no rows. Only rows of repeated ids are sorted.
     """
-    kept = link(documents).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    named = documents.join(kept, documents["doc_id"] == kept["_id"], "left_semi")
+    rows = wrapped(documents, "doc_id", "text")
+    kept = link(documents).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    kept = staged(kept, "kept").withColumnRenamed("doc_id", "kept_id")
+    named = rows.join(kept, F.col("doc_id") == F.col("kept_id"))
+    once = named.where("copies = 1").select(*rows.columns)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = named.withColumn("_place", place).where("_place = 1").select(*documents.columns)
-    return named.unionByName(documents.where(F.col("doc_id").isNull()))
+    repeated = named.where("copies > 1").select(*rows.columns).withColumn("place", place).where("place = 1").drop("place")
+    return unwrapped(once.unionByName(repeated).unionByName(rows.where(F.col("doc_id").isNull())), documents, "doc_id", "text")

@@ -106,3 +106,28 @@ def test_stages(spark, name, tmp_path):
     if name == "pii":
         assert len(rows) == len(ROWS)
     assert stage(spark, plain.limit(0), str(tmp_path)).collect() == []
+
+
+#: Names that stages use for columns of their own, and those that a caller may like just as much.
+HELPERS = ("_row _0 _1 _toxic _score toxic score clauses dirty_id dirty_body _doc_id body kept_id copies place _place masked _masked "
+           "topic weight probability kept _kept n_tokens _n_tokens cell_source mix_weight row hash text_hash").split()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_keep_columns_of_any_name(spark, name, tmp_path):
+    """Each helper's name is taken by a column of the caller; it comes out as it went in."""
+    labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+    items(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    plain = docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    taken = plain.withColumns({h: F.lit(f"own {h}") for h in HELPERS})
+    out = stage(spark, taken, str(tmp_path))
+    if name == "mixing":
+        assert out.columns == [c for c in taken.columns if c != "mix_weight"] + ["mix_weight"]
+    else:
+        assert out.columns == taken.columns
+    rows = out.collect()
+    assert rows and all(r[h] == f"own {h}" for r in rows for h in HELPERS if (name, h) != ("mixing", "mix_weight"))
+    assert {r["doc_id"] for r in rows} <= {r[0] for r in ROWS}
+    if name == "near_duplicates":
+        assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [1, 2, 3, 4, 5, 7]

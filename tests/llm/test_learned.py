@@ -1,5 +1,8 @@
 """Learned operators: accuracy on the held-out fold, marginals of the mix, whole pipeline."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 from plain import SF, contaminated, near, personal
@@ -53,6 +56,83 @@ def test_composition_multiplies():
     assert a.score(clause) == 8 and b.score(clause) == 2 and a.composed(b).score(clause) == 4
 
 
+def told_and_denied(rng, n):
+    """Documents whose insults are open (toxic), denied or reported (not toxic), or that have none."""
+    plain = lambda: " ".join(rng.choice(["stone", "water", "light", "the", "of", "green", "walk"]) for _ in range(rng.randrange(6, 14)))
+    rows = []
+    for i in range(n):
+        bad = rng.choice(["idiot", "clown", "moron"])
+        kind = i % 4
+        clause = [f"you {bad}", f"you are not an {bad}", f"they said you are an {bad}", "you there"][kind]
+        rows.append((i, ". ".join([plain(), clause, plain()]) + ".", int(kind == 0)))
+    return rows
+
+
+def test_denied_and_reported_clauses_flip_documents(spark, monkeypatch):
+    """The grammar decides whole documents; without it the same words decide, and much worse."""
+    rng = random.Random(5)
+    rows = told_and_denied(rng, 400)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    truth = {i: y for i, _, y in rows}
+
+    def right():
+        got = toxicity.score(docs, labels).where("held_out").collect()
+        return sum(r["predicted"] == truth[r["doc_id"]] for r in got) / len(got), {r["doc_id"]: r["predicted"] for r in got}
+
+    monkeypatch.setattr(toxicity, "LEAST_TOXIC_SHARE", 0.2)
+    with_grammar, said = right()
+    assert with_grammar >= 0.97 and {said[i] for i in said if i % 4 == 1} == {0} == {said[i] for i in said if i % 4 == 2}
+    everything = toxicity.PILED
+    nothing = toxicity.PILED.composed(toxicity.after(toxicity.NEGATION, 1, toxicity.SILENT, toxicity.SILENT))
+    # The same words through transducers that neither deny nor report.
+    lexicon, weights = {"idiot": 3.0, "clown": 3.0, "moron": 3.0}, None
+    assert toxicity.Scorer(lexicon).features(rows[1][1])[0] == 0 < toxicity.Scorer(lexicon).features(rows[0][1])[0]
+    monkeypatch.setattr(toxicity, "GRAMMARS", (everything, nothing, nothing))
+    x = np.array([toxicity.Scorer(lexicon).features(t) for _, t, _ in rows])
+    y = np.array([y for _, _, y in rows], float)
+    weights = toxicity.logistic(x, y)
+    flat = ((weights[0] + x @ weights[1:] > 0) == y).mean()
+    assert flat < with_grammar - 0.1
+
+
+def test_toxicity_against_plain_automata(spark):
+    """Scores of the small documents against a walk over the grammar's rules without transducers."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    lexicon, weights = toxicity.trained(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
+    for r in docs.collect():
+        x = plain_features((r["text"] or "").lower(), lexicon)
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))) < 1e-9
+
+
+def plain_features(text, lexicon):
+    n_words = max(1, len(toxicity.WORD.findall(text)))
+    sums, best, matched = np.zeros(3), 0.0, 0
+    for clause in re.split(r"[.!?;:,|()\n]", text):
+        symbols = [toxicity.symbol_of(w, lexicon) for w in toxicity.WORD.findall(clause)]
+        worth = np.zeros(3)
+        insults = 0
+        for i, (s, w) in enumerate(symbols):
+            if s not in (toxicity.INSULT, toxicity.THREAT):
+                continue
+            near = [t for t, _ in symbols[max(0, i - 6) : i] + symbols[i + 1 : i + 7]]
+            aimed = toxicity.TARGET in near
+            if s == toxicity.INSULT:
+                w = w * (1.25 if insults else 1) * (1.3 if aimed else 1)
+                insults += 1
+            elif not aimed:
+                w = 0
+            denied = toxicity.NEGATION in [t for t, _ in symbols[max(0, i - 3) : i]]
+            told = toxicity.REPORT in [t for t, _ in symbols[max(0, i - toxicity.FAR) : i]]
+            worth[1 if denied else 2 if told else 0] += w
+        sums += worth
+        best, matched = max(best, worth[0]), matched + (worth[0] > 0)
+    total = sums[0]
+    return np.array([np.log1p(total), best, np.log1p(100 * total / n_words), np.log1p(matched), *np.log1p(sums[1:])])
+
+
 def test_prior_and_risk():
     rng = np.random.default_rng(1)
     positive = rng.normal(1.5, 1, (1200, 4))
