@@ -287,11 +287,11 @@ def line_changes_of(rows: DataFrame, watermark: bool = True) -> DataFrame:
 
     agreed = _change(returned, "order_refund_info", "update", refund_state("0702"), row_map(refund_status="0701"), seq=seq, watermark=watermark)
     closed = returned.where(F.col("status") == "F")
-    done = _change(closed, "order_refund_info", "update", refund_state("0705"), row_map(refund_status="0702"), watermark=watermark)
+    done = _change(closed, "order_refund_info", "update", refund_state("0705"), row_map(refund_status="0702"), seq=seq, watermark=watermark)
     repaid = _change(closed, "refund_payment", "update", row_map(
         id=F.col("id"), order_id=_text("order_id"), sku_id=_text("sku_id"),
         payment_type=_text(F.col("supplier_id") % 30), callback_time=stamp_text(F.col("ts")),
-        total_amount=_text("price"), refund_status="1602"), row_map(refund_status="1601"), watermark=watermark)
+        total_amount=_text("price"), refund_status="1602"), row_map(refund_status="1601"), seq=seq, watermark=watermark)
     log = detail
     for part in (activity, coupon, payment, agreed, done, repaid):
         log = log.unionByName(part)

@@ -31,7 +31,7 @@ def tied(spark, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["fact_refund_two_lookups"])
+@pytest.mark.parametrize("name", ["fact_refund_two_lookups", "fact_refund_pay_composite"])
 def test_the_last_revision_of_a_second(spark, tied, name):
     folder, con = tied
     problems, count = oracle.compare(QUERIES[name](spark, folder), con, ORACLE[name])
