@@ -1,12 +1,15 @@
 """Interval joins that repeat the side that is smaller."""
 
+import glob
 import random
 
 import pytest
 from helpers import START_S, rows
 from pyspark.sql import functions as F
+from test_queries import SF
 
 from millrace.operators.joins import interval_join
+from millrace.queries import QUERIES
 
 
 def _side(spark, name, times):
@@ -26,3 +29,12 @@ def test_either_side_may_be_spread(spark):
     assert rows(got, "k", "l", "et", "r") == rows(want) == rows(interval_join(left, right, {"k": "k"}, 30, 5), "k", "l", "et", "r")
     with pytest.raises(ValueError):
         interval_join(left, right, {"k": "k"}, 30, 5, "left", spread="left")
+
+
+def test_topics_of_details_are_compressed(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{folder}/topic-*/*"))
+    found = QUERIES["topic_order_details"](spark, SF)
+    assert found.count() > 0
+    files = [f for f in set(glob.glob(f"{folder}/topic-*/*")) - before if "_SUCCESS" not in f]
+    assert files and all(f.endswith(".json.gz") for f in files)
