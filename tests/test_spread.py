@@ -8,8 +8,9 @@ from helpers import START_S, rows
 from pyspark.sql import functions as F
 from test_queries import SF
 
-from millrace.operators.joins import interval_join
+from millrace.operators.joins import SLOT_INTERVALS, interval_join
 from millrace.queries import QUERIES
+from millrace.session import prepare
 
 
 def _side(spark, name, times):
@@ -38,3 +39,18 @@ def test_topics_of_details_are_compressed(spark):
     assert found.count() > 0
     files = [f for f in set(glob.glob(f"{folder}/topic-*/*")) - before if "_SUCCESS" not in f]
     assert files and all(f.endswith(".json.gz") for f in files)
+
+
+def test_few_rows_are_repeated_for_time_slots(spark):
+    """Of rows spread evenly over time about a quarter lie in reach of two slots; a copy of a row is state of a stream."""
+    right = _side(spark, "r", [("a", float(t)) for t in range(4000)])
+    left = right.withColumnRenamed("r", "l")
+    plan = interval_join(left, right, {"k": "k"}, 30, 5)
+    repeated = right.withColumn("slots", F.size(F.sequence(*[
+        F.floor(F.unix_micros(F.col("et") + F.expr(f"interval {s} seconds")) / F.lit(SLOT_INTERVALS * 36_000_000)) for s in (-5, 30)])))
+    assert 4000 < repeated.agg(F.sum("slots")).first()[0] <= 1.3 * 4000
+    assert plan.where("l = r").count() == 4000
+
+
+def test_state_files_are_packed(spark):
+    assert prepare(spark).conf.get("spark.sql.streaming.stateStore.rocksdb.compression") == "zstd"
