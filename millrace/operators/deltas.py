@@ -8,10 +8,22 @@ from pyspark.sql import types as T
 from millrace.functions.columns import hour
 
 PART = "_part"
+# Keys are counted by this many groups, and those of groups with more rows than that are cut into parts.
+GROUPS, GROUP_ROWS = 1 << 18, 500_000
+
+
+def _group(key) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(GROUPS))
+
+
+def busy_groups(df: DataFrame, key, rows: int = GROUP_ROWS) -> list[int]:
+    """The groups of keys with more rows than that; there are at most ``GROUPS``."""
+    return [r["group"] for r in df.groupBy(_group(key).alias("group")).count().where(F.col("count") > rows).collect()]
 
 
 def deltas(df: DataFrame, key, order, amounts, coarse: Column | None = None, attributes: str = "current",
-           idle: tuple[str, str] | None = None, known: str | None = None, first: str | None = None) -> DataFrame:
+           idle: tuple[str, str] | None = None, known: str | None = None, first: str | None = None,
+           busy: list[int] | None = None) -> DataFrame:
     """Replace each amount by its change against the revision before; a first revision stays whole.
 
     ``order`` must decide between any two revisions of a key. ``attributes="previous"`` emits a
@@ -19,11 +31,12 @@ def deltas(df: DataFrame, key, order, amounts, coarse: Column | None = None, att
     amount counts as nothing, so all changes of a record add up to its last amount.
     ``idle=("et", "5 seconds")`` forgets a revision once that much event time has passed.
 
-    ``coarse`` is a column that never falls along ``order``; by default it is the hour of the event
-    time ``et``. Every key is cut into its parts. Inside a part a revision finds the one before it
-    in the part's own window. Only the first and last revisions of the parts meet in a window of
-    the whole key, at most two for each part. So no task sorts all revisions of a key, and both
-    windows read the input through one shuffle.
+    Rows are counted first by group of keys. In most groups no key can have very many revisions, so a window of the key
+    finds the one before each, through one shuffle. The keys of ``busy`` groups (see :func:`busy_groups`; counted here
+    unless given) are cut into parts by ``coarse``, a column that never falls along ``order``; by default the hour of the
+    event time ``et``. Inside a part a revision finds the one before it in the part's own window. Only the first and
+    last revisions of the parts meet in a window of the whole key, at most two for each part. So no task sorts
+    all revisions of a key with very many.
 
     ``known`` names a column that is true on revisions which only serve as a past; they are not
     emitted, and neither is the column. ``first`` names a boolean column to add, true on revisions
@@ -32,17 +45,12 @@ def deltas(df: DataFrame, key, order, amounts, coarse: Column | None = None, att
     if attributes not in ("current", "previous"):
         raise ValueError("attributes is 'current' or 'previous'")
     whole = F.struct(*df.columns)
-    in_part = W.partitionBy(*key, PART).orderBy(*order)
-    rows = df.withColumn(PART, hour() if coarse is None else coarse).withColumns({
-        "_before": F.lag(whole).over(in_part),
-        "_ends": F.lead(F.lit(True)).over(in_part).isNull(),
-    })
-    inside = rows.where(F.col("_before").isNotNull())
-    edges = rows.where(F.col("_before").isNull() | F.col("_ends"))
-    handed_on = F.lag(whole).over(W.partitionBy(*key).orderBy(PART, *order))
-    opening = edges.withColumn("_handed", handed_on).where(F.col("_before").isNull())
-    before = inside.select(*df.columns, "_before").unionByName(
-        opening.select(*df.columns, F.col("_handed").alias("_before")))
+    busy = busy_groups(df, key) if busy is None else busy
+    crowded = _group(key).isin(busy) if busy else F.lit(False)
+    before = df.where(~crowded).withColumn("_before", F.lag(whole).over(W.partitionBy(*key).orderBy(*order)))
+    if busy:
+        parts = df.where(crowded).withColumn(PART, hour() if coarse is None else coarse)
+        before = before.unionByName(_before_in_parts(parts, df.columns, key, order))
 
     if known is not None:
         before = before.where(~F.col(known))
@@ -54,6 +62,22 @@ def deltas(df: DataFrame, key, order, amounts, coarse: Column | None = None, att
     return before.select(*out, *([F.col("_before").isNull().alias(first)] if first else []))
 
 
+def _before_in_parts(rows: DataFrame, columns, key, order) -> DataFrame:
+    """The rows with the revision before each, found inside parts and between their ends."""
+    whole = F.struct(*columns)
+    in_part = W.partitionBy(*key, PART).orderBy(*order)
+    rows = rows.withColumns({
+        "_before": F.lag(whole).over(in_part),
+        "_ends": F.lead(F.lit(True)).over(in_part).isNull(),
+    })
+    inside = rows.where(F.col("_before").isNotNull())
+    edges = rows.where(F.col("_before").isNull() | F.col("_ends"))
+    handed_on = F.lag(whole).over(W.partitionBy(*key).orderBy(PART, *order))
+    opening = edges.withColumn("_handed", handed_on).where(F.col("_before").isNull())
+    return inside.select(*columns, "_before").unionByName(
+        opening.select(*columns, F.col("_handed").alias("_before")))
+
+
 def _emitted(field: T.StructField, is_amount: bool, attributes: str) -> Column:
     """The column as it leaves; a change of an amount keeps the type of the amount."""
     column = field.name

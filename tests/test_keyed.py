@@ -8,7 +8,7 @@ import pytest
 from helpers import at, rows, timed
 from pyspark.sql import functions as F
 
-from millrace.operators.deltas import deltas
+from millrace.operators.deltas import busy_groups, deltas
 from millrace.operators.enrich import enrich
 from millrace.operators.flags import daily_and_new, first_of_day, first_seen, returning
 from millrace.operators.joins import interval_join, keyed_join
@@ -148,3 +148,17 @@ def test_chain_with_broken_links(spark):
     out = enrich(facts, (sku, "sku_id", "id", {"cat": "category_id"}), (cat, "category_id", "id", {"name": "category"}))
     assert rows(out, "f", "category_id", "category") == [
         ("f1", "c1", "shoes"), ("f2", "lost", None), ("f3", None, None), ("f4", None, None)]
+
+
+def test_amount_changes_of_quiet_keys_take_one_shuffle(spark):
+    """Only keys of busy groups are cut into parts; the rows are the same either way, and with some keys of each kind."""
+    events = [("ab"[i % 3 > 0], at(i * 997.0), i, Decimal(i * 7 % 11)) for i in range(60)]
+    df = timed(spark, events, "id string, et timestamp, tag int, amount decimal(16,2)")
+    quiet = deltas(df, ["id"], ["et", "tag"], ["amount"], busy=[])
+    assert quiet._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    some = busy_groups(df, ["id"], 30)
+    assert len(some) == 1 and busy_groups(df, ["id"]) == [] and len(busy_groups(df, ["id"], 0)) == 2
+    want = rows(quiet)
+    assert rows(deltas(df, ["id"], ["et", "tag"], ["amount"])) == want
+    for busy in (some, busy_groups(df, ["id"], 0)):
+        assert rows(deltas(df, ["id"], ["et", "tag"], ["amount"], busy=busy)) == want
