@@ -254,9 +254,12 @@ def gmv_response(spark, sf_dir):
   select cast(coalesce(sum(order_amount), 0) as decimal(18,2)) as order_amount
   from changed where strftime(et, '%Y-%m-%d') = '1998-07-01'"""))
 def gmv_of_day(spark, sf_dir):
-    """One day out of the stored aggregate, which is partitioned by day."""
+    """One day out of the stored aggregate, which is partitioned by day.
+
+    Rows of a day meet before they are written, so there are about as many files as days; days with very many rows are split.
+    """
     path = shared_folder(spark, "sku-amounts")
-    _sku_amounts(spark, sf_dir).write.partitionBy("cur_date").parquet(path)
+    _sku_amounts(spark, sf_dir).hint("rebalance", "cur_date").write.partitionBy("cur_date").parquet(path)
     stored = spark.read.option("recursiveFileLookup", "false").parquet(path)
     stored = stored.withColumn("cur_date", F.col("cur_date").cast("string"))
     return _money(ads.gmv(stored, "1998-07-01"), "order_amount")

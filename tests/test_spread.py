@@ -54,3 +54,11 @@ def test_few_rows_are_repeated_for_time_slots(spark):
 
 def test_state_files_are_packed(spark):
     assert prepare(spark).conf.get("spark.sql.streaming.stateStore.rocksdb.compression") == "zstd"
+
+
+def test_days_are_stored_in_few_files(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{folder}/sku-amounts-*/*/*.parquet"))
+    assert QUERIES["gmv_of_day"](spark, SF).count() == 1
+    files = set(glob.glob(f"{folder}/sku-amounts-*/*/*.parquet")) - before
+    assert files and len(files) <= 1.1 * len({f.rsplit("/", 2)[1] for f in files})
