@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.columns import op_type, whole
+from millrace.operators.groups import busy_groups, group_of
 from millrace.sources.topics import counted
 
 # The change kinds that are let through.
@@ -98,10 +99,44 @@ def merge_cells(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
 
     An insert or update overwrites the cells it holds and leaves absent or null cells alone; a
     delete removes the whole row, whatever columns it had; other operations are ignored. ``order``
-    must decide between any two changes of a key. Each cell is folded on its own, so the shuffle
-    carries the last value per cell and task.
+    must decide between any two changes of a key. Rows are counted first by group of keys. The few changes of a
+    key of most groups meet whole, through one shuffle. In a busy group each cell is folded on its own, so
+    the shuffle carries the last value per cell and task.
     """
-    last = _last_cells(rows, list(key), list(order), op, row)
+    key, order = list(key), list(order)
+    busy = busy_groups(rows, key)
+    crowded = group_of(key).isin(busy) if busy else F.lit(False)
+    merged = _merged_whole(rows.where(~crowded), key, order, op, row)
+    return merged.unionByName(_merged_by_cell(rows.where(crowded), key, order, op, row)) if busy else merged
+
+
+def _merged_whole(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
+    """The merge of keys with few changes: the last put of each column after the last deletion.
+
+    The changes meet before they are collected, as collecting in the tasks that read them would sort all they read."""
+    put = F.when(F.col(op).isin("insert", "update"), F.map_filter(F.col(row), lambda _, value: value.isNotNull()))
+    steps = rows.where(F.col(op).isin("insert", "update", "delete")).select(*key, F.struct(*order).alias("_at"), put.alias("_put"))
+    filled = F.size("_put") > 0
+    met = steps.repartition(*key).groupBy(*key).agg(
+        F.max(F.when(F.col("_put").isNull(), F.col("_at"))).alias("_gone"),
+        F.max(F.when(filled, F.col("_at"))).alias("_last"),
+        F.collect_list(F.when(filled, F.struct("_at", "_put"))).alias("_puts"))
+    met = met.where(F.col("_last").isNotNull() & (F.col("_gone").isNull() | (F.col("_last") > F.col("_gone"))))
+    alive = F.filter("_puts", lambda p: F.col("_gone").isNull() | (p["_at"] > F.col("_gone")))
+    later = F.array_sort(alive, lambda a, b: F.when(a["_at"] > b["_at"], -1).when(a["_at"] < b["_at"], 1).otherwise(0))
+    latest = met.select(*key, F.transform(F.when(F.size("_puts") > 1, later).otherwise(F.col("_puts")), lambda p: p["_put"]).alias("_puts"))
+    named = latest.withColumn("_names", F.array_sort(F.array_distinct(F.flatten(F.transform("_puts", F.map_keys)))))
+
+    def value(name):
+        return F.element_at(F.filter("_puts", lambda p: F.map_contains_key(p, name)), 1)[name]
+
+    only = F.map_from_arrays("_names", F.transform("_names", lambda name: F.col("_puts")[0][name]))
+    merged = F.when(F.size("_puts") == 1, only).otherwise(F.map_from_arrays("_names", F.transform("_names", value)))
+    return named.select(*key, merged.alias(row))
+
+
+def _merged_by_cell(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
+    last = _last_cells(rows, key, order, op, row)
     folded = last.groupBy(*key).agg(
         F.max(F.when(F.col("_column").isNull(), F.col("_at"))).alias("_gone"),
         F.collect_list(F.when(F.col("_column").isNotNull(), F.struct("_column", "_value", "_at"))).alias("_cells"))

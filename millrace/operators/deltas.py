@@ -6,19 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.columns import hour
+from millrace.operators.groups import busy_groups, group_of
 
 PART = "_part"
-# Keys are counted by this many groups, and those of groups with more rows than that are cut into parts.
-GROUPS, GROUP_ROWS = 1 << 18, 500_000
-
-
-def _group(key) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(GROUPS))
-
-
-def busy_groups(df: DataFrame, key, rows: int = GROUP_ROWS) -> list[int]:
-    """The groups of keys with more rows than that; there are at most ``GROUPS``."""
-    return [r["group"] for r in df.groupBy(_group(key).alias("group")).count().where(F.col("count") > rows).collect()]
 
 
 def deltas(df: DataFrame, key, order, amounts, coarse: Column | None = None, attributes: str = "current",
@@ -32,7 +22,7 @@ def deltas(df: DataFrame, key, order, amounts, coarse: Column | None = None, att
     ``idle=("et", "5 seconds")`` forgets a revision once that much event time has passed.
 
     Rows are counted first by group of keys. In most groups no key can have very many revisions, so a window of the key
-    finds the one before each, through one shuffle. The keys of ``busy`` groups (see :func:`busy_groups`; counted here
+    finds the one before each, through one shuffle. The keys of ``busy`` groups (see ``operators.groups``; counted here
     unless given) are cut into parts by ``coarse``, a column that never falls along ``order``; by default the hour of the
     event time ``et``. Inside a part a revision finds the one before it in the part's own window. Only the first and
     last revisions of the parts meet in a window of the whole key, at most two for each part. So no task sorts
@@ -46,7 +36,7 @@ def deltas(df: DataFrame, key, order, amounts, coarse: Column | None = None, att
         raise ValueError("attributes is 'current' or 'previous'")
     whole = F.struct(*df.columns)
     busy = busy_groups(df, key) if busy is None else busy
-    crowded = _group(key).isin(busy) if busy else F.lit(False)
+    crowded = group_of(key).isin(busy) if busy else F.lit(False)
     before = df.where(~crowded).withColumn("_before", F.lag(whole).over(W.partitionBy(*key).orderBy(*order)))
     if busy:
         parts = df.where(crowded).withColumn(PART, hour() if coarse is None else coarse)

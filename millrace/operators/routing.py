@@ -12,6 +12,8 @@ ROUTE_KEY = ["source_table", "source_type"]
 EVERY_CHANGE = "ALL"
 # Fixed value: the name under which a routed row carries its operation.
 OPERATION = "op_type"
+# Fixed value: up to this many source tables are named in a filter of the log.
+MOST_TABLES = 1000
 
 
 def live_routes(changes: DataFrame, order=("ts_ms",), preload: DataFrame | None = None) -> DataFrame:
@@ -32,8 +34,8 @@ def route(changes: DataFrame, routes: DataFrame, sink_type: str, by_type: bool =
 
     With ``by_type`` a route is found by table and operation, else by table with source type
     ``ALL``. The routes are written out first, so Spark knows how small they are: by its own size
-    check it sends them to the log, which is not moved, and of a log stored by ``table`` reads only
-    the tables they name. Routes beyond its threshold meet the log in a shuffle whose busy tables are split.
+    check it sends them to the log, which is not moved. The tables they name, up to ``MOST_TABLES``, filter the log, so
+    changes of others are neither read nor built where the log is stored or put together by ``table``. Routes beyond its threshold meet the log in a shuffle whose busy tables are split.
     ``stored`` tells that the routes are read from files already.
     """
     wanted = (routes if stored else staged(routes, "routes")).where(F.col("sink_type") == sink_type)
@@ -46,6 +48,9 @@ def route(changes: DataFrame, routes: DataFrame, sink_type: str, by_type: bool =
     )
     on = ["table", "op_type"] if by_type else ["table"]
     sinks = sinks if by_type else sinks.drop("op_type")
+    tables = [r["table"] for r in sinks.select("table").distinct().limit(MOST_TABLES + 1).collect()]
+    if len(tables) <= MOST_TABLES:
+        changes = changes.where(F.col("table").isin(tables))
     joined = with_op_type(changes).join(sinks, on)
     return joined.withColumns({
         "row_key": F.col("data")[F.col("sink_row_key")],

@@ -1,3 +1,6 @@
+import random
+
+from test_queries import SF
 from helpers import START_S, change, changes, dic, rows, text
 from pyspark.sql import functions as F
 
@@ -156,3 +159,34 @@ def test_bad_json_is_dropped_and_other_columns_are_kept(spark):
     raw = spark.createDataFrame([(1, '{"ts": 5}'), (2, "{"), (3, None), (4, "{}")], "n int, value string")
     out = parse_json(raw, schemas.CHANGE_ENVELOPE, keep=["n"])
     assert rows(out, "n", "ts") == [(1, 5), (4, None)]
+
+
+def test_dimension_rows_of_quiet_keys_move_whole_and_once(spark):
+    """One shuffle, of changes and not of cells; keys of busy groups are folded cell by cell to the same rows."""
+    from millrace.operators import changelog
+
+    rng = random.Random(8)
+    changes = [(rng.choice("abcdefgh"), i, rng.choice(["insert", "update", "update", "delete", "other"]),
+                {c: rng.choice(["x", "y", None]) for c in rng.sample("pqrs", rng.randrange(4))}) for i in range(200)]
+    changes += [("z", 1, "update", {"p": None}), ("y", 1, "update", {"p": "1"}), ("y", 2, "delete", {})]
+    df = spark.createDataFrame(changes, "id string, n long, op string, row map<string,string>")
+    merged = changelog.merge_cells(df, ["id"], ["n"], "op", "row")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+    want = {}
+    for key, _, op, row in sorted(changes, key=lambda c: c[1]):
+        if op == "delete":
+            want.pop(key, None)
+        elif op != "other":
+            want.setdefault(key, {}).update({c: x for c, x in row.items() if x is not None})
+    want = {k: r for k, r in want.items() if r}
+    assert {r["id"]: r["row"] for r in merged.collect()} == want
+    parts = changelog._merged_by_cell(df, ["id"], ["n"], "op", "row")
+    assert {r["id"]: r["row"] for r in parts.collect()} == want
+
+
+def test_routes_read_only_the_tables_they_name(spark):
+    from millrace.queries import QUERIES
+
+    plan = QUERIES["dim_maintenance"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" in plan and "l_orderkey" not in plan and "event_id" not in plan
