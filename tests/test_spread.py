@@ -62,3 +62,7 @@ def test_days_are_stored_in_few_files(spark):
     assert QUERIES["gmv_of_day"](spark, SF).count() == 1
     files = set(glob.glob(f"{folder}/sku-amounts-*/*/*.parquet")) - before
     assert files and len(files) <= 1.1 * len({f.rsplit("/", 2)[1] for f in files})
+
+
+def test_rows_for_a_few_folders_are_not_sorted(spark):
+    assert prepare(spark).conf.get("spark.sql.maxConcurrentOutputFileWriters") == "32"
