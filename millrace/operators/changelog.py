@@ -80,18 +80,25 @@ def _last_cells(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
 
 
 def last_cells(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
-    """The changes that :func:`merge_cells` still needs: one row per cell, and one per deletion.
+    """The changes that :func:`merge_cells` still needs: puts with the cells that no later change holds, and deletions.
 
     Merging these together with any later changes gives what merging all changes would. Columns other than
-    the key, ``order``, ``op`` and ``row`` become null.
+    the key, ``order``, ``op`` and ``row`` become null. As there, the few changes of most keys meet whole, so a put
+    stays one row; a busy group gives a row per cell.
     """
-    cells = _last_cells(rows, list(key), list(order), op, row)
-    whole = F.col("_column").isNull()
-    made = {op: F.when(whole, "delete").otherwise("update"),
-            row: F.when(whole, F.create_map().cast("map<string,string>")).otherwise(F.create_map("_column", "_value"))}
+    key, order = list(key), list(order)
+    busy = busy_groups(rows, key)
+    crowded = group_of(key).isin(busy) if busy else F.lit(False)
+    steps = _last_whole(rows.where(~crowded), key, order, op, row)
+    if busy:
+        cells = _last_cells(rows.where(crowded), key, order, op, row)
+        put = F.when(F.col("_column").isNotNull(), F.create_map("_column", "_value"))
+        steps = steps.unionByName(cells.select(*key, "_at", put.alias("_put")))
+    made = {op: F.when(F.col("_put").isNull(), "delete").otherwise("update"),
+            row: F.coalesce("_put", F.create_map().cast("map<string,string>"))}
     values = [F.col(c) if c in key else F.col(f"_at.{c}").alias(c) if c in order
               else made[c].alias(c) if c in made else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
-    return cells.select(*values)
+    return steps.select(*values)
 
 
 def merge_cells(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
@@ -110,8 +117,8 @@ def merge_cells(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
     return merged.unionByName(_merged_by_cell(rows.where(crowded), key, order, op, row)) if busy else merged
 
 
-def _merged_whole(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
-    """The merge of keys with few changes: the last put of each column after the last deletion.
+def _met(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
+    """The last deletion of each key as ``_gone``, the last put as ``_last`` and all puts after that deletion as ``_puts``, the latest first.
 
     The changes meet before they are collected, as collecting in the tasks that read them would sort all they read."""
     put = F.when(F.col(op).isin("insert", "update"), F.map_filter(F.col(row), lambda _, value: value.isNotNull()))
@@ -121,10 +128,33 @@ def _merged_whole(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
         F.max(F.when(F.col("_put").isNull(), F.col("_at"))).alias("_gone"),
         F.max(F.when(filled, F.col("_at"))).alias("_last"),
         F.collect_list(F.when(filled, F.struct("_at", "_put"))).alias("_puts"))
-    met = met.where(F.col("_last").isNotNull() & (F.col("_gone").isNull() | (F.col("_last") > F.col("_gone"))))
     alive = F.filter("_puts", lambda p: F.col("_gone").isNull() | (p["_at"] > F.col("_gone")))
     later = F.array_sort(alive, lambda a, b: F.when(a["_at"] > b["_at"], -1).when(a["_at"] < b["_at"], 1).otherwise(0))
-    latest = met.select(*key, F.transform(F.when(F.size("_puts") > 1, later).otherwise(F.col("_puts")), lambda p: p["_put"]).alias("_puts"))
+    only = F.when(F.col("_gone").isNull() | (F.col("_last") > F.col("_gone")), F.col("_puts")).otherwise(F.slice("_puts", 1, 0))
+    return met.select(*key, "_gone", "_last", F.when(F.size("_puts") > 1, later).otherwise(only).alias("_puts"))
+
+
+def _last_whole(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
+    """What is left of the changes of keys with few of them: ``_at`` and ``_put``, which is null for the last deletion."""
+    met = _met(rows, key, order, op, row)
+
+    def left(put, place):
+        later = F.slice("_puts", F.lit(1), place)
+        cells = F.map_filter(put["_put"], lambda name, _: ~F.exists(later, lambda p: F.map_contains_key(p["_put"], name)))
+        return F.struct(put["_at"].alias("_at"), cells.alias("_put"))
+
+    cells = F.when(F.size("_puts") > 1, F.filter(F.transform("_puts", left), lambda p: F.size(p["_put"]) > 0)).otherwise(F.col("_puts"))
+    gone = F.array(F.struct(F.col("_gone").alias("_at"), F.lit(None).cast("map<string,string>").alias("_put")))
+    none = F.slice("_puts", 1, 0)
+    steps = F.concat(cells, F.when(F.col("_gone").isNotNull(), gone).otherwise(none))
+    return met.select(*key, F.explode(steps).alias("_step")).select(*key, "_step._at", "_step._put")
+
+
+def _merged_whole(rows: DataFrame, key, order, op: str, row: str) -> DataFrame:
+    """The merge of keys with few changes: the last put of each column after the last deletion."""
+    met = _met(rows, key, order, op, row)
+    met = met.where(F.col("_last").isNotNull() & (F.col("_gone").isNull() | (F.col("_last") > F.col("_gone"))))
+    latest = met.select(*key, F.transform("_puts", lambda p: p["_put"]).alias("_puts"))
     named = latest.withColumn("_names", F.array_sort(F.array_distinct(F.flatten(F.transform("_puts", F.map_keys)))))
 
     def value(name):

@@ -54,21 +54,23 @@ FILES = 4
 def replay_in_files(spark, sf_dir, name, time, far_future, files=FILES, delay_us=DELAY_US):
     """The table as a stream of files, one per batch, in order of arrival: a row's time plus a delay by its hash.
 
-    So rows overtake each other inside files and across them. Rows far in the future end it.
+    So rows overtake each other inside files and across them. Rows far in the future end it. A batch of a large table
+    has as many files as its scan has tasks, so that no task writes or reads a batch alone.
     """
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     arrival = F.unix_micros(F.col(time).cast("timestamp")) + F.pmod(F.xxhash64(*rows.columns), F.lit(delay_us))
     late = rows.withColumn("_arrival", arrival)
     cuts = late.agg(F.percentile_approx("_arrival", [i / files for i in range(1, files)])).first()[0] or []
-    folder = shared_folder(spark, "files")
+    folder, together = shared_folder(spark, "files"), max(1, rows.rdd.getNumPartitions())
     # Files are taken up by the time they were written.
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = late if low is None else late.where(F.col("_arrival") > low)
         part = part if high is None else part.where(F.col("_arrival") <= high)
-        part.drop("_arrival").coalesce(1).write.mode("append").parquet(folder)
+        part = part.drop("_arrival")
+        (part.repartition(together) if together > 1 else part.coalesce(1)).write.mode("append").parquet(folder)
     ends = [tuple(r.get(f) for f in rows.columns) for r in far_future]
     spark.createDataFrame(ends, rows.schema).coalesce(1).write.mode("append").parquet(folder)
-    return stream_table(spark, folder, rows.schema, files_per_batch=1)
+    return stream_table(spark, folder, rows.schema, files_per_batch=together)
 
 
 def _event_ends(kinds):

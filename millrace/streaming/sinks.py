@@ -145,7 +145,7 @@ BATCH = "batch"
 
 
 def dimension_log(table: str, path: str, schema: T.StructType, order=("ts",), every: int = 20) -> KeyedLog:
-    """A folding log of routed puts and deletes; a fold keeps the last change of each cell and the last deletion."""
+    """A folding log of routed puts and deletes; a fold keeps of each change the cells that no later one holds, and the last deletion."""
     with_batch = T.StructType([*schema.fields, T.StructField(BATCH, T.IntegerType())])
     return KeyedLog(table, path, with_batch, lambda rows: last_cells(rows, DIMENSION_KEY, [*order, BATCH], "op_type", "row"),
                     every, ["sink_table"])

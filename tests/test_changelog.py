@@ -1,3 +1,5 @@
+import glob
+import os
 import random
 
 from test_queries import SF
@@ -190,3 +192,46 @@ def test_routes_read_only_the_tables_they_name(spark):
 
     plan = QUERIES["dim_maintenance"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "o_orderkey" in plan and "l_orderkey" not in plan and "event_id" not in plan
+
+
+def test_a_fold_keeps_whole_changes(spark):
+    """A put that nothing overrides stays one row; folded and later changes merge to what all changes do, busy groups too."""
+    from millrace.operators import changelog
+
+    rng = random.Random(9)
+    changes = [(rng.choice("abcdefgh"), i, rng.choice(["insert", "update", "update", "delete", "other"]),
+                {c: rng.choice(["x", "y", None]) for c in rng.sample("pqrs", rng.randrange(4))}, i) for i in range(200)]
+    changes += [("z", 1, "insert", {"p": "1", "q": "1", "r": "1"}, 1), ("z", 2, "update", {"q": "2"}, 1), ("y", 1, "delete", {}, 1)]
+    rng.shuffle(changes)
+    shape = "id string, n long, op string, row map<string,string>, more int"
+    first, later = spark.createDataFrame(changes[:150], shape), spark.createDataFrame(changes[150:], shape)
+    want = rows(changelog.merge_cells(first.unionByName(later), ["id"], ["n"], "op", "row").select("id", F.to_json("row")))
+    folded = changelog.last_cells(first, ["id"], ["n"], "op", "row")
+    assert rows(changelog.merge_cells(folded.unionByName(later), ["id"], ["n"], "op", "row").select("id", F.to_json("row"))) == want
+    alone = changelog.last_cells(spark.createDataFrame(changes, shape).where("id in ('y', 'z')"), ["id"], ["n"], "op", "row")
+    assert rows(alone, "id", "n", "op", F.to_json("row"), "more") == [
+        ("y", 1, "delete", "{}", None), ("z", 1, "update", '{"p":"1","r":"1"}', None), ("z", 2, "update", '{"q":"2"}', None)]
+    counted, changelog.busy_groups = changelog.busy_groups, lambda df, key: counted(df, key, 0)
+    try:
+        cells = changelog.last_cells(first, ["id"], ["n"], "op", "row")
+    finally:
+        changelog.busy_groups = counted
+    assert rows(changelog.merge_cells(cells.unionByName(later), ["id"], ["n"], "op", "row").select("id", F.to_json("row"))) == want
+
+
+def test_a_batch_of_a_large_replay_has_several_files(spark, tmp_path):
+    from millrace.queries.streams import replay_in_files
+
+    given = spark.range(4000).select("id", (F.timestamp_seconds(F.col("id"))).alias("at"))
+    given.repartition(8).write.parquet(f"{tmp_path}/given.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))  # a task for every file or two
+    try:
+        tasks = spark.read.parquet(f"{tmp_path}/given.parquet").rdd.getNumPartitions()
+        before = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/files-*"))
+        replay_in_files(spark, str(tmp_path), "given", "at", [{"id": -1}])
+        [folder] = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/files-*")) - before
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    files = sorted(glob.glob(f"{folder}/*.parquet"), key=os.path.getmtime)
+    assert tasks > 1 and len(files) == 4 * tasks + 1
+    assert sorted(r["id"] for r in spark.read.parquet(folder).collect()) == [-1, *range(4000)]
