@@ -128,8 +128,8 @@ def raked(cells: DataFrame, flatten: dict[str, float], targets: dict[str, dict[s
     """cells (the margins, tokens) with weight: tokens scaled until every margin has its target share.
 
     A margin's targets are shares by value, or else its own shares flattened. Values without a
-    target get none of the weight. Each sweep scales to one margin after the other and is written
-    out. The sum of weights stays that of the tokens. Targets that contradict each other end
+    target get none of the weight. Each sweep scales to one margin after the other, and the cells are written out after
+    each, so that no plan holds more than one scaling. The sum of weights stays that of the tokens. Targets that contradict each other end
     after SWEEPS with the last margin met.
     """
     spark = cells.sparkSession
@@ -142,21 +142,21 @@ def raked(cells: DataFrame, flatten: dict[str, float], targets: dict[str, dict[s
         else:
             goal = cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(flatten[m])).alias("power")).where("power > 0")
         whole = goal.agg(F.sum("power")).first()[0] or 1.0
-        goals[m] = staged(goal.select(m, (F.col("power") / whole * total).alias("goal")), "goals")
-    now = staged(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
+        goals[m] = goal.select(m, (F.col("power") / whole * total).alias(f"_{m}"))
+    given = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for m in MARGINS:
+        given = given.join(goals[m], m, "left")
+    now = staged(given.withColumn("before", F.col("weight")), "cells")
     for _ in range(SWEEPS if total else 0):
-        step = now
+        now = now.withColumn("before", F.col("weight"))
         for m in MARGINS:
-            sums = step.groupBy(m).agg(F.sum("weight").alias("_sum")).join(goals[m], m, "left")
-            factor = F.when(F.col("_sum") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("_sum")).otherwise(0.0)
-            step = step.join(sums.select(m, factor.alias("_factor")), m).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_factor")
-        step = staged(step.select(*cells.columns, "weight"), "cells")
-        moved = step.alias("a").join(now.select(*MARGINS, F.col("weight").alias("before")), list(MARGINS)).agg(
-            F.max(F.abs(F.col("weight") - F.col("before")) / F.greatest("weight", F.lit(1.0)))).first()[0]
-        now = step
+            factor = F.when(F.sum("weight") > 0, F.coalesce(F.max(f"_{m}"), F.lit(0.0)) / F.sum("weight")).otherwise(0.0)
+            scaled = now.join(now.groupBy(m).agg(factor.alias("_factor")), m).withColumn("weight", F.col("weight") * F.col("_factor"))
+            now = staged(scaled.select(*now.columns), "cells")
+        moved = now.agg(F.max(F.abs(F.col("weight") - F.col("before")) / F.greatest("weight", F.lit(1.0)))).first()[0]
         if moved is None or moved < TOLERANCE:
             break
-    return now
+    return now.select(*cells.columns, "weight")
 
 
 def calibrated(cells: DataFrame, rate: float) -> DataFrame:

@@ -267,3 +267,25 @@ def test_token_files_and_questions(spark, tmp_path):
     assert [r["doc_id"] for r in twice] == [None, None, -1, 3, 3, 3]
     assert [r["start"] for r in twice] == [0, *np.cumsum([r["n_tokens"] for r in twice])[:-1].tolist()]
     assert tokens.token_files(frame.limit(0), VOCABULARY).collect() == []
+
+
+def test_no_plan_scales_to_more_than_one_margin(spark, monkeypatch):
+    """Plans of nested scalings double with each margin, and the driver holds what they broadcast."""
+    from millrace.llm import mixing
+
+    rows = [(f"=s{i % 5}", f"=l{i % 3}", f"=t{i % 7}", 10 + i * i % 97) for i in range(105)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").groupBy(
+        *mixing.MARGINS).agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "tokens").localCheckpoint()
+    joins = []
+
+    def counted(df, purpose, write=mixing.staged):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df, purpose)
+
+    monkeypatch.setattr(mixing, "staged", counted)
+    got = mixing.raked(cells, mixing.FLATTEN, {"lang": {"l0": 0.2, "l1": 0.3, "l2": 0.5}})
+    assert len(joins) > 4 and max(joins) <= 3 and set(joins[1:]) == {1}
+    total = sum(r[3] for r in rows)
+    found = {r["lang"]: r["w"] for r in got.groupBy("lang").agg({"weight": "sum"}).withColumnRenamed("sum(weight)", "w").collect()}
+    assert all(abs(found[f"=l{i}"] / total - share) < 1e-3 for i, share in enumerate((0.2, 0.3, 0.5)))
+    assert got.columns == [*cells.columns, "weight"]
