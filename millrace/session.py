@@ -59,15 +59,25 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+# Whether the shuffle files of a statement go when it ends, and not some time after its plan is collected.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table below the shared folder and read it back.
 
     For a result that several later steps read and that is dear to compute: they then scan only
-    their columns, and a lost executor costs a scan instead of the whole computation.
+    their columns, and a lost executor costs a scan instead of the whole computation. What was shuffled for it is
+    deleted once it is written, as nothing reads it again.
     """
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = shared_folder(spark, purpose), spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _place(spark: SparkSession, path: str):

@@ -66,3 +66,18 @@ def test_days_are_stored_in_few_files(spark):
 
 def test_rows_for_a_few_folders_are_not_sorted(spark):
     assert prepare(spark).conf.get("spark.sql.maxConcurrentOutputFileWriters") == "32"
+
+
+def test_shuffles_of_staged_tables_are_deleted(spark):
+    """Their files go with the statement that writes the table; the session's own choice stays as it is."""
+    from millrace.session import FREE_SHUFFLES, staged
+
+    def shuffles():
+        return sum(1 for _ in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+            spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()))
+
+    before, kept = spark.conf.get(FREE_SHUFFLES), shuffles()
+    table = staged(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "freed")
+    assert table.count() == 7 and spark.conf.get(FREE_SHUFFLES) == before
+    staged(table.groupBy("count").agg(F.max("k").alias("k")), "freed")
+    assert shuffles() <= kept + 1  # that of the count above
