@@ -57,6 +57,44 @@ def merge_maps(row, winner) -> Column:
     return F.map_concat(rest, winner)
 
 
+def _escaped(text: Column) -> Column:
+    safe = F.replace(F.replace(text, F.lit("\2"), F.lit("\2b")), F.lit("\1"), F.lit("\2a"))
+    return F.coalesce(safe, F.lit("\2n"))
+
+
+def _plain(part: Column) -> Column:
+    text = F.replace(F.replace(part, F.lit("\2a"), F.lit("\1")), F.lit("\2b"), F.lit("\2"))
+    return F.when(part != "\2n", text)
+
+
+def packed(*texts) -> Column:
+    """Texts as one, for rows on their way through a shuffle, where every column costs more than a short text.
+
+    Any text, and null, comes back by :func:`unpacked`.
+    """
+    return joined_packs(*[_escaped(F.col(t) if isinstance(t, str) else t) for t in texts])
+
+
+def joined_packs(*packs: Column) -> Column:
+    return F.concat_ws("\1", *packs)
+
+
+def first_of_pack(pack: Column) -> Column:
+    return _plain(F.substring_index(pack, "\1", 1))
+
+
+def rest_of_pack(pack: Column) -> Column:
+    """A pack without its first text."""
+    return F.substr(pack, F.instr(pack, "\1") + 1)
+
+
+def unpacked(rows: DataFrame, pack: str, names) -> DataFrame:
+    """The rows with the texts of a pack as columns in its place."""
+    parts = rows.withColumn(pack, F.split(pack, "\1"))
+    texts = [_plain(F.element_at(pack, i + 1)).alias(name) for i, name in enumerate(names)]
+    return parts.select(*[c for c in rows.columns if c != pack], *texts)
+
+
 def struct_map(struct: str, fields) -> Column:
     """A struct of strings as a map without its null fields."""
     pairs = F.map_from_arrays(

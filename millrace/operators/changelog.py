@@ -51,12 +51,21 @@ def fields(*names: str, **renamed: str) -> list[Column]:
     return plain + [F.col("data")[source].alias(alias) for alias, source in renamed.items()]
 
 
-def latest_by_key(rows: DataFrame, key, order, op: str | None = None, deleted: str = "delete") -> DataFrame:
+def latest_by_key(rows: DataFrame, key, order, op: str | None = None, deleted: str = "delete",
+                  whole: bool = False) -> DataFrame:
     """The last row per key; keys whose last row is a deletion are gone.
 
     ``order`` must decide between any two rows of a key. The maximum is taken per task before
-    the shuffle, so a key with very many revisions moves one row per task.
+    the shuffle, so a key with very many revisions moves one row per task. That sorts all rows a task reads, which wide
+    rows do not fit into memory for. With ``whole`` they are counted first by group of keys, and only keys of busy groups
+    are folded before the rows meet.
     """
+    if whole:
+        busy = busy_groups(rows, key)
+        if busy:
+            crowded = group_of(key).isin(busy)
+            rows = rows.where(~crowded).unionByName(latest_by_key(rows.where(crowded), key, order))
+        rows = rows.repartition(*key)
     rest = [c for c in rows.columns if c not in key]
     if any(isinstance(f.dataType, T.MapType) for f in rows.schema):
         last = F.max_by(F.struct(*rest), F.struct(*order))

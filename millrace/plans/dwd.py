@@ -13,7 +13,8 @@ column list under ``order`` decides between revisions of one key in a table.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import money, text_day, whole
+from millrace.functions.columns import (
+    first_of_pack, joined_packs, money, packed, rest_of_pack, text_day, unpacked, whole)
 from millrace.operators.changelog import fields, grew, latest_by_key, moved, of_table, reached
 from millrace.operators.enrich import lookup
 from millrace.operators.joins import interval_join, keyed_join
@@ -57,9 +58,12 @@ def order_details(changes: DataFrame, database: str, ttl_s: int | None = None, o
     """Order lines with their order, activity and coupon; one row per line in a table.
 
     In a table the inputs are folded to the last row per key first. Lines, activities and coupons
-    are then all partitioned by line id, so only the join with orders moves the lines again. A
-    stream emits joined rows and leaves the folding to a keyed sink.
+    are then all partitioned by line id, so only the join with orders moves the lines again. Without ``ttl_s`` they
+    move with their texts packed into one. A stream emits joined rows and leaves the folding to a keyed sink.
     """
+    if not changes.isStreaming and ttl_s is None:
+        return _packed_details(changes, database, list(order))
+
     def last(rows, *key):
         kept = rows if changes.isStreaming else latest_by_key(rows, list(key), list(order))
         return kept.drop(*[c for c in order if c != "ts"])
@@ -94,6 +98,45 @@ def order_details(changes: DataFrame, database: str, ttl_s: int | None = None, o
     return joined.withColumn("date_id", text_day(F.col("create_time"))).select(*DETAIL_COLUMNS)
 
 
+# The texts of a line, its activity and its coupon, in the order they are packed in.
+LINE_TEXTS = ["sku_id", "sku_name", "create_time", "sku_num", "order_price", "split_total_amount", "split_activity_amount",
+              "split_coupon_amount"]
+ACTIVITY_TEXTS, COUPON_TEXTS = ["activity_id", "activity_rule_id"], ["coupon_id"]
+
+
+def _packed_details(changes: DataFrame, database: str, order: list[str]) -> DataFrame:
+    """The table form of :func:`order_details` without a limit of time, partitioned by order."""
+    extra = [c for c in order if c != "ts"]
+    data = F.col("data")
+
+    def last(table, key, *texts, whole=False):
+        rows = of_table(changes, database, table, "insert").select(
+            data[key].alias(key), packed(*texts).alias("_pack"), "ts", *extra)
+        return latest_by_key(rows, [key], order, whole=whole)
+
+    # The event time lies close to ts, so their distance is short as text.
+    ahead = (F.unix_micros("et") - F.coalesce("ts", F.lit(0)) * 1_000_000).cast("string")
+    lines = last("order_detail", "id", data["order_id"], ahead, *[data[c] for c in LINE_TEXTS], whole=True).select("id", "ts", "_pack")
+
+    def offers(table, texts):
+        rows = last(table, "order_detail_id", *[data[c] for c in texts])
+        return rows.select("order_detail_id", F.col("_pack").alias(f"_{texts[0]}"))
+
+    joined = keyed_join(lines, offers("order_detail_activity", ACTIVITY_TEXTS), {"id": "order_detail_id"}, "left")
+    joined = keyed_join(joined, offers("order_detail_coupon", COUPON_TEXTS), {"id": "order_detail_id"}, "left")
+    none = {texts[0]: packed(*[F.lit(None).cast("string")] * len(texts)) for texts in (ACTIVITY_TEXTS, COUPON_TEXTS)}
+    moving = joined.select(
+        first_of_pack(F.col("_pack")).alias("order_id"), "ts",
+        joined_packs(packed("id"), rest_of_pack(F.col("_pack")), *[F.coalesce(f"_{c}", n) for c, n in none.items()]).alias("_pack"))
+    orders = last("order_info", "id", data["user_id"], data["province_id"]).select("id", F.col("_pack").alias("_order"))
+    ordered = keyed_join(moving, orders, {"order_id": "id"})
+    flat = unpacked(ordered, "_pack", ["id", "_ahead", *LINE_TEXTS, *ACTIVITY_TEXTS, *COUPON_TEXTS])
+    return unpacked(flat, "_order", ["user_id", "province_id"]).withColumns({
+        "split_original_amount": (money("sku_num") * money("order_price")).cast("string"),
+        "et": F.timestamp_micros(F.col("_ahead").cast("long") + F.coalesce("ts", F.lit(0)) * 1_000_000),
+        "date_id": text_day(F.col("create_time"))}).select(*DETAIL_COLUMNS)
+
+
 def cancelled_details(changes: DataFrame, details: DataFrame, database: str, ttl_s: int | None = None) -> DataFrame:
     """Lines of orders that went from ordered to cancelled, stamped with the cancellation."""
     cancels = of_table(changes, database, "order_info", "update").where(
