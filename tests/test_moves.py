@@ -1,13 +1,17 @@
 """How often and how whole rows move: packed texts, folds without sorting all that is read, joins that leave a side in place."""
 
+import random
+
+import pytest
 from helpers import START_S, at, change, changes, rows
 from pyspark.sql import functions as F
 from test_queries import SF
 
 from millrace.functions.columns import first_of_pack, joined_packs, packed, rest_of_pack, unpacked
-from millrace.operators import changelog
+from millrace.operators import changelog, joins
 from millrace.operators.changelog import latest_by_key
 from millrace.operators.groups import busy_groups
+from millrace.operators.joins import near_join
 from millrace.plans import dwd
 from millrace.queries import QUERIES
 
@@ -57,3 +61,29 @@ def test_busy_keys_are_folded_before_they_meet(spark, monkeypatch):
     last = latest_by_key(table.unionByName(spark.createDataFrame([("d", 1), ("d", 0)], "k string, t long")), ["k"], ["t"], whole=True)
     assert _plan(last).count("partial_max") == 2
     assert rows(last) == [("a", 49), ("b", 49), ("c", 49), ("d", 1)]
+
+
+def _side(spark, name, times):
+    return spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(times)], f"k string, t double, {name} long").select(
+        "k", name, F.timestamp_seconds(F.col("t") + START_S).alias("et"))
+
+
+@pytest.mark.parametrize("near, many", [(2_000, 1_000), (20, 1_000), (20, 0)])
+def test_near_join_gives_all_pairs(spark, monkeypatch, near, many):
+    """Whether keys are quiet, busy or too many; a null key meets none."""
+    monkeypatch.setattr(joins, "NEAR_ROWS", near)
+    monkeypatch.setattr(joins, "MANY_GROUPS", many)
+    rng = random.Random(5)
+    edges = [("a", float(t)) for t in (0, 30, 36, 72, 66, 41, 5, -5, -30)] + [(None, 0.0)]
+    left = _side(spark, "l", edges + [(rng.choice("aab") + rng.choice(["", "", "c"]), rng.randrange(-400, 400) / 2) for _ in range(80)])
+    right = _side(spark, "r", edges + [(rng.choice("abc"), rng.randrange(-400, 400) / 2) for _ in range(200)])
+    got = near_join(left, right, {"k": "k"}, 30, 5)
+    want = left.alias("x").join(right.alias("y"), F.expr(
+        "x.k = y.k and y.et between x.et - interval 30 seconds and x.et + interval 5 seconds")).select("x.k", "l", "x.et", "r")
+    assert rows(got, "k", "l", "et", "r") == rows(want)
+
+
+def test_paid_lines_are_not_moved_by_time(spark):
+    """They lie with their order already; only payments come to them."""
+    plan = _plan(QUERIES["fact_pay_interval"](spark, SF))
+    assert "_slot" not in plan
