@@ -87,3 +87,14 @@ def test_paid_lines_are_not_moved_by_time(spark):
     """They lie with their order already; only payments come to them."""
     plan = _plan(QUERIES["fact_pay_interval"](spark, SF))
     assert "_slot" not in plan
+
+
+def test_cancelled_lines_lie_with_their_order(spark):
+    """They move by line and by order only, packed; the cancellation comes to them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moves = [line for line in _plan(QUERIES["fact_cancel_detail"](spark, SF)).splitlines() if "Exchange" in line]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(moves) == 6  # lines twice; activities, coupons, orders, cancellations
+    assert sum("REPARTITION_BY_COL" in line for line in moves) == 1
