@@ -34,9 +34,11 @@ def split_logs(path: str, order=("ts",)):
     """Repair new-visitor marks of the batches of :func:`with_visits` and write the five parts of the log, each
     below its own folder.
 
-    The repaired batch feeds five writes, so it is kept for their duration.
+    The batch is read three times and the repaired one feeds five writes, so both are kept for their duration: a batch
+    that is not kept runs through the keyed state anew each time it is read.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
         records = batch.where(F.col("record").isNotNull()).select("record.*")
         visits = batch.where(F.col("visit").isNotNull()).select("visit.*")
         repaired = repair_visitors(records, list(order), visits).persist()
@@ -45,6 +47,7 @@ def split_logs(path: str, order=("ts",)):
                 append_batches(f"{path}/{name}")(part, batch_id)
         finally:
             repaired.unpersist()
+            batch.unpersist()
 
     return write
 

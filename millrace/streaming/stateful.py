@@ -434,34 +434,34 @@ def stream_deltas(rows: DataFrame, key, order, amounts, attributes: str = "curre
     return joined.select("_body").mapInArrow(_unpacked([(f.name, f.type) for f in arrow]), out)
 
 
-class FirstVisits(StatefulProcessor):
-    """Keeps the first record of each device and tells, for every batch a device is in, what it is by then."""
+class FirstVisits(_Held):
+    """Keeps the first record of each device of a bucket and tells, for every batch a device is in, what it is by then."""
 
     def __init__(self, order, shape: T.StructType):
-        self.order, self.shape = list(order), shape
+        self.order, self.names = _places(shape.names, order), list(shape.names)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", self.shape)
-
-    def _with(self, rows) -> tuple:
-        held = self.first.get()
-        least = held and dict(zip(self.shape.names, held))
+    def _taken(self, held: dict, rows) -> list:
+        """The devices of the rows, whose first records are taken over; a device counts by its first column."""
+        met = {}
         for row in rows:
-            if least is None or _rank(row, self.order) < _rank(least, self.order):
-                least = row
-        now = tuple(least[c] for c in self.shape.names)
-        if now != held:
-            self.first.update(now)
-        return now
+            values = tuple(row[c] for c in self.names)
+            known = held.get(values[0])
+            if known is None or _rank(values, self.order) < _rank(known, self.order):
+                held[values[0]] = values
+                met[values[0]] = True
+            else:
+                met.setdefault(values[0], False)
+        if any(met.values()):
+            self._store(held)
+        return list(met)
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self._with([initialState])
+        self._taken(self._load() or {}, initialState["_firsts"])
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        yield Row("mid", *self.shape.names)(key[0], *self._with(rows))
-
-    def close(self) -> None:
-        pass
+        held, out = self._load() or {}, Row(*self.names)
+        for mid in self._taken(held, rows):
+            yield out(*held[mid])
 
 
 def stream_first_visits(log: DataFrame, order=("ts",), seen: DataFrame | None = None) -> DataFrame:
@@ -469,15 +469,19 @@ def stream_first_visits(log: DataFrame, order=("ts",), seen: DataFrame | None =
 
     ``log`` is a stream of records, ``seen`` a table of first visits (see ``operators.logs.first_visits``) that the
     engine's state begins with. Of each Arrow batch only the first record per device reaches the
-    state, so a device with very many records sends few.
+    state, so a device with very many records sends few. Devices are dealt out to ``BUCKETS`` groups.
     """
     order = [*order, "is_new"]
     rows = log.where(F.col("common.mid").isNotNull()).select(
         F.col("common.mid").alias("mid"), *order[:-1], F.col("common.is_new").alias("is_new"))
     firsts, ranks = _with_ranks(rows.mapInArrow(_first_per_chunk(["mid"], order), rows.schema), order)
-    shape = T.StructType([f for f in firsts.schema.fields if f.name != "mid"])
-    begun = None if seen is None else _with_ranks(seen.select("mid", "first.*"), order)[0].select(*firsts.columns).groupBy("mid")
-    return firsts.groupBy("mid").transformWithState(FirstVisits(ranks, shape), firsts.schema, "append", "none", begun).select(*rows.columns)
+    shape, bucket = firsts.schema, _bucket(["mid"]).alias("_bucket")
+    begun = None
+    if seen is not None:  # one row per bucket, as each is taken into the bucket's value
+        known = _with_ranks(seen.select("mid", "first.*"), order)[0].where(F.col("mid").isNotNull())
+        begun = known.groupBy(bucket).agg(F.collect_list(F.struct(*shape.names)).alias("_firsts")).groupBy("_bucket")
+    return firsts.select(bucket, "*").groupBy("_bucket").transformWithState(
+        FirstVisits(ranks, shape), shape, "append", "none", begun).select(*rows.columns)
 
 
 def stream_distinct(rows: DataFrame, keys, spread_by, parts: int | None = None) -> DataFrame:
