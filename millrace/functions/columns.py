@@ -57,11 +57,6 @@ def merge_maps(row, winner) -> Column:
     return F.map_concat(rest, winner)
 
 
-def _escaped(text: Column) -> Column:
-    safe = F.replace(F.replace(text, F.lit("\2"), F.lit("\2b")), F.lit("\1"), F.lit("\2a"))
-    return F.coalesce(safe, F.lit("\2n"))
-
-
 def _plain(part: Column) -> Column:
     text = F.replace(F.replace(part, F.lit("\2a"), F.lit("\1")), F.lit("\2b"), F.lit("\2"))
     return F.when(part != "\2n", text)
@@ -70,9 +65,14 @@ def _plain(part: Column) -> Column:
 def packed(*texts) -> Column:
     """Texts as one, for rows on their way through a shuffle, where every column costs more than a short text.
 
-    Any text, and null, comes back by :func:`unpacked`.
+    Any text, and null, comes back by :func:`unpacked`. The rare texts that hold the marks themselves are escaped
+    element by element; doing so in line for all would make a method too long to be compiled.
     """
-    return joined_packs(*[_escaped(F.col(t) if isinstance(t, str) else t) for t in texts])
+    columns = [F.col(t) if isinstance(t, str) else t for t in texts]
+    together = F.concat_ws("", *columns)
+    odd = together.contains("\1") | together.contains("\2")
+    escaped = F.transform(F.array(*columns), lambda t: F.replace(F.replace(t, F.lit("\2"), F.lit("\2b")), F.lit("\1"), F.lit("\2a")))
+    return F.when(odd, F.array_join(escaped, "\1", "\2n")).otherwise(joined_packs(*[F.coalesce(t, F.lit("\2n")) for t in columns]))
 
 
 def joined_packs(*packs: Column) -> Column:

@@ -37,6 +37,11 @@ def _dic(facts: DataFrame, dic: DataFrame, key: str, name: str, how: str) -> Dat
     return lookup(facts, dic, key, "dic_code", {"info.dic_name": name}, how)
 
 
+def _known(rows: DataFrame, dic: DataFrame, key: str) -> DataFrame:
+    """Rows whose code is in the dictionary, for an inner lookup that comes after a join."""
+    return rows.join(dic.select(F.col("dic_code").alias("_code")), F.col(key) == F.col("_code"), "left_semi")
+
+
 def comments(changes: DataFrame, dic: DataFrame, database: str) -> DataFrame:
     """New comments with the name of their appraise code, null where the code is unknown."""
     new = of_table(changes, database, "comment_info", "insert").select(
@@ -172,11 +177,17 @@ def _last_status(changes: DataFrame, rows: DataFrame, key, order) -> DataFrame:
     return kept.drop(*[c for c in order if c != "ts"])
 
 
+# The texts of a refund, in the order they are packed in.
+REFUND_TEXTS = ["id", "user_id", "sku_id", "refund_type", "refund_num", "refund_amount", "refund_reason_type", "refund_reason_txt",
+                "operate_time"]
+
+
 def refunds(changes: DataFrame, dic: DataFrame, database: str, ttl_s: int | None = None, order=("ts",)) -> DataFrame:
     """Agreed refunds of orders in refund, with the names of type and reason; one row per refund in a table.
 
     In a table both sides are folded to the last row per key by ``order`` first. A stream emits a row for each pair and
-    leaves the folding to a keyed sink.
+    leaves the folding to a keyed sink. Refunds of unknown codes, which have no name, are left out before the
+    join, and the others move, and wait in the state of a stream, with their texts packed into one.
     """
     extra = [c for c in order if c != "ts"]
     agreed = _last_status(changes, of_table(changes, database, "order_refund_info", "update").where(
@@ -185,7 +196,9 @@ def refunds(changes: DataFrame, dic: DataFrame, database: str, ttl_s: int | None
                 "refund_reason_type", "refund_reason_txt", "operate_time"), "ts", "et", *extra), ["id"], order)
     orders = _last_status(changes, of_table(changes, database, "order_info", "update").where(
         reached("order_status", REFUNDING)).select(*fields("id", "province_id"), "ts", "et", *extra), ["id"], order).drop("ts")
-    joined = keyed_join(agreed, orders, {"order_id": "id"}, ttl_s=ttl_s)
+    known = _known(_known(agreed, dic, "refund_type"), dic, "refund_reason_type")
+    moving = known.select("order_id", "ts", "et", packed(*REFUND_TEXTS).alias("_pack"))
+    joined = unpacked(keyed_join(moving, orders, {"order_id": "id"}, ttl_s=ttl_s), "_pack", REFUND_TEXTS)
     named = _dic(joined, dic, "refund_type", "refund_type_name", "inner")
     named = _dic(named, dic, "refund_reason_type", "refund_reason_type_name", "inner")
     return named.withColumn("date_id", text_day(F.col("operate_time"))).select(

@@ -248,9 +248,9 @@ def _orders(spark, sf_dir, watermark=True):
     return v.order_changes_of(replay(spark, sf_dir, "orders", ORDER_END), watermark)
 
 
-def _log(spark, sf_dir, *ends):
-    """Changes of lines and orders in one log with one watermark, as a topic of all tables has it."""
-    lines = v.line_changes_of(v.lines_of(replay(spark, sf_dir, "lineitem", *ends)), watermark=False)
+def _log(spark, sf_dir, *ends, tables):
+    """Changes of lines and orders in one log with one watermark, as a topic of all tables has it, stored by table."""
+    lines = v.line_changes_of(v.lines_of(replay(spark, sf_dir, "lineitem", *ends)), watermark=False, tables=tables)
     return lines.unionByName(_orders(spark, sf_dir, watermark=False)).withWatermark("et", LATENESS)
 
 
@@ -274,7 +274,8 @@ DETAIL_TTL_S = 400 * 86400
 def stream_order_detail(spark, sf_dir):
     """Four streams joined; each revision of a line comes with each of its activities and coupons."""
     ends = {**LINE_END, "l_discount": 0.05, "l_tax": 0.04}
-    details = dwd.order_details(_log(spark, sf_dir, ends), v.DATABASE, DETAIL_TTL_S)
+    log = _log(spark, sf_dir, ends, tables=("order_detail", "order_detail_activity", "order_detail_coupon"))
+    details = dwd.order_details(log, v.DATABASE, DETAIL_TTL_S)
     rows = collected(spark, details, "details", shared_folder(spark, "stream"))
     return rows.select("id", "user_id", "activity_id", "coupon_id", _price().alias("price"), "ts")
 
@@ -286,13 +287,15 @@ def _price():
 
 @query("stream_refunds", refund_sql(RETURNED))
 def stream_refunds(spark, sf_dir):
-    facts = dwd.refunds(_log(spark, sf_dir), v.base_dic(spark, sf_dir), v.DATABASE, TTL_S)
+    log = _log(spark, sf_dir, tables=("order_refund_info",))
+    facts = dwd.refunds(log, v.base_dic(spark, sf_dir), v.DATABASE, TTL_S)
     return collected(spark, facts, "refunds", shared_folder(spark, "stream")).drop("et")
 
 
 @query("stream_refund_payments", refund_payment_sql(CLOSED, CLOSED))
 def stream_refund_payments(spark, sf_dir):
-    facts = dwd.refund_payments(_log(spark, sf_dir), v.base_dic(spark, sf_dir), v.DATABASE, TTL_S)
+    log = _log(spark, sf_dir, tables=("order_refund_info", "refund_payment"))
+    facts = dwd.refund_payments(log, v.base_dic(spark, sf_dir), v.DATABASE, TTL_S)
     return collected(spark, facts, "refund_payments", shared_folder(spark, "stream")).drop("et")
 
 
@@ -311,5 +314,6 @@ def stream_cancel_detail(spark, sf_dir):
 
 @query("stream_pay_detail", ORACLE["fact_pay_interval"])
 def stream_pay_detail(spark, sf_dir):
-    facts = dwd.paid_details(_log(spark, sf_dir), _detail_stream(spark, sf_dir), v.base_dic(spark, sf_dir), v.DATABASE)
+    log = _log(spark, sf_dir, tables=("payment_info",))
+    facts = dwd.paid_details(log, _detail_stream(spark, sf_dir), v.base_dic(spark, sf_dir), v.DATABASE)
     return collected(spark, facts, "paid", shared_folder(spark, "stream")).drop("et")

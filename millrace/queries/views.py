@@ -257,8 +257,11 @@ def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_changes_of(lines(spark, sf_dir))
 
 
-def line_changes_of(rows: DataFrame, watermark: bool = True) -> DataFrame:
-    """Order lines, their activities and coupons, payments and refunds, all from the order lines."""
+def line_changes_of(rows: DataFrame, watermark: bool = True, tables=None) -> DataFrame:
+    """Order lines, their activities and coupons, payments and refunds, all from the order lines.
+
+    ``tables`` names the only ones that are wanted: a stream scans its source for each part of a log, taken or not.
+    """
     seq = F.col("seq")
     detail = _change(rows, "order_detail", "insert", row_map(
         id=F.col("id"), order_id=_text("order_id"), sku_id=_text("sku_id"),
@@ -292,8 +295,10 @@ def line_changes_of(rows: DataFrame, watermark: bool = True) -> DataFrame:
         id=F.col("id"), order_id=_text("order_id"), sku_id=_text("sku_id"),
         payment_type=_text(F.col("supplier_id") % 30), callback_time=stamp_text(F.col("ts")),
         total_amount=_text("price"), refund_status="1602"), row_map(refund_status="1601"), seq=seq, watermark=watermark)
-    log = detail
-    for part in (activity, coupon, payment, agreed, done, repaid):
+    parts = [("order_detail", detail), ("order_detail_activity", activity), ("order_detail_coupon", coupon),
+             ("payment_info", payment), ("order_refund_info", agreed), ("order_refund_info", done), ("refund_payment", repaid)]
+    log, *others = [part for table, part in parts if tables is None or table in tables]
+    for part in others:
         log = log.unionByName(part)
     return log
 

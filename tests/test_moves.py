@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from helpers import START_S, at, change, changes, rows
+from helpers import START_S, at, change, changes, dic, rows, text
 from pyspark.sql import functions as F
 from test_queries import SF
 
@@ -14,6 +14,9 @@ from millrace.operators.groups import busy_groups
 from millrace.operators.joins import near_join
 from millrace.plans import dwd
 from millrace.queries import QUERIES
+from millrace.sources.logs import change_log
+from millrace.sources.topics import text_topic
+from millrace.streaming.run import to_files
 
 ODD = [None, "", "a", "\1", "\2", "\2n", "\2a", "\2b\1", "\1\2n\2", "é\n\"", "n", " "]
 
@@ -98,3 +101,19 @@ def test_cancelled_lines_lie_with_their_order(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(moves) == 6  # lines twice; activities, coupons, orders, cancellations
     assert sum("REPARTITION_BY_COL" in line for line in moves) == 1
+
+
+def test_refunds_of_unknown_codes_do_not_wait(spark, tmp_path):
+    """State holds the refund that has names, not the one that has none; both wait for their order."""
+    def refund(i, reason):
+        data = {"id": i, "order_id": "o", "refund_status": "0702", "refund_type": "1", "refund_reason_type": reason, "refund_reason_txt": "\1"}
+        return change("order_refund_info", "update", START_S, data, {"refund_status": "0701"})
+
+    text(spark, [refund("a", "1"), refund("b", "9"), refund("c", None), change(
+        "order_info", "update", START_S, {"id": "o", "order_status": "1005", "province_id": "3"}, {"order_status": "1002"})]).write.text(f"{tmp_path}/log")
+    facts = dwd.refunds(change_log(text_topic(spark, f"{tmp_path}/log")), dic(spark, {"1": "one"}), "shop", 100)
+    query = to_files(facts, "refunds", f"{tmp_path}/out", str(tmp_path))
+    query.awaitTermination()
+    got = spark.read.schema(facts.schema).parquet(f"{tmp_path}/out")
+    assert rows(got, "id", "province_id", "refund_reason_type_name", "refund_reason_txt") == [("a", "3", "one", "\1")]
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == 2
