@@ -17,7 +17,7 @@ from millrace.queries.changes import raw_topic, route_row, routes
 from millrace.queries.facts import CLOSED, RETURNED, refund_payment_sql, refund_sql
 from millrace.queries.logsplit import REPAIR_SQL, log_text
 from millrace.queries.registry import ORACLE, query, with_views
-from millrace.queries.streams import LAST, LINE_END, late_events, replay, replay_in_files
+from millrace.queries.streams import LAST, LINE_END, files_together, late_events, replay, replay_in_files
 from millrace.session import shared_folder
 from millrace.sources.logs import LATENESS, change_log, order_detail_topic, page_log, route_changes
 from millrace.sources.topics import literal, stream_table, text_topic
@@ -147,13 +147,18 @@ PAGE_VIEWS = ("stt string, edt string, cur_date string, vc string, ch string, ar
 @query("stream_traffic_job", page_view_sql(
     WIDTH, REPAIR_SQL, "(select * from fixed where event_type in ('view', 'click', 'purchase'))"))
 def stream_traffic_job(spark, sf_dir):
-    """Log text to split topics to page views: a job of three streams over several files."""
+    """Log text to split topics to page views: a job of three streams over several batches.
+
+    The batches of the log are those of the replay: each has the same number of files in every topic, so a batch of a large
+    table is neither taken in pieces nor mixed with the next one.
+    """
     job, order = Job(spark, shared_folder(spark, "job")), ["ts", "event_id"]
     ev = late_events(spark, sf_dir, "view", delay_us=1).drop("et")
-    job.to_topic("text", lambda: log_text(v.app_log_of(v.page_log_of(ev))))
+    together = files_together(v.given(spark, sf_dir, "events"))
+    job.to_topic("text", lambda: log_text(v.app_log_of(v.page_log_of(ev))).repartition(together, "event_id"))
 
     def log():
-        text = job.read("text", "event_id long, value string", files_per_batch=1)
+        text = job.read("text", "event_id long, value string", files_per_batch=together)
         return clean_log(page_log(text, keep=["event_id"]))
 
     job.to_batches("split", lambda: maintenance.with_visits(log(), order), maintenance.split_logs(f"{job.folder}/parts", order))

@@ -51,6 +51,11 @@ DELAY_US = 2_900_000
 FILES = 4
 
 
+def files_together(rows) -> int:
+    """The files that a batch of a replay of a table has: as many as its scan has tasks."""
+    return max(1, rows.rdd.getNumPartitions())
+
+
 def replay_in_files(spark, sf_dir, name, time, far_future, files=FILES, delay_us=DELAY_US):
     """The table as a stream of files, one per batch, in order of arrival: a row's time plus a delay by its hash.
 
@@ -61,7 +66,7 @@ def replay_in_files(spark, sf_dir, name, time, far_future, files=FILES, delay_us
     arrival = F.unix_micros(F.col(time).cast("timestamp")) + F.pmod(F.xxhash64(*rows.columns), F.lit(delay_us))
     late = rows.withColumn("_arrival", arrival)
     cuts = late.agg(F.percentile_approx("_arrival", [i / files for i in range(1, files)])).first()[0] or []
-    folder, together = shared_folder(spark, "files"), max(1, rows.rdd.getNumPartitions())
+    folder, together = shared_folder(spark, "files"), files_together(rows)
     # Files are taken up by the time they were written.
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = late if low is None else late.where(F.col("_arrival") > low)
