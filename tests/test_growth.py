@@ -3,9 +3,15 @@
 import glob
 
 import oracle
+from helpers import START_S, change, rows, text
 from pyspark.sql import functions as F
 
+from millrace.plans import dwd
 from millrace.queries import ORACLE, QUERIES
+from millrace.session import FREE_SHUFFLES, prepare
+from millrace.sources.logs import change_log
+from millrace.sources.topics import stream_table, text_topic
+from millrace.streaming.run import collected
 
 
 def _events(spark, path, files, n=600, users=25):
@@ -29,3 +35,40 @@ def test_batches_of_a_log_are_those_of_its_replay(spark, tmp_path):
     assert not problems and count > 50
     [job] = set(glob.glob(f"{folder}/job-*")) - before
     assert len(glob.glob(f"{job}/parts/page/batch_id=*")) <= 6  # four, the closing row, and the last watermark
+
+
+def test_state_takes_no_room_in_advance(spark):
+    conf = prepare(spark).conf
+    assert conf.get("spark.sql.streaming.stateStore.rocksdb.allowFAllocate") == "false"
+    assert conf.get("spark.sql.streaming.stateStore.rocksdb.blockSizeKB") == "32"
+
+
+def test_shuffles_of_streams_are_deleted(spark, tmp_path):
+    """With the batch they belong to; the session's own choice stays as it is."""
+    def shuffles():
+        return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+    spark.range(0, 100, 1, 2).select("id", F.timestamp_seconds(F.col("id") + 10).alias("et")).write.parquet(f"{tmp_path}/in")
+    kept, before = shuffles(), spark.conf.get(FREE_SHUFFLES, None)
+    days = stream_table(spark, f"{tmp_path}/in").withWatermark("et", "1 second").dropDuplicates(["id", "et"])
+    assert collected(spark, days, "freed", str(tmp_path)).count() == 100
+    assert shuffles() <= kept + 1  # that of the count
+    assert spark.conf.get(FREE_SHUFFLES, None) in (before, "false")
+
+
+def test_lines_wait_packed(spark, tmp_path):
+    """The texts of a line are one column in the state of the joins; odd and missing ones come back."""
+    texts = {"sku_id": "s", "create_time": "2024-01-01 00:00:00", "sku_num": "2", "order_price": "1.50", "split_total_amount": None}
+    log = [change("order_detail", "insert", START_S + i, {**texts, "id": f"l{i}", "order_id": "o", "sku_name": name})
+           for i, name in enumerate(["plain", "", "\1|\2n", None])]
+    log += [change("order_info", "insert", START_S, {"id": "o", "user_id": "u", "province_id": "\2"}),
+            change("order_detail_activity", "insert", START_S, {"order_detail_id": "l1", "activity_id": "a"}),
+            change("order_detail_coupon", "insert", START_S, {"order_detail_id": "l2", "coupon_id": "\1"})]
+    text(spark, log).coalesce(1).write.text(f"{tmp_path}/log/1")
+    text(spark, [change("order_info", "insert", START_S + 10_000, {"id": "end"})]).coalesce(1).write.text(f"{tmp_path}/log/2")
+    got = collected(spark, dwd.order_details(change_log(text_topic(spark, f"{tmp_path}/log/*")), "shop", 5), "lines", str(tmp_path))
+    want = dwd.order_details(change_log(text_topic(spark, f"{tmp_path}/log/*", streaming=False)), "shop", 5)
+    assert rows(got, *want.columns) == rows(want) and got.count() == 4
+    for operator in range(3):
+        held = spark.read.format("statestore").option("operatorId", operator).option("joinSide", "left").load(f"{tmp_path}/checkpoint-lines")
+        assert "_pack" in held.schema["value"].dataType.names and not {"sku_name", "user_id", "activity_id"} & set(held.schema["value"].dataType.names)
