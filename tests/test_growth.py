@@ -1,16 +1,21 @@
 """What queries hold, write and repeat as their tables grow."""
 
 import glob
+from decimal import Decimal
 
 import oracle
+import pyarrow as pa
+import pytest
 from helpers import START_S, change, rows, text
 from pyspark.sql import functions as F
 
+from millrace.operators.deltas import deltas
 from millrace.plans import dwd
 from millrace.queries import ORACLE, QUERIES
 from millrace.session import FREE_SHUFFLES, prepare
 from millrace.sources.logs import change_log
 from millrace.sources.topics import stream_table, text_topic
+from millrace.streaming import stateful
 from millrace.streaming.run import collected
 
 
@@ -72,3 +77,53 @@ def test_lines_wait_packed(spark, tmp_path):
     for operator in range(3):
         held = spark.read.format("statestore").option("operatorId", operator).option("joinSide", "left").load(f"{tmp_path}/checkpoint-lines")
         assert "_pack" in held.schema["value"].dataType.names and not {"sku_name", "user_id", "activity_id"} & set(held.schema["value"].dataType.names)
+
+
+def _revisions(spark, path):
+    """Three revisions of each of some keys, an hour apart, with a long text that does not pack."""
+    i = F.col("id")
+    rows = spark.range(600).select(
+        (i % 200).alias("key"), (i / 200).cast("int").alias("n"), F.sha2(i.cast("string"), 512).alias("note"),
+        F.when(i % 7 != 0, (i - 300) / 4).cast("decimal(16,2)").alias("amount"))
+    rows = rows.withColumn("et", F.timestamp_seconds(START_S + 3600 * F.col("n") + F.col("key") % 60))
+    rows.coalesce(1).write.parquet(path)
+    end = rows.limit(1).withColumn("key", F.lit(-1).cast("long")).withColumn("et", F.timestamp_seconds(F.lit(START_S + 900_000)))
+    end.coalesce(1).write.mode("append").parquet(path)
+    return rows
+
+
+def test_of_a_key_only_what_the_next_revision_asks_for_is_held(spark, tmp_path):
+    """The state that is never freed has no texts of revisions; amounts come out as decimals, missing and negative ones too."""
+    table = _revisions(spark, f"{tmp_path}/in")
+    stream = stream_table(spark, f"{tmp_path}/in")
+    got = collected(spark, stateful.stream_deltas(stream, ["key"], ["et"], ["amount"]), "held", str(tmp_path))
+    assert got.schema["amount"].dataType == table.schema["amount"].dataType
+    assert rows(got, *table.columns) == rows(deltas(table, ["key"], ["et"], ["amount"]), *table.columns)
+    held = spark.read.format("statestore").option("operatorId", 1).option("stateVarName", "held").load(f"{tmp_path}/checkpoint-held")
+    assert held.agg(F.sum(F.length("value.blob"))).first()[0] < 200 * 128
+
+
+def test_parts_hand_on_few_values():
+    """What the parts of a task hand to a bucket goes as one value; nothing gets lost or out of place on the way."""
+    put = stateful._together("_due")
+    names = ["_bucket", "_lane", "_due", "_body"]
+    parts = [(i % 5, None, i, stateful.pickle.dumps(([(f"k{i}", i), (f"k{i}", i + 1)], [(0, 1), (None, 0)]), 5)) for i in range(100)]
+    parts += [(1, 7, 200, stateful.pickle.dumps(([("x", 1)], []), 5))] * 3
+    chunks = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*parts[i : i + 40])], names=names) for i in (0, 40, 80)]
+    whole = [row for chunk in put(iter(chunks)) for row in chunk.to_pylist()]
+    assert len(whole) == 6 and {row["_due"] for row in whole} == {95, 96, 97, 98, 99, 200}
+    got = []
+    for row in whole:
+        revisions, pairs = stateful._spread(row["_body"])
+        got += [tuple(None if i is None else revisions[i] for i in pair) for pair in pairs] or revisions
+    assert sorted(got, key=repr) == sorted([x for i in range(100) for x in (((f"k{i}", i), (f"k{i}", i + 1)), (None, (f"k{i}", i)))] + [("x", 1)] * 3, key=repr)
+
+
+def test_amounts_come_back_as_they_were():
+    kind = pa.decimal128(16, 2)
+    whole = pa.array([Decimal("-12.34"), None, Decimal("0.01"), Decimal("99999999999999.99"), Decimal("5")], kind)
+    assert stateful._values(whole.slice(1)) == [None, 1, 9999999999999999, 500]
+    assert stateful._array(stateful._values(whole), kind).equals(whole)
+    assert stateful._array([None], kind).to_pylist() == [None] and stateful._array([], kind).to_pylist() == []
+    with pytest.raises(pa.ArrowInvalid):
+        stateful._array([10**16], kind)
