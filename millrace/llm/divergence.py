@@ -2,7 +2,7 @@
 
 The counts come from single-pass in-memory indexing. A task reads its documents once and gathers
 postings (language, term, source) in memory. When BLOCK of them are held it spills them as one run,
-sorted by term and cut by the hash of the term into shards. Each shard merges its runs with a heap,
+sorted by term and cut by the hash of the term into shards. Each shard merges its runs a stretch of terms at a time,
 and what leaves the merge are whole posting lists with their frequencies.
 
 The distance of two sources is a sum over all terms the language keeps, most of which neither of
@@ -12,7 +12,6 @@ what the terms in use change about it.
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections import Counter
@@ -127,36 +126,39 @@ def index(shards: int, block: int = BLOCK):
     return runs
 
 
+def summed(postings: pa.Table) -> pa.Table:
+    """One row for each term and source."""
+    sums = postings.group_by(["term", "source"], use_threads=False).aggregate([("count", "sum"), ("docs", "sum")])
+    return sums.select(["term", "source", "count_sum", "docs_sum"]).rename_columns(["term", "source", "count", "docs"])
+
+
 class Merge:
     """Rows of runs of one shard and language, merged a stretch of terms at a time.
 
-    Rows come by their first terms, so all terms before the latest first one are complete. A heap by last
-    term tells which rows lie wholly before it; the others are cut there.
+    Rows come by their first terms, so all terms before the latest first one are complete and leave. What stays is summed up
+    by term and source, and looked through again when as much has come on top of it: however many rows reach over the
+    same terms, each is gone through a few times only.
     """
 
     def __init__(self):
-        self.heap: list[tuple[bytes, int, pa.Table]] = []
-        self.at = self.size = 0
+        self.held: list[pa.Table] = []
+        self.size, self.full = 0, STRETCH
 
-    def add(self, row: pa.Table) -> None:
-        self.at += 1
-        self.size += len(row)
-        heapq.heappush(self.heap, (row["term"][-1].as_py(), self.at, row))
+    def add(self, postings: pa.Table) -> None:
+        self.size += len(postings)
+        self.held.append(postings)
 
     def before(self, term: bytes | None) -> pa.Table | None:
         """The postings of all terms before this one (None: of all), which leave the merge."""
-        whole, cut = [], []
-        while self.heap and (term is None or self.heap[0][0] < term):
-            whole.append(heapq.heappop(self.heap)[2])
-        for last, at, row in self.heap:
-            n = pc.sum(pc.less(row["term"], term)).as_py()
-            whole.append(row.slice(0, n))
-            cut.append((last, at, row.slice(n)))
-        if cut:
-            self.heap = cut
-            heapq.heapify(self.heap)
-        self.size = sum(len(row) for _, _, row in self.heap)
-        return pa.concat_tables(whole) if whole else None
+        if not self.size:
+            return None
+        done, rest = pa.concat_tables(self.held), []
+        if term is not None:
+            below = pc.less(done["term"], pa.scalar(term, pa.binary()))
+            done, rest = done.filter(below), [summed(done.filter(pc.invert(below)))]
+        self.held, self.size = rest, sum(map(len, rest))
+        self.full = max(STRETCH, 2 * self.size)
+        return done if len(done) else None
 
 
 def posting_lists(least_docs: int):
@@ -165,12 +167,12 @@ def posting_lists(least_docs: int):
     def lists(lang: str, postings: pa.Table | None) -> Iterator[tuple]:
         if postings is None:
             return
-        sums = postings.group_by(["term", "source"], use_threads=False).aggregate([("count", "sum"), ("docs", "sum")])
-        docs = sums.group_by("term", use_threads=False).aggregate([("docs_sum", "sum")])
-        enough = pc.or_(pc.greater_equal(docs["docs_sum_sum"], least_docs), pc.equal(docs["term"], pa.scalar(GROUP, pa.binary())))
+        sums = summed(postings)
+        docs = sums.group_by("term", use_threads=False).aggregate([("docs", "sum")])
+        enough = pc.or_(pc.greater_equal(docs["docs_sum"], least_docs), pc.equal(docs["term"], pa.scalar(GROUP, pa.binary())))
         kept = sums.filter(pc.is_in(sums["term"], value_set=docs["term"].filter(enough).combine_chunks()))
         kept = kept.sort_by([("term", "ascending"), ("source", "ascending")])
-        rows = zip(*(kept[c].to_pylist() for c in ("term", "source", "count_sum")), strict=True)
+        rows = zip(*(kept[c].to_pylist() for c in ("term", "source", "count")), strict=True)
         for term, found in groupby(rows, key=lambda r: r[0]):
             _, sources, counts = zip(*found, strict=True)
             yield lang, term.decode(), sources, counts
@@ -178,15 +180,21 @@ def posting_lists(least_docs: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         place, merge = None, Merge()
         for batch in batches:
-            for i in range(batch.num_rows):
-                shard, lang, first = (batch.column(c)[i].as_py() for c in range(3))
-                if (shard, lang) != place:
-                    if place:
-                        yield from lists(place[1], merge.before(None))
-                    place, merge = (shard, lang), Merge()
-                elif merge.size >= STRETCH:
-                    yield from lists(lang, merge.before(first))
-                merge.add(pa.table([batch.column(c)[i].values for c in range(3, 7)], ["term", "source", "count", "docs"]))
+            places = list(zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True))
+            ends = batch.column(3).offsets.to_numpy() - batch.column(3).offsets[0].as_py()
+            flat = pa.table([batch.column(c).flatten() for c in range(3, 7)], ["term", "source", "count", "docs"])
+            begun = 0
+            for i, at in enumerate(places):
+                if at != place or merge.size + ends[i] - ends[begun] >= merge.full:
+                    merge.add(flat.slice(ends[begun], ends[i] - ends[begun]))
+                    begun = i
+                    if at == place:
+                        yield from lists(place[1], merge.before(batch.column(2)[i].as_py()))
+                    else:
+                        if place:
+                            yield from lists(place[1], merge.before(None))
+                        place, merge = at, Merge()
+            merge.add(flat.slice(ends[begun]))
         if place:
             yield from lists(place[1], merge.before(None))
 
