@@ -6,14 +6,15 @@ from decimal import Decimal
 import oracle
 import pyarrow as pa
 import pytest
-from helpers import START_S, change, rows, text
+from helpers import START_S, change, dic, rows, text
 from pyspark.sql import functions as F
 
+from millrace import schemas
 from millrace.operators.deltas import deltas
 from millrace.plans import dwd
 from millrace.queries import ORACLE, QUERIES
 from millrace.session import FREE_SHUFFLES, prepare
-from millrace.sources.logs import change_log
+from millrace.sources.logs import change_log, order_detail_topic
 from millrace.sources.topics import stream_table, text_topic
 from millrace.streaming import stateful
 from millrace.streaming.run import collected
@@ -127,3 +128,24 @@ def test_amounts_come_back_as_they_were():
     assert stateful._array([None], kind).to_pylist() == [None] and stateful._array([], kind).to_pylist() == []
     with pytest.raises(pa.ArrowInvalid):
         stateful._array([10**16], kind)
+
+
+def test_cancelled_and_paid_lines_wait_packed(spark, tmp_path):
+    """The texts of a line are one column in the state; odd and missing ones come back, as in a table."""
+    shape = schemas.ORDER_DETAIL
+    details = spark.createDataFrame([tuple({"id": f"l{i}", "order_id": "o", "sku_name": name, "coupon_id": "c", "ts": START_S + i}.get(f)
+                                           for f in shape.fieldNames()) for i, name in enumerate(["plain", "", "\1|\2n", None])], shape)
+    details.write.json(f"{tmp_path}/details")
+    text(spark, [change("order_info", "update", START_S + 5, {"id": "o", "order_status": "1003", "operate_time": "2024-01-01 00:00:05"},
+                        {"order_status": "1001"}),
+                 change("payment_info", "update", START_S + 5, {"order_id": "o", "payment_status": "1602", "payment_type": "1101"},
+                        {"payment_status": "1601"})]).write.text(f"{tmp_path}/log")
+    codes = dic(spark, {"1101": "card"})
+    facts = {"cancelled": lambda log, lines: dwd.cancelled_details(log, lines, "shop", 60), "paid": lambda log, lines: dwd.paid_details(log, lines, codes, "shop")}
+    for name, make in facts.items():
+        got, want = (make(change_log(text_topic(spark, f"{tmp_path}/log", streaming)), order_detail_topic(spark, f"{tmp_path}/details", streaming))
+                     for streaming in (True, False))
+        got = collected(spark, got, name, str(tmp_path))
+        assert rows(got, *want.columns) == rows(want) and got.count() == 4
+        held = spark.read.format("statestore").option("operatorId", 0).option("joinSide", "right").load(f"{tmp_path}/checkpoint-{name}")
+        assert "_pack" in held.schema["value"].dataType.names and "sku_name" not in held.schema["value"].dataType.names
