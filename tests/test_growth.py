@@ -100,7 +100,7 @@ def test_of_a_key_only_what_the_next_revision_asks_for_is_held(spark, tmp_path):
     got = collected(spark, stateful.stream_deltas(stream, ["key"], ["et"], ["amount"]), "held", str(tmp_path))
     assert got.schema["amount"].dataType == table.schema["amount"].dataType
     assert rows(got, *table.columns) == rows(deltas(table, ["key"], ["et"], ["amount"]), *table.columns)
-    held = spark.read.format("statestore").option("operatorId", 1).option("stateVarName", "held").load(f"{tmp_path}/checkpoint-held")
+    held = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "held").load(f"{tmp_path}/checkpoint-held")
     assert held.agg(F.sum(F.length("value.blob"))).first()[0] < 200 * 128
 
 
